@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, simhash, token_store
+from . import decontam, mixing, passages, quality, secrets, simhash, sketch, token_store, toolcalls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,21 +34,50 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.chat_calls(_table(spark, sf_dir, "conversations"))
+    linked = toolcalls.link_calls(calls, results, toolcalls.CHAT_TOOLS)
+    digest = F.sha2("arguments", 256).alias("arguments_sha256")
+    return linked.select("conv_id", "call_id", "name", F.col("level").cast("long").alias("level"), "call_turn", "result_turn", "status", "valid", digest, F.sha2("record", 256).alias("record_sha256"))
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "ordinal", F.sha2("candidate", 256).alias("candidate_sha256"), F.col("length").cast("long").alias("length"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edit_checks(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_store": op2_token_store,
     "op3_simhash": op3_simhash,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_mixing": op5_mixing,
+    "op6_tool_calls": op6_tool_calls,
+    "op7_passages": op7_passages,
+    "op8_secrets": op8_secrets,
     "op9_winnowing": op9_winnowing,
+    "op10_sketch": op10_sketch,
 }
 
 ORACLE_SQL: dict[str, str] = {}
