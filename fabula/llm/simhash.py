@@ -1,10 +1,10 @@
 """SimHash near-duplicates through a segment-popcount grid.
 
-A fingerprint of 64 bits is cut into 16 segments of 4 bits and mapped to the vector of its
+A fingerprint of 64 bits is cut into 32 segments of 2 bits and mapped to the vector of its
 segments' bit counts. The Manhattan distance of two such vectors is a lower bound of the Hamming
 distance, so fingerprints within 2 bits lie within 2 steps on the grid, and then some grid point is
 at most one step from both. Every distinct fingerprint is sent to its own point and to those one step away
-(33 at most); a fingerprint that shares no point with another one has no link and leaves.
+(49 on average); a fingerprint that shares no point with another one has no link and leaves.
 
 The rest is verified exactly without forming pairs: two fingerprints differ in 2 bits or fewer if
 and only if some 64-bit value is within one bit of both. Each remaining fingerprint is sent to these
@@ -29,7 +29,7 @@ from .common import connected_components, materialize
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS, WIDTH = 16, 4
+SEGMENTS, WIDTH = 32, 2
 
 
 def text_fingerprint(text: bytes) -> int:
@@ -62,19 +62,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def segment_counts(fp: Column) -> Column:
-    """Bit counts of the 16 segments, each in its own 4 bits of a long."""
-    odd, pairs = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
+    """Bit counts (0 to 2) of the 32 segments, each in its own 2 bits of a long."""
+    odd = F.lit(0x5555555555555555)
     a, b = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-    two = a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
-    return two.bitwiseAND(pairs) + F.shiftrightunsigned(two, 2).bitwiseAND(pairs)
+    return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
 def grid_points(counts: Column) -> Column:
     """The point itself and the points one step away; null where a step leaves the grid."""
     near = [counts]
     for i in range(SEGMENTS):
-        n, step = F.shiftrightunsigned(counts, WIDTH * i).bitwiseAND(F.lit(15)), F.lit(1 << WIDTH * i)
-        near += [F.when(n < WIDTH, counts + step), F.when(n > 0, counts - step)]
+        n = F.shiftrightunsigned(counts, WIDTH * i).bitwiseAND(F.lit(3))
+        low, both = (F.shiftleft(F.lit(x).cast("long"), WIDTH * i) for x in (1, 3))
+        near += [F.when(n < 2, counts.bitwiseXOR(low)), F.when(n > 0, counts.bitwiseXOR(both))]  # 0 and 1 change places; 1 and 2
     return F.array(*near)
 
 
