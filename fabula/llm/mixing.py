@@ -24,6 +24,7 @@ from .common import WORD, materialize
 
 EPOCHS = 3
 BIN_BITS = 12
+SALT = 64
 
 
 def sizes(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -73,14 +74,18 @@ def mix(sized: DataFrame, goal: DataFrame) -> DataFrame:
     bound = first.join(last, first.s.eqNullSafe(last.s), "left")
     bound = bound.select(first.s.alias("s"), F.coalesce(last.last, F.col("start") - 1).alias("bound"), (F.col("rest") - F.coalesce("upto", "below")).alias("gap"))
     plan = goal.join(bound, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("src"), "source_size", "target", "whole", "rest", "bound", "gap")
+    # Sources are few and may be hot: their rows meet the plan by source and salt.
     plan = materialize(plan, "mix-plan")
+    salted = lambda p: p.withColumn("grain", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    sized = sized.withColumn("salt", F.pmod("place", F.lit(SALT)).cast("int"))
+    meets = F.col("source").eqNullSafe(F.col("src")) & (F.col("salt") == F.col("grain"))
     off = F.abs(F.col("size") - F.col("gap"))
-    fits = sized.join(plan.where("gap > 0"), F.col("source").eqNullSafe(F.col("src"))).where(F.col("place") > F.col("bound")).where(off < F.col("gap"))
+    fits = sized.join(salted(plan.where("gap > 0")), meets).where(F.col("place") > F.col("bound")).where(off < F.col("gap"))
     fits = fits.groupBy(F.col("src").alias("f")).agg(F.min(F.struct(off.alias("off"), "place")).getField("place").alias("one"))
     plan = plan.join(fits, F.col("src").eqNullSafe(F.col("f")), "left").drop("f")
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("src")))
+    out = sized.join(salted(plan), meets)
     extra = F.when(F.col("bound").isNotNull(), (F.col("place") <= F.col("bound")) | F.coalesce(F.col("place") == F.col("one"), F.lit(False))).otherwise(F.col("rest") > 0)
-    return out.withColumn("times", (F.col("whole") + extra.cast("long")).cast("long")).drop("src", "whole", "rest", "bound", "gap", "one")
+    return out.withColumn("times", (F.col("whole") + extra.cast("long")).cast("long")).drop("src", "whole", "rest", "bound", "gap", "one", "salt", "grain")
 
 
 def mixture(docs: DataFrame, epochs: int = EPOCHS, seed: int = 42) -> DataFrame:
