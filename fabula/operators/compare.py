@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
@@ -246,10 +246,27 @@ def with_scores(rows: DataFrame) -> DataFrame:
     return out.withColumn("srj_level", level).withColumn("verdict", verdict).withColumn("warnings", notes)
 
 
-def shared_code_pairs(refs: DataFrame, works: DataFrame) -> DataFrame:
-    """(ref_id, cand_id) that can score SNS above 0.55: they share a function code outside the African family, or one has no code outside it.
+def candidate_pairs(refs: DataFrame, works: DataFrame) -> DataFrame:
+    """(ref_id, cand_id) of all pairs that can score SNS above 0.55, from work_id and codes.
 
-    Without a shared code and with such codes on both sides, S_GED and S_FUNC are 0, so SNS is at most 0.25 + 0.15 + 0.15."""
+    They share a function code, or both have codes and one has only African ones. For any other pair S_GED is 0, and S_FUNC too, so
+    SNS is at most 0.25 + 0.15 + 0.15; a work without codes stays below that as well.
+    """
     one = lambda df, name: df.select(F.col("work_id").alias(name), F.explode(F.array_distinct("codes")).alias("code"))
     same = one(refs, "ref_id").join(one(works, "cand_id"), "code").select("ref_id", "cand_id")
-    return same.where("ref_id <> cand_id").distinct()
+    coded = lambda df: df.where(F.size("codes") > 0)
+    only = lambda df: coded(df).where(F.forall("codes", lambda x: x.startswith("FN")))
+    rest = search_pairs(only(refs), coded(works)).union(search_pairs(coded(refs), only(works)))
+    out = same.union(rest.select("ref_work_id", "cand_work_id"))
+    return out.where("ref_id <> cand_id").distinct()
+
+
+def top_k(scored: DataFrame, k: int) -> DataFrame:
+    """The k works most similar to each reference (ties: smallest id) with their rank."""
+    w = Window.partitionBy("ref_id").orderBy(F.round("sns", 9).desc(), "cand_id")
+    return scored.select("ref_id", "cand_id", "sns").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def percentiles(scored: DataFrame, group: str = "ref_id") -> DataFrame:
+    """Rank of each pair's SNS within its group, 0 to 1."""
+    return scored.withColumn("percentile", F.percent_rank().over(Window.partitionBy(group).orderBy(F.round("sns", 9))))

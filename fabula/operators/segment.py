@@ -29,35 +29,56 @@ def _flush(acc: Column, joint: str) -> Column:
     return F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["cur"], joint)))).otherwise(acc["done"])
 
 
-def _add(acc: Column, part: Column, n: Column, target: Column, joint: str) -> Column:
-    full = (acc["n"] + n > target) & (F.size(acc["cur"]) > 0)
-    return F.when(full, F.struct(_flush(acc, joint).alias("done"), F.array(part).alias("cur"), n.alias("n")).cast(_ACC)).otherwise(
-        F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(part)).alias("cur"), (acc["n"] + n).alias("n")).cast(_ACC)
+def _add(acc: Column, unit: Column, target: Column, joint: str) -> Column:
+    full = (acc["n"] + unit["n"] > target) & (F.size(acc["cur"]) > 0)
+    return F.when(full, F.struct(_flush(acc, joint).alias("done"), F.array(unit["s"]).alias("cur"), unit["n"].alias("n")).cast(_ACC)).otherwise(
+        F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(unit["s"])).alias("cur"), (acc["n"] + unit["n"]).alias("n")).cast(_ACC)
     )
 
 
+def _counted(parts: Column) -> Column:
+    return F.transform(parts, lambda s: F.struct(s.alias("s"), n_words(s).alias("n")))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once for a row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_long(paragraph: Column, target: Column) -> Column:
     """Sentences of a long paragraph in groups of about `target` words."""
     sentences = F.split(paragraph, r"(?U)(?<=[.!?])\s+(?=[A-ZÉÀÊÎÔ])")
-    return F.aggregate(sentences, _empty(), lambda acc, s: _add(acc, s, n_words(s), target, " "), lambda acc: _flush(acc, " "))
+    return F.aggregate(_counted(sentences), _empty(), lambda acc, s: _add(acc, s, target, " "), lambda acc: _flush(acc, " "))
 
 
-def group_chunks(parts: Column, target: Column) -> Column:
-    """Paragraphs in groups of about `target` words; one of over twice that is cut by itself."""
+def group_chunks(units: Column, target: Column) -> Column:
+    """Counted paragraphs in groups of about `target` words; one of over twice that is cut by itself."""
 
     def step(acc: Column, p: Column) -> Column:
-        long = F.struct(F.concat(_flush(acc, "\n\n"), split_long(p, target)).alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n")).cast(_ACC)
-        return F.when(n_words(p) > target * 2, long).otherwise(_add(acc, p, n_words(p), target, "\n\n"))
+        long = F.struct(F.concat(_flush(acc, "\n\n"), split_long(p["s"], target)).alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n")).cast(_ACC)
+        return F.when(p["n"] > target * 2, long).otherwise(_add(acc, p, target, "\n\n"))
+
+    return F.aggregate(units, _empty(), step, lambda acc: _flush(acc, "\n\n"))
+
+
+def chunks(text: Column) -> Column:
+    """Texts of a work's segments."""
+
+    def cut(units: Column) -> Column:
+        total = F.aggregate(units, F.lit(0), lambda n, u: n + u["n"])
+        return let(target_words(total), lambda target: group_chunks(units, target))
+
+    return let(_counted(paragraphs(text)), cut)
+
 
-    return F.aggregate(parts, _empty(), step, lambda acc: _flush(acc, "\n\n"))
+def admitted(works: DataFrame) -> DataFrame:
+    return works.where(F.length(strip(F.col("text"))) >= MIN_CHARS)
 
 
-def with_chunks(works: DataFrame) -> DataFrame:
-    """works(work_id, text) of 50 characters or more with chunks, the texts of their segments."""
-    out = works.where(F.length(strip(F.col("text"))) >= MIN_CHARS).withColumn("_parts", paragraphs(F.col("text")))
-    total = F.aggregate("_parts", F.lit(0), lambda n, p: n + n_words(p))
-    out = out.withColumn("_target", target_words(total))
-    return out.withColumn("chunks", group_chunks(F.col("_parts"), F.col("_target"))).drop("_parts", "_target")
+def chunk_rows(works: DataFrame, *columns: str) -> DataFrame:
+    """(columns, pos, total, text): a row for each segment of works(text) of 50 characters or more."""
+    numbered = let(chunks(F.col("text")), lambda c: F.transform(c, lambda s, i: F.struct(i.alias("pos"), F.size(c).alias("total"), s.alias("text"))))
+    return admitted(works).select(*columns, F.explode(numbered).alias("s")).select(*columns, "s.*")
 
 
 def offsets(text: Column, chunks: Column) -> Column:
@@ -92,7 +113,6 @@ def actions(text: Column, lexicon: Lexicon = FRENCH) -> Column:
 
 def segments(works: DataFrame, lexicon: Lexicon = FRENCH) -> DataFrame:
     """(work_id, pos, total, segment_id, text, start_char, end_char, word_count, entities, actions), pos from 0."""
-    cut = with_chunks(works).withColumn("_at", offsets(F.col("text"), F.col("chunks")))
-    rows = cut.select("work_id", F.size("chunks").alias("total"), F.posexplode(F.arrays_zip(F.col("chunks").alias("c"), F.col("_at").alias("a"))).alias("pos", "s"))
-    rows = rows.select("work_id", "pos", "total", F.col("s.c").alias("text"), F.col("s.a.start").alias("start_char"), F.col("s.a.end").alias("end_char"))
+    placed = let(chunks(F.col("text")), lambda c: let(offsets(F.col("text"), c), lambda o: F.transform(c, lambda s, i: F.struct(i.alias("pos"), F.size(c).alias("total"), s.alias("text"), F.get(o, i).alias("at")))))
+    rows = admitted(works).select("work_id", F.explode(placed).alias("s")).select("work_id", "s.pos", "s.total", "s.text", F.col("s.at.start").alias("start_char"), F.col("s.at.end").alias("end_char"))
     return rows.select("work_id", "pos", "total", F.format_string("s%03d", F.col("pos") + 1).alias("segment_id"), "text", "start_char", "end_char", n_words(F.col("text")).alias("word_count"), entities(F.col("text"), lexicon).alias("entities"), actions(F.col("text"), lexicon).alias("actions"))
