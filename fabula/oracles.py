@@ -81,8 +81,8 @@ sims AS (SELECT r.work_id AS ref_id, c.work_id AS cand_id, c.pos AS cand_pos, r.
   r.vouloir * c.vouloir + r.devoir * c.devoir + r.pouvoir * c.pouvoir + r.savoir * c.savoir AS dot,
   CASE WHEN r.code = c.code THEN CAST(0.60 AS DOUBLE) WHEN r.family = c.family THEN CAST(0.15 AS DOUBLE) END AS kin
   FROM nodes r JOIN nodes c ON r.work_id <> c.work_id WHERE r.work_id % 100 = 0),
-similar AS (SELECT *, CASE WHEN kin IS NULL THEN ph + te ELSE kin + ac + ph + te + CAST(0.05 AS DOUBLE) * CASE WHEN nr > 0 AND nc > 0 THEN dot / (nr * nc) ELSE 0 END END AS sim FROM sims),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, cand_id, cand_pos ORDER BY sim DESC, ref_pos) AS r FROM similar) WHERE r = 1),
+simmed AS (SELECT *, CASE WHEN kin IS NULL THEN ph + te ELSE kin + ac + ph + te + CAST(0.05 AS DOUBLE) * CASE WHEN nr > 0 AND nc > 0 THEN dot / (nr * nc) ELSE 0 END END AS sim FROM sims),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, cand_id, cand_pos ORDER BY sim DESC, ref_pos) AS r FROM simmed) WHERE r = 1),
 weighed AS (SELECT *, CASE WHEN cand_code IS NULL THEN 1.0 ELSE 1.0 / sqrt(CAST(count(*) OVER (PARTITION BY ref_id, cand_id, cand_code) AS DOUBLE)) END AS w FROM best),
 iso AS (SELECT ref_id, cand_id, coalesce(sum(w) FILTER (sim >= CAST(0.40 AS DOUBLE)), 0) / sum(w) AS s_iso FROM weighed GROUP BY ref_id, cand_id)
 """
