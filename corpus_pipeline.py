@@ -19,26 +19,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.quality(docs).where("keep").select(*docs.columns)
+    return quality.judged(docs).where("keep").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each near-duplicate group that names it: its smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with the benchmark."""
-    hit = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(materialize(hit, "pipeline-hit"), F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    hit = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(materialize(hit, "pipeline-hit"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as it takes them."""
-    plan = mixing.mixture(docs).where("times > 0").select(F.col("doc_id").alias("d"), "times").distinct()
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("d")))
-    return out.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    plan = mixing.mixture(docs).where("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("place").alias("_place"), F.col("times").alias("_times")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (mixing.place_of(docs) == F.col("_place"))
+    out = docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return out.select(*[docs[c] for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,8 +104,14 @@ def with_tokens(df: DataFrame) -> DataFrame:
     return df.withColumn("tokens", F.concat(F.transform("words", F.lower), F.transform("words", shape)))
 
 
-def quality(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5, seed: int = 42) -> DataFrame:
-    """docs with posterior (of its votes), score (of the linear scorer, 0 to 1) and keep."""
+def quality(docs: DataFrame, **options) -> DataFrame:
+    """docs with posterior (of its votes), score (of the linear scorer, 0 to 1) and keep, which take the place of columns so named."""
+    new = ("posterior", "score", "keep")
+    return judged(docs, **options).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *new)
+
+
+def judged(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5, seed: int = 42) -> DataFrame:
+    """(row, posterior, score, keep): row is the struct of a document's own columns."""
     names = list(labellers())
     base = docs.select("doc_id", "text")
     voted = text_measures(base).select("doc_id", F.xxhash64("text").alias("h"), F.concat_ws(",", *[v.cast("string") for v in labellers().values()]).alias("votes"))
@@ -128,17 +134,17 @@ def quality(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5, s
     rows = rows.select("features", "e.label", "e.w").where("w > 1e-6").persist()
     weights = F.broadcast(soft)
     if rows.select("label").distinct().count() < 2:
-        scored = docs.withColumn("h", F.xxhash64("text"))
         votes = voted.dropDuplicates(["doc_id", "h"]).join(weights, "votes").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "posterior")
-        scored = scored.join(votes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).drop("h", "d", "g").withColumn("score", F.col("posterior"))
+        scored = docs.select(F.struct("*").alias("row")).join(votes, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("g")))
+        scored = scored.select("row", "posterior", F.col("posterior").alias("score"))
         rows.unpersist()
         return scored.withColumn("keep", F.col("score") >= threshold)
     model = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=25, probabilityCol="p").fit(rows)
     rows.unpersist()
-    out = text_measures(docs.select("*"))
+    out = text_measures(docs.select(F.struct("*").alias("row"), "text"))
     out = with_tokens(out.withColumn("votes", F.concat_ws(",", *[v.cast("string") for v in labellers().values()])))
     for t in [*stages, model]:
         out = t.transform(out)
-    scored = out.select(*docs.columns, "votes", vector_to_array("p")[1].alias("score"))
-    scored = scored.join(weights, "votes", "left").select(*docs.columns, "posterior", "score")
+    scored = out.select("row", "votes", vector_to_array("p")[1].alias("score"))
+    scored = scored.join(weights, "votes", "left").select("row", "posterior", "score")
     return scored.withColumn("keep", F.col("score") >= threshold)

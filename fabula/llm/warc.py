@@ -28,7 +28,7 @@ from .common import materialize
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, source_digest string, block_digest string, content_length long, payload string"
 _NAMES = [f.split()[0] for f in RECORD.split(", ")]
-_DROP = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template|nav)\b.*?</\1\s*>", re.S | re.I)
+_DROP = re.compile(r"<!--.*?-->|<(script|style|head|title|noscript|template|nav)\b.*?</\1\s*>", re.S | re.I)
 _BREAK = re.compile(r"<(?:br|hr|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|blockquote|pre|article|section|header|footer|aside|main))\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 _SPACES, _LINES = re.compile(r"[ \t\r\f\v]+"), re.compile(r" ?\n[ \n]*")
