@@ -163,3 +163,23 @@ def login_counters(logins: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """One row per conversation: messages in order."""
     return messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+
+
+def with_graphs(analyses: DataFrame, graphs: DataFrame) -> DataFrame:
+    """analyses(graph_id, ...) with the columns of their graph(graph_id, ...), null where it is gone."""
+    return analyses.join(graphs, "graph_id", "left")
+
+
+def replace_messages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Messages after the lists of some conversations were replaced: theirs are the new ones."""
+    return delete_keys(old, new, "conv_id").unionByName(new)
+
+
+def mark_read(notices: DataFrame, user: Column, notice: Column | None = None) -> DataFrame:
+    """notices with those of a user, or one of them, read."""
+    hit = (F.col("user_id") == user) & (F.lit(True) if notice is None else F.col("id") == notice)
+    return notices.withColumn("read", F.col("read") | hit)
+
+
+def newest_conversations(conversations: DataFrame, n: int = 8) -> DataFrame:
+    return conversations.orderBy(F.desc("last_message_at"), F.desc("conv_id")).limit(n)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +149,60 @@ def chunk_ranges(sizes: Column, limit: int = CHUNK_CHARS, overlap: int = OVERLAP
     return F.when(F.size(sizes) == 0, F.array().cast("array<struct<first:int,last:int>>")).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), start, step, lambda acc: emit(acc, F.size(sizes) - 1)))
 
 
+def paragraph_spans(docs: DataFrame, key: str, limit: int = CHUNK_CHARS) -> DataFrame:
+    """(key, first, end, text): paragraphs with character offsets; those over `limit` characters are refined."""
+    blank = r"(?U)\n\s*\n"
+    cut = docs.select(key, F.col("text").alias("t"), F.split("text", blank).alias("ps"), F.transform(F.regexp_extract_all("text", F.lit(blank), F.lit(0)), F.length).alias("gaps"))
+    kind = "struct<next:int,out:array<struct<at:int,p:string>>>"
+    start = F.struct(F.lit(0).alias("next"), F.array().alias("out")).cast(kind)
+
+    def step(acc: Column, i: Column) -> Column:
+        p = F.get("ps", i)
+        here = F.struct(acc["next"].alias("at"), p.alias("p"))
+        return F.struct((acc["next"] + F.length(p) + F.coalesce(F.get("gaps", i), F.lit(0))).alias("next"), F.concat(acc["out"], F.array(here)).alias("out")).cast(kind)
+
+    placed = cut.where("ps is not null").select(key, F.explode(F.aggregate(F.sequence(F.lit(0), F.size("ps") - 1), start, step, lambda acc: acc["out"])).alias("x"))
+    lead = F.length("x.p") - F.length(F.regexp_replace("x.p", r"(?U)^\s+", ""))
+    rows = placed.select(key, (F.col("x.at") + lead).alias("first"), (F.col("x.at") + F.length("x.p")).alias("end"), F.regexp_replace("x.p", r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
+    fits = F.col("end") - F.col("first") <= limit
+    return rows.where(fits).union(rows.where(~fits).select(key, "first", "text").mapInPandas(_refiner(key, limit), rows.schema))
+
+
+def pieces(text: str, limit: int) -> list[tuple[int, int]]:
+    """Spans of an oversize paragraph: groups of sentences of at most `limit` characters, if there are three sentences and no group is over a
+    fifth too long; else blocks of `limit` characters that end, if possible, at a blank or full stop among their last 200."""
+    ends = [m.span() for m in re.finditer(r"(?<=[.!?])\s+(?=[A-ZÉÈÀÂÎÔÛÜŒÆ])", text)]
+    spans = list(zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)], strict=True))
+    if len(spans) >= 3:
+        groups: list[list[tuple[int, int]]] = []
+        for span in spans:
+            full = groups and sum(e - s for s, e in groups[-1]) + span[1] - span[0] > limit
+            if groups and not full:
+                groups[-1].append(span)
+            else:
+                groups.append([span])
+        out = [(g[0][0], g[-1][1]) for g in groups]
+        if all(e - s <= limit * 1.2 for s, e in out):
+            return out
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + limit, len(text))
+        if end < len(text):
+            end = next((k + 1 for k in range(end, max(end - 200, at + 1), -1) if text[k] in " .!?"), end)
+        out.append((at, end))
+        at = end
+    return out
+
+
+def _refiner(key: str, limit: int):
+    def run(batches):
+        for b in batches:
+            rows = [(k, first + s, first + e, t[s:e].strip()) for k, first, t in zip(b[key], b["first"], b["text"], strict=True) for s, e in pieces(t, limit)]
+            yield pd.DataFrame(rows, columns=[key, "first", "end", "text"])
+
+    return run
+
+
 def chunks(docs: DataFrame, key: str, limit: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, split: str = r"\n\s*\n+", joint: str = "\n\n") -> DataFrame:
     """(key, chunk, n_chunks, label, text, has_overlap_before) of long texts."""
     parts = docs.select(key, F.filter(F.split("text", split), lambda p: F.trim(p) != "").alias("ps"))

@@ -35,6 +35,9 @@ MORE = {
     "response_nodes": _with(*NODE) + f"SELECT nodes.work_id, 'n' || lpad(CAST(nodes.pos + 1 AS VARCHAR), 3, '0') AS node_id, len(actants) AS n_actants, [0.4, 1.0, 0.5, 0.5, 0.0][CAST(nodes.pos % 5 + 1 AS INT)] AS tension, 0.3 AS vouloir, 0.0 AS devoir, least(20, length(seg.text)) + CASE WHEN nodes.pos % 2 = 0 THEN 10 ELSE 0 END AS excerpt_chars FROM nodes JOIN seg ON seg.work_id = nodes.work_id AND seg.pos = nodes.pos WHERE nodes.{_OK}",
     "response_edges": _with(*NODE) + f"SELECT work_id, transition_type, count(*) AS n FROM (SELECT work_id, CASE WHEN list_has_any(list_transform(actants, lambda a: lower(a)), list_transform(a2, lambda a: lower(a))) THEN 'causal' WHEN phase <> p2 THEN 'temporal' ELSE 'sequential' END AS transition_type FROM (SELECT *, lead(actants) OVER w AS a2, lead(phase) OVER w AS p2 FROM nodes WINDOW w AS (PARTITION BY work_id ORDER BY pos)) WHERE p2 IS NOT NULL AND {_OK}) GROUP BY ALL",
     "merge_majority": "WITH " + _PARTIAL.strip() + " SELECT b.book, n_chunks, n_failed, CASE WHEN n_failed = n_chunks THEN 'error' WHEN n_failed > 0 THEN 'partial' ELSE 'ok' END AS status, genre, tradition, tokens, keywords, summary_md5 FROM b LEFT JOIN g ON g.book = b.book LEFT JOIN t ON t.book = b.book LEFT JOIN ks ON ks.book = b.book LEFT JOIN s ON s.book = b.book",
+    "graph_metadata": _with(_SEGMENTS) + f"SELECT work_id, CASE WHEN {_OK} THEN 'llm' ELSE 'error' END AS mode, {_OK} AND {_AFRO} AS african, CASE WHEN {_OK} AND work_id % 3 < 2 THEN 'hero' END AS lead FROM folded",
+    "analyses_with_graphs": _with(_SEGMENTS) + "SELECT event_id AS id, user_id AS graph_id, len(chunks) AS n_nodes FROM events LEFT JOIN folded ON work_id = user_id WHERE event_type IN ('click', 'view')",
+    "replace_messages": "SELECT conv_id, count(*) AS n, max(turn) AS last_turn FROM conversations WHERE conv_id % 2 <> 0 OR turn < 2 GROUP BY conv_id",
     "merge_dedup": _with(*TAG) + r""", rw AS (SELECT low.work_id, low.pos, t.code, list_distinct(regexp_extract_all(lo, '[\p{L}\p{N}_]{4,}')) AS ws FROM low LEFT JOIN tags t ON t.work_id = low.work_id AND t.pos = low.pos),
 o AS (SELECT work_id, pos // 2 AS chunk, pos, code, ws FROM rw UNION ALL SELECT work_id, pos // 2 + 1, pos, code, ws FROM rw WHERE pos % 2 = 1),
 per AS (SELECT work_id, list({'chunk': chunk, 'pos': pos, 'code': code, 'ws': ws, 'keep': true} ORDER BY chunk, pos) AS ns FROM o GROUP BY work_id),

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions.text import token_estimate
 from .lexicon import BENCH
-from .operators import compare, extract, ingest, repertoire, report, segment
+from .operators import compare, extract, history, ingest, repertoire, report, segment
 from .queries import Query, documents, nodes, pairs, profiles, table, works
-from .queries_logs import usage
+from .queries_logs import ACTIONS, analyses
 from .sources import files
 from .streaming import live
 
@@ -113,6 +113,31 @@ def chunk_overlap(spark, sf_dir):
     return c.select("doc_id", "chunk", "label", F.length("text").alias("n_chars"), "has_overlap_before")
 
 
+@query
+def paragraph_spans(spark, sf_dir):
+    return ingest.paragraph_spans(documents(spark, sf_dir), "doc_id", 3000).select("doc_id", "first", "end", F.md5("text").alias("text_md5"))
+
+
+@query
+def graph_metadata(spark, sf_dir):
+    p = ingest.parse_responses(responses(spark, sf_dir))
+    mode = F.when(F.col("status") == "ok", "llm").otherwise("error")
+    return p.select("work_id", mode.alias("mode"), ingest.is_african(F.col("parsed.tradition")).alias("african"), F.col("main_actants.protagoniste").alias("lead"))
+
+
+@query
+def analyses_with_graphs(spark, sf_dir):
+    graphs = segment.chunk_rows(works(spark, sf_dir), "work_id").groupBy(F.col("work_id").alias("graph_id")).agg(F.count("*").alias("n_nodes"))
+    return history.with_graphs(analyses(spark, sf_dir), graphs).select("id", "graph_id", "n_nodes")
+
+
+@query
+def replace_messages(spark, sf_dir):
+    old = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = history.replace_messages(old, old.where("conv_id % 2 = 0 and turn < 2"))
+    return out.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"))
+
+
 @query
 def greimas_alignment(spark, sf_dir):
     p = role_profiles(spark, sf_dir)
@@ -166,8 +191,6 @@ def html_text(spark, sf_dir):
 
 def _stream(spark, sf_dir):
     rows = live.stream_table(spark, sf_dir, "events")
-    from .queries_logs import ACTIONS
-
     names = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
     return rows.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", F.element_at(names, F.col("event_type")).alias("action"), (F.col("value") / 100).alias("score"))
 

@@ -182,3 +182,11 @@ def test_pruning_keeps_high_scores(spark):
     high = {(r.ref_id, r.cand_id) for r in queries.scores(spark, SF).where("sns > 0.55").select("ref_id", "cand_id").collect()}
     kept = {tuple(r) for r in queries.candidate_pairs(spark, SF).collect()}
     assert high <= kept
+
+
+def test_paragraph_spans(spark):
+    text = "  one\n\n two two \n \n\n" + "Abc def. " * 30 + "\n\n" + "x" * 500
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = sorted((r['first'], r['end'], r['text']) for r in ingest.paragraph_spans(docs, "doc_id", 100).select(F.col("first"), "end", "text").collect())
+    assert [g[2] for g in got[:2]] == ["one", "two two"] and all(text[a:b].strip() == t for a, b, t in got)
+    assert "".join(t.replace(" ", "") for *_, t in got) == "".join(text.split()) and all(b - a <= 120 for a, b, _ in got)
