@@ -80,4 +80,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sketch": op10_sketch,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Hashes that the independent engine lacks (XXH64, CRC-32), trained models and tokenizers keep the others to tests against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_tool_calls": r"""WITH RECURSIVE c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, greatest(turn - 2, 0) AS up, '{"text":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"turn":' || turn || ',"words":' || len(regexp_extract_all(coalesce(text, ''), '\S+')) || '}' AS args FROM conversations WHERE role IN ('user', 'system')),
+a AS (SELECT conv_id, turn - 1 AS turn, turn AS result_turn, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS content FROM conversations WHERE role = 'assistant'),
+d AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS level FROM c WHERE turn = 0 OR NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.up) UNION ALL SELECT c.conv_id, c.turn, d.level + 1 FROM c JOIN d ON d.conv_id = c.conv_id AND d.turn = c.up AND c.turn > 0)
+SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, 'turn-' || coalesce(c.turn, a.turn) AS call_id, name, level, c.turn AS call_turn, result_turn, CASE WHEN name IS NULL THEN 'orphan' WHEN result_turn IS NULL THEN 'open' ELSE 'answered' END AS status, name IS NOT NULL AS valid, sha256(args) AS arguments_sha256,
+sha256('{' || CASE WHEN args IS NULL THEN '' ELSE '"arguments":' || args || ',' END || '"id":"turn-' || coalesce(c.turn, a.turn) || '"' || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || content END || '}') AS record_sha256
+FROM c FULL JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn""",
+    "op9_winnowing": f"""WITH b AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark) WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i + 1:i + n], ' ') AS win FROM (SELECT item_id, ws, n, unnest(range(len(ws) - n + 1)) AS i FROM b)),
+k AS (SELECT DISTINCT n FROM b), d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents),
+dw AS (SELECT doc_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS win FROM (SELECT doc_id, ws, n, unnest(range(greatest(len(ws) - n + 1, 0))) AS i FROM d, k)),
+h AS (SELECT doc_id, item_id, dw.n AS n, i FROM dw JOIN bw ON bw.n = dw.n AND bw.win = dw.win),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+}
