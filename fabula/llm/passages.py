@@ -1,17 +1,20 @@
 """Near-duplicate passages by compact windows.
 
-Tokens of a text are its shingles of five words (lower case). For each of a few hash functions the Cartesian tree over
-the tokens' hashes groups all token spans of at least `SPAN` tokens by the position of their smallest hash: a compact
-window (l, c, r) stands for all spans [i, j] with l <= i <= c <= j <= r. Two texts that share a passage of `PASSAGE` words have, for every hash
-function, a window with the same smallest token; windows thus meet by that token together with the 25 words
-that start, or that end, at it (in a passage of 50 words and more one of the two always lies inside).
+Tokens of a text are its shingles of five words (lower case). The Cartesian tree over the tokens' hashes groups all token
+spans of at least `SPAN` tokens by the position of their smallest hash: a compact window (l, c, r) stands for all spans [i, j]
+with l <= i <= c <= j <= r. Two stretches of `PASSAGE` words with shingle-set Jaccard similarity 0.8 differ in 5 shingles each at
+most: one word replaced, inserted or deleted inside. They then share 25 equal words, so a whole span, and the window with its
+smallest token. Windows meet by that token together with the 15 words that start, or that end, at it: in 25 words one of the
+two always lies inside, wherever the token is. No such pair depends on chance.
 
 Meetings are made in two passes, so that only a small part of the windows is ever shuffled whole: the first counts, for each
-key, whether different texts hold it (key and text, combined before the shuffle) and ORs the repeated ones into a bitmap
-of fixed size; the second makes the windows again and keeps those in the bitmap, of each key the first and last in a text. Members of a key are linked to its first and
-its last text, never with each other: links grow with the windows. Repeats within a text are found in its own row, each place of a key against the next. A pair of texts that meets on one diagonal, by overlapping windows,
-in at least `ENOUGH` functions is verified on the words of both texts: every stretch of 50 words in which shingle sets have Jaccard
-similarity 0.8 or more word for word is marked in both.
+key, the different texts that hold it (combined before the shuffle) and ORs the repeated ones into a bitmap
+of fixed size; the second makes the windows again and keeps those in the bitmap, each place of a key with words of its own
+around it. Up to `GROUP` texts of a key all meet each other. In a larger group every run of 50 words around the key is a key of its own, whose
+holders meet its first text: they are equal there, so each is verified and marked; edited copies meet the group's first and last text only.
+Repeats within a text are found in its own row, each place of a key against all others with different words around.
+A pair of texts that meets is verified on the words of both: every two stretches of 50 words with shingle sets of Jaccard
+similarity 0.8 or more are marked, on the diagonal of the meeting and across to the ones beside it.
 
 Copies of one text are one text here (named by two 64-bit hashes) and inherit its marks.
 
@@ -23,6 +26,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,11 +35,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
-SPAN = PASSAGE - SHINGLE + 1
-CONTEXT = 25
-FUNCTIONS, ENOUGH = 2, 2
+TOKENS = PASSAGE - SHINGLE + 1
+SPAN, CONTEXT = 21, 15
+GROUP = 32
 BITMAP_BITS = 26
-_SPAN = "t long, u long, first int, last int, u_first int, u_last int"
+_SPAN = "t long, u long, first int, last int"
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -75,54 +79,67 @@ def compact_windows(order, least: int) -> list[tuple[int, int, int]]:
 
 
 def keyed_windows(h) -> list:
-    """Arrays (key, f, l, c, r) of a text's windows, two keys for each where the context exists."""
+    """Arrays (key, c) of a text's windows, two keys for each where the context exists."""
     import numpy as np
 
     tokens = _runs(h, SHINGLE, 1)
-    if len(tokens) < SPAN:
-        return [np.zeros(0, np.int64)] * 5
-    ahead = np.full(max(0, len(h) - CONTEXT + 1), 2, np.uint64)
+    if len(tokens) < TOKENS:
+        return [np.zeros(0, np.int64)] * 2
+    ahead = np.full(len(h) - CONTEXT + 1, 2, np.uint64)
     for i in range(0, CONTEXT, SHINGLE):
         ahead = (ahead ^ tokens[i : i + len(ahead)]) * np.uint64(_MIX[2])
         ahead ^= ahead >> np.uint64(29)
-    keys, rows = [], []
-    for f in range(FUNCTIONS):
-        order = (tokens ^ np.uint64(_MIX[f + 1])) * np.uint64(_MIX[0])
-        order = (order ^ (order >> np.uint64(32))) * np.uint64(_MIX[3])
-        w = np.array(compact_windows(order ^ (order >> np.uint64(31)), SPAN), np.int64).reshape(-1, 3)
-        c = w[:, 1]
-        for side, at in ((1, c), (2, c + SHINGLE - CONTEXT)):
-            ok = (at >= 0) & (at < len(ahead))
-            keys.append((ahead[at[ok]] + np.uint64(2 * f + side)) * np.uint64(_MIX[2]))
-            rows.append(np.column_stack([np.full(ok.sum(), f), w[ok]]))
-    rows = np.concatenate(rows)
-    return [np.concatenate(keys).view(np.int64), *rows.T]
-
-
-def outer_places(key, c):
-    """Rows that hold each key's first and last place in a text, and for repeated keys (row, next row) of following places."""
+    order = (tokens ^ np.uint64(_MIX[1])) * np.uint64(_MIX[0])
+    order = (order ^ (order >> np.uint64(32))) * np.uint64(_MIX[3])
+    c = np.array(compact_windows(order ^ (order >> np.uint64(31)), SPAN), np.int64).reshape(-1, 3)[:, 1]
+    keys, places = [], []
+    for side, at in ((1, c), (2, c + SHINGLE - CONTEXT)):
+        ok = (at >= 0) & (at < len(ahead))
+        keys.append((ahead[at[ok]] + np.uint64(side)) * np.uint64(_MIX[2]))
+        places.append(c[ok])
+    return [np.concatenate(keys).view(np.int64), np.concatenate(places)]
+
+
+def places_of(h, key, c):
+    """(rows, pairs): of each key the first place with the same words around (all that a passage with the key can reach), and pairs of places
+    to compare within the text: following ones with the same words around, and all of those rows of a key."""
     import numpy as np
+    import xxhash
 
     o = np.lexsort((c, key))
-    same = key[o][1:] == key[o][:-1]
-    edge = np.concatenate([[True], ~same]) | np.concatenate([~same, [True]]) if len(o) else np.zeros(0, bool)
-    again = same & (c[o][1:] > c[o][:-1])
-    return o[edge], o[:-1][again], o[1:][again]
-
-
-def own_repeats(h, rows) -> list[tuple[int, int, int, int]]:
-    """Similar passages within one text, from following places of its keys: (first, last, other first, other last)."""
-    import numpy as np
-
-    key, f, _, c, _ = rows
-    _, one, two = outer_places(key, c)
-    out = []
-    shift = c[two] - c[one]
-    for d in np.unique(shift):
-        at = one[shift == d]
-        if len(np.unique(f[at])) >= ENOUGH:
-            out += [(x, y - 1, x + int(d), y - 1 + int(d)) for x, y in marked(h, h, int(d), c[at].tolist())]
-    return out
+    edges = [*np.flatnonzero(np.diff(key[o], prepend=key[o][:1] + 1)).tolist(), len(o)]
+    rows, pairs = [], []
+    for x, y in pairwise(edges):
+        if y - x == 1:
+            rows.append(o[x])
+            continue
+        last: dict = {}
+        own = []
+        for i in o[x:y]:
+            at = int(c[i])
+            low = max(0, at - PASSAGE)
+            around = (at - low, xxhash.xxh64_intdigest(h[low : at + PASSAGE + CONTEXT].tobytes()))
+            if around in last:
+                pairs.append((last[around], at))
+            else:
+                pairs += [(int(c[j]), at) for j in own]
+                own.append(i)
+            last[around] = at
+        rows += own
+    return np.array(rows, np.int64), pairs
+
+
+def own_repeats(h, key, c) -> list[tuple[int, int]]:
+    """Stretches (first, last) of similar passages within one text, of all pairs of places of its keys."""
+    shifts: dict[int, list[int]] = {}
+    for x, y in places_of(h, key, c)[1]:
+        if x != y:
+            shifts.setdefault(y - x, []).append(x)
+    tokens, found = _runs(h, SHINGLE, 1), []
+    for d, at in shifts.items():
+        one, two = similar_starts(tokens, tokens, d, min(at), max(at), own=True)
+        found += [one, two]
+    return stretches(found)
 
 
 def _own_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,27 +147,40 @@ def _own_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for t, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
             h = word_hashes(text.as_py())
-            rows += [(t, t, *x) for x in own_repeats(h, keyed_windows(h))]
+            rows += [(t, t, *x) for x in own_repeats(h, *keyed_windows(h))]
         yield _spans(rows)
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], _SPAN.replace(" long", "").replace(" int", "").split(", "))
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)], ["t", "u", "first", "last"])
+
+
+def _in_chunks(rows: Iterator[list], names: list[str], least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Lists of arrays, one list for each text, as batches of `least` rows and more."""
+    import numpy as np
+
+    kept, n = [], 0
+    for arrays in rows:
+        kept.append(arrays)
+        n += len(arrays[0])
+        if n >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names)
+            kept, n = [], 0
+    if kept:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names)
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    for batch in batches:
-        keys, places = [], []
-        for t, text in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1).cast(pa.binary()), strict=True):
-            keys.append(np.unique(keyed_windows(word_hashes(text.as_py()))[0]))
-            places.append(np.full(len(keys[-1]), (t * np.uint64(_MIX[0])) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        if keys:
-            k, p = np.concatenate(keys), np.concatenate(places)
-            for i in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(p[i : i + (1 << 16)])], ["key", "place"])
+    def rows():
+        for batch in batches:
+            for t, text in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1).cast(pa.binary()), strict=True):
+                keys = np.unique(keyed_windows(word_hashes(text.as_py()))[0])
+                yield [keys, np.full(len(keys), (t * np.uint64(_MIX[0])) >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+
+    return _in_chunks(rows(), ["key", "place"])
 
 
 def _in_bitmap(bitmap: bytes, key):
@@ -172,21 +202,29 @@ def _chosen(bitmap: bytes, inside: bool) -> Callable:
     return run
 
 
-def _second_pass(bitmap: bytes) -> Callable:
+def _second_pass(bitmap: bytes, large: bytes) -> Callable:
+    """Rows (key, t, c, nth) of repeated keys, nth counting a text's places of one key; runs of 50 words around keys of large groups have nth -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            out = []
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                key, *rest = keyed_windows(word_hashes(text.as_py()))
-                at = outer_places(key, rest[2])[0]
-                at = at[_in_bitmap(bitmap, key[at])]
-                out.append([key[at], np.full(len(at), t, np.int64), *[x[at].astype(np.int32) for x in rest]])
-            if out:
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                for i in range(0, len(columns[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], ["key", "t", "f", "l", "c", "r"])
+        def rows():
+            for batch in batches:
+                for t, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                    h = word_hashes(text.as_py())
+                    key, c = keyed_windows(h)
+                    at = np.flatnonzero(_in_bitmap(bitmap, key))
+                    at = at[places_of(h, key[at], c[at])[0]] if len(at) else at
+                    k, p = key[at], c[at]
+                    nth = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)].astype(np.int32) ^ 1  # rows of a key follow each other
+                    near = np.unique((p[_in_bitmap(large, k)][:, None] + np.arange(SHINGLE - PASSAGE, 1)).ravel())
+                    near = near[(near >= 0) & (near <= len(h) - PASSAGE)]
+                    if len(near):
+                        whole, first = np.unique(_runs(h, PASSAGE, 5)[near].view(np.int64), return_index=True)
+                        k, p, nth = np.concatenate([k, whole]), np.concatenate([p, near[first]]), np.concatenate([nth, np.full(len(whole), -1, np.int32)])
+                    yield [k, np.full(len(k), t, np.int64), p.astype(np.int32), nth.astype(np.int32)]
+
+        return _in_chunks(rows(), ["key", "t", "c", "nth"])
 
     return run
 
@@ -203,60 +241,75 @@ def _bitmap(repeated: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def similar_starts(a, b, shift: int, lo: int, hi: int):
-    """Positions in a, within words [lo, hi), at which PASSAGE words are similar to those of b at position + shift."""
-    import numpy as np
-
-    lo, hi = max(lo, 0, -shift), min(hi, len(a), len(b) - shift)
-    if hi - lo < PASSAGE:
-        return np.zeros(0, np.int64)
-    same = np.concatenate([[0], np.cumsum(a[lo:hi] == b[lo + shift : hi + shift])])
-    shared = (same[SHINGLE:] - same[:-SHINGLE] == SHINGLE).astype(np.int64)
-    run = np.concatenate([[0], np.cumsum(shared)])
-    count = run[SPAN:] - run[:-SPAN]
-    return lo + np.flatnonzero(count >= (2 * SPAN - count) * SIMILARITY)
-
+def similar_starts(a, b, shift: int, low: int, high: int, own: bool = False):
+    """(starts in a, starts in b) of similar stretches of PASSAGE words near places low to high of token arrays a and b.
 
-def marked(a, b, shift: int, places: list[int]) -> list[tuple[int, int]]:
-    """Stretches [first, end) of a that lie in similar passages on one diagonal, grown from the places where tokens met."""
+    A stretch begins at i in a and at i + shift or one beside it in b; its shared tokens lie on diagonal `shift`, or on it and one beside
+    it (a word inserted or deleted in between). own: a is b, and the diagonal of each word with itself is left out.
+    """
     import numpy as np
 
-    out: list[tuple[int, int]] = []
-    for c in sorted(places):
-        if out and c + SHINGLE <= out[-1][1]:
+    lo, hi = max(0, low - 2 * PASSAGE), min(len(a), high + 2 * PASSAGE)
+    if hi - lo < TOKENS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def equal(d: int):
+        out = np.zeros(hi - lo, bool)
+        x, y = max(lo, -d), min(hi, len(b) - d)
+        if y > x:
+            out[x - lo : y - lo] = a[x:y] == b[x + d : y + d]
+        return out
+
+    def count(mask):
+        n = np.concatenate([[0], np.cumsum(mask)])
+        return n[TOKENS:] - n[:-TOKENS]
+
+    starts = np.arange(lo, hi - TOKENS + 1)
+    one, two = [], []
+
+    def keep(n, d: int) -> None:
+        at = starts[(n >= (2 * TOKENS - n) * SIMILARITY) & (starts + d >= 0) & (starts + d + TOKENS <= len(b))]
+        one.append(at)
+        two.append(at + d)
+
+    here = equal(shift)
+    keep(count(here), shift)
+    for e in (-1, 1):
+        if own and shift + e == 0:
             continue
-        reach = 2 * PASSAGE
-        while True:
-            starts = similar_starts(a, b, shift, c - reach, c + reach)
-            mask = np.zeros(2 * reach + PASSAGE + 1, np.int64)
-            np.add.at(mask, starts - (c - reach), 1)
-            np.add.at(mask, starts - (c - reach) + PASSAGE, -1)
-            near = [(x + c - reach, y + c - reach) for x, y in _stretches(np.cumsum(mask) > 0) if x + c - reach < c + SHINGLE and y + c - reach > c]
-            edge = near and (near[0][0] <= c - reach + PASSAGE or near[-1][1] >= c + reach - PASSAGE)
-            if not edge or (c - reach <= max(0, -shift) and c + reach >= min(len(a), len(b) - shift)):
-                break
-            reach *= 2
-        out += near
-    return out
+        beside = equal(shift + e)
+        if not (beside & ~here).any():
+            continue
+        both = count(here | beside)
+        head, tail = slice(0, len(starts)), slice(TOKENS - 1, None)
+        keep(both - (beside & ~here)[tail if e > 0 else head], shift)  # b's stretch ends, or begins, before this token's partner
+        keep(both - (here & ~beside)[head if e > 0 else tail], shift + e)
+    return np.concatenate(one), np.concatenate(two)
 
 
-def _stretches(mask) -> list[tuple[int, int]]:
+def stretches(starts: list) -> list[tuple[int, int]]:
+    """(first, last) of the union of passages that begin at these places."""
     import numpy as np
 
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return [(int(x), int(y)) for x, y in zip(edge[::2], edge[1::2], strict=True)]
+    at = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
+    if not len(at):
+        return []
+    gap = np.flatnonzero(np.diff(at) > PASSAGE)
+    return [(int(x), int(y) + PASSAGE - 1) for x, y in zip(at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])], strict=True)]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         kept: tuple = (None, None)
-        for t, u, shifts, text, other in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            b = kept[1] if kept[0] == u else word_hashes(other.encode())
-            kept, a = (u, b), word_hashes(text.encode())
-            for met in shifts:
-                shift = met["shift"]
-                rows += [(t, u, x, y - 1, x + shift, y - 1 + shift) for x, y in marked(a, b, shift, met["places"])]
+        columns = [batch.column(i) for i in range(5)]
+        for k in range(batch.num_rows):
+            t, u, shifts, text, other = (x[k].as_py() for x in columns)
+            b = kept[1] if kept[0] == u else _runs(word_hashes(other.encode()), SHINGLE, 1)
+            kept, a = (u, b), _runs(word_hashes(text.encode()), SHINGLE, 1)
+            found = [similar_starts(a, b, m["shift"], m["low"], m["high"]) for m in shifts]
+            rows += [(t, u, *x) for x in stretches([f[0] for f in found])]
+            rows += [(u, t, *x) for x in stretches([f[1] for f in found])]
         yield _spans(rows)
 
 
@@ -274,23 +327,25 @@ def distinct_texts(named: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(source: DataFrame) -> DataFrame:
-    """(t, u, shifts): pairs of texts(t, text), and for each diagonal on which enough hash functions agree the places in t."""
-    seen = source.mapInArrow(_first_pass, "key long, place int").groupBy("key").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("key")
-    bitmap = _bitmap(seen)
-    windows = materialize(source.mapInArrow(_second_pass(bitmap), "key long, t long, f int, l int, c int, r int"), "passage-windows")
-    hubs = windows.groupBy("key").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t")).where("min_t <> max_t")
-    hubs = windows.select("key", "t", "c").join(hubs, "key").where("t = min_t or t = max_t").select("key", F.col("t").alias("u"), F.col("c").alias("u_c")).distinct()
-    met = windows.join(hubs, "key").where("t <> u").withColumn("shift", F.col("u_c") - F.col("c"))
+    """(t, u, shifts): pairs of texts(t, text), and for each diagonal on which keys meet the first and last place in t."""
+    seen = source.mapInArrow(_first_pass, "key long, place int").groupBy("key").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.count("*").alias("n")).where("x <> y")
+    seen = materialize(seen.select("key", (F.col("n") > GROUP).alias("large")), "passage-keys")
+    windows = source.mapInArrow(_second_pass(_bitmap(seen), _bitmap(seen.where("large"))), "key long, t long, c int, nth int")
+    windows = materialize(windows, "passage-windows")
+    keyed, whole = windows.where("nth >= 0"), windows.where("nth < 0")
+    sizes = keyed.groupBy("key").agg(F.count_if(F.col("nth") == 0).alias("n"), F.min("t").alias("min_t"), F.max("t").alias("max_t")).where("min_t <> max_t")
+    other = lambda df: df.select("key", F.col("t").alias("u"), F.col("c").alias("u_c"))
+    few = keyed.join(sizes.where(F.col("n") <= GROUP).select("key"), "key")
+    met = few.join(other(few), "key").where("t < u")
+    hubs = keyed.join(sizes.where(F.col("n") > GROUP), "key").where("t = min_t or t = max_t")
+    met = met.union(keyed.join(other(hubs), "key").where("t <> u").select(*met.columns))
+    first = whole.groupBy("key").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.min_by("c", "t").alias("u_c")).where("min_t <> max_t")
+    met = met.union(whole.join(first, "key").where("t <> min_t").select("key", "t", "c", "nth", F.col("min_t").alias("u"), "u_c"))
     # One direction for each pair: positions are those in the text of the smaller name.
     ahead = F.col("t") < F.col("u")
-    move = F.when(ahead, F.lit(0)).otherwise(F.col("shift"))
-    turned = met.select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), F.when(ahead, F.col("shift")).otherwise(-F.col("shift")).alias("shift"), "f", (F.col("l") + move).alias("l"), (F.col("c") + move).alias("c"), (F.col("r") + move).alias("r"))
-    # Interval join of the functions' windows on one diagonal: a run of overlapping windows counts if it has enough functions.
-    lane = Window.partitionBy("t", "u", "shift").orderBy("l", "r", "c")
-    reach = F.max("r").over(lane.rowsBetween(Window.unboundedPreceding, -1))
-    runs = turned.withColumn("new", F.coalesce((F.col("l") + SPAN - 1 > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(lane.rowsBetween(Window.unboundedPreceding, 0)))
-    enough = runs.groupBy("t", "u", "shift", "run").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("f"))).alias("fs"), F.collect_set("c").alias("places")).where(F.bit_count("fs") >= ENOUGH)
-    return enough.groupBy("t", "u").agg(F.collect_list(F.struct("shift", "places")).alias("shifts"))
+    turned = met.select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), F.when(ahead, F.col("u_c") - F.col("c")).otherwise(F.col("c") - F.col("u_c")).alias("shift"), F.when(ahead, F.col("c")).otherwise(F.col("u_c")).alias("c"))
+    lanes = turned.groupBy("t", "u", "shift").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    return lanes.groupBy("t", "u").agg(F.collect_list(F.struct("shift", "low", "high")).alias("shifts"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -307,14 +362,13 @@ def passages(docs: DataFrame) -> DataFrame:
     both = pairs.join(bodies, "t").join(bodies.select(F.col("t").alias("u"), F.col("text").alias("other")), "u")
     met = both.select("t", "u", "shifts", "text", "other").mapInArrow(_verify, _SPAN)
     spans = materialize(met.union(source.mapInArrow(_own_batches, _SPAN)), "passage-spans")
-    each = spans.select("t", "u", "first", "last").union(spans.select("u", "t", "u_first", "u_last"))
     before = Window.partitionBy("t").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    lone = each.select("t", "first", "last").distinct().withColumn("new", F.coalesce((F.col("first") > F.max("last").over(before) + 1).cast("int"), F.lit(1)))
+    lone = spans.select("t", "first", "last").distinct().withColumn("new", F.coalesce((F.col("first") > F.max("last").over(before) + 1).cast("int"), F.lit(1)))
     lone = lone.withColumn("run", F.sum("new").over(Window.partitionBy("t").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
     joined = lone.groupBy("t", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     joined = joined.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    links = each.where("t <> u").groupBy("t").agg(F.count_distinct("u").alias("links"))
-    parts = connected_components(spans.where("t <> u").select(F.col("t").alias("a"), F.col("u").alias("b")))
+    links = spans.where("t <> u").groupBy("t").agg(F.count_distinct("u").alias("links"))
+    parts = connected_components(spans.where("t < u").select(F.col("t").alias("a"), F.col("u").alias("b")))
     per = kinds.join(joined, "t", "left").join(links, "t", "left").join(parts.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     named_classes = per.groupBy("root").agg(F.min("first_id").alias("class_id"))
     whole = F.when((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE), F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"))))

@@ -315,3 +315,20 @@ def test_secret_candidates(spark):
     rows = spark.createDataFrame([(1, f"{'a' * 16} x {'b1' * 9}{chr(233)}{'c' * 15} k={'d' * 20}"), (2, "")], "doc_id long, text string")
     got = [(r.ordinal, r.candidate, r.before[-3:], r.after[:1]) for r in secrets.candidates(rows).orderBy("ordinal").collect()]
     assert [g[1] for g in got] == ["a" * 16, "b1" * 9, "k=" + "d" * 20] and got[1][2:] == (" x ", "é")
+
+
+def _passage_marks(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r for r in passages.passages(d).collect()}
+
+
+def test_passages_with_one_edit_are_all_found(spark):
+    rng = random.Random(21)
+    texts = []
+    for n in (50, 52, 55, 60, 70):
+        for k in range(12):
+            body = words(rng, n).split()
+            at = n // 2 if n == 50 else rng.randrange(5, n - 5)
+            texts += [f"{words(rng, 40)} {' '.join(b)} {words(rng, 40)}" for b in (body, body[:at] + [f"edit{k}"] + body[at + 1 :])]
+    got = _passage_marks(spark, texts)
+    assert all(got[k].n_links == 1 and got[k].class_id == k - k % 2 and got[k].n_marked >= 50 for k in got)
