@@ -332,3 +332,15 @@ def test_passages_with_one_edit_are_all_found(spark):
             texts += [f"{words(rng, 40)} {' '.join(b)} {words(rng, 40)}" for b in (body, body[:at] + [f"edit{k}"] + body[at + 1 :])]
     got = _passage_marks(spark, texts)
     assert all(got[k].n_links == 1 and got[k].class_id == k - k % 2 and got[k].n_marked >= 50 for k in got)
+
+
+def test_passages_with_a_word_inserted_or_deleted(spark):
+    rng = random.Random(22)
+    texts = []
+    for n in (51, 55, 60):
+        for k in range(6):
+            body = words(rng, n).split()
+            other = body[: n // 2] + (["insert"] if k % 2 else []) + body[n // 2 + (1 - k % 2) :]
+            texts += [f"{words(rng, 40)} {' '.join(b)} {words(rng, 40)}" for b in (body, other)]
+    got = _passage_marks(spark, texts)
+    assert all(got[k].n_links == 1 and got[k].n_marked >= 49 for k in got)
