@@ -344,3 +344,14 @@ def test_passages_with_a_word_inserted_or_deleted(spark):
             texts += [f"{words(rng, 40)} {' '.join(b)} {words(rng, 40)}" for b in (body, other)]
     got = _passage_marks(spark, texts)
     assert all(got[k].n_links == 1 and got[k].n_marked >= 49 for k in got)
+
+
+def test_passage_repeated_around_a_part_of_it(spark):
+    rng = random.Random(23)
+    for part in (range(0, 45), range(10, 50), range(15, 60), range(12, 40)):
+        body = words(rng, 60).split()
+        cut = " ".join(body[i] for i in part)
+        texts = [" ".join([words(rng, 30), " ".join(body), words(rng, 60), cut, words(rng, 60), " ".join(body), words(rng, 30)])]
+        got = _passage_marks(spark, texts)[0]
+        marks = {x for s in got.spans for x in range(s["first"], s["last"] + 1)}
+        assert set(range(30, 90)) <= marks and set(range(150 + len(part) + 60, 210 + len(part) + 60)) <= marks
