@@ -355,3 +355,12 @@ def test_passage_repeated_around_a_part_of_it(spark):
         got = _passage_marks(spark, texts)[0]
         marks = {x for s in got.spans for x in range(s["first"], s["last"] + 1)}
         assert set(range(30, 90)) <= marks and set(range(150 + len(part) + 60, 210 + len(part) + 60)) <= marks
+
+
+def test_passage_of_texts_whose_key_is_held_by_shortened_copies(spark):
+    rng = random.Random(24)
+    body = words(rng, 60).split()
+    full = [f"{words(rng, 30)} {' '.join(body)} {words(rng, 30)}" for _ in range(40)]
+    short = [f"{words(rng, 30)} {' '.join(body[k % 20 : k % 20 + 40])} {words(rng, 30)}" for k in range(60)]
+    got = _passage_marks(spark, full + short)
+    assert all(set(range(30, 90)) <= {x for s in got[k].spans for x in range(s["first"], s["last"] + 1)} and got[k].class_id == 0 for k in range(40))
