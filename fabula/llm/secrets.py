@@ -1,13 +1,15 @@
 """Secret scan: a random forest takes false positives out of candidate strings, in DataFrame functions and spark.ml only.
 
-Every run of 16 or more characters of [A-Za-z0-9+/_=-] in a whole text is a candidate. Its features are length,
+Every run of 16 or more characters of [A-Za-z0-9+/_=-] in a whole text is a candidate, and every one of 4 or more right behind a credential
+word with an assignment sign or behind an authorization scheme. A run with assignment signs inside (KEY=value) is cut at them: its parts are candidates
+by the same rule, numbered within the run, and what stands before a part belongs to its neighbourhood. Features are length,
 shares of digits and capitals, transitions between character classes, distinct characters, coverage by the corpus's own dictionary, whether it
 looks like a path, and its neighbours: the word before, assignment signs and quotes. A forest is trained on labelled
 findings, at most `fit_rows` of either label in the order of a seeded hash, and scores every candidate.
 
 The query labels its findings from the table itself: behind a credential word and an assignment sign a candidate that holds
-digits and letters is a secret; a candidate of letters alone, or one without assignment sign before it, is none; the others stay
-unlabelled.
+digits and letters is a secret; a candidate without digits, or one of digits alone without assignment sign before it, is none; the others, such as bare
+mixed strings, stay unlabelled.
 
 Defined results: null and empty texts have no candidates; repeated rows have rows each; if the findings carry one label or none, no forest can be
 fitted and the score is the label's rule (1 or 0, unlabelled 0); an empty table gives an empty result; other columns are ignored.
@@ -26,7 +28,13 @@ from .common import materialize, word_array
 FIT_ROWS = 5_000
 DICTIONARY = 300
 CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
-CREDENTIAL = r"(?i)(?:token|secret|password|passwd|pwd|credential|api[_-]?key|access[_-]?key|auth|key)"
+SHORT = r"[A-Za-z0-9+/_=\-]{4,}"
+CREDENTIAL = r"(?i:token|secret|password|passwd|pwd|credential|api[_-]?key|access[_-]?key|auth|key)"
+#: Ends of what stands before a value: an assignment sign behind a credential word, an authorization scheme.
+NAMED = CREDENTIAL + r"[\"']?\s{0,4}[=:]\s{0,4}[\"']?"
+SCHEME = r"(?i:bearer|authorization[\"']?\s{0,4}[=:]\s{0,4}[\"']?[a-z]{1,12})\s{1,4}[\"']?"
+#: Cut points of a run: assignment signs with a value after them (not the padding at its end).
+CUT = r"=+(?=[^=])"
 FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "covered", "path", "assigned", "credential", "quoted", "before_length"]
 
 
@@ -40,7 +48,7 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, ordinal, candidate, before, after): all candidates with 40 characters before and 8 after them."""
     text = F.translate(F.coalesce("text", F.lit("")), "\x01\x02", "  ")
-    parts = F.split(F.regexp_replace(text, f"({CANDIDATE})", "\x01$1\x02"), "\x01")
+    parts = F.split(F.regexp_replace(text, f"({CANDIDATE}|(?<=[=:\\s\"'])(?<={NAMED}|{SCHEME}){SHORT})", "\x01$1\x02"), "\x01")
     found = F.transform(
         F.array(parts),
         lambda p: F.transform(
@@ -51,6 +59,24 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.element_at(found, 1)).alias("c")).select("doc_id", "c.*").withColumn("before", F.regexp_replace("before", "\x02", ""))
 
 
+def split_runs(found: DataFrame) -> DataFrame:
+    """Candidates cut at assignment signs: the same columns, and part (1 for an uncut one)."""
+    pieces = F.split(F.regexp_replace("candidate", CUT, "=\x01"), "\x01")
+    last = F.size("pieces")
+    parts = F.transform(
+        "pieces",
+        lambda x, i: F.struct(
+            (i + 1).cast("int").alias("part"),
+            F.when(i + 1 < last, F.regexp_replace(x, "=$", "")).otherwise(x).alias("candidate"),
+            F.right(F.concat("before", F.array_join(F.slice("pieces", 1, i), "")), F.lit(40)).alias("before"),
+            F.when(i + 1 < last, F.lit("=")).otherwise(F.col("after")).alias("after"),
+        ),
+    )
+    each = found.withColumn("pieces", pieces).select("doc_id", "ordinal", F.explode(parts).alias("p")).select("doc_id", "ordinal", "p.*")
+    named = F.col("before").rlike(f"(?:{NAMED}|{SCHEME})$")
+    return each.where((F.length("candidate") >= 16) | ((F.length("candidate") >= 4) & named))
+
+
 def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     c, n = F.col("candidate"), F.length("candidate")
     known = "|".join(sorted((w for w in words if w.isalpha()), key=lambda w: (-len(w), w)))
@@ -64,8 +90,8 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         (F.size(F.array_distinct(F.split(c, ""))) / n).alias("distinct"),
         ((n - (F.length(F.regexp_replace(letters, known, "")) if known else F.length(letters)) - (n - F.length(letters))) / n).alias("covered"),
         (c.contains("/") | F.col("before").rlike(r"[/\\.]$")).cast("double").alias("path"),
-        F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"),
-        F.col("before").rlike(CREDENTIAL + r"[\"']?\s*[=:]\s*[\"']?$").cast("double").alias("credential"),
+        F.col("before").rlike(f"(?:[=:]\\s*[\"']?|{SCHEME})$").cast("double").alias("assigned"),
+        F.col("before").rlike(f"(?:{CREDENTIAL}[\"']?\\s*[=:]\\s*[\"']?|{SCHEME})$").cast("double").alias("credential"),
         (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double").alias("quoted"),
         F.length(F.regexp_extract("before", r"(\S*)\s*$", 1)).cast("double").alias("before_length"),
     )
@@ -74,12 +100,12 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
 def rule_label(df: DataFrame) -> DataFrame:
     """df with label 1.0, 0.0 or null."""
     mixed = (F.col("digits") > 0) & (F.col("digits") < 1)
-    return df.withColumn("label", F.when((F.col("credential") == 1) & mixed, 1.0).when((F.col("digits") == 0) | (F.col("assigned") == 0), 0.0))
+    return df.withColumn("label", F.when((F.col("credential") == 1) & mixed, 1.0).when((F.col("digits") == 0) | ((F.col("assigned") == 0) & ~mixed), 0.0))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int = FIT_ROWS, seed: int = 42) -> DataFrame:
     """Candidates with features, score and is_secret. labelled: findings with FEATURES and label; None: labelled by rule."""
-    found = materialize(rule_label(with_features(candidates(docs), dictionary(docs))), "secret-candidates")
+    found = materialize(rule_label(with_features(split_runs(candidates(docs)), dictionary(docs))), "secret-candidates")
     known = labelled if labelled is not None else found
     pick = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64(F.lit(seed), *FEATURES)).limit(fit_rows).select(*FEATURES, "label")
     sample = materialize(pick(1.0).union(pick(0.0)), "secret-fit")

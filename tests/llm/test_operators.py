@@ -364,3 +364,16 @@ def test_passage_of_texts_whose_key_is_held_by_shortened_copies(spark):
     short = [f"{words(rng, 30)} {' '.join(body[k % 20 : k % 20 + 40])} {words(rng, 30)}" for k in range(60)]
     got = _passage_marks(spark, full + short)
     assert all(set(range(30, 90)) <= {x for s in got[k].spans for x in range(s["first"], s["last"] + 1)} and got[k].class_id == 0 for k in range(40))
+
+
+def test_secrets_in_common_forms(spark):
+    rng = random.Random(31)
+    mixed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    forms = ["API_KEY={}", "https://host.example/p?token={}&x=1", "Authorization: Bearer {}", "password: {}", "PWD={}", "export ACCESS_KEY={} then"]
+    want = [(k, mixed(7 if k % 6 in (3, 4) else 32)) for k in range(60)]
+    plain = [(100 + k, f"a plain {''.join(rng.choice('aeiourst') for _ in range(22))} word and {rng.randint(10**16, 10**17)} here {mixed(24)}") for k in range(60)]
+    rows = [(k, "so " + forms[k % 6].format(v)) for k, v in want] + plain
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.candidate) for r in got if r.doc_id < 100 and r.is_secret} == set(want)
+    assert all(r.label == 1 for r in got if r.doc_id < 100)
+    assert {r.label for r in got if r.doc_id >= 100 and len(r.candidate) == 24} == {None}
