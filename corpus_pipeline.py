@@ -23,15 +23,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each near-duplicate group that names it: its smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each near-duplicate group: of its smallest doc_id (null last), of repeated ones that of the smallest text hash, then row hash; of equal rows one."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"), F.xxhash64(*docs.columns).alias("_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), "_text", "_row")
+    groups = simhash.components(rows)
+    kept = groups.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    kept = materialize(kept.select("best._id", "best._row", (F.col("n") > 1).alias("several")), "pipeline-kept")
+    pick = lambda k: docs.join(k, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(*docs.columns) == F.col("_row")), "left_semi")
+    # Only groups of several rows can hold equal rows.
+    return pick(kept.where("not several")).union(pick(kept.where("several")).dropDuplicates())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
-    hit = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(materialize(hit, "pipeline-hit"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that share no window with the benchmark, each decided by its own id and text."""
+    spans = decontam.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))[1]
+    hit = materialize(spans.select(F.col("id").alias("_id"), "rid").distinct(), "pipeline-hit")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")) & (decontam.row_id(docs["doc_id"], docs["text"]) == F.col("rid")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

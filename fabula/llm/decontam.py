@@ -93,8 +93,13 @@ def _gram_batches(needs: list[int] | None, bitmap: bytes | None) -> Callable:
     return run
 
 
+def row_id(doc_id, text):
+    """Names a row by id and text."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
 def _grams(rows: DataFrame, key: str, needs: list[int] | None, bitmap: bytes | None) -> DataFrame:
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long"), "text").alias("rid"), "text")
+    rows = rows.select(F.col(key).cast("long").alias("id"), row_id(F.col(key), F.col("text")).alias("rid"), "text")
     return rows.mapInArrow(_gram_batches(needs, bitmap), f"id long, rid long, n_words long, found {_FOUND}")
 
 

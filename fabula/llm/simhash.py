@@ -88,6 +88,22 @@ def links(prints: DataFrame) -> DataFrame:
     return balls.select(F.col("met")[0].alias("a"), F.explode(F.slice("met", 2, 64)).alias("b")).distinct()
 
 
+def components(rows: DataFrame) -> DataFrame:
+    """rows without text, and component: a fingerprint that names each row's near-duplicate group."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+            prints = pa.array((text_fingerprint(t.as_py() or b"") for t in texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), prints], [*names, "fp"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    prints = materialize(rows.mapInArrow(run, f"{kinds}, fp long"), "simhash")
+    parts = connected_components(links(prints.select("fp").distinct()))
+    return prints.join(parts, prints.fp == parts.node, "left").select(*names, F.coalesce("root", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable over links)."""
     prints = materialize(fingerprints(docs), "simhash")

@@ -31,3 +31,16 @@ def test_pipeline_does_what_its_stages_say(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     want = sorted((d, zlib.crc32(np.array(t.encode(texts[d], add_special_tokens=False).ids + [0], "<u4").tobytes())) for d in mixed)
     assert sorted((r.doc_id, r.ids_crc32) for r in out) == want
+
+
+def test_stages_decide_on_each_row(spark, tmp_path):
+    text = lambda a: " ".join(f"{a}word{i}" for i in range(40))
+    item, copy = text("item"), text("copy")
+    rows = [(1, text("a")), (1, item), (None, text("b")), (None, item), (None, copy), (None, copy), (7, copy), (7, copy), (8, text("c")), (8, text("d")), (None, text("e")), (None, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    alone = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    got = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert got(alone) == sorted([(1, text("a")), (1, item), (None, text("b")), (7, copy), (8, text("c")), (8, text("d")), (None, text("e"))], key=repr)
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert got(clean) == sorted((r for r in rows if r[1] != item), key=repr)
