@@ -1,159 +1,216 @@
 """Near-duplicate passages by compact windows.
 
-Tokens of a text are its shingles of five words (lower case). The Cartesian tree over the tokens' hashes groups all token
-spans of at least `SPAN` tokens by the position of their smallest hash: a compact window (l, c, r) stands for all spans [i, j]
-with l <= i <= c <= j <= r. Two stretches of `PASSAGE` words with shingle-set Jaccard similarity 0.8 differ in 5 shingles each at
-most: one word replaced, inserted or deleted inside. They then share 25 equal words, so a whole span, and the window with its
-smallest token. Windows meet by that token together with the 15 words that start, or that end, at it: in 25 words one of the
-two always lies inside, wherever the token is. No such pair depends on chance.
-
-Meetings are made in two passes, so that only a small part of the windows is ever shuffled whole: the first counts, for each
-key, the different texts that hold it (combined before the shuffle) and ORs the repeated ones into a bitmap
-of fixed size; the second makes the windows again and keeps those in the bitmap, each place of a key with words of its own
-around it. Up to `GROUP` texts of a key all meet each other. In a larger group every run of 50 words around the key is a key of its own, whose
-holders meet its first text: they are equal there, so each is verified and marked; edited copies meet the group's first and last text only.
-Repeats within a text are found in its own row, each place of a key against all others with different words around.
-A pair of texts that meets is verified on the words of both: every two stretches of 50 words with shingle sets of Jaccard
-similarity 0.8 or more are marked, on the diagonal of the meeting and across to the ones beside it.
-
-Copies of one text are one text here (named by two 64-bit hashes) and inherit its marks.
+Tokens of a text are its shingles of five words (lower case). Each of `FUNCTIONS` hash functions orders the tokens. A node of
+the Cartesian tree over a function's hashes whose range holds `TOKENS` tokens or more is a compact window: all passages of `PASSAGE`
+words inside the range that hold the node's token have it as their smallest one, so they share that signature. The smallest
+tokens of the passages, walked from left to right, are those nodes in order: a sliding minimum finds them in linear time, whatever the
+text repeats. A window is kept as the interval [a, b] of its passages' first words, with the place c of the smallest token.
+
+Two passages of 50 words whose shingle sets have Jaccard similarity 0.8 agree in each function with that chance; they meet
+when `ENOUGH` = 2 of them agree (0.993 of such pairs, and more of longer passages). The windows of two functions are joined on overlap of
+their intervals, which gives composite windows: (key of both signatures, a, b, c). Only windows whose signature occurs
+at another place take part: a first pass over the texts counts signatures, combined before the shuffle, and ORs the repeated ones
+into a bitmap; a second pass forms the composite windows. The bitmap has a size fixed by the count of repeated signatures and a limit
+(`BITMAP_BITS`); whatever it lets through besides is removed by the grouping after it.
+
+The places of a composite key all meet its first place (smallest text name, then place): no pairs within a group. A meeting is verified on
+the words around both places: every two stretches of 50 words with shingle sets of similarity 0.8 or more are marked, on the
+diagonal of the meeting and across to the ones beside it (a word inserted or deleted). Where a place of a key isn't
+verified against the first one anywhere in its window, all places of that key take part in an exact join (`one_edit`): at that similarity
+two stretches have the same 25 words in one half and differ by one edit in the other, so every link is an equality of keys, and equal ones are linked
+to one of them. So a text with the passage is linked even if the first holder of its key has another one.
+
+Copies of one text are one text here (named by a 64-bit hash of text and length) and inherit its marks.
 
 Defined results: texts of fewer than 50 words, null and empty ones have no passages; repeated rows each get their row; a passage
-that one text repeats counts, linked within the text; copies of a whole text of 50 words or more mark it whole; an empty
-table gives an empty result; other columns are ignored.
+that one text repeats counts, linked within the text; copies of a whole text of 50 words or more mark it whole; ties between equal tokens go
+to the first; a text of any length is cut into pieces of `PIECE` tokens that overlap by a passage; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
-TOKENS = PASSAGE - SHINGLE + 1
-SPAN, CONTEXT = 21, 15
-GROUP = 32
+TOKENS, HALF = PASSAGE - SHINGLE + 1, PASSAGE // 2
+FUNCTIONS, ENOUGH = 5, 2
+PIECE, BLOCK = 1 << 20, 1 << 18
 BITMAP_BITS = 26
-_SPAN = "t long, u long, first int, last int"
+AROUND = 2 * PASSAGE
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_RUNS = "t long, u long, first int, last int"
 
 
-def word_hashes(text: bytes):
+@cache
+def _byte_values():
+    """A random-looking odd number for each byte; letters A-Z as a-z, white space zero."""
     import numpy as np
-    import xxhash
 
-    words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64), 5) | np.uint64(1)
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    return out
+
+
+def word_hashes(text: bytes) -> tuple:
+    """(hash, first byte) of each word (split at ASCII white space, lower case), from prefix sums over the bytes."""
+    import numpy as np
 
+    hashes, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        end = at + BLOCK
+        while end < len(text) and text[end - 1] not in b" \t\n\r\x0b\x0c":  # blocks end with white space
+            end += 1
+        values = _byte_values()[np.frombuffer(text[at:end], np.uint8)]
+        edges = np.flatnonzero(np.diff(values != 0, prepend=False, append=False))
+        begin, stop = edges[::2], edges[1::2]
+        hashes.append(_mixed(_Segments(values)(begin, stop - begin), 9))
+        begins.append(begin + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(begins)
+
+
+def _mixed(h, salt: int):
+    import numpy as np
+
+    out = (h ^ np.uint64(salt)) * np.uint64(_MIX[0])
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(_MIX[3])
+    return out ^ (out >> np.uint64(29))
 
-def _runs(h, size: int, salt: int):
-    """Hash of every run of `size` words."""
+
+@cache
+def _powers(n: int) -> tuple:
+    """Powers 0 to n of an odd number and of its inverse, modulo 2 ** 64."""
     import numpy as np
 
-    out = np.full(max(0, len(h) - size + 1), salt, np.uint64)
-    for i in range(size if len(out) else 0):
+    r, out = _MIX[0] | 1, []
+    for x in (r, pow(r, -1, 1 << 64)):
+        row = np.full(n + 1, x, np.uint64)
+        row[0] = 1
+        out.append(np.cumprod(row))
+    return tuple(out)
+
+
+class _Segments:
+    """Hashes of runs of values (bytes, words), of any length, from prefix sums."""
+
+    def __init__(self, h) -> None:
+        import numpy as np
+
+        powers, self.inverse = _powers(1 << max(12, len(h).bit_length()))
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * powers[: len(h)], out=self.sums[1:])
+
+    def __call__(self, at, size):
+        return (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+
+
+def shingles(h):
+    """Hash of every run of five words."""
+    import numpy as np
+
+    out = np.full(max(0, len(h) - SHINGLE + 1), 1, np.uint64)
+    for i in range(SHINGLE if len(out) else 0):
         out = (out ^ h[i : i + len(out)]) * np.uint64(_MIX[0])
         out ^= out >> np.uint64(29)
     return out
 
 
-def compact_windows(order, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of all nodes of the Cartesian tree over `order` whose range has `least` tokens or more; the first minimum is the root."""
-    out, todo = [], [(0, len(order) - 1)]
-    while todo:
-        left, right = todo.pop()
-        if right - left + 1 < least:
-            continue
-        c = left + int(order[left : right + 1].argmin())
-        out.append((left, c, right))
-        if c - left >= least:
-            todo.append((left, c - 1))
-        if right - c >= least:
-            todo.append((c + 1, right))
-    return out
+class Texts:
+    """Words of several texts in one array: hashes h, and for each text its name, number of words and the place of its first one in the whole text."""
 
+    def __init__(self, names: list, sizes, h, moved: list) -> None:
+        import numpy as np
 
-def keyed_windows(h) -> list:
-    """Arrays (key, c) of a text's windows, two keys for each where the context exists."""
-    import numpy as np
+        ends = np.cumsum(sizes)
+        self.h, self.names = h, np.array(names, np.int64)
+        self.text = np.repeat(np.arange(len(names)), sizes)
+        self.moved = np.array(moved, np.int64) - (ends - sizes)
+        self.starts = np.flatnonzero(np.arange(len(h)) + PASSAGE <= ends[self.text])
+
+    def name(self, at):
+        return self.names[self.text[at]]
 
-    tokens = _runs(h, SHINGLE, 1)
-    if len(tokens) < TOKENS:
-        return [np.zeros(0, np.int64)] * 2
-    ahead = np.full(len(h) - CONTEXT + 1, 2, np.uint64)
-    for i in range(0, CONTEXT, SHINGLE):
-        ahead = (ahead ^ tokens[i : i + len(ahead)]) * np.uint64(_MIX[2])
-        ahead ^= ahead >> np.uint64(29)
-    order = (tokens ^ np.uint64(_MIX[1])) * np.uint64(_MIX[0])
-    order = (order ^ (order >> np.uint64(32))) * np.uint64(_MIX[3])
-    c = np.array(compact_windows(order ^ (order >> np.uint64(31)), SPAN), np.int64).reshape(-1, 3)[:, 1]
-    keys, places = [], []
-    for side, at in ((1, c), (2, c + SHINGLE - CONTEXT)):
-        ok = (at >= 0) & (at < len(ahead))
-        keys.append((ahead[at[ok]] + np.uint64(side)) * np.uint64(_MIX[2]))
-        places.append(c[ok])
-    return [np.concatenate(keys).view(np.int64), np.concatenate(places)]
-
-
-def places_of(h, key, c):
-    """(rows, pairs): of each key the first place with the same words around (all that a passage with the key can reach), and pairs of places
-    to compare within the text: following ones with the same words around, and all of those rows of a key."""
+    def local(self, at):
+        """Place within the text."""
+        return at + self.moved[self.text[at]]
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
+    """Rows (t, text), up to `BLOCK` bytes at a time; a longer text in pieces that overlap by a passage less a word."""
     import numpy as np
-    import xxhash
-
-    o = np.lexsort((c, key))
-    edges = [*np.flatnonzero(np.diff(key[o], prepend=key[o][:1] + 1)).tolist(), len(o)]
-    rows, pairs = [], []
-    for x, y in pairwise(edges):
-        if y - x == 1:
-            rows.append(o[x])
+
+    def joined(kept: list) -> Texts:
+        h, begin = word_hashes(b"\n".join(x for _, x in kept))
+        ends = np.cumsum([len(x) + 1 for _, x in kept])
+        sizes = np.diff(np.searchsorted(begin, ends), prepend=0)
+        return Texts([t for t, _ in kept], sizes, h, [0] * len(kept))
+
+    kept, n = [], 0
+    for t, text in _each(batches):
+        if len(text) > BLOCK:
+            h, _ = word_hashes(text)
+            for at in range(0, max(0, len(h) - PASSAGE + 1), PIECE):
+                part = h[at : at + PIECE + PASSAGE - 1]
+                yield Texts([t], [len(part)], part, [at])
             continue
-        last: dict = {}
-        own = []
-        for i in o[x:y]:
-            at = int(c[i])
-            low = max(0, at - PASSAGE)
-            around = (at - low, xxhash.xxh64_intdigest(h[low : at + PASSAGE + CONTEXT].tobytes()))
-            if around in last:
-                pairs.append((last[around], at))
-            else:
-                pairs += [(int(c[j]), at) for j in own]
-                own.append(i)
-            last[around] = at
-        rows += own
-    return np.array(rows, np.int64), pairs
-
-
-def own_repeats(h, key, c) -> list[tuple[int, int]]:
-    """Stretches (first, last) of similar passages within one text, of all pairs of places of its keys."""
-    shifts: dict[int, list[int]] = {}
-    for x, y in places_of(h, key, c)[1]:
-        if x != y:
-            shifts.setdefault(y - x, []).append(x)
-    tokens, found = _runs(h, SHINGLE, 1), []
-    for d, at in shifts.items():
-        one, two = similar_starts(tokens, tokens, d, min(at), max(at), own=True)
-        found += [one, two]
-    return stretches(found)
-
-
-def _own_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for t, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            h = word_hashes(text.as_py())
-            rows += [(t, t, *x) for x in own_repeats(h, *keyed_windows(h))]
-        yield _spans(rows)
+        if n + len(text) > BLOCK:
+            yield joined(kept)
+            kept, n = [], 0
+        kept.append((t, text))
+        n += len(text) + 1
+    if kept:
+        yield joined(kept)
+
+
+def compact_windows(texts: Texts, tokens, function: int) -> tuple:
+    """(a, b, c, key) of the windows of one hash function: passages that begin at a to b have their smallest token at c. Each passage is in one."""
+    import numpy as np
+
+    bits = np.uint64((1 << 24) - 1)
+    low = (_mixed(tokens, _MIX[1] + function) & ~bits) | np.arange(len(tokens), dtype=np.uint64)
+    width = 1
+    while width * 2 <= TOKENS:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    rest = TOKENS - width
+    centre = (np.minimum(low[: len(low) - rest], low[rest:])[texts.starts] & bits).astype(np.int64)
+    first = np.flatnonzero(np.diff(centre, prepend=-1))
+    c = centre[first]
+    return texts.starts[first], texts.starts[np.append(first[1:], len(centre)) - 1], c, _mixed(tokens[c], _MIX[2] + function).view(np.int64)
 
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)], ["t", "u", "first", "last"])
+def signatures(texts: Texts) -> list[tuple]:
+    tokens = shingles(texts.h)
+    return [compact_windows(texts, tokens, f) for f in range(FUNCTIONS)]
+
+
+def composite_windows(windows: list[tuple], chosen: list) -> list:
+    """(key, a, b, c) arrays: the interval join of each two functions' windows among the chosen ones."""
+    import numpy as np
+
+    out: list[list] = [[], [], [], []]
+    for f in range(len(windows)):
+        for g in range(f):
+            (a, b, c, key), (a2, b2, _, key2) = ([x[chosen[k]] for x in windows[k]] for k in (f, g))
+            if not len(a) or not len(a2):
+                continue
+            # Intervals of one function are apart and in order: those of g that overlap [a, b] follow each other.
+            first, n = np.searchsorted(b2, a), np.searchsorted(a2, b, "right")
+            n = np.maximum(n - first, 0)
+            i = np.repeat(np.arange(len(a)), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]
+            both = _mixed(key[i].view(np.uint64) + _mixed(key2[j].view(np.uint64), f * FUNCTIONS + g), 7).view(np.int64)
+            for x, y in zip(out, (both, np.maximum(a[i], a2[j]), np.minimum(b[i], b2[j]), c[i]), strict=True):
+                x.append(y)
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
 def _in_chunks(rows: Iterator[list], names: list[str], least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -167,18 +224,25 @@ def _in_chunks(rows: Iterator[list], names: list[str], least: int = 1 << 16) ->
         if n >= least:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names)
             kept, n = [], 0
-    if kept:
+    if n:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)], names)
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(t, text) of rows (t, text), one text at a time."""
+    for batch in batches:
+        for t, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            yield t, text.as_py()
+
+
+def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, place): signatures of all windows; place is a hash of text and place, equal in copies of a text."""
     import numpy as np
 
     def rows():
-        for batch in batches:
-            for t, text in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1).cast(pa.binary()), strict=True):
-                keys = np.unique(keyed_windows(word_hashes(text.as_py()))[0])
-                yield [keys, np.full(len(keys), (t * np.uint64(_MIX[0])) >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+        for texts in together(batches):
+            for _, _, c, key in signatures(texts):
+                yield [key, (_mixed(texts.name(c).view(np.uint64), 3) + texts.local(c).view(np.uint64)).astype(np.uint32).view(np.int32)]
 
     return _in_chunks(rows(), ["key", "place"])
 
@@ -188,192 +252,370 @@ def _in_bitmap(bitmap: bytes, key):
     import numpy as np
 
     bits = np.frombuffer(bitmap, np.uint8)
-    slot = (key.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    slot = (key.view(np.uint64) >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _chosen(bitmap: bytes, inside: bool) -> Callable:
-    """Rows whose name t is in the bitmap, or those whose name isn't."""
+def _bitmap(keys: DataFrame, n: int) -> bytes:
+    """Bitmap of n keys: 32 bits for each, 2 ** BITMAP_BITS at most (8 MB), whatever their number."""
+    import numpy as np
+
+    bits = max(12, min(BITMAP_BITS, (32 * n).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    rows = keys.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    out = np.zeros(1 << (bits - 6), "<i8")
+    packed = rows.toArrow()
+    out[packed.column("at").to_numpy()] = packed.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def _window_rows(bitmap: bytes) -> Callable:
+    """(key, same, t, place): composite windows of signatures in the bitmap; same is a hash of key and of all words of the window's passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(bitmap, batch.column(0).to_numpy()) == inside))
+        import numpy as np
+
+        def rows():
+            for texts in together(batches):
+                found = signatures(texts)
+                key, a, b, c = composite_windows(found, [_in_bitmap(bitmap, w[3]) for w in found])
+                if len(key):
+                    same = _mixed(_Segments(texts.h)(a, b - a + PASSAGE) + _mixed(key.view(np.uint64), 47), 53).view(np.int64)
+                    yield [key, same, texts.name(a), (texts.local(a) << 16) | ((b - a) << 8) | (c - a)]
+
+        return _in_chunks(rows(), ["key", "same", "t", "place"])
 
     return run
 
 
-def _second_pass(bitmap: bytes, large: bytes) -> Callable:
-    """Rows (key, t, c, nth) of repeated keys, nth counting a text's places of one key; runs of 50 words around keys of large groups have nth -1."""
+def _bodies(bitmap: bytes) -> Callable:
+    """(t, body) of the texts whose name is in the bitmap: the hashes of their words, 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def rows():
-            for batch in batches:
-                for t, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                    h = word_hashes(text.as_py())
-                    key, c = keyed_windows(h)
-                    at = np.flatnonzero(_in_bitmap(bitmap, key))
-                    at = at[places_of(h, key[at], c[at])[0]] if len(at) else at
-                    k, p = key[at], c[at]
-                    nth = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)].astype(np.int32) ^ 1  # rows of a key follow each other
-                    near = np.unique((p[_in_bitmap(large, k)][:, None] + np.arange(SHINGLE - PASSAGE, 1)).ravel())
-                    near = near[(near >= 0) & (near <= len(h) - PASSAGE)]
-                    if len(near):
-                        whole, first = np.unique(_runs(h, PASSAGE, 5)[near].view(np.int64), return_index=True)
-                        k, p, nth = np.concatenate([k, whole]), np.concatenate([p, near[first]]), np.concatenate([nth, np.full(len(whole), -1, np.int32)])
-                    yield [k, np.full(len(k), t, np.int64), p.astype(np.int32), nth.astype(np.int32)]
-
-        return _in_chunks(rows(), ["key", "t", "c", "nth"])
+        for batch in batches:
+            near = batch.filter(pa.array(_in_bitmap(bitmap, batch.column(0).to_numpy())))
+            for at in range(0, near.num_rows, 256):
+                part = near.slice(at, 256)
+                words = [(word_hashes(text)[0] >> np.uint64(32)).astype("<u4").tobytes() for _, text in _each([part])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary())], ["t", "body"])
 
     return run
 
 
-def _bitmap(repeated: DataFrame) -> bytes:
-    """Bitmap of the keys: 2 ** BITMAP_BITS bits, so at most 2 ** (BITMAP_BITS - 6) rows to the driver, at any size."""
+def _words(body: bytes):
     import numpy as np
 
-    slot = F.shiftrightunsigned("key", 64 - BITMAP_BITS)
-    rows = repeated.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), "<i8")
-    packed = rows.toArrow()
-    out[packed.column("at").to_numpy()] = packed.column("bits").to_numpy()
-    return out.tobytes()
+    return _mixed(np.frombuffer(body, "<u4").astype(np.uint64), 3)
 
 
-def similar_starts(a, b, shift: int, low: int, high: int, own: bool = False):
-    """(starts in a, starts in b) of similar stretches of PASSAGE words near places low to high of token arrays a and b.
+def similar_starts(lanes: list[tuple]) -> list:
+    """For lanes (a, b, skip): (lane, start in a, start in b) arrays of similar stretches of PASSAGE words.
 
-    A stretch begins at i in a and at i + shift or one beside it in b; its shared tokens lie on diagonal `shift`, or on it and one beside
-    it (a word inserted or deleted in between). own: a is b, and the diagonal of each word with itself is left out.
+    a and b are word hashes, b from one word before a's partner on to one after it; words that b's text lacks there are zero. A stretch's shared tokens
+    lie on the diagonal of the lane (0), or on it and one beside it (a word inserted or deleted in between). skip: the diagonal, of -1 and 1, to leave out. All
+    lanes are compared at once, as one array.
     """
     import numpy as np
 
-    lo, hi = max(0, low - 2 * PASSAGE), min(len(a), high + 2 * PASSAGE)
-    if hi - lo < TOKENS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def equal(d: int):
-        out = np.zeros(hi - lo, bool)
-        x, y = max(lo, -d), min(hi, len(b) - d)
-        if y > x:
-            out[x - lo : y - lo] = a[x:y] == b[x + d : y + d]
-        return out
+    sizes = np.array([len(a) for a, _, _ in lanes])
+    ends = np.cumsum(sizes + 2)  # two places apart, so that b has its two words more
+    begins = ends - sizes - 2
+    lane = np.repeat(np.arange(len(lanes)), sizes + 2)
+    a, b = np.full(ends[-1], 1, np.uint64), np.full(ends[-1], 2, np.uint64)
+    for at, (x, y, _) in zip(begins.tolist(), lanes, strict=True):
+        a[at : at + len(x)] = x
+        b[at : at + len(y)] = y
+    one, two = shingles(a), shingles(b)
+    inside = np.arange(len(one)) + SHINGLE <= (ends - 2)[lane[: len(one)]]
+    known = np.concatenate([[0], np.cumsum(b == 0)])
+    skips = np.array([s or 0 for _, _, s in lanes])[lane[: len(one)]]
+
+    def equal(e: int):
+        out = np.zeros(len(one), bool)
+        n = len(one) - 2
+        out[:n] = (one[:n] == two[1 + e : 1 + e + n]) & inside[:n]
+        return out & (skips != e) if e else out
 
     def count(mask):
         n = np.concatenate([[0], np.cumsum(mask)])
         return n[TOKENS:] - n[:-TOKENS]
 
-    starts = np.arange(lo, hi - TOKENS + 1)
-    one, two = [], []
+    starts = np.flatnonzero(np.arange(max(0, len(one) - TOKENS + 1)) + PASSAGE <= (ends - 2)[lane[: max(0, len(one) - TOKENS + 1)]])
+    found = [np.zeros((3, 0), np.int64)]
 
-    def keep(n, d: int) -> None:
-        at = starts[(n >= (2 * TOKENS - n) * SIMILARITY) & (starts + d >= 0) & (starts + d + TOKENS <= len(b))]
-        one.append(at)
-        two.append(at + d)
+    def keep(n, e: int) -> None:
+        at = starts[n[starts] >= (2 * TOKENS - n[starts]) * SIMILARITY]
+        at = at[(at + 1 + e + PASSAGE <= len(b))]
+        at = at[known[at + 1 + e + PASSAGE] == known[at + 1 + e]]
+        k = lane[at]
+        found.append(np.stack([k, at - begins[k], at - begins[k] + e]))
 
-    here = equal(shift)
-    keep(count(here), shift)
+    if not len(starts):
+        return found[0]
+    here = equal(0)
+    keep(count(here), 0)
     for e in (-1, 1):
-        if own and shift + e == 0:
-            continue
-        beside = equal(shift + e)
-        if not (beside & ~here).any():
-            continue
-        both = count(here | beside)
-        head, tail = slice(0, len(starts)), slice(TOKENS - 1, None)
-        keep(both - (beside & ~here)[tail if e > 0 else head], shift)  # b's stretch ends, or begins, before this token's partner
-        keep(both - (here & ~beside)[head if e > 0 else tail], shift + e)
-    return np.concatenate(one), np.concatenate(two)
+        beside = equal(e) & ~here
+        if beside.any():
+            both = count(here | beside)
+            head, tail = slice(0, len(both)), slice(TOKENS - 1, None)
+            keep(both - beside[tail if e > 0 else head], 0)  # b's stretch ends, or begins, before this token's partner
+            keep(both - (here & ~equal(e))[head if e > 0 else tail], e)
+    return np.concatenate(found, 1)
 
 
-def stretches(starts: list) -> list[tuple[int, int]]:
-    """(first, last) of the union of passages that begin at these places."""
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, u, first, last): passages of t that begin at first to last are similar to one of u; both ways."""
     import numpy as np
 
-    at = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-    if not len(at):
-        return []
-    gap = np.flatnonzero(np.diff(at) > PASSAGE)
-    return [(int(x), int(y) + PASSAGE - 1) for x, y in zip(at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])], strict=True)]
+    def runs(lane, at, t, u):
+        """Runs of consecutive places of each lane."""
+        both = np.unique((lane << 40) + at)  # runs of two lanes are never consecutive
+        new = np.flatnonzero(np.diff(both, prepend=-2) != 1)
+        k, place = both >> 40, (both & ((1 << 40) - 1)).astype(np.int32)
+        return [t[k[new]], u[k[new]], place[new], place[np.append(new[1:], len(both)) - 1]]
 
+    def rows():
+        for batch in batches:
+            u, t, shift, at = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("u", "t", "shift", "at"))
+            own, other = (batch.column(batch.schema.get_field_index(x)) for x in ("own", "other"))
+            k = 0
+            while k < batch.num_rows:
+                lanes, first, n = [], k, 0
+                while k < batch.num_rows and n < 1 << 17:
+                    a, b = (_words(x[k].as_py()) for x in (own, other))
+                    if at[k] + shift[k] == 0:
+                        b = np.concatenate([np.zeros(1, np.uint64), b])
+                    b = b[: len(a) + 2]
+                    lanes.append((a, np.concatenate([b, np.zeros(len(a) + 2 - len(b), np.uint64)]), -shift[k] if u[k] == t[k] and abs(shift[k]) == 1 else None))
+                    n += len(a)
+                    k += 1
+                lane, x, y = similar_starts(lanes)
+                if len(lane):
+                    lane += first
+                    yield runs(lane, x + at[lane], u, t)
+                    yield runs(lane, y + at[lane] + shift[lane], t, u)
+
+    return _in_chunks(rows(), ["t", "u", "first", "last"])
+
+
+class _Segments:
+    """Hashes of runs of a text's words, of any length, from prefix sums."""
+
+    def __init__(self, h) -> None:
+        import numpy as np
+
+        r = _MIX[0] | 1
+        powers, inverse = np.full(len(h), r, np.uint64), np.full(len(h) + 1, pow(r, -1, 1 << 64), np.uint64)
+        powers[:1], inverse[0] = 1, 1
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers))])
+        self.inverse = np.cumprod(inverse)
+
+    def __call__(self, at, size: int):
+        return (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+
+
+def _half_keys(h, at, side: int):
+    """The half that is equal: the first (side 0) or the second one of the passages that begin at `at`."""
+    return _mixed(h(at + side * HALF, HALF), 11 + side)
+
+
+def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, t, at, side, open): the halves of each passage; `wanted` are intervals of first words."""
+    import numpy as np
+
+    def rows():
+        for batch in batches:
+            for t, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                h, mark = _Segments(_words(body.as_py())), {}
+                for w in wanted.as_py():
+                    for i in range(w["a"], w["b"] + 1):
+                        mark[i] = mark.get(i, False) or w["open"]
+                at = np.array(sorted(mark), np.int64)
+                is_open = np.array([mark[i] for i in at.tolist()], bool)
+                for side in (0, 1):
+                    yield [_half_keys(h, at, side).view(np.int64), np.full(len(at), t, np.int64), at.astype(np.int32), np.full(len(at), side, np.int8), is_open]
+
+    return _in_chunks(rows(), ["key", "t", "at", "side", "open"])
+
+
+def _by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(t, its runs, side, first words, open) of rows (t, body, wanted), wanted being (at, side, open)."""
+    import numpy as np
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        kept: tuple = (None, None)
-        columns = [batch.column(i) for i in range(5)]
-        for k in range(batch.num_rows):
-            t, u, shifts, text, other = (x[k].as_py() for x in columns)
-            b = kept[1] if kept[0] == u else _runs(word_hashes(other.encode()), SHINGLE, 1)
-            kept, a = (u, b), _runs(word_hashes(text.encode()), SHINGLE, 1)
-            found = [similar_starts(a, b, m["shift"], m["low"], m["high"]) for m in shifts]
-            rows += [(t, u, *x) for x in stretches([f[0] for f in found])]
-            rows += [(u, t, *x) for x in stretches([f[1] for f in found])]
-        yield _spans(rows)
+        for t, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            h, where = _Segments(_words(body.as_py())), wanted.as_py()
+            for side in (0, 1):
+                mark: dict = {}
+                for w in where:
+                    if w["side"] == side:
+                        mark[w["at"]] = mark.get(w["at"], False) or w["open"]
+                if mark:
+                    at = np.array(sorted(mark), np.int64)
+                    yield t, h, side, at, np.array([mark[i] for i in at.tolist()], bool)
+
+
+def _quarter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, t, at, side, open): an equal half with twelve words of the other one, which an edit elsewhere in it leaves equal: beside the half, or
+    at the far end, there with and without its last word, as an inserted word moves them by one."""
+    import numpy as np
+
+    def rows():
+        for t, h, side, at, is_open in _by_side(batches):
+            same, n = _half_keys(h, at, side), HALF // 2
+            near, far = (HALF, (PASSAGE - n - 1, PASSAGE - n)) if side == 0 else (HALF - n, (0, 1))
+            for offset, salt in ((near, 37), (far[0], 41), (far[1], 41)):
+                key = _mixed(same + _mixed(h(at + offset, n), salt), 43).view(np.int64)
+                yield [key, np.full(len(at), t, np.int64), at.astype(np.int32), np.full(len(at), side, np.int8), is_open]
+
+    return _in_chunks(rows(), ["key", "t", "at", "side", "open"])
+
+
+def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, t, at, edge): a passage's equal half with the other half less one word.
+
+    With a hole where the word was, equal keys are passages with one word replaced. Without a hole, the one that lost its outermost word (edge)
+    is similar to all that are equal to it: a word was inserted or deleted.
+    """
+    import numpy as np
+
+    def rows():
+        for t, h, side, at, _ in _by_side(batches):
+            same, rest = _half_keys(h, at, side), at + (1 - side) * HALF
+            for hole in range(HALF):
+                left = h(rest, hole)
+                right = h(rest + hole + 1, HALF - 1 - hole)
+                # The words after the gap, moved back by one place: the hash of the 24 words without it.
+                joined = left + right * np.uint64(pow(_MIX[0] | 1, hole, 1 << 64))
+                outer = hole == (0 if side else HALF - 1)
+                for key, edge in ((_mixed(same + _mixed(_mixed(left, 13) ^ _mixed(right, 17 + hole), 19), 23), True), (_mixed(same + _mixed(joined, 29), 31), outer)):
+                    yield [key.view(np.int64), np.full(len(at), t, np.int64), at.astype(np.int32), np.full(len(at), edge, bool)]
+
+    return _in_chunks(rows(), ["key", "t", "at", "edge"])
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, text): t names a text."""
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.length("text")).alias("t"), "text").where("text is not null")
-
-
-def distinct_texts(named: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(t, text), one row for each text: texts without copies straight from the table, only those with copies through a shuffle."""
-    copies = _bitmap(kinds.where("copies > 1").select(F.col("t").alias("key")))
-    rows, kind = named.select("t", "text"), "t long, text string"
-    repeated = materialize(rows.mapInArrow(_chosen(copies, True), kind).dropDuplicates(["t"]), "passage-copies")
-    return rows.mapInArrow(_chosen(copies, False), kind).union(repeated)
-
-
-def candidate_pairs(source: DataFrame) -> DataFrame:
-    """(t, u, shifts): pairs of texts(t, text), and for each diagonal on which keys meet the first and last place in t."""
-    seen = source.mapInArrow(_first_pass, "key long, place int").groupBy("key").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.count("*").alias("n")).where("x <> y")
-    seen = materialize(seen.select("key", (F.col("n") > GROUP).alias("large")), "passage-keys")
-    windows = source.mapInArrow(_second_pass(_bitmap(seen), _bitmap(seen.where("large"))), "key long, t long, c int, nth int")
-    windows = materialize(windows, "passage-windows")
-    keyed, whole = windows.where("nth >= 0"), windows.where("nth < 0")
-    sizes = keyed.groupBy("key").agg(F.count_if(F.col("nth") == 0).alias("n"), F.min("t").alias("min_t"), F.max("t").alias("max_t")).where("min_t <> max_t")
-    other = lambda df: df.select("key", F.col("t").alias("u"), F.col("c").alias("u_c"))
-    few = keyed.join(sizes.where(F.col("n") <= GROUP).select("key"), "key")
-    met = few.join(other(few), "key").where("t < u")
-    hubs = keyed.join(sizes.where(F.col("n") > GROUP), "key").where("t = min_t or t = max_t")
-    met = met.union(keyed.join(other(hubs), "key").where("t <> u").select(*met.columns))
-    first = whole.groupBy("key").agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"), F.min_by("c", "t").alias("u_c")).where("min_t <> max_t")
-    met = met.union(whole.join(first, "key").where("t <> min_t").select("key", "t", "c", "nth", F.col("min_t").alias("u"), "u_c"))
-    # One direction for each pair: positions are those in the text of the smaller name.
-    ahead = F.col("t") < F.col("u")
-    turned = met.select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), F.when(ahead, F.col("u_c") - F.col("c")).otherwise(F.col("c") - F.col("u_c")).alias("shift"), F.when(ahead, F.col("c")).otherwise(F.col("u_c")).alias("c"))
-    lanes = turned.groupBy("t", "u", "shift").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    return lanes.groupBy("t", "u").agg(F.collect_list(F.struct("shift", "low", "high")).alias("shifts"))
+    """(t, text) of the rows with a text: t names it."""
+    return docs.select(name_of(docs["text"]).alias("t"), docs["text"].alias("text")).where("text is not null")
+
+
+def name_of(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """place as the window's first passages a to b and the place c of its token: one number, so that windows take little room and have an order."""
+    a = F.shiftright("place", 16)
+    at = lambda bits: F.shiftright("place", bits).bitwiseAND(F.lit(255))
+    return df.select("*", a.cast("int").alias("a"), (a + at(8)).cast("int").alias("b"), (a + at(0)).cast("int").alias("c"))
+
+
+def windows_of(named: DataFrame) -> DataFrame:
+    """(key, same, t, place) of the composite windows of repeated signatures."""
+    seen = named.mapInArrow(_signature_rows, "key long, place int").groupBy("key").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y")
+    seen = materialize(seen.select("key"), "passage-signatures")
+    return materialize(named.mapInArrow(_window_rows(_bitmap(seen, seen.count())), "key long, same long, t long, place long"), "passage-windows")
+
+
+def equal_windows(windows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(t, u, first, last) of windows whose passages are the same words: each with the first one of them, and that one with itself."""
+    several = heads.where("n > 1").select("same", F.col("t").alias("u"), F.col("place").alias("u_place"))
+    return placed(windows.join(several, "same")).select("t", "u", F.col("a").alias("first"), F.col("b").alias("last")).distinct()
+
+
+def meetings(heads: DataFrame) -> DataFrame:
+    """(key, t, a, b, c, u, u_c, n): the different windows of a composite key, each with the first one, which is in it, too; n of them."""
+    keys = heads.groupBy("key").agg(F.min(F.struct("t", "place")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    keys = keys.select("key", F.col("head.t").alias("u"), (F.shiftright("head.place", 16) + F.col("head.place").bitwiseAND(F.lit(255))).cast("int").alias("u_c"), "n")
+    return materialize(placed(heads.select("key", "t", "place").join(keys, "key")).drop("place"), "passage-meetings")
+
+
+def verified(met: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(t, u, first, last) of the meetings that are similar passages."""
+    lanes = met.where("t <> u or c <> u_c").groupBy("u", "t", (F.col("c") - F.col("u_c")).alias("shift")).agg(F.min("u_c").alias("low"), F.max("u_c").alias("high"))
+    lanes = lanes.withColumn("at", F.greatest(F.lit(0), -F.col("shift"), F.col("low") - AROUND)).withColumn("n", F.col("high") - F.col("at") + AROUND + PASSAGE)
+    cut = lambda at, n: F.substring("body", at * 4 + 1, n * 4)
+    before = F.greatest(F.lit(0), F.col("at") + F.col("shift") - 1)
+    one = lanes.join(bodies.withColumnRenamed("t", "u"), "u").select("u", "t", "shift", "at", before.alias("before"), "n", cut(F.col("at"), F.col("n")).alias("own"))
+    two = one.join(bodies, "t").select("u", "t", "shift", "at", "own", cut(F.col("before"), F.col("n") + 2).alias("other"))
+    return two.mapInArrow(_verify, _RUNS)
+
+
+def unsettled(met: DataFrame, runs: DataFrame) -> DataFrame:
+    """(key, t, c) of meetings with no similar passage of their window, of texts that aren't of one class already or have no mark there."""
+    moved = met.where("n > 2 and (t <> u or c <> u_c)")  # of two windows both have met
+    runs_of = lambda *k: runs.groupBy(*k).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    hit = F.coalesce(F.exists("runs", lambda r: (r["first"] <= F.col("b")) & (r["last"] >= F.col("a"))), F.lit(False))
+    lost = materialize(moved.join(runs_of("t", "u"), ["t", "u"], "left").where(~hit).select("key", "t", "u", "a", "b", "c"), "passage-failed")
+    parts = materialize(connected_components(links_of(runs)), "passage-classes")
+    near = lost.join(parts.withColumnRenamed("node", "t"), "t", "left").withColumnRenamed("root", "t_root").join(parts.withColumnRenamed("node", "u"), "u", "left")
+    apart = F.coalesce("t_root", "t") != F.coalesce("root", "u")
+    near = near.join(runs_of("t"), "t", "left")
+    return near.where(apart | ~hit).select("key", "t", "c")
+
+
+def links_of(runs: DataFrame) -> DataFrame:
+    return runs.where("t <> u").select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct()
+
+
+def one_edit(met: DataFrame, lost: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(t, u, first, last) of all passages, among the places of keys with failed meetings, that are equal but for one edit."""
+    lost = materialize(lost.distinct().withColumn("open", F.lit(True)), "passage-open")
+    part = met.join(lost.select("key").distinct(), "key", "left_semi").join(lost, ["key", "t", "c"], "left")
+    wanted = part.groupBy("t").agg(F.collect_set(F.struct("a", "b", F.coalesce("open", F.lit(False)).alias("open"))).alias("wanted"))
+    kind, place = "key long, t long, at int, side byte, open boolean", F.struct("t", "at")
+    rows = materialize(bodies.join(wanted, "t").select("t", "body", "wanted").mapInArrow(_half_rows, kind), "passage-halves")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """(t, body, wanted): the rows whose key another place has, too, one of them in an open window."""
+        keys = rows.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("open")).where("x <> y and open")
+        near = rows.join(keys.select("key"), "key", "left_semi").groupBy("t").agg(F.collect_set(F.struct("at", "side", "open")).alias("wanted"))
+        return bodies.join(near, "t").select("t", "body", "wanted")
+
+    rows = materialize(shared(rows).mapInArrow(_quarter_rows, kind), "passage-quarters")
+    edits = shared(rows).mapInArrow(_edit_rows, "key long, t long, at int, edge boolean")
+    edits = materialize(edits, "passage-edits")
+    heads = edits.groupBy("key").agg(F.min(F.when(F.col("edge"), place)).alias("head"), F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y and head is not null")
+    linked = edits.join(heads.select("key", "head"), "key").where(place != F.col("head"))
+    both = linked.select(F.explode(F.array(F.struct("t", F.col("head.t").alias("u"), "at"), F.struct(F.col("head.t").alias("t"), F.col("t").alias("u"), F.col("head.at").alias("at")))).alias("e"))
+    return both.select("e.t", "e.u", F.col("e.at").alias("first"), F.col("e.at").alias("last")).distinct()
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_links (texts that it shares passages with by links made), spans (marked word spans, first and last), n_marked (words), class_id (smallest doc_id reachable)."""
     named = texts(docs)
-    sizes = materialize(named.select("doc_id", "t", F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_words")), "passage-texts")
-    kinds = sizes.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"))
-    kinds = materialize(kinds, "passage-kinds")
-    source = distinct_texts(named, kinds)
-    pairs = materialize(candidate_pairs(source), "passage-pairs")
-    involved = materialize(pairs.select("t").union(pairs.select("u")).distinct(), "passage-involved")
-    near = source.mapInArrow(_chosen(_bitmap(involved.withColumnRenamed("t", "key")), True), "t long, text string")  # so that only these texts are shuffled
-    bodies = materialize(near.join(involved, "t", "left_semi"), "passage-bodies")
-    both = pairs.join(bodies, "t").join(bodies.select(F.col("t").alias("u"), F.col("text").alias("other")), "u")
-    met = both.select("t", "u", "shifts", "text", "other").mapInArrow(_verify, _SPAN)
-    spans = materialize(met.union(source.mapInArrow(_own_batches, _SPAN)), "passage-spans")
+    n_words = F.size(F.filter(F.split(docs["text"], r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    sizes = docs.where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), name_of(docs["text"]).alias("t"), n_words.alias("n_words"))
+    kinds = materialize(sizes.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words")), "passage-kinds")
+    windows = windows_of(named)
+    place = F.struct("t", "place")
+    heads = windows.groupBy("key", "same").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
+    heads = materialize(heads.select("key", "same", "head.t", "head.place", F.when(F.col("head") == F.col("tail"), 1).otherwise(2).alias("n")), "passage-heads")
+    equal = materialize(equal_windows(windows, heads), "passage-equal")
+    met = meetings(heads)
+    involved = materialize(met.select(F.col("t").alias("key")).distinct(), "passage-involved")
+    bodies = named.mapInArrow(_bodies(_bitmap(involved, involved.count())), "t long, body binary").dropDuplicates(["t"])
+    bodies = materialize(bodies.join(involved, F.col("t") == F.col("key"), "left_semi"), "passage-bodies")
+    runs = materialize(verified(met, bodies).union(equal), "passage-runs")
+    runs = materialize(runs.union(one_edit(met, unsettled(met, runs), bodies)), "passage-links")
     before = Window.partitionBy("t").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    lone = spans.select("t", "first", "last").distinct().withColumn("new", F.coalesce((F.col("first") > F.max("last").over(before) + 1).cast("int"), F.lit(1)))
-    lone = lone.withColumn("run", F.sum("new").over(Window.partitionBy("t").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = Window.partitionBy("t").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
+    lone = runs.select("t", "first", (F.col("last") + PASSAGE - 1).alias("last")).distinct()
+    lone = lone.withColumn("new", F.coalesce((F.col("first") > F.max("last").over(before) + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(upto))
     joined = lone.groupBy("t", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     joined = joined.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    links = spans.where("t <> u").groupBy("t").agg(F.count_distinct("u").alias("links"))
-    parts = connected_components(spans.where("t < u").select(F.col("t").alias("a"), F.col("u").alias("b")))
+    pairs = links_of(runs)
+    links = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("t")).agg(F.count("*").alias("links"))
+    parts = connected_components(pairs)
     per = kinds.join(joined, "t", "left").join(links, "t", "left").join(parts.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     named_classes = per.groupBy("root").agg(F.min("first_id").alias("class_id"))
     whole = F.when((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE), F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"))))
-    per = per.join(named_classes, "root").select("t", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(whole, "spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"))
-    out = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", F.length("text")).alias("t")).join(per, "t", "left")
-    spans_ = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
-    n_marked = F.aggregate(spans_, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), spans_.alias("spans"), n_marked.alias("n_marked"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    per = per.join(named_classes, "root").select("t", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(whole, "spans", none).alias("spans"))
+    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), name_of(docs["text"]).alias("t")).join(per, "t", "left")
+    spans = F.coalesce("spans", none)
+    n_marked = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), spans.alias("spans"), n_marked.alias("n_marked"), F.coalesce("class_id", "doc_id").alias("class_id"))

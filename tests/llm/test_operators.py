@@ -239,18 +239,55 @@ def test_passage_with_an_edit(spark):
     assert got[1].class_id == got[2].class_id == 1 and got[1].n_marked >= 140 and got[2].n_marked >= 140 and got[3].n_marked == 0
 
 
-def test_compact_windows_partition_all_spans():
+def test_compact_windows_hold_each_passage_once():
     import numpy as np
 
     rng = random.Random(9)
-    order = np.array([rng.randint(0, 12) for _ in range(60)], np.uint64)
-    seen = Counter()
-    for left, c, right in passages.compact_windows(order, 8):
-        for i in range(left, c + 1):
-            for j in range(c, right + 1):
-                assert order[i : j + 1].argmin() + i == c
-                seen[i, j] += 1
-    assert all(seen[i, j] == 1 for i in range(60) for j in range(i + 7, 60))
+    sizes = [400, 49, 50, 51, 0, 120, 300]
+    h = np.array([rng.randint(0, 12) for _ in range(sum(sizes))], np.uint64)
+    batch = passages.Texts(list(range(7)), sizes, h, [0, 0, 0, 0, 0, 1000, 0])
+    tokens = passages.shingles(h)
+    want = [(k, i) for k, n in enumerate(sizes) for i in range(n - 49)]
+    for f in range(passages.FUNCTIONS):
+        seen, keys = [], {}
+        for a, b, c, key in zip(*passages.compact_windows(batch, tokens, f), strict=True):
+            for i in range(a, b + 1):
+                k = batch.name(i)
+                seen.append((int(k), int(batch.local(i)) - (1000 if k == 5 else 0)))
+                assert i <= c <= i + 45
+                # The same smallest token has the same key, whatever stands around it.
+                assert keys.setdefault(tokens[c], key) == key
+                order = passages._mixed(tokens[i : i + 46], passages._MIX[1] + f) >> np.uint64(24)
+                assert order.argmin() + i == c
+        assert seen == want
+
+
+def test_words_are_hashed_alike_in_any_batch():
+    rng = random.Random(11)
+    text = words(rng, 90000).replace(" ", "\n", 7) + "  " + "x" * (1 << 19) + " end"
+    h, begin = passages.word_hashes(text.encode())
+    said = text.encode().lower().split()
+    assert len(h) == len(said) and len(set(h.tolist())) == len(set(said)) and text.encode()[begin[-1] :] == b"end"
+    assert {w: x for w, x in zip(said, h.tolist(), strict=True)}.items() >= {w: int(passages.word_hashes(w.upper())[0][0]) for w in said[:50]}.items()
+
+
+def test_one_edit_joins_all_holders_of_a_common_line(spark):
+    """Many texts share a line of 40 words; some of them share 60 words around it, edited, and must be linked though the first holders fail."""
+    rng = random.Random(12)
+    line = words(rng, 40)
+    texts = [f"{words(rng, 30)} {line} {words(rng, 30)}" for _ in range(60)]
+    groups = {}
+    for g in range(8):
+        before, after = words(rng, 10).split(), words(rng, 12).split()
+        for m in range(3):
+            near = [*before, *line.split(), *after]
+            near[m * 3 + 1 if m < 2 else 54] = f"edit{g}{m}"
+            groups[len(texts)] = g
+            texts.append(f"{words(rng, 30)} {' '.join(near)} {words(rng, 30)}")
+    got = _passage_marks(spark, texts)
+    first = {g: min(k for k in groups if groups[k] == g) for g in set(groups.values())}
+    assert all(got[k].class_id == first[g] and got[k].n_links > 0 and got[k].n_marked >= 50 for k, g in groups.items())
+    assert all(got[k].n_marked == 0 and got[k].class_id == k for k in range(60))
 
 
 def test_sketch(docs, rows, empty):
