@@ -256,12 +256,20 @@ def _in_bitmap(bitmap: bytes, key):
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _bitmap(keys: DataFrame, n: int) -> bytes:
-    """Bitmap of n keys: 32 bits for each, 2 ** BITMAP_BITS at most (8 MB), whatever their number."""
+def _bits(n: int) -> int:
+    """Logarithm of a bitmap's size for n keys: 32 bits for each, 2 ** BITMAP_BITS at most (8 MB), whatever their number."""
+    return max(12, min(BITMAP_BITS, (32 * n).bit_length()))
+
+
+def _slot(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - bits)
+
+
+def _bitmap(keys: DataFrame, bits: int) -> bytes:
+    """Bitmap of the column key, ORed in Spark: the driver gets 2 ** (bits - 6) rows at most."""
     import numpy as np
 
-    bits = max(12, min(BITMAP_BITS, (32 * n).bit_length()))
-    slot = F.shiftrightunsigned("key", 64 - bits)
+    slot = _slot(F.col("key"), bits)
     rows = keys.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
     out = np.zeros(1 << (bits - 6), "<i8")
     packed = rows.toArrow()
@@ -269,8 +277,30 @@ def _bitmap(keys: DataFrame, n: int) -> bytes:
     return out.tobytes()
 
 
-def _window_rows(bitmap: bytes) -> Callable:
-    """(key, same, t, place): composite windows of signatures in the bitmap; same is a hash of key and of all words of the window's passages."""
+def _equal_rows(bitmap: bytes) -> Callable:
+    """(same, t, place): the first function's windows of signatures in the bitmap; same is a hash of all words of the window's passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def rows():
+            for texts in together(batches):
+                a, b, _, key = (x for x in compact_windows(texts, shingles(texts.h), 0))
+                hit = _in_bitmap(bitmap, key)
+                a, b = a[hit], b[hit]
+                same = _mixed(_Segments(texts.h)(a, b - a + PASSAGE) + (b - a).astype(np.uint64), 53).view(np.int64)
+                yield [same, texts.name(a), (texts.local(a) << 16) | ((b - a) << 8)]
+
+        return _in_chunks(rows(), ["same", "t", "place"])
+
+    return run
+
+
+def _window_rows(bitmap: bytes, others: bytes, kept: bytes) -> Callable:
+    """(key, same, t, place): composite windows of signatures in the bitmap; same is a hash of key and of all words of the window's passages.
+
+    Left out are those whose passages all lie in windows that equal a first one elsewhere (in others and not in kept).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -278,7 +308,17 @@ def _window_rows(bitmap: bytes) -> Callable:
         def rows():
             for texts in together(batches):
                 found = signatures(texts)
-                key, a, b, c = composite_windows(found, [_in_bitmap(bitmap, w[3]) for w in found])
+                chosen = [_in_bitmap(bitmap, w[3]) for w in found]
+                a, b = found[0][0], found[0][1]
+                t, at = texts.name(a), texts.local(a) << 38
+                gone = chosen[0] & _in_bitmap(others, t ^ at) & ~_in_bitmap(kept, (t << 26) ^ at)
+                news = np.zeros(len(texts.h) + 1, np.int64)
+                news[a[~gone]] += 1
+                np.subtract.at(news, b[~gone] + 1, 1)
+                news = np.concatenate([[0], np.cumsum(np.cumsum(news))])  # number of first words before a place that are of other windows
+                key, a, b, c = composite_windows(found, chosen)
+                new = news[b + 1] > news[a]
+                key, a, b, c = key[new], a[new], b[new], c[new]
                 if len(key):
                     same = _mixed(_Segments(texts.h)(a, b - a + PASSAGE) + _mixed(key.view(np.uint64), 47), 53).view(np.int64)
                     yield [key, same, texts.name(a), (texts.local(a) << 16) | ((b - a) << 8) | (c - a)]
@@ -513,17 +553,27 @@ def placed(df: DataFrame) -> DataFrame:
     return df.select("*", a.cast("int").alias("a"), (a + at(8)).cast("int").alias("b"), (a + at(0)).cast("int").alias("c"))
 
 
-def windows_of(named: DataFrame) -> DataFrame:
-    """(key, same, t, place) of the composite windows of repeated signatures."""
+def windows_of(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, same, t, place) of the composite windows of repeated signatures, and (t, u, first, last) of windows equal to a first one.
+
+    Equal windows of the first function are linked to the first one of them. For all but that one, composite windows would
+    find the same texts again, so they are left out: others is a bitmap of them, kept one of the windows that share a bit of it though they aren't among them.
+    """
     seen = named.mapInArrow(_signature_rows, "key long, place int").groupBy("key").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y")
     seen = materialize(seen.select("key"), "passage-signatures")
-    return materialize(named.mapInArrow(_window_rows(_bitmap(seen, seen.count())), "key long, same long, t long, place long"), "passage-windows")
-
-
-def equal_windows(windows: DataFrame, heads: DataFrame) -> DataFrame:
-    """(t, u, first, last) of windows whose passages are the same words: each with the first one of them, and that one with itself."""
-    several = heads.where("n > 1").select("same", F.col("t").alias("u"), F.col("place").alias("u_place"))
-    return placed(windows.join(several, "same")).select("t", "u", F.col("a").alias("first"), F.col("b").alias("last")).distinct()
+    bitmap = _bitmap(seen, _bits(seen.count()))
+    rows = materialize(named.mapInArrow(_equal_rows(bitmap), "same long, t long, place long"), "passage-firsts")
+    place = F.struct("t", "place")
+    heads = rows.groupBy("same").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("same", F.col("head.t").alias("u"), F.col("head.place").alias("u_place"))
+    rows = materialize(placed(rows.join(heads, "same", "left")).withColumn("other", F.coalesce((F.col("t") != F.col("u")) | (F.col("place") != F.col("u_place")), F.lit(False))).select("t", "u", "a", "b", "other"), "passage-equal")
+    at = F.call_function("shiftleft", F.col("a").cast("long"), F.lit(38))
+    keyed = rows.select("other", F.col("t").bitwiseXOR(at).alias("key"), F.call_function("shiftleft", F.col("t"), F.lit(26)).bitwiseXOR(at).alias("kept"))
+    bits = _bits(rows.where("other").count())
+    slot = _slot(F.col("key"), bits)
+    mixed = keyed.groupBy(slot.alias("slot")).agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("slot")
+    kept = materialize(keyed.where("not other").join(mixed, slot == F.col("slot"), "left_semi").select(F.col("kept").alias("key")), "passage-kept")
+    windows = named.mapInArrow(_window_rows(bitmap, _bitmap(keyed.where("other"), bits), _bitmap(kept, _bits(kept.count()))), "key long, same long, t long, place long")
+    return materialize(windows, "passage-windows"), rows.where("u is not null").select("t", "u", F.col("a").alias("first"), F.col("b").alias("last")).distinct()
 
 
 def meetings(heads: DataFrame) -> DataFrame:
@@ -561,8 +611,9 @@ def links_of(runs: DataFrame) -> DataFrame:
     return runs.where("t <> u").select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b")).distinct()
 
 
-def one_edit(met: DataFrame, lost: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(t, u, first, last) of all passages, among the places of keys with failed meetings, that are equal but for one edit."""
+def one_edit(met: DataFrame, runs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """runs, and (t, u, first, last) of all passages, among the places of keys with failed meetings, that are equal but for one edit."""
+    lost = unsettled(met, runs)
     lost = materialize(lost.distinct().withColumn("open", F.lit(True)), "passage-open")
     part = met.join(lost.select("key").distinct(), "key", "left_semi").join(lost, ["key", "t", "c"], "left")
     wanted = part.groupBy("t").agg(F.collect_set(F.struct("a", "b", F.coalesce("open", F.lit(False)).alias("open"))).alias("wanted"))
@@ -575,13 +626,21 @@ def one_edit(met: DataFrame, lost: DataFrame, bodies: DataFrame) -> DataFrame:
         near = rows.join(keys.select("key"), "key", "left_semi").groupBy("t").agg(F.collect_set(F.struct("at", "side", "open")).alias("wanted"))
         return bodies.join(near, "t").select("t", "body", "wanted")
 
-    rows = materialize(shared(rows).mapInArrow(_quarter_rows, kind), "passage-quarters")
-    edits = shared(rows).mapInArrow(_edit_rows, "key long, t long, at int, edge boolean")
+    rows = materialize(shared(rows).mapInArrow(_quarter_rows, kind).withColumnRenamed("at", "c"), "passage-quarters")
+    # Places with the same 37 words meet the first of them, as before; only where that fails, too, edits are spelled out.
+    rows = rows.groupBy("key", "t", "c", "side").agg(F.max("open").alias("open"))
+    keys = rows.groupBy("key").agg(F.min(F.struct("t", "c")).alias("head"), F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open")
+    near = rows.join(keys.select("key", F.col("head.t").alias("u"), F.col("head.c").alias("u_c"), "n"), "key")
+    near = materialize(near.select("key", "t", (F.col("c") - HALF).alias("a"), (F.col("c") + HALF).alias("b"), "c", "u", "u_c", "n", "side"), "passage-near")
+    runs = materialize(runs.union(verified(near, bodies)), "passage-again")
+    lost = materialize(unsettled(near, runs).select("key").distinct(), "passage-lost")
+    wanted = near.join(lost, "key", "left_semi").groupBy("t").agg(F.collect_set(F.struct(F.col("c").alias("at"), "side", F.lit(True).alias("open"))).alias("wanted"))
+    edits = bodies.join(wanted, "t").select("t", "body", "wanted").mapInArrow(_edit_rows, "key long, t long, at int, edge boolean")
     edits = materialize(edits, "passage-edits")
     heads = edits.groupBy("key").agg(F.min(F.when(F.col("edge"), place)).alias("head"), F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y and head is not null")
     linked = edits.join(heads.select("key", "head"), "key").where(place != F.col("head"))
     both = linked.select(F.explode(F.array(F.struct("t", F.col("head.t").alias("u"), "at"), F.struct(F.col("head.t").alias("t"), F.col("t").alias("u"), F.col("head.at").alias("at")))).alias("e"))
-    return both.select("e.t", "e.u", F.col("e.at").alias("first"), F.col("e.at").alias("last")).distinct()
+    return runs.union(both.select("e.t", "e.u", F.col("e.at").alias("first"), F.col("e.at").alias("last")).distinct())
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -590,17 +649,14 @@ def passages(docs: DataFrame) -> DataFrame:
     n_words = F.size(F.filter(F.split(docs["text"], r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     sizes = docs.where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), name_of(docs["text"]).alias("t"), n_words.alias("n_words"))
     kinds = materialize(sizes.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words")), "passage-kinds")
-    windows = windows_of(named)
-    place = F.struct("t", "place")
-    heads = windows.groupBy("key", "same").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
-    heads = materialize(heads.select("key", "same", "head.t", "head.place", F.when(F.col("head") == F.col("tail"), 1).otherwise(2).alias("n")), "passage-heads")
-    equal = materialize(equal_windows(windows, heads), "passage-equal")
+    windows, equal = windows_of(named)
+    heads = materialize(windows.groupBy("key", "same").agg(F.min(F.struct("t", "place")).alias("head")).select("key", "same", "head.t", "head.place"), "passage-heads")
     met = meetings(heads)
     involved = materialize(met.select(F.col("t").alias("key")).distinct(), "passage-involved")
-    bodies = named.mapInArrow(_bodies(_bitmap(involved, involved.count())), "t long, body binary").dropDuplicates(["t"])
+    bodies = named.mapInArrow(_bodies(_bitmap(involved, _bits(involved.count()))), "t long, body binary").dropDuplicates(["t"])
     bodies = materialize(bodies.join(involved, F.col("t") == F.col("key"), "left_semi"), "passage-bodies")
     runs = materialize(verified(met, bodies).union(equal), "passage-runs")
-    runs = materialize(runs.union(one_edit(met, unsettled(met, runs), bodies)), "passage-links")
+    runs = materialize(one_edit(met, runs, bodies), "passage-links")
     before = Window.partitionBy("t").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("t").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
     lone = runs.select("t", "first", (F.col("last") + PASSAGE - 1).alias("last")).distinct()
