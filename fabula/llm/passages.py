@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, materialize
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
 TOKENS, HALF = PASSAGE - SHINGLE + 1, PASSAGE // 2
@@ -554,7 +554,7 @@ def placed(df: DataFrame) -> DataFrame:
 
 
 def windows_of(named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, same, t, place) of the composite windows of repeated signatures, and (t, u, first, last) of windows equal to a first one.
+    """(key, same, t, place) of the composite windows of repeated signatures, not yet written, and (t, u, first, last) of windows equal to a first one.
 
     Equal windows of the first function are linked to the first one of them. For all but that one, composite windows would
     find the same texts again, so they are left out: others is a bitmap of them, kept one of the windows that share a bit of it though they aren't among them.
@@ -565,7 +565,9 @@ def windows_of(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(named.mapInArrow(_equal_rows(bitmap), "same long, t long, place long"), "passage-firsts")
     place = F.struct("t", "place")
     heads = rows.groupBy("same").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("same", F.col("head.t").alias("u"), F.col("head.place").alias("u_place"))
+    firsts = rows
     rows = materialize(placed(rows.join(heads, "same", "left")).withColumn("other", F.coalesce((F.col("t") != F.col("u")) | (F.col("place") != F.col("u_place")), F.lit(False))).select("t", "u", "a", "b", "other"), "passage-equal")
+    discard(firsts, seen)
     at = F.call_function("shiftleft", F.col("a").cast("long"), F.lit(38))
     keyed = rows.select("other", F.col("t").bitwiseXOR(at).alias("key"), F.call_function("shiftleft", F.col("t"), F.lit(26)).bitwiseXOR(at).alias("kept"))
     bits = _bits(rows.where("other").count())
@@ -573,7 +575,7 @@ def windows_of(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = keyed.groupBy(slot.alias("slot")).agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("slot")
     kept = materialize(keyed.where("not other").join(mixed, slot == F.col("slot"), "left_semi").select(F.col("kept").alias("key")), "passage-kept")
     windows = named.mapInArrow(_window_rows(bitmap, _bitmap(keyed.where("other"), bits), _bitmap(kept, _bits(kept.count()))), "key long, same long, t long, place long")
-    return materialize(windows, "passage-windows"), rows.where("u is not null").select("t", "u", F.col("a").alias("first"), F.col("b").alias("last")).distinct()
+    return windows, rows.where("u is not null").select("t", "u", F.col("a").alias("first"), F.col("b").alias("last")).distinct()
 
 
 def meetings(heads: DataFrame) -> DataFrame:
@@ -626,12 +628,16 @@ def one_edit(met: DataFrame, runs: DataFrame, bodies: DataFrame) -> DataFrame:
         near = rows.join(keys.select("key"), "key", "left_semi").groupBy("t").agg(F.collect_set(F.struct("at", "side", "open")).alias("wanted"))
         return bodies.join(near, "t").select("t", "body", "wanted")
 
+    halves = rows
     rows = materialize(shared(rows).mapInArrow(_quarter_rows, kind).withColumnRenamed("at", "c"), "passage-quarters")
+    discard(halves, lost)
+    quarters = rows
     # Places with the same 37 words meet the first of them, as before; only where that fails, too, edits are spelled out.
     rows = rows.groupBy("key", "t", "c", "side").agg(F.max("open").alias("open"))
     keys = rows.groupBy("key").agg(F.min(F.struct("t", "c")).alias("head"), F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open")
     near = rows.join(keys.select("key", F.col("head.t").alias("u"), F.col("head.c").alias("u_c"), "n"), "key")
     near = materialize(near.select("key", "t", (F.col("c") - HALF).alias("a"), (F.col("c") + HALF).alias("b"), "c", "u", "u_c", "n", "side"), "passage-near")
+    discard(quarters)
     runs = materialize(runs.union(verified(near, bodies)), "passage-again")
     lost = materialize(unsettled(near, runs).select("key").distinct(), "passage-lost")
     wanted = near.join(lost, "key", "left_semi").groupBy("t").agg(F.collect_set(F.struct(F.col("c").alias("at"), "side", F.lit(True).alias("open"))).alias("wanted"))
@@ -652,6 +658,7 @@ def passages(docs: DataFrame) -> DataFrame:
     windows, equal = windows_of(named)
     heads = materialize(windows.groupBy("key", "same").agg(F.min(F.struct("t", "place")).alias("head")).select("key", "same", "head.t", "head.place"), "passage-heads")
     met = meetings(heads)
+    discard(heads)
     involved = materialize(met.select(F.col("t").alias("key")).distinct(), "passage-involved")
     bodies = named.mapInArrow(_bodies(_bitmap(involved, _bits(involved.count()))), "t long, body binary").dropDuplicates(["t"])
     bodies = materialize(bodies.join(involved, F.col("t") == F.col("key"), "left_semi"), "passage-bodies")
