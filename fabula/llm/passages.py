@@ -31,94 +31,30 @@ other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import BLOCK, MIX, Segments, mixed, word_hashes
 from .common import connected_components, discard, materialize
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
 TOKENS, HALF = PASSAGE - SHINGLE + 1, PASSAGE // 2
 FUNCTIONS, ENOUGH = 5, 2
-PIECE, BLOCK = 1 << 20, 1 << 18
+PIECE = 1 << 20
 BITMAP_BITS = 26
 AROUND = 2 * PASSAGE
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _RUNS = "t long, u long, first int, last int"
 
 
-@cache
-def _byte_values():
-    """A random-looking odd number for each byte; letters A-Z as a-z, white space zero."""
-    import numpy as np
-
-    out = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64), 5) | np.uint64(1)
-    out[[9, 10, 11, 12, 13, 32]] = 0
-    return out
-
-
-def word_hashes(text: bytes) -> tuple:
-    """(hash, first byte) of each word (split at ASCII white space, lower case), from prefix sums over the bytes."""
-    import numpy as np
-
-    hashes, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    while at < len(text):
-        end = at + BLOCK
-        while end < len(text) and text[end - 1] not in b" \t\n\r\x0b\x0c":  # blocks end with white space
-            end += 1
-        values = _byte_values()[np.frombuffer(text[at:end], np.uint8)]
-        edges = np.flatnonzero(np.diff(values != 0, prepend=False, append=False))
-        begin, stop = edges[::2], edges[1::2]
-        hashes.append(_mixed(_Segments(values)(begin, stop - begin), 9))
-        begins.append(begin + at)
-        at = end
-    return np.concatenate(hashes), np.concatenate(begins)
-
-
-def _mixed(h, salt: int):
-    import numpy as np
-
-    out = (h ^ np.uint64(salt)) * np.uint64(_MIX[0])
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(_MIX[3])
-    return out ^ (out >> np.uint64(29))
-
-
-@cache
-def _powers(n: int) -> tuple:
-    """Powers 0 to n of an odd number and of its inverse, modulo 2 ** 64."""
-    import numpy as np
-
-    r, out = _MIX[0] | 1, []
-    for x in (r, pow(r, -1, 1 << 64)):
-        row = np.full(n + 1, x, np.uint64)
-        row[0] = 1
-        out.append(np.cumprod(row))
-    return tuple(out)
-
-
-class _Segments:
-    """Hashes of runs of values (bytes, words), of any length, from prefix sums."""
-
-    def __init__(self, h) -> None:
-        import numpy as np
-
-        powers, self.inverse = _powers(1 << max(12, len(h).bit_length()))
-        self.sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * powers[: len(h)], out=self.sums[1:])
-
-    def __call__(self, at, size):
-        return (self.sums[at + size] - self.sums[at]) * self.inverse[at]
-
-
 def shingles(h):
     """Hash of every run of five words."""
     import numpy as np
 
     out = np.full(max(0, len(h) - SHINGLE + 1), 1, np.uint64)
     for i in range(SHINGLE if len(out) else 0):
-        out = (out ^ h[i : i + len(out)]) * np.uint64(_MIX[0])
+        out = (out ^ h[i : i + len(out)]) * np.uint64(MIX[0])
         out ^= out >> np.uint64(29)
     return out
 
@@ -175,7 +111,7 @@ def compact_windows(texts: Texts, tokens, function: int) -> tuple:
     import numpy as np
 
     bits = np.uint64((1 << 24) - 1)
-    low = (_mixed(tokens, _MIX[1] + function) & ~bits) | np.arange(len(tokens), dtype=np.uint64)
+    low = (mixed(tokens, MIX[1] + function) & ~bits) | np.arange(len(tokens), dtype=np.uint64)
     width = 1
     while width * 2 <= TOKENS:
         low = np.minimum(low[:-width], low[width:])
@@ -184,7 +120,7 @@ def compact_windows(texts: Texts, tokens, function: int) -> tuple:
     centre = (np.minimum(low[: len(low) - rest], low[rest:])[texts.starts] & bits).astype(np.int64)
     first = np.flatnonzero(np.diff(centre, prepend=-1))
     c = centre[first]
-    return texts.starts[first], texts.starts[np.append(first[1:], len(centre)) - 1], c, _mixed(tokens[c], _MIX[2] + function).view(np.int64)
+    return texts.starts[first], texts.starts[np.append(first[1:], len(centre)) - 1], c, mixed(tokens[c], MIX[2] + function).view(np.int64)
 
 
 def signatures(texts: Texts) -> list[tuple]:
@@ -207,7 +143,7 @@ def composite_windows(windows: list[tuple], chosen: list) -> list:
             n = np.maximum(n - first, 0)
             i = np.repeat(np.arange(len(a)), n)
             j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]
-            both = _mixed(key[i].view(np.uint64) + _mixed(key2[j].view(np.uint64), f * FUNCTIONS + g), 7).view(np.int64)
+            both = mixed(key[i].view(np.uint64) + mixed(key2[j].view(np.uint64), f * FUNCTIONS + g), 7).view(np.int64)
             for x, y in zip(out, (both, np.maximum(a[i], a2[j]), np.minimum(b[i], b2[j]), c[i]), strict=True):
                 x.append(y)
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
@@ -242,7 +178,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def rows():
         for texts in together(batches):
             for _, _, c, key in signatures(texts):
-                yield [key, (_mixed(texts.name(c).view(np.uint64), 3) + texts.local(c).view(np.uint64)).astype(np.uint32).view(np.int32)]
+                yield [key, (mixed(texts.name(c).view(np.uint64), 3) + texts.local(c).view(np.uint64)).astype(np.uint32).view(np.int32)]
 
     return _in_chunks(rows(), ["key", "place"])
 
@@ -288,7 +224,7 @@ def _equal_rows(bitmap: bytes) -> Callable:
                 a, b, _, key = (x for x in compact_windows(texts, shingles(texts.h), 0))
                 hit = _in_bitmap(bitmap, key)
                 a, b = a[hit], b[hit]
-                same = _mixed(_Segments(texts.h)(a, b - a + PASSAGE) + (b - a).astype(np.uint64), 53).view(np.int64)
+                same = mixed(Segments(texts.h)(a, b - a + PASSAGE) + (b - a).astype(np.uint64), 53).view(np.int64)
                 yield [same, texts.name(a), (texts.local(a) << 16) | ((b - a) << 8)]
 
         return _in_chunks(rows(), ["same", "t", "place"])
@@ -320,7 +256,7 @@ def _window_rows(bitmap: bytes, others: bytes, kept: bytes) -> Callable:
                 new = news[b + 1] > news[a]
                 key, a, b, c = key[new], a[new], b[new], c[new]
                 if len(key):
-                    same = _mixed(_Segments(texts.h)(a, b - a + PASSAGE) + _mixed(key.view(np.uint64), 47), 53).view(np.int64)
+                    same = mixed(Segments(texts.h)(a, b - a + PASSAGE) + mixed(key.view(np.uint64), 47), 53).view(np.int64)
                     yield [key, same, texts.name(a), (texts.local(a) << 16) | ((b - a) << 8) | (c - a)]
 
         return _in_chunks(rows(), ["key", "same", "t", "place"])
@@ -347,7 +283,7 @@ def _bodies(bitmap: bytes) -> Callable:
 def _words(body: bytes):
     import numpy as np
 
-    return _mixed(np.frombuffer(body, "<u4").astype(np.uint64), 3)
+    return mixed(np.frombuffer(body, "<u4").astype(np.uint64), 3)
 
 
 def similar_starts(lanes: list[tuple]) -> list:
@@ -441,13 +377,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _in_chunks(rows(), ["t", "u", "first", "last"])
 
 
-class _Segments:
+class Segments:
     """Hashes of runs of a text's words, of any length, from prefix sums."""
 
     def __init__(self, h) -> None:
         import numpy as np
 
-        r = _MIX[0] | 1
+        r = MIX[0] | 1
         powers, inverse = np.full(len(h), r, np.uint64), np.full(len(h) + 1, pow(r, -1, 1 << 64), np.uint64)
         powers[:1], inverse[0] = 1, 1
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers))])
@@ -459,7 +395,7 @@ class _Segments:
 
 def _half_keys(h, at, side: int):
     """The half that is equal: the first (side 0) or the second one of the passages that begin at `at`."""
-    return _mixed(h(at + side * HALF, HALF), 11 + side)
+    return mixed(h(at + side * HALF, HALF), 11 + side)
 
 
 def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +405,7 @@ def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for batch in batches:
             for t, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                h, mark = _Segments(_words(body.as_py())), {}
+                h, mark = Segments(_words(body.as_py())), {}
                 for w in wanted.as_py():
                     for i in range(w["a"], w["b"] + 1):
                         mark[i] = mark.get(i, False) or w["open"]
@@ -487,7 +423,7 @@ def _by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     for batch in batches:
         for t, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            h, where = _Segments(_words(body.as_py())), wanted.as_py()
+            h, where = Segments(_words(body.as_py())), wanted.as_py()
             for side in (0, 1):
                 mark: dict = {}
                 for w in where:
@@ -508,7 +444,7 @@ def _quarter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             same, n = _half_keys(h, at, side), HALF // 2
             near, far = (HALF, (PASSAGE - n - 1, PASSAGE - n)) if side == 0 else (HALF - n, (0, 1))
             for offset, salt in ((near, 37), (far[0], 41), (far[1], 41)):
-                key = _mixed(same + _mixed(h(at + offset, n), salt), 43).view(np.int64)
+                key = mixed(same + mixed(h(at + offset, n), salt), 43).view(np.int64)
                 yield [key, np.full(len(at), t, np.int64), at.astype(np.int32), np.full(len(at), side, np.int8), is_open]
 
     return _in_chunks(rows(), ["key", "t", "at", "side", "open"])
@@ -529,9 +465,9 @@ def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left = h(rest, hole)
                 right = h(rest + hole + 1, HALF - 1 - hole)
                 # The words after the gap, moved back by one place: the hash of the 24 words without it.
-                joined = left + right * np.uint64(pow(_MIX[0] | 1, hole, 1 << 64))
+                joined = left + right * np.uint64(pow(MIX[0] | 1, hole, 1 << 64))
                 outer = hole == (0 if side else HALF - 1)
-                for key, edge in ((_mixed(same + _mixed(_mixed(left, 13) ^ _mixed(right, 17 + hole), 19), 23), True), (_mixed(same + _mixed(joined, 29), 31), outer)):
+                for key, edge in ((mixed(same + mixed(mixed(left, 13) ^ mixed(right, 17 + hole), 19), 23), True), (mixed(same + mixed(joined, 29), 31), outer)):
                     yield [key.view(np.int64), np.full(len(at), t, np.int64), at.astype(np.int32), np.full(len(at), edge, bool)]
 
     return _in_chunks(rows(), ["key", "t", "at", "edge"])

@@ -7,66 +7,165 @@ pattern's posterior is the soft label of its documents. A linear scorer on hashe
 shapes is then fitted to soft labels of a bounded sample (`fit_rows` documents, in the order of a
 seeded hash) and scores every document; documents below `threshold` are rejected.
 
+Texts are measured in Arrow batches, some hundred kilobytes at a time (a longer text alone), as arrays over their bytes and words; votes and scores need
+a pass each, as the scorer is fitted on what the votes say of all documents. Capitals are those of Latin-1.
+
 Defined results: a null or blank text gets no votes and no features, so the intercept is its score; repeated rows
-each get a row; a table with too few documents to fit (none, or one soft label throughout) is scored by its posteriors; other columns are ignored.
+each get a row; a table with too few documents to fit (none, or one soft label throughout) is scored by its posteriors; ties in the order of the sample fall on rows with equal text and id, of which one is fitted; other columns,
+whatever their names, are carried along.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from collections.abc import Callable, Iterator
+from functools import cache
 
-from pyspark.ml import Pipeline
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import materialize, word_array
+from .arrays import Segments, byte_values, mixed, word_hashes
+from .common import materialize
 
 FIT_ROWS = 5_000
 BUCKETS = 1 << 13
 #: Frequent function words of the four languages.
 COMMON = "the of and to in is that it for on with as are this be at by an or le la les de des et un une en que qui dans pour du est au avec sur par der die und das von ist mit den des ein eine auf für nicht im dem el los del las por con para una su al se no es y".split()
+LABELLERS = ("symbols", "upper", "word_length", "marks", "repeats", "common", "sentences", "lines")
+_SYMBOLS, _MARKS, _CLOSING = b"#$%*&|!<>{}=~^_@\\/", b"|-*=>", b"\"')"
+
+
+class Measured:
+    """Words of several texts and what labellers look at, each measure an array over the texts."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        import numpy as np
+
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        begins = ends - [len(t) + 1 for t in texts]
+        among = lambda chars: np.isin(np.arange(256), list(chars))[data]
+
+        def per_text(mask):
+            total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+            return total[ends] - total[begins]
+
+        # Words, and their shapes: classes of letters and digits, runs cut to one.
+        edges = np.flatnonzero(np.diff(~among(b" \t\n\r\x0b\x0c"), prepend=False, append=False))
+        first, stop = edges[::2], edges[1::2]
+        self.words = mixed(Segments(byte_values()[data])(first, stop - first), 9)
+        kind = np.arange(256)
+        kind[65:91], kind[97:123], kind[48:58], kind[128:] = 65, 97, 48, 97
+        kind = kind[data]
+        kept = np.concatenate([[True], kind[1:] != kind[:-1]]) | ~np.isin(kind, (65, 97, 48))
+        place = np.concatenate([[0], np.cumsum(kept)])
+        self.shapes = mixed(Segments(mixed(kind[kept].astype(np.uint64), 6))(place[first], place[stop] - place[first]), 10)
+        bounds = np.searchsorted(first, np.append(begins, len(data)))
+        self.text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+
+        def per_word(mask):
+            return np.bincount(self.text[mask], minlength=len(texts))
+
+        self.n_words = np.diff(bounds)
+        n, chars = np.maximum(self.n_words, 1), np.maximum(per_text((data & 0xC0) != 0x80) - 1, 1)
+        capital = among(bytes(range(65, 91)))
+        capital[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[1:] != 0x97)  # of Latin-1
+        last = data[stop - 1]
+        closed = np.isin(last, list(_CLOSING)) & (stop - first > 1)
+        self.symbols, self.upper = per_text(among(_SYMBOLS)) / chars, per_text(capital) / chars
+        self.mean_word = chars / n
+        self.marks = per_word((stop - first == 1) & np.isin(data[first], list(_MARKS))) / n
+        _, once = np.unique(self.words + mixed(self.text.astype(np.uint64), 14), return_index=True)
+        self.distinct = np.bincount(self.text[once], minlength=len(texts)) / n
+        self.common = per_word(np.isin(self.words, common_hashes())) / n
+        self.ends = per_word(np.isin(np.where(closed, data[np.maximum(stop - 2, 0)], last), list(b".?"))) / n
+        edges = np.flatnonzero(np.diff(data != 10, prepend=False, append=False))
+        first, stop = edges[::2], edges[1::2]
+        line = mixed(Segments(mixed(data.astype(np.uint64), 8))(first, stop - first), 12)
+        owner = np.searchsorted(begins, first, "right") - 1
+        self.n_lines = np.bincount(owner, minlength=len(texts))
+        _, once = np.unique(line + mixed(owner.astype(np.uint64), 14), return_index=True)
+        self.distinct_lines = np.bincount(owner[once], minlength=len(texts)) / np.maximum(self.n_lines, 1)
+
+    def votes(self) -> list[str]:
+        """For each text its votes, comma-joined: 1 good, -1 bad, 0 none; texts of fewer than eight words get none."""
+        import numpy as np
+
+        no = np.zeros(len(self.n_words), bool)
+        table = [
+            (self.symbols > 0.10, no),
+            (self.upper > 0.35, no),
+            ((self.mean_word < 2.5) | (self.mean_word > 14), no),
+            (self.marks > 0.15, no),
+            ((self.distinct < 0.25) & (self.n_words > 30), no),
+            (self.common < 0.03, self.common > 0.10),
+            ((self.ends < 0.004) & (self.n_words > 30), (self.ends >= 0.02) & (self.ends <= 0.30)),
+            ((self.distinct_lines < 0.4) & (self.n_lines > 5), no),
+        ]
+        rows = np.stack([np.where(self.n_words < 8, 0, np.where(bad, -1, good.astype(int))) for bad, good in table], 1)
+        return [",".join(map(str, r)) for r in rows.tolist()]
+
+    def features(self) -> tuple:
+        """(text, bucket, value) of the counts of words and shapes by bucket, each text's of length 1."""
+        import numpy as np
+
+        tokens = np.concatenate([self.words, self.shapes]) >> np.uint64(64 - BUCKETS.bit_length() + 1)
+        key, n = np.unique(np.concatenate([self.text, self.text]) * BUCKETS + tokens.astype(np.int64), return_counts=True)
+        text = key // BUCKETS
+        return text, key % BUCKETS, n / np.sqrt(np.bincount(text, n * n.astype(float), len(self.n_words)))[text]
+
+
+@cache
+def common_hashes():
+    import numpy as np
+
+    return np.concatenate([word_hashes(w.encode())[0] for w in COMMON])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, Measured]]:
+    """Rows whose last column is a text, some texts at a time, with their measures."""
+    for batch in batches:
+        texts, at = batch.column(batch.num_columns - 1).cast(pa.binary()), 0
+        while at < batch.num_rows:
+            kept, n, first = [], 0, at
+            while at < batch.num_rows and n < least:
+                kept.append(texts[at].as_py() or b"")
+                n += len(kept[-1]) + 1
+                at += 1
+            yield batch.slice(first, at - first), Measured(kept)
+
+
+def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, found in _parts(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.votes())], ["doc_id", "h", "votes"])
+
+
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    for batch, found in _parts(batches):
+        text, bucket, value = found.features()
+        cut = np.searchsorted(text, np.arange(1, batch.num_rows))
+        lists = [pa.array([x.tolist() for x in np.split(c, cut)], pa.list_(k)) for c, k in ((bucket, pa.int32()), (value, pa.float64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["posterior", "at", "value"])
+
+
+def _score_rows(weights: bytes, intercept: float) -> Callable:
+    """(row, votes, score) of rows (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        w = np.frombuffer(weights)
+        for batch, found in _parts(batches):
+            text, bucket, value = found.features()
+            score = 1 / (1 + np.exp(-np.bincount(text, w[bucket] * value, batch.num_rows) - intercept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.votes()), pa.array(score)], ["row", "votes", "score"])
 
-def text_measures(docs: DataFrame) -> DataFrame:
-    """docs with the measures that labellers look at, over whole texts."""
-    text, words = F.coalesce("text", F.lit("")), F.col("words")
-    n = F.greatest(F.size(words), F.lit(1))
-    chars = F.greatest(F.length(text), F.lit(1))
-    out = docs.withColumn("words", word_array(F.col("text")))
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    return out.select(
-        "*",
-        F.size("words").alias("n_words"),
-        ((F.length(text) - F.length(F.regexp_replace(text, r"[#$%*&|!<>{}=~^_@\\/]+", ""))) / chars).alias("symbols"),
-        ((F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))) / chars).alias("upper"),
-        (chars / n).alias("mean_word"),
-        (F.size(F.filter(words, lambda w: w.isin("|", "-", "*", "=", ">"))) / n).alias("marks"),
-        (F.size(F.array_distinct(words)) / n).alias("distinct"),
-        (F.size(F.filter(words, lambda w: F.lower(w).isin(COMMON))) / n).alias("common"),
-        (F.size(F.filter(words, lambda w: w.rlike(r"[.?][\"')]*$"))) / n).alias("ends"),
-        F.size(lines).alias("n_lines"),
-        (F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))).alias("distinct_lines"),
-    )
-
-
-def labellers() -> dict[str, Column]:
-    """Votes: 1 good, -1 bad, 0 none."""
-    c = F.col
-    long = c("n_words") >= 8
-    vote = lambda bad, good=None: F.when(~long, 0).when(bad, -1).when(good if good is not None else F.lit(False), 1).otherwise(0)
-    return {
-        "symbols": vote(c("symbols") > 0.10),
-        "upper": vote(c("upper") > 0.35),
-        "word_length": vote((c("mean_word") < 2.5) | (c("mean_word") > 14)),
-        "marks": vote(c("marks") > 0.15),
-        "repeats": vote((c("distinct") < 0.25) & (c("n_words") > 30)),
-        "common": vote(c("common") < 0.03, c("common") > 0.10),
-        "sentences": vote((c("ends") < 0.004) & (c("n_words") > 30), c("ends").between(0.02, 0.30)),
-        "lines": vote((c("distinct_lines") < 0.4) & (c("n_lines") > 5)),
-    }
+    return run
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list, dict]:
@@ -94,16 +193,6 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
     return share, tables, {tuple(p): float(g) for (p, _), g in zip(patterns, good, strict=True)}
 
 
-def features() -> Pipeline:
-    return [HashingTF(inputCol="tokens", outputCol="counts", numFeatures=BUCKETS), Normalizer(inputCol="counts", outputCol="features", p=2.0)]
-
-
-def with_tokens(df: DataFrame) -> DataFrame:
-    """tokens: the words, lower case, and their shapes (letters and digits as classes, runs cut to one)."""
-    shape = lambda w: F.concat(F.lit("\x01"), F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\d+", "0"))
-    return df.withColumn("tokens", F.concat(F.transform("words", F.lower), F.transform("words", shape)))
-
-
 def quality(docs: DataFrame, **options) -> DataFrame:
     """docs with posterior (of its votes), score (of the linear scorer, 0 to 1) and keep, which take the place of columns so named."""
     new = ("posterior", "score", "keep")
@@ -112,39 +201,29 @@ def quality(docs: DataFrame, **options) -> DataFrame:
 
 def judged(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.5, seed: int = 42) -> DataFrame:
     """(row, posterior, score, keep): row is the struct of a document's own columns."""
-    names = list(labellers())
-    base = docs.select("doc_id", "text")
-    voted = text_measures(base).select("doc_id", F.xxhash64("text").alias("h"), F.concat_ws(",", *[v.cast("string") for v in labellers().values()]).alias("votes"))
-    voted = materialize(voted, "quality-votes")
+    base = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("h"), docs["text"].alias("text"))
+    kind = StructType([base.schema["doc_id"], base.schema["h"], StructField("votes", StringType())])
+    voted = materialize(base.mapInArrow(_vote_rows, kind), "quality-votes")
     counts = [(tuple(map(int, r["votes"].split(","))), r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()]  # at most 3 ** labellers rows
-    assert len(counts) <= len(list(product((0, 1, 2), repeat=len(names))))
+    assert len(counts) <= 3 ** len(LABELLERS)
     _, _, posterior = estimate(sorted(counts))
     spark = docs.sparkSession
     soft = spark.createDataFrame([(",".join(map(str, p)), g) for p, g in posterior.items()], "votes string, posterior double")
     sample = voted.select("doc_id", "h", "votes", F.xxhash64(F.lit(seed), "doc_id", "h").alias("order")).orderBy("order").limit(fit_rows)
     sample = sample.join(F.broadcast(soft), "votes").groupBy("doc_id", "h").agg(F.first("posterior").alias("posterior"))
-    picked = base.withColumn("h", F.xxhash64("text")).join(F.broadcast(sample.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "posterior")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
-    lexical = with_tokens(picked.dropDuplicates(["doc_id", "h"]).withColumn("words", word_array(F.col("text"))))
-    stages = features()
-    table = lexical.select("tokens", "posterior")
-    for t in stages:
-        table = t.transform(table)
-    table = materialize(table.select("features", "posterior"), "quality-fit")
-    rows = table.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("w")))).alias("e"))
+    picked = base.join(F.broadcast(sample.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "posterior")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    table = picked.dropDuplicates(["doc_id", "h"]).select("posterior", "text").mapInArrow(_feature_rows, "posterior double, at array<int>, value array<double>")
+    table = materialize(table, "quality-fit")  # fit_rows rows at most
+    vector = F.udf(lambda at, value: Vectors.sparse(BUCKETS, at, value), VectorUDT())
+    rows = table.select(vector("at", "value").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("w")))).alias("e"))
     rows = rows.select("features", "e.label", "e.w").where("w > 1e-6").persist()
-    weights = F.broadcast(soft)
-    if rows.select("label").distinct().count() < 2:
-        votes = voted.dropDuplicates(["doc_id", "h"]).join(weights, "votes").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "posterior")
-        scored = docs.select(F.struct("*").alias("row")).join(votes, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("g")))
-        scored = scored.select("row", "posterior", F.col("posterior").alias("score"))
-        rows.unpersist()
-        return scored.withColumn("keep", F.col("score") >= threshold)
-    model = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=25, probabilityCol="p").fit(rows)
+    whole = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))
+    fits = rows.select("label").distinct().count() == 2
+    weights, intercept = bytes(8 * BUCKETS), 0.0
+    if fits:
+        model = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=25).fit(rows)
+        weights, intercept = model.coefficients.toArray().tobytes(), float(model.intercept)
     rows.unpersist()
-    out = text_measures(docs.select(F.struct("*").alias("row"), "text"))
-    out = with_tokens(out.withColumn("votes", F.concat_ws(",", *[v.cast("string") for v in labellers().values()])))
-    for t in [*stages, model]:
-        out = t.transform(out)
-    scored = out.select("row", "votes", vector_to_array("p")[1].alias("score"))
-    scored = scored.join(weights, "votes", "left").select("row", "posterior", "score")
-    return scored.withColumn("keep", F.col("score") >= threshold)
+    out = whole.mapInArrow(_score_rows(weights, intercept), StructType([whole.schema["row"], StructField("votes", StringType()), StructField("score", DoubleType())]))
+    out = out.join(F.broadcast(soft), "votes", "left").select("row", "posterior", "score" if fits else F.col("posterior").alias("score"))
+    return out.withColumn("keep", F.col("score") >= threshold)

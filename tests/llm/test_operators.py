@@ -257,7 +257,7 @@ def test_compact_windows_hold_each_passage_once():
                 assert i <= c <= i + 45
                 # The same smallest token has the same key, whatever stands around it.
                 assert keys.setdefault(tokens[c], key) == key
-                order = passages._mixed(tokens[i : i + 46], passages._MIX[1] + f) >> np.uint64(24)
+                order = passages.mixed(tokens[i : i + 46], passages.MIX[1] + f) >> np.uint64(24)
                 assert order.argmin() + i == c
         assert seen == want
 
@@ -414,3 +414,35 @@ def test_secrets_in_common_forms(spark):
     assert {(r.doc_id, r.candidate) for r in got if r.doc_id < 100 and r.is_secret} == set(want)
     assert all(r.label == 1 for r in got if r.doc_id < 100)
     assert {r.label for r in got if r.doc_id >= 100 and len(r.candidate) == 24} == {None}
+
+
+def test_quality_votes_by_a_plain_version():
+    rng = random.Random(41)
+    parts = ["the", "und", "la", "Ende.", 'said?"', "|", "-", "=", "x", "ÉTÉ", "Größe", "ab12C", "$$$", "#tag", "WORD", "\n", "\n\n", "\t", "eines", "(ok.)", "日本"]
+    texts = ["", " \n ", "a", *[" ".join(rng.choice(parts[rng.randint(0, 9) : rng.randint(10, 21)]) for _ in range(rng.choice([3, 9, 40, 200]))) for _ in range(300)], "line one.\n" * 9]
+    want = []
+    for t in texts:
+        w, lines = t.split(), [x for x in t.split("\n") if x]
+        n, chars = max(len(w), 1), max(len(t), 1)
+        share = lambda hit: sum(map(bool, map(hit, w))) / n
+        symbols, upper = len(re.findall(r"[#$%*&|!<>{}=~^_@\\/]", t)) / chars, sum(c.isupper() for c in t) / chars
+        marks, common, ends = share(lambda x: x in "|-*=>"), share(lambda x: x.lower() in quality.COMMON), share(lambda x: re.search(r"[.?][\"')]?$", x))
+        distinct, lone = len({x.lower() for x in w}) / n, len(set(lines)) / max(len(lines), 1)
+        bad = [symbols > 0.1, upper > 0.35, chars / n < 2.5 or chars / n > 14, marks > 0.15, distinct < 0.25 and len(w) > 30, common < 0.03, ends < 0.004 and len(w) > 30, lone < 0.4 and len(lines) > 5]
+        good = {5: common > 0.1, 6: 0.02 <= ends <= 0.3}
+        want.append(",".join(str(0 if len(w) < 8 else -1 if b else int(good.get(k, False))) for k, b in enumerate(bad)))
+    data = [t.encode() for t in texts]
+    assert quality.Measured(data).votes() == want == [v for t in data for v in quality.Measured([t]).votes()]
+    text, bucket, value = quality.Measured(data).features()
+    alone = [quality.Measured([t]).features() for t in data]
+    assert [x for k, f in enumerate(alone) for x in zip([k] * len(f[0]), f[1].tolist(), f[2].round(9).tolist(), strict=True)] == list(zip(text.tolist(), bucket.tolist(), value.round(9).tolist(), strict=True))
+    # As many buckets at most as there are words and shapes; "Ab" and "Cd" have one shape.
+    assert len(quality.Measured([b"Abx Cdy"]).features()[0]) == 3
+
+
+def test_quality_separates_the_labelled_documents(spark):
+    table = "/root/testdata/sf0.01/{}.parquet"
+    got = quality.quality(spark.read.parquet(table.format("documents"))).join(spark.read.parquet(table.format("labels")), "doc_id").select("score", "keep", "quality").collect()
+    good, bad = ([r for r in got if r.quality == q] for q in (1, 0))
+    auc = sum((g.score > b.score) + 0.5 * (g.score == b.score) for g in good for b in bad) / (len(good) * len(bad))
+    assert auc > 0.99 and sum(g.keep for g in good) > 0.97 * len(good) and sum(b.keep for b in bad) < 0.1 * len(bad)
