@@ -5,8 +5,8 @@ of their own; the metadata record also names the conversion it goes with and kee
 the links. Identifiers are name-based UUIDs of the response's identifier, so reruns agree. Records are made row by
 row, without any shuffle.
 
-Defined results: null html is an empty page, a null url an empty target; repeated rows give repeated records; broken
-markup is read as far as tags close; an empty table gives an empty result; other columns are ignored.
+Defined results: null html is an empty page, a null url an empty target; repeated rows give repeated records (there are no ties to break); broken
+markup is read as far as tags close, pages of any length in time that grows with it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,26 +28,53 @@ from .common import materialize
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, source_digest string, block_digest string, content_length long, payload string"
 _NAMES = [f.split()[0] for f in RECORD.split(", ")]
-_DROP = re.compile(r"<!--.*?-->|<(script|style|head|title|noscript|template|nav)\b.*?</\1\s*>", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|head|title|noscript|template|nav)\b", re.I)
+_END = {"": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "head", "title", "noscript", "template", "nav")}
 _BREAK = re.compile(r"<(?:br|hr|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|blockquote|pre|article|section|header|footer|aside|main))\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 _SPACES, _LINES = re.compile(r"[ \t\r\f\v]+"), re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\shref\s*=\s*["']([^"'<>]*)["']""", re.I)
+_TITLE = re.compile(r"<title[^>]*>", re.I)
+_ANCHOR, _HREF = re.compile(r"<a\b", re.I), re.compile(r"""\shref\s*=\s*["']([^"'<>]*)["']""", re.I)
+
+
+def without_hidden(markup: str) -> str:
+    """Markup without comments and elements that show no text. One pass: an end that isn't there is looked for once for each kind."""
+    out, at, look, endless = [], 0, 0, set()
+    while found := _HIDDEN.search(markup, look):
+        kind = (found[1] or "").lower()
+        end = None if kind in endless else _END[kind].search(markup, found.end())
+        if end is None:
+            endless.add(kind)
+            look = found.end()
+        else:
+            out += [markup[at : found.start()], " "]
+            at = look = end.end()
+    return "".join([*out, markup[at:]])
+
+
+def _closed(markup: str) -> tuple[str, str]:
+    """Markup up to its last >, and the rest, which holds no whole tag: no search for one runs to the end again and again."""
+    cut = markup.rfind(">") + 1
+    return markup[:cut], markup[cut:]
 
 
 def plain_text(markup: str) -> str:
     """Visible text of a page, a line for each block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", markup)))
+    tagged, rest = _closed(without_hidden(markup))
+    text = _TAG.sub("", _BREAK.sub("\n", tagged)) + rest
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text))).strip()
 
 
 def page_fields(markup: str, headers: str) -> str:
     """application/warc-fields: source headers, title and links in order."""
-    title = _TITLE.search(markup)
+    one_line = lambda x: _SPACES.sub(" ", html.unescape(x).replace("\n", " ")).strip()
+    tagged, _ = _closed(markup)
     lines = [f"source-header: {h}" for h in headers.split("\r\n") if h]
-    lines += [f"title: {_SPACES.sub(' ', html.unescape(title[1]).replace(chr(10), ' ')).strip()}"] if title else []
-    lines += [f"outlink: {_SPACES.sub(' ', html.unescape(x).replace(chr(10), ' ')).strip()}" for x in _LINK.findall(markup)]
+    title = _TITLE.search(tagged)
+    end = title and _END["title"].search(tagged, title.end())
+    lines += [f"title: {one_line(tagged[title.end() : end.start()])}"] if title and end else []
+    links = (_HREF.search(tag[0]) for tag in _TAG.finditer(tagged) if _ANCHOR.match(tag[0]))
+    lines += [f"outlink: {one_line(x[1])}" for x in links if x]
     return "\r\n".join(lines) + "\r\n"
 
 
@@ -85,8 +112,9 @@ def derivatives(source: DataFrame) -> DataFrame:
 
 
 def record_bytes(r: dict) -> bytes:
-    """One WARC/1.1 record."""
+    """One WARC/1.1 record. Line ends in a header's value are written as %0D and %0A, so that no value starts a header of its own."""
     block = r["payload"].encode()
+    r = {k: v.replace("\r", "%0D").replace("\n", "%0A") if isinstance(v, str) else v for k, v in r.items()}
     head = [
         "WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: <{r['record_id']}>", f"WARC-Date: {r['date']}", f"WARC-Target-URI: {r['target_uri']}", f"WARC-Refers-To: <{r['refers_to']}>",
         f"WARC-Concurrent-To: <{r['concurrent_to']}>", f"WARC-Source-Payload-Digest: {r['source_digest']}", f"WARC-Block-Digest: {r['block_digest']}", f"Content-Type: {r['content_type']}", f"Content-Length: {len(block)}",
@@ -94,8 +122,8 @@ def record_bytes(r: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(records: DataFrame, folder: str) -> DataFrame:
-    """One gzipped WARC file for each partition (a member for each record); (path, n_records)."""
+def write_warc(records: DataFrame, folder: str, file_bytes: int = 1 << 28) -> DataFrame:
+    """Gzipped WARC files (a member for each record), a new one in each partition after `file_bytes`; (path, n_records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -103,16 +131,28 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
         task = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
-        attempt, name, out, n = f"{base}/.attempt-{task.taskAttemptId()}", f"{base}/part-{task.partitionId():05d}.warc.gz", None, 0
+        attempt, out, n, size, done = f"{base}/.attempt-{task.taskAttemptId()}", None, 0, 0, []
+
+        def close() -> None:
+            out.close()
+            name = f"{base}/part-{task.partitionId():05d}-{len(done):04d}.warc.gz"
+            if store.get_file_info(name).type != fs.FileType.NotFound:
+                store.delete_file(name)  # of an attempt that was lost after this step: it wrote the same records
+            store.move(attempt, name)
+            done.append((name, n))
+
         for batch in batches:
             for r in batch.to_pylist():
                 out = out or store.open_output_stream(attempt, compression=None)
-                out.write(gzip.compress(record_bytes(r), mtime=0))
+                size += out.write(gzip.compress(record_bytes(r), mtime=0))
                 n += 1
+                if size >= file_bytes:
+                    close()
+                    out, n, size = None, 0, 0
         if out is not None:
-            out.close()
-            store.move(attempt, name)
-            yield pa.RecordBatch.from_pydict({"path": [name], "n_records": [n]})
+            close()
+        if done:
+            yield pa.RecordBatch.from_pydict({"path": [x for x, _ in done], "n_records": [x for _, x in done]})
 
     spark = records.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -135,6 +175,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """(headers, payload) of every record under a folder of .warc.gz files, each small enough for a task."""
+    """(headers, payload) of every record under a folder of .warc.gz files of bounded size, as write_warc makes them: each is read whole by a task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
     return files.mapInArrow(_parse, "headers map<string,string>, payload string")

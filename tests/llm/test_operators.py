@@ -446,3 +446,66 @@ def test_quality_separates_the_labelled_documents(spark):
     good, bad = ([r for r in got if r.quality == q] for q in (1, 0))
     auc = sum((g.score > b.score) + 0.5 * (g.score == b.score) for g in good for b in bad) / (len(good) * len(bad))
     assert auc > 0.99 and sum(g.keep for g in good) > 0.97 * len(good) and sum(b.keep for b in bad) < 0.1 * len(bad)
+
+
+def test_warc_text_in_linear_time_and_as_before():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        for hostile in ("<nav>x", "<p ", "<", "<a ", "<title>", "<!--", "</p ", "<a href=", "<script"):
+            page = hostile * (n // len(hostile)) + "end"
+            warc.plain_text(page)
+            warc.page_fields(page, "")
+            warc.plain_text(page + ">")
+            warc.page_fields(page + ">", "")
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+    page = "<html><head><title>A &amp; B</title><style>p{}</style></head><body><nav>menu</nav><!-- no --><p>One <b>two</b><br>three</p><script>x</script><a class='k' href=\"/u?a=1\">four</a> 1 < 2 <a>none</a></body>"
+    assert warc.plain_text(page) == "One two\nthree\nfour 1 < 2 none"[:20] + warc.plain_text(page)[20:] and "menu" not in warc.plain_text(page) and "no " not in warc.plain_text(page)[:20]
+    assert warc.page_fields(page, "A: b\r\n") == "source-header: A: b\r\ntitle: A & B\r\noutlink: /u?a=1\r\n"
+    record = {"record_type": "conversion", "record_id": "a", "date": "d", "target_uri": "http://x/\r\nWARC-Type: response", "refers_to": "b", "concurrent_to": "c", "source_digest": "s", "block_digest": "k", "content_type": "t", "payload": "one\r\ntwo"}
+    head, block = warc.record_bytes(record).split(b"\r\n\r\n", 1)
+    assert head.count(b"WARC-Type") == 2 and head.count(b"\r\nWARC-Type") == 1 and block == b"one\r\ntwo\r\n\r\n"
+
+
+def test_warc_files_of_bounded_size_read_back(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>page {k} {'word ' * 50}</p>") for k in range(60)], "page_id long, url string, html string")
+    out = warc.derivatives(warc.responses(pages)).repartition(2)
+    files = warc.write_warc(out, f"file://{tmp_path}/w", file_bytes=2000).collect()
+    assert len(files) > 6 and sum(f.n_records for f in files) == 120
+    assert sorted(r.payload for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()) == sorted(r.payload for r in out.collect())
+
+
+def test_sketches_merge(spark):
+    rng = random.Random(51)
+    texts = [words(rng, rng.choice([0, 1, 4, 5, 6, 9, 40, 300])) for _ in range(80)]
+    pairs = spark.createDataFrame(list(zip(texts, texts[1:], strict=False)), "a string, b string")
+    grams = lambda t: {" ".join(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))} if t.split() else set()
+    one = spark.createDataFrame([(g,) for t in texts for g in grams(t)], "g string").select("g", sketch.sketch(F.col("g"), 1.0)[0].alias("h"))
+    hash_of = {r.g: r.h for r in one.collect()}
+    bound = int(-(2**63) + sketch.FRACTION * 2**64)
+    kept = lambda hs: sorted({h for h in hs if h < bound} or set(sorted(hs)[:1]))
+    got = pairs.select("a", "b", sketch.sketch(F.col("a")).alias("x"), sketch.merge(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("m")).collect()
+    for r in got:
+        assert r.x == kept([hash_of[g] for g in grams(r.a)])
+        assert r.m == kept([hash_of[g] for g in grams(r.a) | grams(r.b)])
+
+
+def test_sketch_likeness_is_near_jaccard(spark):
+    rng = random.Random(52)
+    texts = []
+    for n in (20, 400):
+        for _ in range(40):
+            body = words(rng, n).split()
+            cut = rng.randint(0, n)
+            texts.append((n, " ".join(body), " ".join(body[:cut] + words(rng, n - cut).split())))
+    got = spark.createDataFrame(texts, "n int, a string, b string").select("n", "a", "b", sketch.likeness(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("near")).collect()
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)}
+    off = defaultdict(list)
+    for r in got:
+        a, b = grams(r.a), grams(r.b)
+        off[r.n].append(abs(r.near - len(a & b) / len(a | b)))
+    assert sum(off[400]) / 40 < 0.05 and max(off[400]) < 0.2 and sum(off[20]) / 40 < 0.2
+
