@@ -27,14 +27,14 @@ BIN_BITS = 12
 SALT = 64
 
 
-def place_of(docs: DataFrame, seed: int = 42) -> Column:
+def place(doc_id: Column, text: Column, seed: int = 42) -> Column:
     """A document's place in the seeded order, 0 to 2 ** 60."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]), 4)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 4)
 
 
 def sizes(docs: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, source, size, place): words in the whole text, and the document's place in the seeded order."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place_of(docs, seed).alias("place"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place(docs["doc_id"], docs["text"], seed).alias("place"))
 
 
 def cyclic_weights(rank: Column) -> Column:

@@ -44,3 +44,26 @@ def test_stages_decide_on_each_row(spark, tmp_path):
     assert got(alone) == sorted([(1, text("a")), (1, item), (None, text("b")), (7, copy), (8, text("c")), (8, text("d")), (None, text("e"))], key=repr)
     clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert got(clean) == sorted((r for r in rows if r[1] != item), key=repr)
+
+
+def test_stages_with_clashing_names_nulls_and_empty_tables(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    text = lambda a: " ".join(f"{a}word{i}" for i in range(40))
+    item = text("item")
+    odd = ["_id", "_times", "_source", "_place", "row", "doc", "h", "all", "k", "s", "times", "place", "size", "rid", "key", "component", "posterior", "score", "keep", "votes", "start"]
+    bodies = [(1, text("a"), "x"), (1, item, "x"), (2, text("a"), "y"), (None, None, None), (None, "", "x"), (None, None, None), (3, text("c"), None), (3, text("c"), None), (4, text("d") * 400, "y"), (5, text("e"), "z")]
+    rows = [(*b, *[k] * len(odd)) for k, b in enumerate(bodies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` long" for c in odd))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table, n in ((docs, len(rows)), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            got = out.collect()
+            assert name == "token_ids" or out.columns == docs.columns
+            assert {"near_duplicates": 6, "decontamination": 9, "token_ids": 10}.get(name, len(got)) * bool(n) == len(got)
+            if name in ("near_duplicates", "decontamination"):
+                assert {tuple(r) for r in got} <= {tuple(r) for r in rows}
+            if name == "mixing":
+                assert all(tuple(r) in rows for r in got) and all(got.count(r) <= 3 for r in got)
+    texts = {r.text for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert texts >= {text("a"), item, text("c"), text("e")} and len(texts & {None, ""}) == 1
