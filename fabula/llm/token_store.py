@@ -5,7 +5,7 @@ to one payload file and then writes the index file beside it: both go to a name
 are renamed, so a task that runs again leaves the same files.
 
     shard-00007.bin   ids of the documents one after the other, little-endian unsigned integers of 2 bytes (vocabularies up to 65,536) or 4
-    shard-00007.idx   header of 8 little-endian u64: magic, version, bytes per id, keys, ids, levels, keys with null doc_id, 0;
+    shard-00007.idx   header of 8 little-endian u64: magic, version, bytes per id, keys, ids, levels, keys with null doc_id, seed of the keys' hash;
                       then for each level its number of 64-bit words, the words, and the ones before each word;
                       then by slot: fingerprint u32 of each key, offset u64, number of ids u64;
                       then in document order: doc_id i64, ordinal u32 (0, 1, ... among rows that repeat a doc_id)
@@ -13,17 +13,22 @@ are renamed, so a task that runs again leaves the same files.
 The index is minimal and perfect: a key's hash picks one bit on each level until it meets a set one, whose rank is the key's slot.
 Keys that collide on a level go on to the next. A lookup reads a few bits and one slot, and the stored fingerprint turns away foreign keys but for one in 2 ** 32.
 
+`shards.parquet` beside the shards names each one's first and last doc_id: `Store` leads a key to its shard by them. A doc_id repeated so often that it fills several shards
+is cut by the hash of its texts and found by counting on.
+
 Encoding: the tokenizers library encodes pieces of text, and each piece once per cache life: byte-level BPE of this
 vocabulary first cuts a text into words, numbers and marks (a single space goes with what follows it), so the ids of a text are
 those of its pieces. Texts with a special token's string or characters beyond Latin letters are encoded whole.
 
-Defined results: null text is empty (only the end id); null doc_id sorts first; repeated rows are stored each; an empty table writes no shard; other columns are ignored.
+Defined results: null text is empty (only the end id); null doc_id sorts first; repeated rows are stored each, ties of doc_id in the order of a hash of the text; a text of any length is one document; an empty table writes no shard; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -34,10 +39,11 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path, shuffle_partitions
 
 END_ID = 0
-MAGIC, VERSION = 0x5844495F4E454B54, 1
+MAGIC, VERSION = 0x5844495F4E454B54, 2
 LOAD = 2  # bits for each key on a level
 CACHE_PIECES = 800_000
-_SHARD = "shard int, path string, n_docs long, n_ids long"
+SHARD_BYTES = 1 << 28
+_SHARD = "shard int, path string, n_docs long, n_ids long, first long, last long, n_last long"
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 #: The pre-tokenizer's pattern (a fixed value of the vocabulary) on texts of the characters in _PLAIN, where it cuts alike.
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ \t\r\n{_LETTER}{_NUMBER}]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]+")
@@ -59,6 +65,16 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.cache: dict[str, bytes] = {}
+        self.piecewise = self._cuts_alike(tokenizer_path)
+
+    @staticmethod
+    def _cuts_alike(tokenizer_path: str) -> bool:
+        """Whether the tokenizer's file names the pre-tokenizer that _PIECE restates, no normalizer and no added token but _SPECIAL; else texts are encoded whole."""
+        with open(tokenizer_path, encoding="utf-8") as f:
+            said = json.load(f)
+        cut = said.get("pre_tokenizer") or {}
+        same = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        return same and not said.get("normalizer") and {t["content"] for t in said.get("added_tokens", [])} <= {_SPECIAL}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -67,7 +83,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if _SPECIAL in text or not _PLAIN.fullmatch(text):
+            if not self.piecewise or _SPECIAL in text or not _PLAIN.fullmatch(text):
                 yield self.whole([text])[0] + self.end
                 continue
             pieces, cache = _PIECE.findall(text), self.cache
@@ -89,11 +105,12 @@ def encoder_of(tokenizer_path: str) -> Encoder:
     return Encoder(tokenizer_path)
 
 
-def key_hash(ids, ordinals):
+def key_hash(ids, ordinals, seed: int = 0):
     """64-bit hashes of (doc_id, ordinal) keys."""
     import numpy as np
 
-    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ordinals.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = np.uint64(seed * MAGIC & (1 << 64) - 1) ^ ordinals.astype(np.uint64)
+    h = _stir(h) ^ ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return _stir(h)
 
 
@@ -159,13 +176,15 @@ def _index_bytes(ids: list[int | None], ordinals: list[int], lengths: list[int],
     nulls = sum(x is None for x in ids)  # they come first
     doc = np.array([-(2**63) if x is None else x for x in ids], np.int64)
     order, size = np.array(ordinals, np.uint32), np.array(lengths, np.uint64)
-    h = key_hash(doc, order + (np.arange(len(doc)) < nulls) * np.uint32(1 << 31))
+    seed, at = 0, order + (np.arange(len(doc)) < nulls) * np.uint32(1 << 31)
+    while len(np.unique(h := key_hash(doc, at, seed))) < len(doc):  # equal hashes would never part
+        seed += 1
     levels = build_levels(h)
     before = ranks(levels)
     slot = slots(levels, before, h)
     prints, offsets, n = np.zeros(len(h), "<u4"), np.zeros(len(h), "<u8"), np.zeros(len(h), "<u8")
     prints[slot], offsets[slot], n[slot] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.cumsum(size) - size, size
-    head = np.array([MAGIC, VERSION, width, len(h), int(size.sum()), len(levels), nulls, 0], "<u8").tobytes()
+    head = np.array([MAGIC, VERSION, width, len(h), int(size.sum()), len(levels), nulls, seed], "<u8").tobytes()
     parts = [np.array([len(w)], "<u8").tobytes() + w.tobytes() + b.astype("<u8").tobytes() for w, b in zip(levels, before, strict=True)]
     return b"".join([head, *parts, prints.tobytes(), offsets.tobytes(), n.tobytes(), doc.astype("<i8").tobytes(), order.astype("<u4").tobytes()])
 
@@ -183,7 +202,7 @@ class Shard:
         head = np.frombuffer(data, "<u8", 8)
         if int(head[0]) != MAGIC or int(head[1]) != VERSION:
             raise ValueError(f"{path}.idx is no index of this format")
-        self.width, n, self.n_ids, levels, self.nulls = (int(x) for x in head[2:7])
+        self.width, n, self.n_ids, levels, self.nulls, self.seed = (int(x) for x in head[2:8])
         self.levels, self.before, pos = [], [], 64
         for _ in range(levels):
             words = int(np.frombuffer(data, "<u8", 1, pos)[0])
@@ -201,7 +220,7 @@ class Shard:
         """Slots of keys, -1 where the shard holds no such key."""
         import numpy as np
 
-        h = key_hash(ids, ordinals + null * np.uint32(1 << 31))
+        h = key_hash(ids, ordinals + null * np.uint32(1 << 31), self.seed)
         at = slots(self.levels, self.before, h)
         good = (at >= 0) & (len(self.prints) > 0)
         good[good] = self.prints[at[good]] == (h[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -247,23 +266,60 @@ def _writer(folder: str, tokenizer_path: str) -> Callable:
         with store.open_output_stream(attempt + ".idx") as f:
             f.write(_index_bytes(ids, ordinals, lengths, encoder.dtype.itemsize))
         for end in (".bin", ".idx"):
+            if store.get_file_info(name + end).type != fs.FileType.NotFound:
+                store.delete_file(name + end)  # of an attempt that was lost on its way from here on: it wrote the same
             store.move(attempt + end, name + end)
         scheme = folder[: folder.index(base)] if base in folder else ""
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [scheme + name], "n_docs": [len(ids)], "n_ids": [sum(lengths)]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [scheme + name], "n_docs": [len(ids)], "n_ids": [sum(lengths)], "first": pa.array(ids[:1], pa.int64()), "last": pa.array(ids[-1:], pa.int64()), "n_last": [ordinals[-1] + 1]})
 
     return run
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer_path: str) -> DataFrame:
-    """Writes the shards; (shard, path, n_docs, n_ids, base): base is the number of ids in the shards before."""
+def write_store(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards and, beside them, the table of shards that Store.open reads: shard, path, n_docs, n_ids, first and last doc_id, n_last (rows of the
+    last one), and base, the number of ids in the shards before. A shard holds some `shard_bytes` of text, less in small tables."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    n = max(shuffle_partitions(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
     shards = materialize(dealt.mapInArrow(_writer(folder, tokenizer_path), _SHARD), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    shards = shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    shards.write.parquet(f"{folder}/shards.parquet")
+    return spark.read.schema(shards.schema).parquet(f"{folder}/shards.parquet")
+
+
+class Store:
+    """Keyed reader of all shards: the bounds of their ranges lead a key to its shard.
+
+    Rows that repeat a doc_id have ordinals over the whole store. They follow each other, so only a doc_id that ends a shard goes on in the next ones;
+    its ordinals there are moved by the rows before.
+    """
+
+    def __init__(self, shards: list) -> None:
+        key = lambda x: (x is not None, x or 0)
+        self.shards = sorted(shards, key=lambda r: r["shard"])
+        self.last = [key(r["last"]) for r in self.shards]
+        self.key, self.open_shards = key, {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Store:
+        return cls(spark.read.parquet(f"{folder}/shards.parquet").collect())  # a row for each shard
+
+    def lookup(self, doc_id: int | None, ordinal: int = 0):
+        """Ids of a document, None if there is none of this key."""
+        at = bisect_left(self.last, self.key(doc_id))
+        while at < len(self.shards) and self.key(self.shards[at]["first"]) <= self.key(doc_id):
+            row = self.shards[at]
+            if row["last"] != doc_id or ordinal < row["n_last"]:
+                shard = self.open_shards.setdefault(row["path"], None) or Shard(row["path"])
+                self.open_shards[row["path"]] = shard
+                return shard.lookup(doc_id, ordinal)
+            ordinal -= row["n_last"]
+            at += 1
+        return None
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

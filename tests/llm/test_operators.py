@@ -509,3 +509,18 @@ def test_sketch_likeness_is_near_jaccard(spark):
         off[r.n].append(abs(r.near - len(a & b) / len(a | b)))
     assert sum(off[400]) / 40 < 0.05 and max(off[400]) < 0.2 and sum(off[20]) / 40 < 0.2
 
+
+def test_store_leads_keys_to_their_shards(spark, tokenizer, tmp_path):
+    rows = [(k, f"text {k}") for k in range(200)] + [(50, f"again {k}") for k in range(300)] + [(None, f"none {k}") for k in range(3)] + [(50, "again 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    token_store.write_store(docs, f"file://{tmp_path}/many", tokenizer, shard_bytes=400)
+    store = token_store.Store.open(spark, f"file://{tmp_path}/many")
+    assert len(store.shards) > 8 and sum(r.first == r.last == 50 for r in store.shards) > 1
+    encoder = token_store.Encoder(tokenizer)
+    assert encoder.piecewise
+    ids = lambda t: next(encoder.encode([t]))
+    read = lambda *key: None if (x := store.lookup(*key)) is None else x.tobytes()
+    assert all(read(k) == ids(f"text {k}") for k in range(200) if k != 50)
+    assert sorted(read(50, n) for n in range(302)) == sorted(ids(t) for d, t in rows if d == 50)
+    assert sorted(read(None, n) for n in range(3)) == sorted(ids(f"none {k}") for k in range(3))
+    assert [read(50, 302), read(None, 3), read(200), read(-1), read(7, 1)] == [None] * 5
