@@ -524,3 +524,30 @@ def test_store_leads_keys_to_their_shards(spark, tokenizer, tmp_path):
     assert sorted(read(50, n) for n in range(302)) == sorted(ids(t) for d, t in rows if d == 50)
     assert sorted(read(None, n) for n in range(3)) == sorted(ids(f"none {k}") for k in range(3))
     assert [read(50, 302), read(None, 3), read(200), read(-1), read(7, 1)] == [None] * 5
+
+
+def test_secrets_precision_and_recall(spark):
+    """On held-out findings, and on strings that no rule labels, in neighbourhoods that the forest hasn't seen."""
+    rng = random.Random(61)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secret = ["a1" + "".join(rng.choice(x) for _ in range(38)) for x in (letters[:16], letters) for _ in range(40)]
+    word = lambda: rng.choice(["station", "under", "wonder", "hand", "light", "house", "water", "stone", "paper"])
+    plain = [f"{word()}{word()}{word()}{word()}{rng.randint(1, 99)}" for _ in range(40)] + [f"{word()}/{word()}/{word()}-{word()}/{word()}{rng.randint(1, 9)}" for _ in range(40)]
+    told = spark.createDataFrame([(10**9 + k, f"some words {x} and others") for k, x in enumerate(secret + plain)], "doc_id long, text string")
+    found = secrets.scan(docs.union(told)).cache()
+    got = {r.candidate: r for r in found.where("doc_id >= 1000000000").collect()}
+    assert all(got[x].label is None for x in secret)
+    caught, wrong = sum(got[x].is_secret for x in secret), sum(got[x].is_secret for x in plain if x in got)
+    assert caught >= 0.9 * len(secret) and caught / (caught + wrong) >= 0.9
+    half = F.pmod(F.xxhash64("candidate"), F.lit(2)) == 0
+    held = secrets.scan(docs, labelled=found.where(half & F.col("label").isNotNull())).where(~half & F.col("label").isNotNull()).collect()
+    right = sum(r.is_secret for r in held if r.label == 1)
+    assert right >= 0.9 * sum(r.label == 1 for r in held) and right >= 0.9 * sum(r.is_secret for r in held) and len(held) > 50
+
+
+def test_secrets_with_clashing_names_and_ties(spark):
+    names = ["candidate", "ordinal", "before", "after", "part", "label", "length", "vector", "p"]
+    rows = [(k % 3 or None, t, *["x"] * len(names)) for k, t in enumerate(["token = \"0a1b2c3d4e5f60718293\"", "abcdefghijklmnopqrst", None, "", "token = \"0a1b2c3d4e5f60718293\"", "abcdefghijklmnopqrst"])]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))).collect()
+    assert sorted((r.candidate, r.is_secret) for r in got) == [("0a1b2c3d4e5f60718293", True)] * 2 + [("abcdefghijklmnopqrst", False)] * 2
