@@ -22,9 +22,9 @@ LOGS = {
     "plan_quotas": _U + "SELECT CASE WHEN plan IN ('pro', 'enterprise') THEN plan ELSE 'starter' END AS plan_id, qd AS quota_daily, qm AS quota_monthly, count(*) AS n FROM planned GROUP BY ALL",
     "request_cost": _U + ", p(model, a, b, c) AS (VALUES ('standard', 3.0, 15.0, 0.3), ('large', 15.0, 75.0, 1.5), ('small', 1.0, 5.0, 0.1)) SELECT id, usage.model, round(CASE WHEN usage.model IS NULL THEN 0 ELSE (greatest(0, tokens * 100 - tokens * 30) * CAST(coalesce(a, 3.0) AS DOUBLE) + tokens * 30 * CAST(coalesce(c, 0.3) AS DOUBLE) + tokens * 10 * CAST(coalesce(b, 15.0) AS DOUBLE)) / 1000000 END, 6) AS cost FROM usage LEFT JOIN p ON p.model = usage.model",
     "overview_counters": _U + f"SELECT (SELECT count(*) FROM users) AS users, (SELECT count(*) FROM users WHERE plan IN ('pro', 'enterprise')) AS paying, count(*) FILTER (action LIKE 'analyze%') AS analyses, count(*) FILTER (action LIKE 'analyze%' AND ts >= {_NOW} - INTERVAL 7 DAY) AS analyses_7d, count(*) FILTER (action = 'comparison') AS comparisons, count(*) FILTER (action = 'comparison' AND ts >= {_NOW} - INTERVAL 7 DAY) AS comparisons_7d, count(*) FILTER (action = 'login' AND ts >= {_NOW} - INTERVAL 1 DAY) AS logins_24h, count(*) FILTER (action = 'login_failed' AND ts >= {_NOW} - INTERVAL 7 DAY) AS failed_7d FROM usage",
-    "daily_series_zero_fill": _U + ", r AS (SELECT user_id, action, CAST(ts AS DATE) AS day FROM usage WHERE user_id % 10 <> 3 OR tokens > 90), s AS (SELECT DISTINCT user_id, action, d.i AS back FROM r, (SELECT unnest(range(14)) AS i) d), g AS (SELECT user_id, action, day, count(*) AS n FROM r GROUP BY ALL) SELECT s.user_id, s.action, CAST(CAST(DATE '2024-01-31' - CAST(s.back AS INT) AS DATE) AS VARCHAR) AS day, coalesce(g.n, 0) AS n FROM s LEFT JOIN g ON g.user_id = s.user_id AND g.action = s.action AND g.day = DATE '2024-01-31' - CAST(s.back AS INT)",
+    "daily_series_zero_fill": _U + ", r AS (SELECT user_id, action, CAST(ts AS DATE) AS day FROM usage), s AS (SELECT DISTINCT user_id, action, d.i AS back FROM r, (SELECT unnest(range(14)) AS i) d), g AS (SELECT user_id, action, day, count(*) AS n FROM r GROUP BY ALL) SELECT s.user_id, s.action, CAST(CAST(DATE '2024-01-31' - CAST(s.back AS INT) AS DATE) AS VARCHAR) AS day, coalesce(g.n, 0) AS n FROM s LEFT JOIN g ON g.user_id = s.user_id AND g.action = s.action AND g.day = DATE '2024-01-31' - CAST(s.back AS INT)",
     "route_totals": _U + "SELECT model, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost_usd), 4) AS cost FROM usage WHERE action = 'analyze_llm' GROUP BY model",
-    "activity_feed": _U + ", r AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY ts DESC, id) AS k FROM usage WHERE action IN ('analyze_llm', 'comparison', 'login', 'login_failed')), f AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id) AS z FROM r WHERE k <= 30) SELECT action AS kind, id, f.user_id, coalesce(name, '—') AS name FROM f LEFT JOIN users ON users.user_id = f.user_id AND users.user_id % 7 <> 0 WHERE z <= 60",
+    "activity_feed": _U + ", r AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY ts DESC, id) AS k FROM usage WHERE action IN ('analyze_llm', 'comparison', 'login', 'login_failed')), f AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id) AS z FROM r WHERE k <= 30) SELECT action AS kind, id, f.user_id, coalesce(name, '—') AS name FROM f LEFT JOIN users ON users.user_id = f.user_id WHERE z <= 60",
     "user_rollup": _U + ", n AS (SELECT user_id FROM users ORDER BY user_id DESC LIMIT 500) SELECT n.user_id, count(u.id) FILTER (action LIKE 'analyze%') AS analyses, count(u.id) FILTER (action = 'comparison') AS comparisons, count(u.id) AS requests, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, round(coalesce(sum(cost_usd), 0), 4) AS cost FROM n LEFT JOIN usage u ON u.user_id = n.user_id GROUP BY n.user_id",
     "user_detail": _U + "SELECT user_id, action, rank, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, action ORDER BY ts DESC, id) AS rank FROM usage) WHERE rank <= 25",
     "spend_windows": _U + "SELECT " + ", ".join(f"count(*) FILTER ({c}) AS requests_{n}, CAST(coalesce(sum(tokens) FILTER ({c}), 0) AS BIGINT) AS tokens_{n}, round(coalesce(sum(cost_usd) FILTER ({c}), 0), 4) AS cost_{n}" for n, c in _SPANS) + " FROM usage",

@@ -25,8 +25,11 @@ def query(f: Query) -> Query:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both can write: under spark.checkpoint.dir, a temporary one only if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder where driver and executors both can write: under spark.checkpoint.dir, a temporary one only for a session on one machine that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
