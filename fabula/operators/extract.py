@@ -45,8 +45,8 @@ def modality_of(text: Column, words: tuple[str, ...]) -> Column:
     return F.least(F.lit(1.0), total)
 
 
-def nodes(segments: DataFrame, lexicon: Lexicon = FRENCH) -> DataFrame:
-    """(work_id, pos, total, node_id, segment_id, function_code, function_family, actants, vouloir, devoir, pouvoir, savoir, tension, phase, text_excerpt)."""
+def nodes(segments: DataFrame, lexicon: Lexicon = FRENCH, *keep: str) -> DataFrame:
+    """(work_id, pos, total, node_id, segment_id, function_code, function_family, actants, vouloir, devoir, pouvoir, savoir, tension, phase, text_excerpt), and the columns to keep."""
     text, pos, total = F.col("text"), F.col("pos"), F.col("total")
     names, families = (F.array(*[F.lit(p[i]) for p in lexicon.patterns]) for i in (0, 1))
     out = segments.withColumn("_p", pattern_of(text, lexicon))
@@ -54,7 +54,7 @@ def nodes(segments: DataFrame, lexicon: Lexicon = FRENCH) -> DataFrame:
         "work_id", "pos", "total", F.format_string("n%03d", pos + 1).alias("node_id"), "segment_id",
         F.get(names, F.col("_p")).alias("function_code"), F.get(families, F.col("_p")).alias("function_family"), F.slice("entities", 1, 6).alias("actants"),
         *[modality_of(text, words).alias(name) for name, words in lexicon.modalities],
-        tension_of(text, pos, total, lexicon).alias("tension"), phase_of(text, pos, total, lexicon).alias("phase"), F.substring(text, 1, 150).alias("text_excerpt"),
+        tension_of(text, pos, total, lexicon).alias("tension"), phase_of(text, pos, total, lexicon).alias("phase"), F.substring(text, 1, 150).alias("text_excerpt"), *keep,
     )
 
 
@@ -97,3 +97,8 @@ def rollup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per work: function sequence, distinct actants, tension profile and sizes."""
     per = profiles(nodes).join(edges.groupBy("work_id").agg(F.count("*").alias("n_edges")), "work_id", "left")
     return per.select("work_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.col("codes").alias("function_sequence"), F.array_distinct("actants").alias("distinct_actants"), F.col("tensions").alias("tension_profile"))
+
+
+def node_table(segments: DataFrame, lexicon: Lexicon = FRENCH) -> DataFrame:
+    """(work_id, sequence, function_code, phase, tension, word_count): nodes as a reader's table shows them, tension to two decimals."""
+    return nodes(segments, lexicon, "word_count").select("work_id", (F.col("pos") + 1).alias("sequence"), "function_code", "phase", F.round(F.round("tension", 9), 2).alias("tension"), "word_count")

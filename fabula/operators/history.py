@@ -183,3 +183,20 @@ def mark_read(notices: DataFrame, user: Column, notice: Column | None = None) ->
 
 def newest_conversations(conversations: DataFrame, n: int = 8) -> DataFrame:
     return conversations.orderBy(F.desc("last_message_at"), F.desc("conv_id")).limit(n)
+
+
+def analysis_records(rows: DataFrame) -> DataFrame:
+    """Records of analyses(id, ts, graph_id, mode, title, n_nodes, cost_usd, tokens) as the history keeps them: cost and tokens of model analyses only."""
+    llm = F.col("mode") == "llm"
+    paid = [F.when(llm, F.coalesce(c, F.lit(0))).alias(name) for c, name in (("cost_usd", "cost_usd"), ("tokens", "tokens_total"))]
+    return rows.select("id", "graph_id", "ts", F.date_format("ts", "dd/MM/yyyy 'à' HH:mm").alias("date_human"), "mode", F.coalesce("title", F.lit("Sans titre")).alias("title"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), *paid)
+
+
+def usage_records(rows: DataFrame) -> DataFrame:
+    """Rows of the usage log(user_id, action, cost_usd, tokens, ts), no cost and no tokens as 0."""
+    return rows.select("user_id", "action", F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "ts")
+
+
+def append(records: DataFrame, path: str) -> None:
+    """Adds records to a table of files; of a stream: `writeStream.foreachBatch(lambda batch, _: append(batch, path))`."""
+    records.write.mode("append").parquet(path)

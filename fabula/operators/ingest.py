@@ -78,6 +78,14 @@ def majority(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return counts.groupBy(key).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value))
 
 
+def merge_roles(rows: DataFrame, key: str, order: str, roles: str = "main_actants") -> DataFrame:
+    """(key, role, actant): for each role of a struct the most frequent actant over a text's chunks, ties to the first seen; blank ones don't count. Counts are combined before the shuffle."""
+    names = [f.name for f in rows.schema[roles].dataType.fields]
+    each = rows.select(key, order, F.explode(F.array(*[F.struct(F.lit(n).alias("role"), F.trim(F.col(f"{roles}.{n}")).alias("actant")) for n in names])).alias("r")).select(key, order, "r.*")
+    counts = each.where("actant <> ''").groupBy(key, "role", "actant").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return counts.groupBy(key, "role").agg(F.max_by("actant", F.struct("n", -F.col("first"))).alias("actant"))
+
+
 def merge_chunks(rows: DataFrame, key: str = "book", order: str = "chunk") -> DataFrame:
     """Chunk results (key, order, ok, genre, tradition, summary, keywords, tokens) to one row per text."""
     good = rows.where("ok")

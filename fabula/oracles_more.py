@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .lexicon import FUNCTION_NAMES, RECODED, REPERTOIRE, ROLE_STOPWORDS
-from .oracles import _SEGMENTS, GATE, NODE, PAIR, SCORE, TAG, _list, _with
+from .oracles import _N, _SEGMENTS, GATE, NODE, PAIR, SCORE, TAG, _list, _with
+from .oracles_logs import _U
 from .queries_logs import ACTIONS
 
 _OK = "work_id % 11 <> 0"
@@ -59,4 +60,11 @@ SELECT p.work_id, n_nodes, peak, CASE WHEN seq.n + coalesce(fars.n, 0) > 0 THEN
     "stream_sessions": "WITH " + _EV + ", g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, id) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM r, late GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= any_value(mark)",
     "stream_notifications": "WITH " + _EV + " SELECT id, CASE WHEN score >= 0.55 THEN 'ip' ELSE 'comparison' END AS notice, CAST(round(score * 100) AS INT) AS value FROM ev WHERE action = 'comparison'",
     "stream_analysis": _with(*NODE) + "SELECT work_id, pos, code AS function_code, phase FROM nodes",
+    "node_table": _with(*NODE) + f"SELECT nodes.work_id, nodes.pos + 1 AS sequence, code AS function_code, phase, CAST(round(CAST(round(tension, 9) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS tension, {_N('seg.text')} AS word_count FROM nodes JOIN seg ON seg.work_id = nodes.work_id AND seg.pos = nodes.pos",
+    "majority_actants": f"""WITH w AS (SELECT concat_ws('/', lang, source, left(text, 1)) AS book, doc_id AS chunk, length(text) AS n FROM documents WHERE {GATE} >= 200),
+r AS (SELECT book, chunk, 'protagoniste' AS role, 'p' || (n % 5) AS actant FROM w UNION ALL SELECT book, chunk, 'objet', 'o' || (n % 2) FROM w WHERE n % 3 <> 0 UNION ALL SELECT book, chunk, 'opposant', 'r' || (n % 7) FROM w WHERE n % 2 = 0)
+SELECT book, role, actant FROM (SELECT book, role, actant, row_number() OVER (PARTITION BY book, role ORDER BY count(*) DESC, min(chunk)) AS k FROM r GROUP BY book, role, actant) WHERE k = 1""",
+    "append_analyses": _U + """SELECT id, graph_id, strftime(ts, '%d/%m/%Y à %H:%M') AS date_human, mode, coalesce(title, 'Sans titre') AS title, CASE WHEN tokens % 3 <> 0 THEN tokens ELSE 0 END AS n_nodes,
+CASE WHEN mode = 'llm' THEN round(coalesce(cost_usd, 0), 4) END AS cost_usd, CASE WHEN mode = 'llm' THEN coalesce(tokens, 0) END AS tokens_total FROM analyses""",
+    "append_usage": _U + "SELECT user_id, action, count(*) AS n, round(sum(coalesce(cost_usd, 0)), 4) AS cost, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens FROM usage GROUP BY user_id, action",
 }

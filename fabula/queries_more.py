@@ -12,7 +12,7 @@ from .functions.text import token_estimate
 from .lexicon import BENCH
 from .operators import compare, extract, history, ingest, repertoire, report, segment
 from .queries import Query, documents, nodes, pairs, profiles, table, works
-from .queries_logs import ACTIONS, analyses
+from .queries_logs import ACTIONS, analyses, usage
 from .sources import files
 from .streaming import live
 
@@ -231,3 +231,37 @@ def stream_analysis(spark, sf_dir):
         return extract.nodes(segment.segments(ready, BENCH), BENCH).select("work_id", "pos", "function_code", "phase")
 
     return live.per_batch(live.stream_table(spark, sf_dir, "documents"), shared_path(spark, "analysis"), analyse)
+
+
+@query
+def node_table(spark, sf_dir):
+    return extract.node_table(segment.segments(works(spark, sf_dir), BENCH), BENCH)
+
+
+@query
+def majority_actants(spark, sf_dir):
+    """Works are chunks of a book for each language, source and first letter; their roles are derived from their lengths."""
+    n = F.length("text")
+    role = F.struct(F.concat(F.lit("p"), (n % 5).cast("string")).alias("protagoniste"), F.when(n % 3 != 0, F.concat(F.lit(" o"), (n % 2).cast("string"))).otherwise(F.lit(" ")).alias("objet"), F.when(n % 2 == 0, F.concat(F.lit("r"), (n % 7).cast("string"))).alias("opposant"))
+    rows = works(spark, sf_dir).select(F.concat_ws("/", "lang", "source", F.substring("text", 1, 1)).alias("book"), F.col("work_id").alias("chunk"), role.alias("main_actants"))
+    return ingest.merge_roles(rows, "book", "chunk")
+
+
+def _appended(spark: SparkSession, records: DataFrame, name: str) -> DataFrame:
+    """The records after two appends to a new table, read back."""
+    path, half = shared_path(spark, name), F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    for part in (records.where(half), records.where(~half)):
+        history.append(part, path)
+    return spark.read.schema(records.schema).parquet(path)
+
+
+@query
+def append_analyses(spark, sf_dir):
+    rows = analyses(spark, sf_dir).withColumn("n_nodes", F.when(F.col("tokens") % 3 != 0, F.col("tokens")))
+    return _appended(spark, history.analysis_records(rows), "analyses").select("id", "graph_id", "date_human", "mode", "title", "n_nodes", F.round("cost_usd", 4).alias("cost_usd"), "tokens_total")
+
+
+@query
+def append_usage(spark, sf_dir):
+    log = _appended(spark, history.usage_records(usage(spark, sf_dir)), "usage")
+    return log.groupBy("user_id", "action").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 4).alias("cost"), F.sum("tokens").alias("tokens"))
