@@ -21,10 +21,14 @@ MATCH = 0.40
 MAX_CURVE = 20
 
 
-def search_pairs(queries: DataFrame, works: DataFrame, blocks: int = 8) -> DataFrame:
-    """Every query work against all works, block by block: each query sits in one block and each work goes to all of them."""
-    q = queries.select([F.col(c).alias(f"ref_{c}") for c in queries.columns]).withColumn("block", F.pmod(F.xxhash64("ref_work_id"), F.lit(blocks)).cast("int"))
-    w = works.select([F.col(c).alias(f"cand_{c}") for c in works.columns]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def search_pairs(queries: DataFrame, works: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Every query work against all works, block by block: each work sits in one block and the few query works go to all of them.
+
+    Blocks: four for each shuffle partition unless given, so that all executors take part once the query side is too large to broadcast.
+    """
+    blocks = blocks or 4 * int(works.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = works.select([F.col(c).alias(f"cand_{c}") for c in works.columns]).withColumn("block", F.pmod(F.xxhash64("cand_work_id"), F.lit(blocks)).cast("int"))
+    q = queries.select([F.col(c).alias(f"ref_{c}") for c in queries.columns]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return q.join(w, "block").where("ref_work_id <> cand_work_id").drop("block")
 
 
@@ -252,13 +256,11 @@ def candidate_pairs(refs: DataFrame, works: DataFrame) -> DataFrame:
     They share a function code, or both have codes and one has only African ones. For any other pair S_GED is 0, and S_FUNC too, so
     SNS is at most 0.25 + 0.15 + 0.15; a work without codes stays below that as well.
     """
-    one = lambda df, name: df.select(F.col("work_id").alias(name), F.explode(F.array_distinct("codes")).alias("code"))
-    same = one(refs, "ref_id").join(one(works, "cand_id"), "code").select("ref_id", "cand_id")
-    coded = lambda df: df.where(F.size("codes") > 0)
-    only = lambda df: coded(df).where(F.forall("codes", lambda x: x.startswith("FN")))
-    rest = search_pairs(only(refs), coded(works)).union(search_pairs(coded(refs), only(works)))
-    out = same.union(rest.select("ref_work_id", "cand_work_id"))
-    return out.where("ref_id <> cand_id").distinct()
+    only = lambda s: F.forall(f"{s}_codes", lambda x: x.startswith("FN"))
+    coded = (F.size("ref_codes") > 0) & (F.size("cand_codes") > 0)
+    keep = F.arrays_overlap("ref_codes", "cand_codes") | (coded & (only("ref") | only("cand")))
+    narrow = lambda df: df.select("work_id", F.array_distinct("codes").alias("codes"))
+    return search_pairs(narrow(refs), narrow(works)).where(keep).select(F.col("ref_work_id").alias("ref_id"), F.col("cand_work_id").alias("cand_id"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -267,6 +269,17 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.select("ref_id", "cand_id", "sns").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def percentiles(scored: DataFrame, group: str = "ref_id") -> DataFrame:
-    """Rank of each pair's SNS within its group, 0 to 1."""
-    return scored.withColumn("percentile", F.percent_rank().over(Window.partitionBy(group).orderBy(F.round("sns", 9))))
+def percentiles(scored: DataFrame, group: str = "ref_id", steps: int = 1000) -> DataFrame:
+    """Rank of each pair's SNS within its group, 0 to 1 (0 if it is alone).
+
+    Ranks come from two levels, so that no group is sorted whole: pairs below a pair's step are counted from a histogram of `steps` steps
+    for each group, and only the pairs of one step are ranked with each other. `scored` is read twice: hand in a written table.
+    """
+    rows = scored.withColumn("_s", F.round("sns", 9)).withColumn("_step", F.floor(F.col("_s") * steps))
+    counts = rows.groupBy(group, "_step").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group)
+    below = counts.withColumn("_all", F.sum("_n").over(w)).withColumn("_below", F.sum("_n").over(w.orderBy("_step")) - F.col("_n")).drop("_n")
+    inside = F.rank().over(Window.partitionBy(group, "_step").orderBy("_s")) - 1
+    out = rows.withColumn("_in", inside).join(below, [group, "_step"])
+    share = F.when(F.col("_all") > 1, (F.col("_below") + F.col("_in")) / (F.col("_all") - 1)).otherwise(0.0)
+    return out.withColumn("percentile", share).select(*scored.columns, "percentile")

@@ -200,3 +200,30 @@ def usage_records(rows: DataFrame) -> DataFrame:
 def append(records: DataFrame, path: str) -> None:
     """Adds records to a table of files; of a stream: `writeStream.foreachBatch(lambda batch, _: append(batch, path))`."""
     records.write.mode("append").parquet(path)
+
+
+def overview(users: DataFrame, usage: DataFrame, now: Column) -> DataFrame:
+    """One row of counters over users(user_id, plan, admin, verified, created) and their usage log; active users have used something in 30 days."""
+    u = users.agg(
+        F.count("*").alias("users"), F.count_if("admin").alias("admins"), F.count_if("verified").alias("verified"), F.count_if(F.col("plan").isin("pro", "enterprise")).alias("paying"),
+        F.count_if(since(F.col("created"), now, 168)).alias("new_7d"), F.count_if(since(F.col("created"), now, 720)).alias("new_30d"),
+    )
+    did, analysis = (lambda action: F.col("action") == action), F.col("action").startswith("analyze")
+    recent = lambda cond, hours: F.count_if(cond & since(F.col("ts"), now, hours))
+    per = usage.groupBy("user_id").agg(
+        F.count_if(since(F.col("ts"), now, 720)).alias("seen"), F.count_if(analysis).alias("analyses"), recent(analysis, 168).alias("analyses_7d"), F.count_if(did("comparison")).alias("comparisons"),
+        recent(did("comparison"), 168).alias("comparisons_7d"), recent(did("login"), 24).alias("logins_24h"), recent(did("login_failed"), 168).alias("failed_7d"),
+    )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("analyses", "analyses_7d", "comparisons", "comparisons_7d", "logins_24h", "failed_7d")]
+    return u.crossJoin(per.agg(F.count_if(F.col("seen") > 0).alias("active"), *sums))  # two rows of totals
+
+
+def user_detail(usage: DataFrame, n: int = 25) -> DataFrame:
+    """The latest n rows of each user's log of each action, with the user's totals of requests, cost and tokens beside them."""
+    sums = usage.groupBy("user_id").agg(F.count("*").alias("requests"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
+    return latest(usage, ["user_id", "action"], [F.col("ts").desc(), F.col("id")], n).join(sums, "user_id")
+
+
+def clear_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, deleted): what clearing the tables deletes; the tables are then written empty (`df.limit(0)`)."""
+    return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("deleted")).select(F.lit(name).alias("table"), "deleted") for name, t in tables.items()])

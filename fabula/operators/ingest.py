@@ -87,16 +87,42 @@ def merge_roles(rows: DataFrame, key: str, order: str, roles: str = "main_actant
 
 
 def merge_chunks(rows: DataFrame, key: str = "book", order: str = "chunk") -> DataFrame:
-    """Chunk results (key, order, ok, genre, tradition, summary, keywords, tokens) to one row per text."""
+    """Chunk results (key, order, ok, genre, tradition, summary, keywords, tokens, message) to one row per text.
+
+    The summary names every good chunk as "Partie i/n"; keywords are the first 20 in order; messages the first three of failed chunks if none
+    is good. A row holds the summaries of its text's chunks; keywords are combined before the shuffle.
+    """
     good = rows.where("ok")
-    base = rows.groupBy(key).agg(F.count("*").alias("n_chunks"), F.count_if(~F.col("ok")).alias("n_failed"), F.sum(F.when(F.col("ok"), F.col("tokens")).otherwise(0)).alias("tokens"))
-    numbered = good.withColumn("part", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    texts = numbered.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "summary", "keywords"))).alias("s"))
+    failed = F.when(~F.col("ok"), F.struct(F.col(order), F.col("message")))
+    base = rows.groupBy(key).agg(F.count("*").alias("n_chunks"), F.count_if(~F.col("ok")).alias("n_failed"), F.sum(F.when(F.col("ok"), F.col("tokens")).otherwise(0)).alias("tokens"), F.sort_array(F.collect_list(failed)).alias("failed"))
+    texts = good.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "summary"))).alias("s"))
     n = F.size("s").cast("string")
-    label = F.array_join(F.transform("s", lambda x: F.concat(F.lit("Partie "), x["part"].cast("string"), F.lit("/"), n, F.lit(" : "), F.coalesce(x["summary"], F.lit("")))), "\n")
-    texts = texts.select(key, label.alias("summary"), F.slice(F.array_distinct(F.flatten(F.transform("s", lambda x: x["keywords"]))), 1, 20).alias("keywords"))
-    out = base.join(texts, key, "left").join(majority(good, key, order, "genre"), key, "left").join(majority(good, key, order, "tradition"), key, "left")
-    return out.withColumn("status", F.when(F.col("n_failed") == F.col("n_chunks"), "error").when(F.col("n_failed") > 0, "partial").otherwise("ok"))
+    label = F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("Partie "), (i + 1).cast("string"), F.lit("/"), n, F.lit(" : "), F.coalesce(x["summary"], F.lit("")))), "\n")
+    words = good.select(key, order, F.posexplode("keywords").alias("at", "word")).groupBy(key, "word").agg(F.min(F.struct(order, "at")).alias("seen"))
+    first = words.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("seen"))).where("rank <= 20")
+    keywords = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+    out = base.join(texts.select(key, label.alias("summary")), key, "left").join(keywords, key, "left").join(majority(good, key, order, "genre"), key, "left").join(majority(good, key, order, "tradition"), key, "left")
+    lost = F.col("n_failed") == F.col("n_chunks")
+    messages = F.when(lost, F.transform(F.slice("failed", 1, 3), lambda x: x["message"])).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("status", F.when(lost, "error").when(F.col("n_failed") > 0, "partial").otherwise("ok")).withColumn("messages", messages).drop("failed")
+
+
+def recode_notes(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, n_corrected, note) of response_nodes(): how many codes were recoded for the work's tradition; the note is null without any."""
+    n = F.count_if(F.coalesce(F.col("given_code") != F.col("function_code"), F.lit(False)))
+    note = F.when(F.col("n_corrected") > 0, F.concat(F.lit("recoded functions: "), F.col("n_corrected").cast("string")))
+    return nodes.groupBy(key).agg(n.alias("n_corrected")).withColumn("note", note)
+
+
+def renumbered(kept: DataFrame, key: str) -> DataFrame:
+    """Nodes that a merge kept, with their new sequence in the work, from 1."""
+    return kept.withColumn("sequence", F.row_number().over(Window.partitionBy(key).orderBy("chunk", "pos")))
+
+
+def merge_counts(before: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """(key, n_before, n_after): nodes of a work before and after its overlaps were dropped."""
+    one = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    return one(before, "n_before").join(one(kept, "n_after"), key, "left").withColumn("n_after", F.coalesce("n_after", F.lit(0)))
 
 
 def drop_overlap_nodes(rows: DataFrame, key: str, bound: float = 0.5) -> DataFrame:
@@ -123,6 +149,12 @@ def cost_forecast(docs: DataFrame, key: str, digits: int = 4) -> DataFrame:
     return docs.select(key, t_in.alias("tokens_in"), t_out.alias("tokens_out"), F.round(usd, digits).alias("cost_usd"), F.round(usd * EUR, digits).alias("cost_eur"))
 
 
+def split_forecast(chunks: DataFrame, key: str, digits: int = 4) -> DataFrame:
+    """(key, n_chunks, tokens_in, tokens_out, cost_usd, cost_eur): the forecast of chunks(key, text) of split texts, summed over a text's chunks."""
+    per = cost_forecast(chunks, key, 12).groupBy(key).agg(F.count("*").alias("n_chunks"), *[F.sum(c).alias(c) for c in ("tokens_in", "tokens_out", "cost_usd", "cost_eur")])
+    return per.withColumns({c: F.round(c, digits) for c in ("cost_usd", "cost_eur")})
+
+
 def needs_chunking(text: Column) -> Column:
     return token_estimate(text) > SPLIT_TOKENS
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .lexicon import FUNCTION_NAMES, RECODED, REPERTOIRE, ROLE_STOPWORDS
+from .lexicon import BENCH, FUNCTION_NAMES, RECODED, REPERTOIRE, ROLE_STOPWORDS
 from .oracles import _N, _SEGMENTS, GATE, NODE, PAIR, SCORE, TAG, _list, _with
 from .oracles_logs import _U
 from .queries_logs import ACTIONS
@@ -13,7 +13,7 @@ _RECODE = "CASE code " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RECODED.i
 _TRAD = f"CASE WHEN {_AFRO} THEN code ELSE {_RECODE} END"
 _REP = "rep(family_id, code, name, ord) AS (VALUES " + ", ".join(f"('{f}', '{c}', '{FUNCTION_NAMES[c].replace(chr(39), chr(39) * 2)}', {k})" for k, (f, c) in enumerate((f, c) for f, cs in REPERTOIRE for c in cs.split())) + ")"
 _PARTIAL = f"""
-w AS (SELECT source || '/' || lang AS book, doc_id AS chunk, doc_id % 11 <> 0 AS ok, length(text) AS n, left(text, 10) AS summary FROM documents WHERE {GATE} >= 200),
+w AS (SELECT source || '/' || lang || '/' || (doc_id // 100) AS book, doc_id AS chunk, length(text) % 3 <> 0 AS ok, length(text) AS n, md5(text) AS summary FROM documents WHERE {GATE} >= 200),
 p AS (SELECT *, 'g' || (n % 3) AS genre, CASE WHEN n % 4 <> 0 THEN 't' || (n % 2) END AS tradition, row_number() OVER (PARTITION BY book, ok ORDER BY chunk) AS part, count(*) OVER (PARTITION BY book, ok) AS parts FROM w),
 g AS (SELECT book, genre FROM (SELECT book, genre, row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, min(chunk)) AS r FROM p WHERE ok GROUP BY book, genre) WHERE r = 1),
 t AS (SELECT book, tradition FROM (SELECT book, tradition, row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, min(chunk)) AS r FROM p WHERE ok AND tradition IS NOT NULL GROUP BY book, tradition) WHERE r = 1),
@@ -21,6 +21,7 @@ k0 AS (SELECT book, part * 2 AS z, 'k' || (n % 7) AS k FROM p WHERE ok UNION ALL
 k1 AS (SELECT book, k, row_number() OVER (PARTITION BY book ORDER BY min(z)) AS r FROM k0 GROUP BY book, k),
 ks AS (SELECT book, string_agg(k, ',' ORDER BY r) AS keywords FROM k1 WHERE r <= 20 GROUP BY book),
 s AS (SELECT book, md5(string_agg('Partie ' || part || '/' || parts || ' : ' || summary, chr(10) ORDER BY part)) AS summary_md5 FROM p WHERE ok GROUP BY book),
+e AS (SELECT book, string_agg('length ' || n, '|' ORDER BY chunk) AS messages FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY chunk) AS r, bool_or(ok) OVER (PARTITION BY book) AS good FROM w) WHERE r <= 3 AND NOT good GROUP BY book),
 b AS (SELECT book, count(*) AS n_chunks, count(*) FILTER (NOT ok) AS n_failed, CAST(coalesce(sum(n // 4) FILTER (ok), 0) AS BIGINT) AS tokens FROM p GROUP BY book)
 """
 _ROLE = rf"list_distinct(list_filter(regexp_extract_all(lower(x), '[a-zàâäéèêëïîôöùûüç]{{3,}}'), lambda w: NOT list_contains({_list(ROLE_STOPWORDS.split())}, w)))"
@@ -33,12 +34,12 @@ MORE = {
     "cost_forecast": "SELECT doc_id, i AS tokens_in, o AS tokens_out, round((i * 3.0 + o * CAST(15.0 AS DOUBLE)) / 1000000, 9) AS cost_usd, round((i * 3.0 + o * CAST(15.0 AS DOUBLE)) / 1000000 * CAST(0.93 AS DOUBLE), 9) AS cost_eur FROM (SELECT doc_id, length(text) // 4 + 2000 AS i, least(16000, greatest(2000, length(text) // 20)) AS o FROM documents)",
     "parse_responses": _with(_SEGMENTS) + f"SELECT work_id, CASE WHEN {_OK} THEN 'ok' ELSE 'error' END AS status, CASE WHEN {_OK} THEN source END AS genre, CASE WHEN {_OK} THEN len(chunks) END AS n_nodes, CASE WHEN {_OK} AND work_id % 3 = 1 THEN 'hero' END AS lead_v2 FROM folded",
     "cultural_recode": _with(*TAG) + f"SELECT low.work_id, low.pos, code AS given_code, {_TRAD} AS function_code FROM low LEFT JOIN tags ON tags.work_id = low.work_id AND tags.pos = low.pos WHERE low.{_OK}",
-    "response_nodes": _with(*NODE) + f"SELECT nodes.work_id, 'n' || lpad(CAST(nodes.pos + 1 AS VARCHAR), 3, '0') AS node_id, len(actants) AS n_actants, [0.4, 1.0, 0.5, 0.5, 0.0][CAST(nodes.pos % 5 + 1 AS INT)] AS tension, 0.3 AS vouloir, 0.0 AS devoir, least(20, length(seg.text)) + CASE WHEN nodes.pos % 2 = 0 THEN 10 ELSE 0 END AS excerpt_chars FROM nodes JOIN seg ON seg.work_id = nodes.work_id AND seg.pos = nodes.pos WHERE nodes.{_OK}",
+    "response_nodes": _with(*NODE) + f"SELECT nodes.work_id, 'n' || lpad(CAST(nodes.pos + 1 AS VARCHAR), 3, '0') AS node_id, len(actants) AS n_actants, [0.4, 1.0, 0.5, 0.5, 0.0][CAST(nodes.pos % 5 + 1 AS INT)] AS tension, 0.3 AS vouloir, 0.0 AS devoir, least(150, length(seg.text)) + CASE WHEN nodes.pos % 2 = 0 THEN 10 ELSE 0 END AS excerpt_chars FROM nodes JOIN seg ON seg.work_id = nodes.work_id AND seg.pos = nodes.pos WHERE nodes.{_OK}",
     "response_edges": _with(*NODE) + f"SELECT work_id, transition_type, count(*) AS n FROM (SELECT work_id, CASE WHEN list_has_any(list_transform(actants, lambda a: lower(a)), list_transform(a2, lambda a: lower(a))) THEN 'causal' WHEN phase <> p2 THEN 'temporal' ELSE 'sequential' END AS transition_type FROM (SELECT *, lead(actants) OVER w AS a2, lead(phase) OVER w AS p2 FROM nodes WINDOW w AS (PARTITION BY work_id ORDER BY pos)) WHERE p2 IS NOT NULL AND {_OK}) GROUP BY ALL",
-    "merge_majority": "WITH " + _PARTIAL.strip() + " SELECT b.book, n_chunks, n_failed, CASE WHEN n_failed = n_chunks THEN 'error' WHEN n_failed > 0 THEN 'partial' ELSE 'ok' END AS status, genre, tradition, tokens, keywords, summary_md5 FROM b LEFT JOIN g ON g.book = b.book LEFT JOIN t ON t.book = b.book LEFT JOIN ks ON ks.book = b.book LEFT JOIN s ON s.book = b.book",
+    "merge_majority": "WITH " + _PARTIAL.strip() + " SELECT b.book, n_chunks, n_failed, CASE WHEN n_failed = n_chunks THEN 'error' WHEN n_failed > 0 THEN 'partial' ELSE 'ok' END AS status, genre, tradition, tokens, keywords, summary_md5, coalesce(messages, '') AS messages FROM b LEFT JOIN e ON e.book = b.book LEFT JOIN g ON g.book = b.book LEFT JOIN t ON t.book = b.book LEFT JOIN ks ON ks.book = b.book LEFT JOIN s ON s.book = b.book",
     "graph_metadata": _with(_SEGMENTS) + f"SELECT work_id, CASE WHEN {_OK} THEN 'llm' ELSE 'error' END AS mode, {_OK} AND {_AFRO} AS african, CASE WHEN {_OK} AND work_id % 3 < 2 THEN 'hero' END AS lead FROM folded",
     "analyses_with_graphs": _with(_SEGMENTS) + "SELECT event_id AS id, user_id AS graph_id, len(chunks) AS n_nodes FROM events LEFT JOIN folded ON work_id = user_id WHERE event_type IN ('click', 'view')",
-    "replace_messages": "SELECT conv_id, count(*) AS n, max(turn) AS last_turn FROM conversations WHERE conv_id % 2 <> 0 OR turn < 2 GROUP BY conv_id",
+    "replace_messages": "SELECT conv_id, count(*) AS n, max(turn) AS last_turn FROM conversations WHERE role <> 'system' GROUP BY conv_id",
     "merge_dedup": _with(*TAG) + r""", rw AS (SELECT low.work_id, low.pos, t.code, list_distinct(regexp_extract_all(lo, '[\p{L}\p{N}_]{4,}')) AS ws FROM low LEFT JOIN tags t ON t.work_id = low.work_id AND t.pos = low.pos),
 o AS (SELECT work_id, pos // 2 AS chunk, pos, code, ws FROM rw UNION ALL SELECT work_id, pos // 2 + 1, pos, code, ws FROM rw WHERE pos % 2 = 1),
 per AS (SELECT work_id, list({'chunk': chunk, 'pos': pos, 'code': code, 'ws': ws, 'keep': true} ORDER BY chunk, pos) AS ns FROM o GROUP BY work_id),
@@ -49,7 +50,7 @@ e AS (SELECT work_id, hero, foe, {_ROLE.replace('lower(x)', 'lower(hero)')} AS h
 j AS (SELECT a.work_id AS ref_id, b.work_id AS cand_id, CASE WHEN a.hero = '' AND b.hero = '' THEN 0.5 WHEN len(a.hw) > 0 AND len(b.hw) > 0 THEN {_J('a.hw', 'b.hw')} END AS h, CASE WHEN a.foe = '' AND b.foe = '' THEN 0.5 WHEN len(a.fw) > 0 AND len(b.fw) > 0 THEN {_J('a.fw', 'b.fw')} END AS f, CASE WHEN len(a.aw) = 0 OR len(b.aw) = 0 THEN 0.5 ELSE 1 - {_J('a.aw', 'b.aw')} END AS d FROM e a JOIN e b ON a.work_id <> b.work_id WHERE a.work_id % 100 = 0)
 SELECT ref_id, cand_id, round((2.0 + coalesce(h, 0) + coalesce(f, 0)) / (4 + CAST(h IS NOT NULL AS INT) + CAST(f IS NOT NULL AS INT)), 6) AS s_greimas, 'v1↔v1' AS label, round(d, 6) AS focus_delta FROM j""",
     "repertoire_usage": _with(*TAG, _REP) + "SELECT tags.code AS function_code, name AS function_name, family_id, family_id = 'FN' AS african, count(*) AS n FROM tags JOIN rep ON rep.code = tags.code GROUP BY ALL",
-    "repertoire_search": "WITH " + _REP + ", terms AS (SELECT DISTINCT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM documents) SELECT term, count(*) AS total, string_agg(code, ',' ORDER BY ord) FILTER (r <= 20) AS codes FROM (SELECT term, code, ord, row_number() OVER (PARTITION BY term ORDER BY ord) AS r FROM terms JOIN rep ON code = upper(term) OR contains(lower(name), term) WHERE length(term) BETWEEN 3 AND 6) GROUP BY term",
+    "repertoire_search": "WITH " + _REP + ", described AS (SELECT rep.*, d FROM rep LEFT JOIN (VALUES " + ", ".join(f"('{c}', '{' '.join(ws)}')" for c, _, ws in BENCH.patterns) + r") v(c, d) ON c = code), terms AS (SELECT DISTINCT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS term FROM documents) SELECT term, count(*) AS total, string_agg(code, ',' ORDER BY ord) FILTER (r <= 20) AS codes FROM (SELECT term, code, ord, row_number() OVER (PARTITION BY term ORDER BY ord) AS r FROM terms JOIN described ON code = upper(term) OR contains(lower(name), term) OR contains(lower(coalesce(d, '')), term)) GROUP BY term",
     "graph_documents": _with(*NODE) + """, seq AS (SELECT work_id, count(*) - 1 AS n FROM nodes GROUP BY work_id), far AS (SELECT a.work_id, a.pos FROM nodes a JOIN nodes b ON a.work_id = b.work_id AND b.pos BETWEEN a.pos + 2 AND a.pos + 4 WHERE len(list_intersect(a.actants, b.actants)) >= 2 GROUP BY a.work_id, a.pos), fars AS (SELECT work_id, count(*) AS n FROM far GROUP BY work_id)
 SELECT p.work_id, n_nodes, peak, CASE WHEN seq.n + coalesce(fars.n, 0) > 0 THEN seq.n + coalesce(fars.n, 0) END AS n_edges, CASE WHEN seq.n + coalesce(fars.n, 0) > 0 THEN round(seq.n + coalesce(fars.n, 0) * CAST(0.6 AS DOUBLE), 6) END AS weight FROM (SELECT work_id, count(*) AS n_nodes, round(max(tension), 6) AS peak FROM nodes GROUP BY work_id) p JOIN seq ON seq.work_id = p.work_id LEFT JOIN fars ON fars.work_id = p.work_id""",
     "store_summary": _with(_SEGMENTS) + "SELECT work_id, source AS author, lang, len(chunks) AS n_nodes FROM folded",

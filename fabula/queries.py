@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.search_pairs(p.where("work_id % 100 = 0"), p)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors both can write: under spark.checkpoint.dir, a temporary one only for a session on one machine that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 IDS = ["ref_id", "cand_id"]
 
 
@@ -249,7 +260,9 @@ def topk_similar(spark, sf_dir):
 
 @query
 def score_percentile(spark, sf_dir):
-    return compare.percentiles(scores(spark, sf_dir)).select(*IDS, _r("percentile", "percentile"))
+    path = shared_path(spark, "scores")
+    scores(spark, sf_dir).select(*IDS, "sns").write.parquet(path)
+    return compare.percentiles(spark.read.parquet(path)).select(*IDS, _r("percentile", "percentile"))
 
 
 @query

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import token_estimate
 from .lexicon import BENCH
 from .operators import compare, extract, history, ingest, repertoire, report, segment
-from .queries import Query, documents, nodes, pairs, profiles, table, works
+from .queries import Query, documents, nodes, pairs, profiles, shared_path, table, works
 from .queries_logs import ACTIONS, analyses, usage
 from .sources import files
 from .streaming import live
@@ -24,20 +21,11 @@ def query(f: Query) -> Query:
     return f
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both can write: under spark.checkpoint.dir, a temporary one only for a session on one machine that names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(work_id, response): analyses of works as a model would write them, every eleventh broken, some fenced or with talk around."""
     n = nodes(spark, sf_dir).join(works(spark, sf_dir).select("work_id", "lang", "source"), "work_id")
     tension = F.element_at(F.array(F.lit("0.4"), F.lit("1.7"), F.lit("high"), F.lit(None), F.lit("-2")), (F.col("pos") % 5 + 1).cast("int"))
-    node = F.struct((F.col("pos") + 1).alias("sequence"), "function_code", F.to_json("actants").alias("actants"), F.struct(F.lit("0.3").alias("vouloir"), F.lit("x").alias("devoir")).alias("modalities"), tension.alias("tension"), "phase", F.substring("text_excerpt", 1, 20).alias("text_excerpt"), F.when(F.col("pos") % 2 == 0, "because").alias("justification"))
+    node = F.struct((F.col("pos") + 1).alias("sequence"), "function_code", F.to_json("actants").alias("actants"), F.struct(F.lit("0.3").alias("vouloir"), F.lit("x").alias("devoir")).alias("modalities"), tension.alias("tension"), "phase", "text_excerpt", F.when(F.col("pos") % 2 == 0, "because").alias("justification"))
     tradition = F.when(F.col("lang") == "fr", "Africaine de l'Ouest").when(F.col("lang") == "es", " Caribéenne").when(F.col("lang") == "de", "Européenne")
     per = n.groupBy("work_id", "source", tradition.alias("tradition")).agg(F.sort_array(F.collect_list(F.struct("pos", node.alias("n")))).alias("ns"))
     role = F.struct(F.lit("hero").alias("protagoniste"))
@@ -48,10 +36,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partial_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book, chunk, ok, genre, tradition, summary, keywords, tokens): works as chunks of books, a book for each source and language."""
+    """(book, chunk, ok, genre, tradition, summary, keywords, tokens, message): works as chunks of books, a book for each source, language and range of
+    100 ids, so that no book grows with the corpus."""
     w = works(spark, sf_dir)
     n = F.length("text")
-    return w.select(F.concat_ws("/", "source", "lang").alias("book"), F.col("work_id").alias("chunk"), (F.col("work_id") % 11 != 0).alias("ok"), F.concat(F.lit("g"), (n % 3).cast("string")).alias("genre"), F.when(n % 4 != 0, F.concat(F.lit("t"), (n % 2).cast("string"))).alias("tradition"), F.substring("text", 1, 10).alias("summary"), F.array(F.concat(F.lit("k"), (n % 7).cast("string")), F.concat(F.lit("k"), (n % 30).cast("string"))).alias("keywords"), F.floor(n / 4).alias("tokens"))
+    return w.select(F.concat_ws("/", "source", "lang", F.floor(F.col("work_id") / 100).cast("string")).alias("book"), F.col("work_id").alias("chunk"), (n % 3 != 0).alias("ok"), F.concat(F.lit("g"), (n % 3).cast("string")).alias("genre"), F.when(n % 4 != 0, F.concat(F.lit("t"), (n % 2).cast("string"))).alias("tradition"), F.md5("text").alias("summary"), F.array(F.concat(F.lit("k"), (n % 7).cast("string")), F.concat(F.lit("k"), (n % 30).cast("string"))).alias("keywords"), F.floor(n / 4).alias("tokens"), F.concat(F.lit("length "), n.cast("string")).alias("message"))
 
 
 def role_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +87,7 @@ def response_edges(spark, sf_dir):
 @query
 def merge_majority(spark, sf_dir):
     m = ingest.merge_chunks(partial_results(spark, sf_dir))
-    return m.select("book", "n_chunks", "n_failed", "status", "genre", "tradition", "tokens", F.array_join("keywords", ",").alias("keywords"), F.md5("summary").alias("summary_md5"))
+    return m.select("book", "n_chunks", "n_failed", "status", "genre", "tradition", "tokens", F.array_join("keywords", ",").alias("keywords"), F.md5("summary").alias("summary_md5"), F.array_join("messages", "|").alias("messages"))
 
 
 @query
@@ -136,8 +125,10 @@ def analyses_with_graphs(spark, sf_dir):
 
 @query
 def replace_messages(spark, sf_dir):
+    """The lists of all conversations with a system turn are replaced by their turns without it."""
     old = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    out = history.replace_messages(old, old.where("conv_id % 2 = 0 and turn < 2"))
+    changed = old.where("role = 'system'").select("conv_id").distinct()
+    out = history.replace_messages(old, old.where("role <> 'system'").join(changed, "conv_id", "left_semi"))
     return out.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"))
 
 
@@ -157,9 +148,11 @@ def repertoire_usage(spark, sf_dir):
 
 @query
 def repertoire_search(spark, sf_dir):
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))
-    terms = documents(spark, sf_dir).select(words.alias("term")).where("length(term) between 3 and 6").distinct()
-    return repertoire.search(repertoire.repertoire(spark), terms).select("term", "total", F.array_join("codes", ",").alias("codes"))
+    """Every word of the documents as a term; a function's description is its keywords."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
+    described = F.element_at(F.create_map(*[F.lit(x) for code, _, ws in BENCH.patterns for x in (code, " ".join(ws))]), F.col("code"))
+    functions = repertoire.repertoire(spark).withColumn("description", described)
+    return repertoire.search(functions, documents(spark, sf_dir).select(words.alias("term")).distinct()).select("term", "total", F.array_join("codes", ",").alias("codes"))
 
 
 @query

@@ -100,6 +100,29 @@ def load_graphs(spark: SparkSession, path: str, work_id: int | None = None, buck
     return out[0], out[1]
 
 
+def list_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """(work_id, n_nodes, n_edges) of the graphs of a store."""
+    n, e = (df.groupBy("work_id").agg(F.count("*").alias(f"n_{name}")) for name, df in zip(("nodes", "edges"), load_graphs(spark, path), strict=True))
+    return n.join(e, "work_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+
+
+def delete_graphs(spark: SparkSession, path: str, gone: DataFrame, target: str, buckets: int = 64) -> None:
+    """Writes the store without the works of gone(work_id) to a new folder, where readers go next; a job that is repeated writes the same."""
+    keys = gone.select("work_id").distinct()
+    nodes, edges = (df.join(keys, "work_id", "left_anti") for df in load_graphs(spark, path))
+    save_graphs(nodes, edges, target, buckets)
+
+
+def list_documents(docs: DataFrame, key: str, title: str) -> DataFrame:
+    """(key, title) of a corpus, without texts; a missing title is the key."""
+    return docs.select(key, F.coalesce(title, F.col(key).cast("string")).alias("title"))
+
+
+def fetch(docs: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key: the filter reaches the scan."""
+    return docs.where(F.col(key) == F.lit(value))
+
+
 def export(df: DataFrame, path: str, column: str | None = None) -> None:
     """As JSON lines, or one column as text."""
     if column is None:
