@@ -377,22 +377,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _in_chunks(rows(), ["t", "u", "first", "last"])
 
 
-class Segments:
-    """Hashes of runs of a text's words, of any length, from prefix sums."""
-
-    def __init__(self, h) -> None:
-        import numpy as np
-
-        r = MIX[0] | 1
-        powers, inverse = np.full(len(h), r, np.uint64), np.full(len(h) + 1, pow(r, -1, 1 << 64), np.uint64)
-        powers[:1], inverse[0] = 1, 1
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers))])
-        self.inverse = np.cumprod(inverse)
-
-    def __call__(self, at, size: int):
-        return (self.sums[at + size] - self.sums[at]) * self.inverse[at]
-
-
 def _half_keys(h, at, side: int):
     """The half that is equal: the first (side 0) or the second one of the passages that begin at `at`."""
     return mixed(h(at + side * HALF, HALF), 11 + side)
@@ -402,17 +386,19 @@ def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, t, at, side, open): the halves of each passage; `wanted` are intervals of first words."""
     import numpy as np
 
+    def covered(a, b, n: int):
+        """Which of n places lie in one of the intervals a to b."""
+        return np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b + 1, minlength=n + 1))[:n] > 0
+
     def rows():
         for batch in batches:
             for t, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                h, mark = Segments(_words(body.as_py())), {}
-                for w in wanted.as_py():
-                    for i in range(w["a"], w["b"] + 1):
-                        mark[i] = mark.get(i, False) or w["open"]
-                at = np.array(sorted(mark), np.int64)
-                is_open = np.array([mark[i] for i in at.tolist()], bool)
+                words = _words(body.as_py())
+                a, b, is_open = (wanted.values.field(x).to_numpy(zero_copy_only=False) for x in ("a", "b", "open"))
+                at = np.flatnonzero(covered(a, b, len(words)))
+                opened, h = covered(a[is_open], b[is_open], len(words))[at], Segments(words)
                 for side in (0, 1):
-                    yield [_half_keys(h, at, side).view(np.int64), np.full(len(at), t, np.int64), at.astype(np.int32), np.full(len(at), side, np.int8), is_open]
+                    yield [_half_keys(h, at, side).view(np.int64), np.full(len(at), t, np.int64), at.astype(np.int32), np.full(len(at), side, np.int8), opened]
 
     return _in_chunks(rows(), ["key", "t", "at", "side", "open"])
 
@@ -423,15 +409,13 @@ def _by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     for batch in batches:
         for t, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            h, where = Segments(_words(body.as_py())), wanted.as_py()
+            h = Segments(_words(body.as_py()))
+            at, of, is_open = (wanted.values.field(x).to_numpy(zero_copy_only=False) for x in ("at", "side", "open"))
             for side in (0, 1):
-                mark: dict = {}
-                for w in where:
-                    if w["side"] == side:
-                        mark[w["at"]] = mark.get(w["at"], False) or w["open"]
-                if mark:
-                    at = np.array(sorted(mark), np.int64)
-                    yield t, h, side, at, np.array([mark[i] for i in at.tolist()], bool)
+                places, slot = np.unique(at[of == side], return_inverse=True)
+                if len(places):
+                    opened = np.bincount(slot, is_open[of == side], len(places)) > 0
+                    yield t, h, side, places.astype(np.int64), opened
 
 
 def _quarter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -588,7 +572,8 @@ def one_edit(met: DataFrame, runs: DataFrame, bodies: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_links (texts that it shares passages with by links made), spans (marked word spans, first and last), n_marked (words), class_id (smallest doc_id reachable)."""
     named = texts(docs)
-    n_words = F.size(F.filter(F.split(docs["text"], r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    bare = F.btrim(docs["text"], F.lit(" \t\n\x0b\x0c\r"))
+    n_words = F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+")))
     sizes = docs.where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), name_of(docs["text"]).alias("t"), n_words.alias("n_words"))
     kinds = materialize(sizes.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words")), "passage-kinds")
     windows, equal = windows_of(named)
