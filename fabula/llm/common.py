@@ -15,7 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine (local master) that names none gets a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine (local master) that names none gets a temporary one.
+    It is the session's checkpoint folder, too, from then on."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
@@ -61,6 +62,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     combined before the shuffle, and a hub's edges are rows of a join that Spark splits, so no
     component and no neighbour list is ever gathered in one task.
     """
+    shared_dir(edges.sparkSession)
     stars = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:

@@ -7,8 +7,9 @@ pattern's posterior is the soft label of its documents. A linear scorer on hashe
 shapes is then fitted to soft labels of a bounded sample (`fit_rows` documents, in the order of a
 seeded hash) and scores every document; documents below `threshold` are rejected.
 
-Texts are measured in Arrow batches, some hundred kilobytes at a time (a longer text alone), as arrays over their bytes and words; votes and scores need
-a pass each, as the scorer is fitted on what the votes say of all documents. Capitals are those of Latin-1.
+Texts are measured in Arrow batches, some hundred thousand characters at a time (a longer text alone), as arrays over their code points and words; votes and scores need
+a pass each, as the scorer is fitted on what the votes say of all documents. Capitals and small letters are those of Unicode, in any script; words are lowered
+letter by letter (where lower case has as many letters).
 
 Defined results: a null or blank text gets no votes and no features, so the intercept is its score; repeated rows
 each get a row; a table with too few documents to fit (none, or one soft label throughout) is scored by its posteriors; ties in the order of the sample fall on rows with equal text and id, of which one is fitted; other columns,
@@ -17,8 +18,10 @@ whatever their names, are carried along.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from functools import cache
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .arrays import Segments, byte_values, mixed, word_hashes
+from .arrays import Segments, mixed
 from .common import materialize
 
 FIT_ROWS = 5_000
@@ -41,25 +44,25 @@ _SYMBOLS, _MARKS, _CLOSING = b"#$%*&|!<>{}=~^_@\\/", b"|-*=>", b"\"')"
 class Measured:
     """Words of several texts and what labellers look at, each measure an array over the texts."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[str]) -> None:
         import numpy as np
 
-        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        values, kinds = letters()
+        data = codes("\n".join([*texts, ""]))
         ends = np.cumsum([len(t) + 1 for t in texts])
         begins = ends - [len(t) + 1 for t in texts]
-        among = lambda chars: np.isin(np.arange(256), list(chars))[data]
+        among = lambda chars: np.isin(np.arange(257), list(chars))[np.minimum(data, 256)]
 
         def per_text(mask):
             total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
             return total[ends] - total[begins]
 
         # Words, and their shapes: classes of letters and digits, runs cut to one.
-        edges = np.flatnonzero(np.diff(~among(b" \t\n\r\x0b\x0c"), prepend=False, append=False))
+        each = values[data]
+        edges = np.flatnonzero(np.diff(each != 0, prepend=False, append=False))
         first, stop = edges[::2], edges[1::2]
-        self.words = mixed(Segments(byte_values()[data])(first, stop - first), 9)
-        kind = np.arange(256)
-        kind[65:91], kind[97:123], kind[48:58], kind[128:] = 65, 97, 48, 97
-        kind = kind[data]
+        self.words = mixed(Segments(each)(first, stop - first), 9)
+        kind = kinds[data]
         kept = np.concatenate([[True], kind[1:] != kind[:-1]]) | ~np.isin(kind, (65, 97, 48))
         place = np.concatenate([[0], np.cumsum(kept)])
         self.shapes = mixed(Segments(mixed(kind[kept].astype(np.uint64), 6))(place[first], place[stop] - place[first]), 10)
@@ -70,12 +73,10 @@ class Measured:
             return np.bincount(self.text[mask], minlength=len(texts))
 
         self.n_words = np.diff(bounds)
-        n, chars = np.maximum(self.n_words, 1), np.maximum(per_text((data & 0xC0) != 0x80) - 1, 1)
-        capital = among(bytes(range(65, 91)))
-        capital[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[1:] != 0x97)  # of Latin-1
+        n, chars = np.maximum(self.n_words, 1), np.maximum(ends - begins - 1, 1)
         last = data[stop - 1]
         closed = np.isin(last, list(_CLOSING)) & (stop - first > 1)
-        self.symbols, self.upper = per_text(among(_SYMBOLS)) / chars, per_text(capital) / chars
+        self.symbols, self.upper = per_text(among(_SYMBOLS)) / chars, per_text(kind == 65) / chars
         self.mean_word = chars / n
         self.marks = per_word((stop - first == 1) & np.isin(data[first], list(_MARKS))) / n
         _, once = np.unique(self.words + mixed(self.text.astype(np.uint64), 14), return_index=True)
@@ -118,21 +119,43 @@ class Measured:
         return text, key % BUCKETS, n / np.sqrt(np.bincount(text, n * n.astype(float), len(self.n_words)))[text]
 
 
+def codes(text: str):
+    import numpy as np
+
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+@cache
+def letters() -> tuple:
+    """For each code point a random-looking odd number, the same for a letter and its small one (white space: zero), and its kind: 65 for capitals, 97 for small letters, 48 for 0-9, else itself."""
+    import numpy as np
+
+    every = [chr(c) for c in range(sys.maxunicode + 1)]
+    small = [x.lower() for x in every]
+    values = mixed(np.array([ord(s if len(s) == 1 else x) for x, s in zip(every, small, strict=True)], np.uint64), 5) | np.uint64(1)
+    values[[9, 10, 11, 12, 13, 32]] = 0
+    kinds = np.arange(len(every), dtype=np.int32)
+    names = np.array([category(x) for x in every])
+    kinds[names == "Lu"], kinds[names == "Ll"], kinds[48:58] = 65, 97, 48
+    return values, kinds
+
+
 @cache
 def common_hashes():
     import numpy as np
 
-    return np.concatenate([word_hashes(w.encode())[0] for w in COMMON])
+    values = letters()[0]
+    return np.concatenate([mixed(Segments(values[codes(w)])(np.array([0]), np.array([len(w)])), 9) for w in COMMON])
 
 
 def _parts(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, Measured]]:
     """Rows whose last column is a text, some texts at a time, with their measures."""
     for batch in batches:
-        texts, at = batch.column(batch.num_columns - 1).cast(pa.binary()), 0
+        texts, at = batch.column(batch.num_columns - 1), 0
         while at < batch.num_rows:
             kept, n, first = [], 0, at
             while at < batch.num_rows and n < least:
-                kept.append(texts[at].as_py() or b"")
+                kept.append(texts[at].as_py() or "")
                 n += len(kept[-1]) + 1
                 at += 1
             yield batch.slice(first, at - first), Measured(kept)

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 KEY = ["conv_id", "call_id"]
 #: What schema_of_variant starts with, for JSON types.
 _KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
@@ -47,6 +49,7 @@ def canonical(json: Column) -> Column:
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) for calls(conv_id, call_id, parent_id) with unique keys; level null in or behind a cycle."""
+    shared_dir(calls.sparkSession)
     known = calls.select("conv_id", F.col("call_id").alias("parent_id"), F.lit(True).alias("known"))
     at = calls.join(known, ["conv_id", "parent_id"], "left").select(*KEY, F.when(F.col("known"), F.col("parent_id")).alias("ptr"), F.when(F.col("known"), 1).otherwise(0).alias("level")).checkpoint()
     n, open_ = at.agg(F.count("*"), F.count("ptr")).first()

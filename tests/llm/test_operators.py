@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fabula.llm import decontam, mixing, passages, quality, secrets, simhash, sketch, token_store, toolcalls, warc
 from fabula.llm.common import connected_components
+from tests.conftest import SF
 
 DOCS = "doc_id long, text string, source string, score double, hash string, t string"
 
@@ -418,8 +419,8 @@ def test_secrets_in_common_forms(spark):
 
 def test_quality_votes_by_a_plain_version():
     rng = random.Random(41)
-    parts = ["the", "und", "la", "Ende.", 'said?"', "|", "-", "=", "x", "ÉTÉ", "Größe", "ab12C", "$$$", "#tag", "WORD", "\n", "\n\n", "\t", "eines", "(ok.)", "日本"]
-    texts = ["", " \n ", "a", *[" ".join(rng.choice(parts[rng.randint(0, 9) : rng.randint(10, 21)]) for _ in range(rng.choice([3, 9, 40, 200]))) for _ in range(300)], "line one.\n" * 9]
+    parts = ["the", "und", "la", "Ende.", 'said?"', "|", "-", "=", "x", "ÉTÉ", "Größe", "ab12C", "$$$", "#tag", "WORD", "\n", "\n\n", "\t", "eines", "(ok.)", "日本", "ΑΘΗΝΑ", "МОСКВА", "Москва", "ŁÓDŹ", "σοφία"]
+    texts = ["", " \n ", "a", *[" ".join(rng.choice(parts[rng.randint(0, 9) : rng.randint(10, 26)]) for _ in range(rng.choice([3, 9, 40, 200]))) for _ in range(300)], "line one.\n" * 9, "ΑΘΗΝΑ МОСКВА " * 9, "Слово за словом. " * 40_000]
     want = []
     for t in texts:
         w, lines = t.split(), [x for x in t.split("\n") if x]
@@ -431,13 +432,63 @@ def test_quality_votes_by_a_plain_version():
         bad = [symbols > 0.1, upper > 0.35, chars / n < 2.5 or chars / n > 14, marks > 0.15, distinct < 0.25 and len(w) > 30, common < 0.03, ends < 0.004 and len(w) > 30, lone < 0.4 and len(lines) > 5]
         good = {5: common > 0.1, 6: 0.02 <= ends <= 0.3}
         want.append(",".join(str(0 if len(w) < 8 else -1 if b else int(good.get(k, False))) for k, b in enumerate(bad)))
-    data = [t.encode() for t in texts]
+    data = texts
+    assert want[-2].split(",")[1] == "-1"
     assert quality.Measured(data).votes() == want == [v for t in data for v in quality.Measured([t]).votes()]
     text, bucket, value = quality.Measured(data).features()
     alone = [quality.Measured([t]).features() for t in data]
     assert [x for k, f in enumerate(alone) for x in zip([k] * len(f[0]), f[1].tolist(), f[2].round(9).tolist(), strict=True)] == list(zip(text.tolist(), bucket.tolist(), value.round(9).tolist(), strict=True))
     # As many buckets at most as there are words and shapes; "Ab" and "Cd" have one shape.
-    assert len(quality.Measured([b"Abx Cdy"]).features()[0]) == 3
+    assert len(quality.Measured(["Abx Cdy"]).features()[0]) == 3
+    same = lambda a, b: set(quality.Measured([a]).features()[1].tolist()) == set(quality.Measured([b]).features()[1].tolist())
+    assert same("ΣΟΦΙΑ", "ΣΟΦΙΑ") and quality.Measured(["Łódź ΣΑΣ Ёж"]).words.tolist() == quality.Measured(["łÓDŹ σασ ёЖ"]).words.tolist()
+    shapes = [quality.Measured([w]).shapes[0] for w in ("Москва", "Athen", "Ελλάς", "МОСКВА", "USA", "слово", "日本")]
+    assert len(set(shapes[:3])) == 1 and shapes[3] == shapes[4] and len(set(shapes)) == 4
+
+
+def test_quality_posteriors_and_scores_by_a_plain_version(spark):
+    """EM by sums over single documents, and the scorer applied word by word."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    votes = {d: tuple(map(int, quality.Measured([t]).votes()[0].split(","))) for d, t in texts.items()}
+    good = {d: 1 / (1 + math.exp(-1.5 * sum(v) - 0.5)) for d, v in votes.items()}
+    for _ in range(100):
+        share = min(max(sum(good.values()) / len(good), 1e-3), 1 - 1e-3)
+        tables = []
+        for j in range(8):
+            t = {}
+            for x in (-1, 0, 1):
+                t[x] = tuple((sum(abs(side - 1 + good[d]) for d in votes if votes[d][j] == x) + 0.5) / (sum(abs(side - 1 + good[d]) for d in votes) + 1.5) for side in (1, 0))
+            if t[1][0] * t[-1][1] < t[1][1] * t[-1][0] and any(v[j] for v in votes.values()):
+                t = dict.fromkeys((-1, 0, 1), (1 / 3, 1 / 3))
+            tables.append(t)
+        odds = {v: math.log(share / (1 - share)) + sum(math.log(tables[j][x][0] / tables[j][x][1]) for j, x in enumerate(v) if x) for v in set(votes.values())}
+        good = {d: 1 / (1 + math.exp(-min(max(odds[v], -30), 30))) for d, v in votes.items()}
+    rows = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert all(rows[d].posterior == pytest.approx(good[d], abs=1e-9) for d in texts)
+    assert sum((rows[d].score > 0.5) == (good[d] > 0.5) for d in texts) > 0.95 * len(texts)
+
+
+def test_quality_scorer_by_a_plain_version():
+    """Word by word: each word and each shape has a bucket, a text is their counts at length 1, and its score the logistic of their weighted sum."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    weights, texts = rng.normal(size=quality.BUCKETS), ["The cat, the Cat; 12 mats", "ΑΘΗΝΑ Москва москва", "", None, "x " * 70_000 + "Y2k"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    got = [x for b in quality._score_rows(weights.tobytes(), 0.25)([batch]) for x in b["score"].to_pylist()]
+    bucket = lambda h: int(h) >> 64 - quality.BUCKETS.bit_length() + 1
+    for text, score in zip(texts, got, strict=True):
+        count = Counter()
+        for w, n in Counter((text or "").split()).items():
+            alone = quality.Measured([w])
+            count[bucket(alone.words[0])] += n
+            count[bucket(alone.shapes[0])] += n
+        length = sum(n * n for n in count.values()) ** 0.5 or 1
+        assert score == pytest.approx(1 / (1 + np.exp(-0.25 - sum(weights[b] * n for b, n in count.items()) / length)), abs=1e-9)
 
 
 def test_quality_separates_the_labelled_documents(spark):
