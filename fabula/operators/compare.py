@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import lcs_length, plain_codes
 from ..functions.text import jaccard
 from ..lexicon import LENGTH_CATEGORIES, REGISTER_DISTANCE, ROLE_STOPWORDS, ROLE_WORD, ROLES
 from .extract import MODALITIES
@@ -41,16 +42,14 @@ def attach(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def modality_cosine(a: Column, b: Column) -> Column:
     dot = reduce(lambda x, m: x + a[m] * b[m], MODALITIES, F.lit(0.0))
-    norm = lambda n: F.sqrt(reduce(lambda x, m: x + n[m] * n[m], MODALITIES, F.lit(0.0)))
-    return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
+    return F.when((a["norm"] > 0) & (b["norm"] > 0), dot / (a["norm"] * b["norm"])).otherwise(0.0)
 
 
 def node_similarity(a: Column, b: Column) -> Column:
-    """Of two node structs. Parts are added in a fixed order: the match bound depends on binary rounding."""
-    names = lambda n: F.transform(n["actants"], lambda x: F.lower(F.trim(x)))
+    """Of two node structs of profiles(). Parts are added in a fixed order: the match bound depends on binary rounding."""
     phase = F.when(a["phase"] == b["phase"], 0.10).otherwise(0.0)
     tension = F.when(F.abs(a["tension"] - b["tension"]) < 0.15, 0.05).otherwise(0.0)
-    actants = F.when((F.size(a["actants"]) > 0) & (F.size(b["actants"]) > 0), F.lit(0.20) * jaccard(names(a), names(b))).otherwise(0.0)
+    actants = F.when((F.size(a["actants"]) > 0) & (F.size(b["actants"]) > 0), F.lit(0.20) * jaccard(a["names"], b["names"])).otherwise(0.0)
     same = F.coalesce(a["code"] == b["code"], F.lit(False))
     kin = F.coalesce(a["family"] == b["family"], F.lit(False))
     full = F.when(same, 0.60).otherwise(0.15) + actants + phase + tension + F.lit(0.05) * modality_cosine(a, b)
@@ -94,31 +93,17 @@ def ged(ref_codes: Column, cand_codes: Column, n_ref: Column, n_cand: Column) ->
     return F.when((n_ref == 0) | (n_cand == 0), 0.0).when(neither, 0.5).when(one, 0.0).otherwise(shared * (1 - F.lit(0.3) * F.abs(n_ref - n_cand) / F.greatest(size, F.lit(1))))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the table."""
-
-    def row(prev: Column, x: Column) -> Column:
-        kind = "struct<left:int,out:array<int>>"
-        start = F.struct(F.lit(0).alias("left"), F.array().alias("out")).cast(kind)
-
-        def cell(acc: Column, j: Column) -> Column:
-            up, diagonal = F.get(prev, j), F.when(j > 0, F.get(prev, j - 1)).otherwise(0)
-            v = F.when(F.get(b, j) == x, diagonal + 1).otherwise(F.greatest(up, acc["left"]))
-            return F.struct(v.alias("left"), F.concat(acc["out"], F.array(v)).alias("out")).cast(kind)
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, cell, lambda acc: acc["out"])
-
-    last = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b)), row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(last, -1))
+def sequence_score(lcs: Column, ref_codes: Column, cand_codes: Column, ref_plain: Column, cand_plain: Column) -> Column:
+    """sqrt(LCS / longer) of the plain codes; 0.5 if only the others are left on a side, 0 without codes."""
+    empty = (F.size(ref_codes) == 0) | (F.size(cand_codes) == 0)
+    score = F.sqrt(lcs / F.greatest(F.size(ref_plain), F.size(cand_plain), F.lit(1)))
+    return F.when(empty, 0.0).when((F.size(ref_plain) == 0) | (F.size(cand_plain) == 0), 0.5).otherwise(score)
 
 
 def function_sequence(ref_codes: Column, cand_codes: Column) -> Column:
-    """sqrt(LCS / longer) of the codes outside the African family; 0.5 if only those are left on a side, 0 without codes."""
-    plain = lambda c: F.filter(c, lambda x: ~x.startswith("FN"))
-    a, b = plain(ref_codes), plain(cand_codes)
-    empty = (F.size(ref_codes) == 0) | (F.size(cand_codes) == 0)
-    score = F.sqrt(lcs_length(a, b) / F.greatest(F.size(a), F.size(b), F.lit(1)))
-    return F.when(empty, 0.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.5).otherwise(score)
+    """The score of two sequences of codes."""
+    a, b = plain_codes(ref_codes), plain_codes(cand_codes)
+    return sequence_score(lcs_length(a, b), ref_codes, cand_codes, a, b)
 
 
 def persistence(ref_actants: Column, cand_actants: Column) -> Column:
@@ -231,7 +216,8 @@ def with_scores(rows: DataFrame) -> DataFrame:
     c, have = F.col, set(rows.columns)
     out = rows.withColumn("matches", best_matches(c("ref_nodes"), c("cand_nodes")))
     out = out.withColumn("s_iso", isomorphism(c("matches"))).withColumn("s_ged", ged(c("ref_codes"), c("cand_codes"), c("ref_n_nodes"), c("cand_n_nodes")))
-    out = out.withColumn("s_func", function_sequence(c("ref_codes"), c("cand_codes"))).withColumn("s_chain", persistence(c("ref_actants"), c("cand_actants")))
+    lcs = lcs_length(c("ref_plain"), c("cand_plain"), c("ref_masks"))
+    out = out.withColumn("s_func", sequence_score(lcs, c("ref_codes"), c("cand_codes"), c("ref_plain"), c("cand_plain"))).withColumn("s_chain", persistence(c("ref_actants"), c("cand_actants")))
     roles = role_alignment((c("ref_roles"),) * 2, (c("cand_roles"),) * 2)[0] if {"ref_roles", "cand_roles"} <= have else F.lit(0.5)
     out = out.withColumn("s_act", (c("s_chain") + roles) / 2).withColumn("s_tens", tension_profile(c("ref_tensions"), c("cand_tensions")))
     out = out.withColumn("sns", reduce(lambda a, b: a + b, [F.lit(w) * c(n) for n, w in WEIGHTS]))
@@ -250,19 +236,6 @@ def with_scores(rows: DataFrame) -> DataFrame:
     return out.withColumn("srj_level", level).withColumn("verdict", verdict).withColumn("warnings", notes)
 
 
-def candidate_pairs(refs: DataFrame, works: DataFrame) -> DataFrame:
-    """(ref_id, cand_id) of all pairs that can score SNS above 0.55, from work_id and codes.
-
-    They share a function code, or both have codes and one has only African ones. For any other pair S_GED is 0, and S_FUNC too, so
-    SNS is at most 0.25 + 0.15 + 0.15; a work without codes stays below that as well.
-    """
-    only = lambda s: F.forall(f"{s}_codes", lambda x: x.startswith("FN"))
-    coded = (F.size("ref_codes") > 0) & (F.size("cand_codes") > 0)
-    keep = F.arrays_overlap("ref_codes", "cand_codes") | (coded & (only("ref") | only("cand")))
-    narrow = lambda df: df.select("work_id", F.array_distinct("codes").alias("codes"))
-    return search_pairs(narrow(refs), narrow(works)).where(keep).select(F.col("ref_work_id").alias("ref_id"), F.col("cand_work_id").alias("cand_id"))
-
-
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The k works most similar to each reference (ties: smallest id) with their rank."""
     w = Window.partitionBy("ref_id").orderBy(F.round("sns", 9).desc(), "cand_id")

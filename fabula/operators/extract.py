@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import code_masks, plain_codes
 from ..functions.text import count_contained, has_any, tokens
 from ..lexicon import FRENCH, Lexicon
 
@@ -80,10 +81,13 @@ def edges(nodes: DataFrame) -> DataFrame:
 
 
 def profiles(nodes: DataFrame) -> DataFrame:
-    """One row per work: nodes (array in order) and codes, tensions and actant counts derived from it."""
-    parts = F.struct("pos", F.col("function_code").alias("code"), F.col("function_family").alias("family"), "actants", *MODALITIES, "tension", "phase")
+    """One row per work: nodes (array in order; with what pairs compare: lower names, length of the modality vector), and codes, tensions and actants derived
+    from it; the codes outside the African family and their bit masks."""
+    names = F.transform("actants", lambda x: F.lower(F.trim(x))).alias("names")
+    norm = F.sqrt(reduce(lambda t, m: t + F.col(m) * F.col(m), MODALITIES, F.lit(0.0))).alias("norm")
+    parts = F.struct("pos", F.col("function_code").alias("code"), F.col("function_family").alias("family"), "actants", *MODALITIES, "tension", "phase", names, norm)
     out = nodes.groupBy("work_id").agg(F.sort_array(F.collect_list(parts)).alias("nodes"))
-    return out.select(
+    out = out.select(
         "work_id",
         "nodes",
         F.size("nodes").alias("n_nodes"),
@@ -91,6 +95,7 @@ def profiles(nodes: DataFrame) -> DataFrame:
         F.transform("nodes", lambda n: n["tension"]).alias("tensions"),
         F.flatten(F.transform("nodes", lambda n: n["actants"])).alias("actants"),
     )
+    return out.withColumn("plain", plain_codes(F.col("codes"))).withColumn("masks", code_masks(F.col("plain")))
 
 
 def rollup(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .lexicon import BENCH
-from .operators import clean, compare, extract, segment
+from .operators import clean, compare, extract, search, segment
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,8 +206,9 @@ def s_ged(spark, sf_dir):
 
 @query
 def s_func_lcs(spark, sf_dir):
-    plain = [F.filter(f"{s}_codes", lambda x: ~x.startswith("FN")) for s in ("ref", "cand")]
-    return _pair(spark, sf_dir, compare.lcs_length(*plain).alias("lcs"), _r(compare.function_sequence(F.col("ref_codes"), F.col("cand_codes")), "s_func"))
+    codes = [F.col(c) for c in ("ref_codes", "cand_codes", "ref_plain", "cand_plain")]
+    rows = _pair(spark, sf_dir, *codes, compare.lcs_length(*codes[2:], F.col("ref_masks")).alias("lcs"))
+    return rows.select(*IDS, "lcs", _r(compare.sequence_score(F.col("lcs"), *codes), "s_func"))
 
 
 @query
@@ -253,9 +254,20 @@ def transformation(spark, sf_dir):
     return scores(spark, sf_dir).select(*IDS, _r(1 - F.col("s_iso"), "structure_delta"), compare.moral_delta(none, none, F.col("ref_codes"), F.col("cand_codes")).alias("moral_delta"), _r("st", "st"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, read as often as needed."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bounded(spark, sf_dir):
+    return search.bounded_top_k(written(profiles(spark, sf_dir), "profiles"), F.col("work_id") % 100 == 0, 10, written)
+
+
 @query
 def topk_similar(spark, sf_dir):
-    return compare.top_k(scores(spark, sf_dir), 10).select("ref_id", "rank", "cand_id", _r("sns", "sns"))
+    return _bounded(spark, sf_dir)[0].select("ref_id", "rank", "cand_id", _r("sns", "sns"))
 
 
 @query
@@ -267,5 +279,5 @@ def score_percentile(spark, sf_dir):
 
 @query
 def candidate_pairs(spark, sf_dir):
-    p = profiles(spark, sf_dir).select("work_id", "codes")
-    return compare.candidate_pairs(p.where("work_id % 100 = 0"), p)
+    p = written(profiles(spark, sf_dir), "profiles")
+    return search.candidate_pairs(p.where("work_id % 100 = 0"), p)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fabula.functions import text as T
 from fabula.lexicon import FRENCH
+from fabula.functions import sequences
 from fabula.operators import clean, compare, extract, ingest, segment
 
 
@@ -94,11 +95,30 @@ def test_lcs(spark, a, b):
     assert got == table[-1][-1]
 
 
+def test_lcs_of_long_sequences(spark):
+    """Several words of bits, with carries between them; with masks made before and with none; time grows with the length of one side only."""
+    rng = random.Random(3)
+    rows = [tuple([f"F{rng.randint(1, n):02}" for _ in range(rng.choice([0, 1, 61, 62, 63, 124, 125, 300]))] for _ in "ab") for n in (1, 2, 5, 30) for _ in range(12)]
+    rows += [(["F01"] * 200, ["F01"] * 70), (["F01", "F02"] * 100, ["F02", "F01"] * 100)]
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        return row[-1]
+
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(rows)], "id int, a array<string>, b array<string>").withColumn("masks", sequences.code_masks(F.col("a"))).cache()
+    got = df.select("id", sequences.lcs_length(F.col("a"), F.col("b")).alias("x"), sequences.lcs_length(F.col("a"), F.col("b"), F.col("masks")).alias("y")).collect()
+    assert {r.id: (r.x, r.y) for r in got} == {k: (n, n) for k, n in enumerate(plain(a, b) for a, b in rows)}
+
+
 def _node(code, family, actants, tension=0.5, phase="Climax", pos=0, v=0.0):
-    return (pos, code, family, actants, v, 0.0, 0.0, 0.0, tension, phase)
+    return (pos, code, family, actants, v, 0.0, 0.0, 0.0, tension, phase, [a.strip().lower() for a in actants], abs(v))
 
 
-NODE = "struct<pos:int,code:string,family:string,actants:array<string>,vouloir:double,devoir:double,pouvoir:double,savoir:double,tension:double,phase:string>"
+NODE = "struct<pos:int,code:string,family:string,actants:array<string>,vouloir:double,devoir:double,pouvoir:double,savoir:double,tension:double,phase:string,names:array<string>,norm:double>"
 
 
 def test_match_bound_follows_binary_rounding(spark):
