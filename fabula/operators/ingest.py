@@ -1,18 +1,18 @@
-"""Externally produced analyses to tables: parse, repair, normalise, merge and price them; long texts to overlapping chunks."""
+"""Externally produced analyses to tables: parse, repair, normalise, merge and price them."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scans import scan
 from ..functions.text import token_estimate
 from ..lexicon import RECODED, RECODED_DEFAULT, ROLES
 
-# Sizes and rates.
-SPLIT_TOKENS, CHUNK_CHARS, OVERLAP_CHARS = 140_000, 360_000, 24_000
+# When a text is split, and rates.
+SPLIT_TOKENS = 140_000
 USD_IN, USD_OUT, EUR = 3.0, 15.0, 0.93
 
 _ROLES = "struct<" + ",".join(f"{r}:string" for r in ROLES) + ">"
@@ -125,19 +125,44 @@ def merge_counts(before: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     return one(before, "n_before").join(one(kept, "n_after"), key, "left").withColumn("n_after", F.coalesce("n_after", F.lit(0)))
 
 
-def drop_overlap_nodes(rows: DataFrame, key: str, bound: float = 0.5) -> DataFrame:
-    """rows(key, chunk, pos, code, text) without nodes that repeat a kept node of the chunk before: codes don't differ and over half of the smaller word set is shared."""
+def overlap_repeats(rows: DataFrame, key: str, bound: float = 0.5) -> DataFrame:
+    """(key, chunk, pos, prev_pos) of nodes that look like a node of the chunk before: codes don't differ and over half of the smaller word set is shared.
+
+    Nodes meet by equality on a word of theirs, so a chunk's nodes are never paired with all of the next one's.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{4,}"), F.lit(0)))
-    kind = "array<struct<chunk:int,pos:int,code:string,words:array<string>>>"
-    per = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("chunk").cast("int"), F.col("pos").cast("int"), "code", words.alias("words")))).cast(kind).alias("ns"))
+    sets = rows.select(key, F.col("chunk").cast("int").alias("chunk"), F.col("pos").cast("int").alias("pos"), F.when(F.col("code") != "", F.col("code")).alias("code"), words.alias("words"))
+    sets = sets.select(key, "chunk", "pos", "code", F.size("words").alias("size"), F.explode("words").alias("word"))
+    before = sets.select(key, (F.col("chunk") + 1).alias("chunk"), "word", F.col("pos").alias("prev_pos"), F.col("code").alias("prev_code"), F.col("size").alias("prev_size"))
+    met = sets.join(before, [key, "chunk", "word"]).where(F.coalesce(F.col("code") == F.col("prev_code"), F.lit(True)))
+    shared = met.groupBy(key, "chunk", "pos", "prev_pos", F.least("size", "prev_size").alias("least")).agg(F.count("*").alias("n"))
+    return shared.where(F.col("n") / F.col("least") > bound).select(key, "chunk", "pos", "prev_pos")
+
+
+def _gone(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Of (chunk, pos, prev_pos) in order, the (chunk, pos) that repeat a node which stays: what is gone of one chunk decides the next."""
+    chunk, gone, before = None, set(), set()
+    for at, pos, prev in rows:
+        if at != chunk:
+            before = gone if chunk is not None and at == chunk + 1 else set()
+            chunk, gone = at, set()
+        if prev not in before and pos not in gone:
+            gone.add(pos)
+            yield at, pos
 
-    def repeats(k: Column, n: Column) -> Column:
-        small = F.least(F.size(k["words"]), F.size(n["words"]))
-        close = (small > 0) & (F.size(F.array_intersect(k["words"], n["words"])) / F.greatest(small, F.lit(1)) > bound)
-        return (k["chunk"] == n["chunk"] - 1) & F.coalesce(k["code"] == n["code"], F.lit(True)) & close
 
-    kept = F.aggregate("ns", F.array().cast(kind), lambda acc, n: F.when(F.exists(acc, lambda k: repeats(k, n)), acc).otherwise(F.concat(acc, F.array(n))))
-    return per.select(key, F.explode(kept).alias("n")).select(key, "n.chunk", "n.pos", "n.code")
+def drop_overlap_nodes(rows: DataFrame, key: str, bound: float = 0.5) -> DataFrame:
+    """(key, chunk, pos, code) of rows(key, chunk, pos, code, text) without nodes that repeat a kept node of the chunk before.
+
+    Only kept nodes drop others, so chunks depend on each other in a chain. The chain runs over repeats alone (three numbers each), in an ordered
+    scan that remembers one chunk; chains break where a chunk has no repeats, and each unbroken stretch is a key of its own.
+    """
+    repeats = overlap_repeats(rows, key, bound)
+    w = Window.partitionBy(key).orderBy("chunk")
+    stretch = repeats.select(key, "chunk").distinct().withColumn("stretch", F.sum(F.when(F.col("chunk") - F.lag("chunk").over(w) == 1, 0).otherwise(1)).over(w))
+    gone = scan(repeats.join(stretch, [key, "chunk"]).select(key, "stretch", "chunk", "pos", "prev_pos"), [key, "stretch"], ["chunk", "pos", "prev_pos"], _gone, "chunk int, pos int")
+    plain = rows.select(key, F.col("chunk").cast("int").alias("chunk"), F.col("pos").cast("int").alias("pos"), "code")
+    return plain.join(gone.select(key, "chunk", "pos"), [key, "chunk", "pos"], "left_anti")
 
 
 def cost_forecast(docs: DataFrame, key: str, digits: int = 4) -> DataFrame:
@@ -157,97 +182,3 @@ def split_forecast(chunks: DataFrame, key: str, digits: int = 4) -> DataFrame:
 
 def needs_chunking(text: Column) -> Column:
     return token_estimate(text) > SPLIT_TOKENS
-
-
-def chunk_ranges(sizes: Column, limit: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, joint: int = 2) -> Column:
-    """Array of {first, last} paragraph positions: greedy chunks of at most `limit` characters.
-
-    Each chunk but the first begins with the last paragraphs of the one before, as many as `overlap` holds and one at least. An oversize paragraph
-    stands alone; an overlap that cannot take the next paragraph is a chunk of its own.
-    """
-    kind = "struct<done:array<struct<first:int,last:int>>,first:int,n:int>"  # first < 0: nothing open; n: its characters
-
-    def emit(acc: Column, last: Column) -> Column:
-        return F.when(acc["first"] >= 0, F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), last.cast("int").alias("last"))))).otherwise(acc["done"])
-
-    def state(done: Column, first: Column, n: Column) -> Column:
-        return F.struct(done.alias("done"), first.cast("int").alias("first"), n.cast("int").alias("n")).cast(kind)
-
-    total = lambda a, b: F.aggregate(F.slice(sizes, a + 1, b - a + 1), F.lit(0), lambda s, x: s + x + joint)
-
-    def step(acc: Column, i: Column) -> Column:
-        size = F.get(sizes, i)
-        fits = acc["n"] + size + joint <= limit
-        start = F.array_min(F.filter(F.sequence(acc["first"], i - 1), lambda s: (total(s, i - 1) <= overlap) | (s == i - 1)))
-        tail = F.transform(F.array(start), lambda s: F.struct(s.alias("s"), total(s, i - 1).alias("n")))[0]
-        room = tail["n"] + size + joint <= limit
-        alone = F.concat(emit(acc, i - 1), F.array(F.struct(i.cast("int").alias("first"), i.cast("int").alias("last"))))
-        closed = F.transform(F.array(tail), lambda t: F.when(room, state(emit(acc, i - 1), t["s"], t["n"] + size + joint)).otherwise(state(F.concat(emit(acc, i - 1), F.array(F.struct(t["s"].cast("int").alias("first"), (i - 1).cast("int").alias("last")))), i, size + joint)))[0]
-        return F.when(size > limit, state(alone, F.lit(-1), F.lit(0))).when(acc["first"] < 0, state(acc["done"], i, size + joint)).when(fits, state(acc["done"], acc["first"], acc["n"] + size + joint)).otherwise(closed)
-
-    start = F.struct(F.array().alias("done"), F.lit(-1).alias("first"), F.lit(0).alias("n")).cast(kind)
-    return F.when(F.size(sizes) == 0, F.array().cast("array<struct<first:int,last:int>>")).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), start, step, lambda acc: emit(acc, F.size(sizes) - 1)))
-
-
-def paragraph_spans(docs: DataFrame, key: str, limit: int = CHUNK_CHARS) -> DataFrame:
-    """(key, first, end, text): paragraphs with character offsets; those over `limit` characters are refined."""
-    blank = r"(?U)\n\s*\n"
-    cut = docs.select(key, F.col("text").alias("t"), F.split("text", blank).alias("ps"), F.transform(F.regexp_extract_all("text", F.lit(blank), F.lit(0)), F.length).alias("gaps"))
-    kind = "struct<next:int,out:array<struct<at:int,p:string>>>"
-    start = F.struct(F.lit(0).alias("next"), F.array().alias("out")).cast(kind)
-
-    def step(acc: Column, i: Column) -> Column:
-        p = F.get("ps", i)
-        here = F.struct(acc["next"].alias("at"), p.alias("p"))
-        return F.struct((acc["next"] + F.length(p) + F.coalesce(F.get("gaps", i), F.lit(0))).alias("next"), F.concat(acc["out"], F.array(here)).alias("out")).cast(kind)
-
-    placed = cut.where("ps is not null").select(key, F.explode(F.aggregate(F.sequence(F.lit(0), F.size("ps") - 1), start, step, lambda acc: acc["out"])).alias("x"))
-    lead = F.length("x.p") - F.length(F.regexp_replace("x.p", r"(?U)^\s+", ""))
-    rows = placed.select(key, (F.col("x.at") + lead).alias("first"), (F.col("x.at") + F.length("x.p")).alias("end"), F.regexp_replace("x.p", r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
-    fits = F.col("end") - F.col("first") <= limit
-    return rows.where(fits).union(rows.where(~fits).select(key, "first", "text").mapInPandas(_refiner(key, limit), rows.schema))
-
-
-def pieces(text: str, limit: int) -> list[tuple[int, int]]:
-    """Spans of an oversize paragraph: groups of sentences of at most `limit` characters, if there are three sentences and no group is over a
-    fifth too long; else blocks of `limit` characters that end, if possible, at a blank or full stop among their last 200."""
-    ends = [m.span() for m in re.finditer(r"(?<=[.!?])\s+(?=[A-ZÉÈÀÂÎÔÛÜŒÆ])", text)]
-    spans = list(zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)], strict=True))
-    if len(spans) >= 3:
-        groups: list[list[tuple[int, int]]] = []
-        for span in spans:
-            full = groups and sum(e - s for s, e in groups[-1]) + span[1] - span[0] > limit
-            if groups and not full:
-                groups[-1].append(span)
-            else:
-                groups.append([span])
-        out = [(g[0][0], g[-1][1]) for g in groups]
-        if all(e - s <= limit * 1.2 for s, e in out):
-            return out
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + limit, len(text))
-        if end < len(text):
-            end = next((k + 1 for k in range(end, max(end - 200, at + 1), -1) if text[k] in " .!?"), end)
-        out.append((at, end))
-        at = end
-    return out
-
-
-def _refiner(key: str, limit: int):
-    def run(batches):
-        for b in batches:
-            rows = [(k, first + s, first + e, t[s:e].strip()) for k, first, t in zip(b[key], b["first"], b["text"], strict=True) for s, e in pieces(t, limit)]
-            yield pd.DataFrame(rows, columns=[key, "first", "end", "text"])
-
-    return run
-
-
-def chunks(docs: DataFrame, key: str, limit: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, split: str = r"\n\s*\n+", joint: str = "\n\n") -> DataFrame:
-    """(key, chunk, n_chunks, label, text, has_overlap_before) of long texts."""
-    parts = docs.select(key, F.filter(F.split("text", split), lambda p: F.trim(p) != "").alias("ps"))
-    ranged = parts.withColumn("rs", chunk_ranges(F.transform("ps", F.length), limit, overlap, len(joint)))
-    rows = ranged.select(key, "ps", F.size("rs").alias("n_chunks"), F.col("rs"), F.posexplode("rs").alias("chunk", "r"))
-    text = F.array_join(F.slice("ps", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1), joint)
-    before = (F.col("chunk") > 0) & (F.get("rs", F.col("chunk") - 1)["last"] >= F.col("r.first"))
-    return rows.select(key, "chunk", "n_chunks", F.concat(F.lit("Bloc "), (F.col("chunk") + 1).cast("string"), F.lit("/"), F.col("n_chunks").cast("string")).alias("label"), text.alias("text"), before.alias("has_overlap_before"))

@@ -24,12 +24,50 @@ s AS (SELECT book, md5(string_agg('Partie ' || part || '/' || parts || ' : ' ||
 e AS (SELECT book, string_agg('length ' || n, '|' ORDER BY chunk) AS messages FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY chunk) AS r, bool_or(ok) OVER (PARTITION BY book) AS good FROM w) WHERE r <= 3 AND NOT good GROUP BY book),
 b AS (SELECT book, count(*) AS n_chunks, count(*) FILTER (NOT ok) AS n_failed, CAST(coalesce(sum(n // 4) FILTER (ok), 0) AS BIGINT) AS tokens FROM p GROUP BY book)
 """
+
+
+def _paragraphs(limit: int) -> str:
+    """CTEs up to para(doc_id, first, stop, text): lines with offsets, those above the limit as groups of sentences or blocks."""
+    capital = "[A-ZÉÈÀÂÎÔÛÜŒÆ]"
+    return rf"""
+li AS (SELECT doc_id, p, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg FROM (SELECT doc_id, unnest(ls) AS p, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+pa AS (SELECT doc_id, beg + length(p) - length(ltrim(p)) AS first, beg + length(p) AS stop, trim(p) AS text FROM li WHERE trim(p) <> ''),
+cut AS (SELECT doc_id, first AS base, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM (SELECT doc_id, first, string_split(regexp_replace(text, '([.!?])(\s+)({capital})', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS ss FROM pa WHERE stop - first > {limit})),
+gap AS (SELECT *, greatest(strpos(s, chr(2)) - 1, 0) AS g, substr(s, strpos(s, chr(2)) + 1) AS body FROM cut),
+sen AS (SELECT *, base + sum(g + length(body)) OVER (PARTITION BY doc_id, base ORDER BY k) AS stop FROM gap),
+grp AS (SELECT doc_id, base, k, 1 AS n, length(body) AS size FROM sen WHERE k = 1 UNION ALL SELECT sen.doc_id, sen.base, sen.k, CASE WHEN size + length(body) > {limit} THEN n + 1 ELSE n END, CASE WHEN size + length(body) > {limit} THEN length(body) ELSE size + length(body) END
+  FROM grp JOIN sen ON sen.doc_id = grp.doc_id AND sen.base = grp.base AND sen.k = grp.k + 1),
+made AS (SELECT sen.doc_id, sen.base, n, min(stop - length(body)) AS first, max(stop) AS stop, string_agg(trim(body), ' ' ORDER BY sen.k) AS text, count(*) AS m FROM sen JOIN grp ON grp.doc_id = sen.doc_id AND grp.base = sen.base AND grp.k = sen.k GROUP BY ALL),
+fit AS (SELECT doc_id, base FROM made GROUP BY ALL HAVING sum(m) >= 3 AND max(stop - first) <= {limit} * 1.2),
+blk AS (SELECT doc_id, first AS base, text, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM pa WHERE stop - first > {limit} AND NOT EXISTS (SELECT 1 FROM fit WHERE fit.doc_id = pa.doc_id AND fit.base = pa.first)
+  UNION ALL SELECT doc_id, base, text, b, CASE WHEN b + {limit} >= length(text) THEN length(text) WHEN regexp_matches(tail, '[ .!?]') THEN low + 1 + length(tail) - length(regexp_replace(tail, '(?s)^.*[ .!?]', '')) ELSE b + {limit} END
+  FROM (SELECT *, greatest(b + {limit} - 200, b + 1) AS low, substr(text, greatest(b + {limit} - 200, b + 1) + 2, b + {limit} - greatest(b + {limit} - 200, b + 1)) AS tail FROM blk WHERE b < length(text))),
+para AS (SELECT doc_id, first, stop, text FROM pa WHERE stop - first <= {limit} UNION ALL SELECT doc_id, first, stop, text FROM made WHERE EXISTS (SELECT 1 FROM fit WHERE fit.doc_id = made.doc_id AND fit.base = made.base)
+  UNION ALL SELECT doc_id, base + a, base + b, trim(substr(text, a + 1, b - a)) FROM blk WHERE b > 0)
+"""
+
+
+_CHUNKS = """
+long AS (SELECT para.*, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS i FROM para WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = para.doc_id AND CAST(trunc(length(d.text) / 4.0 * 1.2) AS INT) > 375)),
+seq AS (SELECT doc_id, list(stop - first ORDER BY i) AS sz, list_prepend(0, list(upto ORDER BY i)) AS pre FROM (SELECT *, CAST(sum(stop - first) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM long) GROUP BY doc_id),
+walk AS (SELECT doc_id, sz, pre, 0 AS i, 0 AS f, CAST([] AS STRUCT(a INT, b INT)[]) AS done FROM seq
+  UNION ALL SELECT doc_id, sz, pre, i + 1, CASE WHEN size > 1500 THEN 0 WHEN f = 0 THEN i + 1 WHEN pre[i + 2] - pre[f] <= 1500 THEN f WHEN pre[i + 2] - pre[t] <= 1500 THEN t ELSE i + 1 END,
+    CASE WHEN size > 1500 THEN list_concat(CASE WHEN f > 0 THEN list_append(done, {'a': f, 'b': i}) ELSE done END, [{'a': i + 1, 'b': i + 1}]) WHEN f = 0 OR pre[i + 2] - pre[f] <= 1500 THEN done
+      WHEN pre[i + 2] - pre[t] <= 1500 THEN list_append(done, {'a': f, 'b': i}) ELSE list_concat(done, [{'a': f, 'b': i}, {'a': t, 'b': i}]) END
+  FROM (SELECT *, sz[i + 1] AS size, CASE WHEN f > 0 THEN greatest(f, least(i, coalesce(list_min(list_filter(range(f, i + 1), lambda j: pre[i + 1] - pre[j] <= 300)), i))) END AS t FROM walk WHERE i < len(sz))),
+ends AS (SELECT doc_id, CASE WHEN f > 0 THEN list_append(done, {'a': f, 'b': i}) ELSE done END AS done FROM walk WHERE i = len(sz)),
+rng AS (SELECT doc_id, unnest(done) AS r, generate_subscripts(done, 1) - 1 AS chunk FROM ends),
+chs AS (SELECT doc_id, 0 AS chunk, CAST(0 AS BIGINT) AS char_start, length(text) AS char_end, md5(text) AS text_md5 FROM documents WHERE trim(text, chr(10) || ' ') <> '' AND CAST(trunc(length(text) / 4.0 * 1.2) AS INT) <= 375
+  UNION ALL SELECT rng.doc_id, chunk, min(first), max(stop), md5(string_agg(text, chr(10) || chr(10) ORDER BY long.i)) FROM rng JOIN long ON long.doc_id = rng.doc_id AND long.i BETWEEN rng.r.a AND rng.r.b GROUP BY rng.doc_id, chunk)
+"""
 _ROLE = rf"list_distinct(list_filter(regexp_extract_all(lower(x), '[a-zàâäéèêëïîôöùûüç]{{3,}}'), lambda w: NOT list_contains({_list(ROLE_STOPWORDS.split())}, w)))"
 _WORDS = r"list_distinct(regexp_extract_all(lower(x), '[a-zàâäéèêëïîôöùûüç]{3,}'))"
 _J = lambda a, b: f"len(list_intersect({a}, {b})) / CAST(greatest(len(list_distinct(list_concat({a}, {b}))), 1) AS DOUBLE)"
 _EV = "ev AS (SELECT event_id AS id, ts, user_id, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ACTIONS.items()) + " END AS action, value / 100 AS score FROM events), late AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM ev)"
 
 MORE = {
+    "paragraph_spans": _with(_paragraphs(400)) + "SELECT doc_id, CAST(first AS BIGINT) AS first, CAST(stop AS BIGINT) AS \"end\", md5(text) AS text_md5 FROM para",
+    "chunk_overlap": _with(_paragraphs(1500), _CHUNKS) + "SELECT doc_id, chunk, 'Bloc ' || (chunk + 1) || '/' || count(*) OVER w AS label, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, text_md5, chunk > 0 AS has_overlap_before, chunk < count(*) OVER w - 1 AS has_overlap_after FROM chs WINDOW w AS (PARTITION BY doc_id)",
     "token_estimates": "SELECT doc_id, CAST(floor(length(text) / 4 * CAST(1.20 AS DOUBLE)) AS INT) AS tokens, floor(length(text) / 4 * CAST(1.20 AS DOUBLE)) > 140000 AS split FROM documents",
     "cost_forecast": "SELECT doc_id, i AS tokens_in, o AS tokens_out, round((i * 3.0 + o * CAST(15.0 AS DOUBLE)) / 1000000, 9) AS cost_usd, round((i * 3.0 + o * CAST(15.0 AS DOUBLE)) / 1000000 * CAST(0.93 AS DOUBLE), 9) AS cost_eur FROM (SELECT doc_id, length(text) // 4 + 2000 AS i, least(16000, greatest(2000, length(text) // 20)) AS o FROM documents)",
     "parse_responses": _with(_SEGMENTS) + f"SELECT work_id, CASE WHEN {_OK} THEN 'ok' ELSE 'error' END AS status, CASE WHEN {_OK} THEN source END AS genre, CASE WHEN {_OK} THEN len(chunks) END AS n_nodes, CASE WHEN {_OK} AND work_id % 3 = 1 THEN 'hero' END AS lead_v2 FROM folded",

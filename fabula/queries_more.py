@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import token_estimate
 from .lexicon import BENCH
-from .operators import compare, extract, history, ingest, repertoire, report, segment
+from .operators import chunking, compare, extract, history, ingest, repertoire, report, segment
 from .queries import Query, documents, nodes, pairs, profiles, shared_path, table, works
 from .queries_logs import ACTIONS, analyses, usage
 from .sources import files
@@ -101,13 +101,14 @@ def merge_dedup(spark, sf_dir):
 
 @query
 def chunk_overlap(spark, sf_dir):
-    c = ingest.chunks(documents(spark, sf_dir), "doc_id", 1500, 300, "\n", "\n")
-    return c.select("doc_id", "chunk", "label", F.length("text").alias("n_chars"), "has_overlap_before")
+    """Chunks of 375 tokens; lines are the paragraphs, as the documents have no blank ones."""
+    c = chunking.chunks(documents(spark, sf_dir), "doc_id", 375, 75, r"\n")
+    return c.select("doc_id", "chunk", "label", "char_start", "char_end", F.md5("text").alias("text_md5"), "has_overlap_before", "has_overlap_after")
 
 
 @query
 def paragraph_spans(spark, sf_dir):
-    return ingest.paragraph_spans(documents(spark, sf_dir), "doc_id", 3000).select("doc_id", "first", "end", F.md5("text").alias("text_md5"))
+    return chunking.paragraphs(documents(spark, sf_dir), "doc_id", 400, r"\n").select("doc_id", "first", "end", F.md5("text").alias("text_md5"))
 
 
 @query
