@@ -198,7 +198,7 @@ def usage_records(rows: DataFrame) -> DataFrame:
 
 
 def append(records: DataFrame, path: str) -> None:
-    """Adds records to a table of files; of a stream: `writeStream.foreachBatch(lambda batch, _: append(batch, path))`."""
+    """Adds records to a table of files. A job that runs again adds them again: a stream takes streaming.live.batch_writer, which doesn't."""
     records.write.mode("append").parquet(path)
 
 

@@ -95,6 +95,8 @@ SELECT p.work_id, n_nodes, peak, CASE WHEN seq.n + coalesce(fars.n, 0) > 0 THEN
     "report_rows": _with(*SCORE) + ", r AS (SELECT scores.*, CASE WHEN srj < 0.25 THEN 'Faible' WHEN srj < 0.55 THEN 'Modéré' WHEN srj < 0.80 THEN 'Élevé' ELSE 'Critique' END AS srj_level, p.ref_t, p.cand_t FROM scores JOIN pairs p ON p.ref_id = scores.ref_id AND p.cand_id = scores.cand_id) SELECT ref_id, cand_id, srj_level, CASE srj_level WHEN 'Faible' THEN 'green' WHEN 'Modéré' THEN 'orange' WHEN 'Élevé' THEN 'red' ELSE 'darkred' END AS colour, array_to_string(list_transform(ref_t, lambda t: CASE WHEN list_max(ref_t) > 0 THEN CAST(floor(t / list_max(ref_t) * 50) AS INT) ELSE 0 END), ',') AS ref_bars, array_to_string(list_transform(cand_t, lambda t: CASE WHEN list_max(cand_t) > 0 THEN CAST(floor(t / list_max(cand_t) * 50) AS INT) ELSE 0 END), ',') AS cand_bars FROM r",
     "markdown_export": _with(*PAIR) + "SELECT work_id, md5('# Work ' || work_id || chr(10) || chr(10) || '- nodes: ' || n || chr(10) || '- functions: ' || array_to_string(codes, ' → ') || chr(10)) AS markdown_md5 FROM profiles",
     "stream_usage_windows": "WITH " + _EV + ", wn AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') - INTERVAL 6 HOUR * k AS start FROM ev, (SELECT unnest(range(4)) AS k) WHERE action IN ('analyze_llm', 'comparison')) SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM wn, (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM ev WHERE action IN ('analyze_llm', 'comparison')) late WHERE start + INTERVAL 24 HOUR <= mark GROUP BY ALL",
+    "stream_quota": "WITH " + _EV + ", b AS (SELECT *, count(*) OVER day AS used_24h, count(*) OVER month AS used_30d, min(ts) OVER day AS earliest FROM ev WHERE action IN ('analyze_llm', 'comparison') WINDOW day AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW), month AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)) SELECT user_id, id, used_24h, used_30d, (epoch_us(earliest) + 86400000000 - epoch_us(ts)) // 3600000000 AS hours FROM b WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM b)",
+    "stream_usage_log": "WITH " + _EV + " SELECT user_id, action, count(*) AS n, round(sum(score), 4) AS cost, CAST(0 AS BIGINT) AS tokens FROM ev GROUP BY user_id, action",
     "stream_rate_limits": "WITH " + _EV + " SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM ev, late WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2 HAVING count(*) > 1",
     "stream_sessions": "WITH " + _EV + ", g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, id) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM r, late GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= any_value(mark)",
     "stream_notifications": "WITH " + _EV + " SELECT id, CASE WHEN score >= 0.55 THEN 'ip' ELSE 'comparison' END AS notice, CAST(round(score * 100) AS INT) AS value FROM ev WHERE action = 'comparison'",

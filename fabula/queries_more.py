@@ -227,6 +227,18 @@ def stream_analysis(spark, sf_dir):
     return live.per_batch(live.stream_table(spark, sf_dir, "documents"), shared_path(spark, "analysis"), analyse)
 
 
+@query
+def stream_quota(spark, sf_dir):
+    return live.run_available(live.live_quota(_stream(spark, sf_dir)), shared_path(spark, "quota"))
+
+
+@query
+def stream_usage_log(spark, sf_dir):
+    """The usage log written by batches of a stream, each once."""
+    log = live.per_batch(_stream(spark, sf_dir), shared_path(spark, "usage-log"), lambda batch: history.usage_records(batch.withColumns({"cost_usd": F.col("score"), "tokens": F.lit(None)})))
+    return log.groupBy("user_id", "action").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 4).alias("cost"), F.sum("tokens").alias("tokens"))
+
+
 @query
 def node_table(spark, sf_dir):
     return extract.node_table(segment.segments(works(spark, sf_dir), BENCH), BENCH)

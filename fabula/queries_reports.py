@@ -138,10 +138,10 @@ def store_totals(spark, sf_dir):
 def graph_store(spark, sf_dir):
     """Graphs saved, those of short works deleted, the rest listed."""
     n = nodes(spark, sf_dir)
-    first, second = shared_path(spark, "graphs"), shared_path(spark, "graphs")
-    files.save_graphs(n, extract.edges(n), first)
-    files.delete_graphs(spark, first, files.list_graphs(spark, first).where("n_nodes < 3"), second)
-    return files.list_graphs(spark, second)
+    store = shared_path(spark, "graphs")
+    files.save_graphs(n, extract.edges(n), store)
+    files.delete_graphs(spark, store, files.list_graphs(spark, store).where("n_nodes < 3"), shared_path(spark, "deletes"))
+    return files.list_graphs(spark, store)
 
 
 @query

@@ -83,34 +83,76 @@ def html_text(pages: DataFrame, key: str, column: str = "html") -> DataFrame:
     return pages.select(F.col(key).cast("long"), column).mapInPandas(run, f"{key} long, text string")
 
 
-def save_graphs(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64) -> None:
+#: Columns of a stored graph, as extract.nodes and extract.edges make them; a store of other columns is read by its own schemas.
+STORED = {
+    "nodes": "work_id bigint, pos int, total int, node_id string, segment_id string, function_code string, function_family string, actants array<string>, vouloir double, devoir double, pouvoir double, savoir double, tension double, phase string, text_excerpt string",
+    "edges": "work_id bigint, edge_id string, src_pos int, dst_pos int, transition_type string, weight double",
+}
+BUCKETS = 64
+
+
+def _bucket(work_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(work_id), F.lit(buckets)).cast("int")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _hadoop(spark, path)
+    return fs.exists(place)
+
+
+def save_graphs(nodes: DataFrame, edges: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Appends graphs to a store partitioned by a bucket of work_id."""
     for name, df in (("nodes", nodes), ("edges", edges)):
-        df.withColumn("bucket", F.pmod(F.xxhash64("work_id"), F.lit(buckets))).write.mode("append").partitionBy("bucket").parquet(f"{path}/{name}")
+        df.withColumn("bucket", _bucket(F.col("work_id"), buckets)).write.mode("append").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
-def load_graphs(spark: SparkSession, path: str, work_id: int | None = None, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the store; of one work only from its bucket."""
+def load_graphs(spark: SparkSession, path: str, work_id: int | None = None, buckets: int = BUCKETS, stored: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the store; of one work only from its bucket. A store that holds nothing, or isn't there yet, gives empty tables."""
     out = []
-    for name in ("nodes", "edges"):
-        df = spark.read.parquet(f"{path}/{name}")
-        if work_id is not None:
-            df = df.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(work_id).cast("long")), F.lit(buckets))) & (F.col("work_id") == work_id))
+    for name, schema in (stored or STORED).items():
+        df = spark.createDataFrame([], schema)
+        if exists(spark, f"{path}/{name}"):
+            df = spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/{name}")
+            if work_id is not None:
+                df = df.where((F.col("bucket") == _bucket(F.lit(work_id).cast("long"), buckets)) & (F.col("work_id") == work_id))
         out.append(df.drop("bucket"))
     return out[0], out[1]
 
 
-def list_graphs(spark: SparkSession, path: str) -> DataFrame:
+def list_graphs(spark: SparkSession, path: str, stored: dict[str, str] | None = None) -> DataFrame:
     """(work_id, n_nodes, n_edges) of the graphs of a store."""
-    n, e = (df.groupBy("work_id").agg(F.count("*").alias(f"n_{name}")) for name, df in zip(("nodes", "edges"), load_graphs(spark, path), strict=True))
+    n, e = (df.groupBy("work_id").agg(F.count("*").alias(f"n_{name}")) for name, df in zip(("nodes", "edges"), load_graphs(spark, path, stored=stored), strict=True))
     return n.join(e, "work_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
-def delete_graphs(spark: SparkSession, path: str, gone: DataFrame, target: str, buckets: int = 64) -> None:
-    """Writes the store without the works of gone(work_id) to a new folder, where readers go next; a job that is repeated writes the same."""
-    keys = gone.select("work_id").distinct()
-    nodes, edges = (df.join(keys, "work_id", "left_anti") for df in load_graphs(spark, path))
-    save_graphs(nodes, edges, target, buckets)
+def delete_graphs(spark: SparkSession, path: str, gone: DataFrame, scratch: str, buckets: int = BUCKETS, stored: dict[str, str] | None = None) -> None:
+    """Deletes the works of gone(work_id) from the store, by rewriting the buckets that may hold them and no others.
+
+    What stays of those buckets is written to the new folder `scratch` first and then takes their place (Spark's dynamic partition overwrite); a
+    bucket of which nothing stays is removed. A job that fails on the way leaves every bucket as it was or as it will be: run it again.
+    """
+    keys = gone.select("work_id").distinct().withColumn("bucket", _bucket(F.col("work_id"), buckets))
+    keys.write.parquet(f"{scratch}/keys")
+    keys = spark.read.schema(keys.schema).parquet(f"{scratch}/keys")
+    touched = [r.bucket for r in keys.select("bucket").distinct().collect()]  # as many as there are buckets, at most
+    for name, schema in (stored or STORED).items():
+        at = f"{path}/{name}"
+        if not touched or not exists(spark, at):
+            continue
+        rows = spark.read.schema(f"{schema}, bucket int").parquet(at).where(F.col("bucket").isin(touched))
+        rows.join(keys.select("work_id"), "work_id", "left_anti").write.partitionBy("bucket").parquet(f"{scratch}/{name}")
+        kept = spark.read.schema(f"{schema}, bucket int").parquet(f"{scratch}/{name}")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
+        left = {r.bucket for r in kept.select("bucket").distinct().collect()}
+        for bucket in set(touched) - left:
+            fs, place = _hadoop(spark, f"{at}/bucket={bucket}")
+            fs.delete(place, True)
 
 
 def list_documents(docs: DataFrame, key: str, title: str) -> DataFrame:
