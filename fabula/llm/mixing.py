@@ -6,7 +6,8 @@ pass of running sums: sources up to some rank are capped, the rest share what is
 
 Sampling: ratio = target / size. Every document is repeated floor(ratio) times whole; the fractional
 repetition goes to whole documents in the order of a seeded hash while they fit the source's remainder,
-then to the one document further on whose size is nearest to what is left. The hash splits every source into 4,096 bins; bins are summed before the shuffle,
+then to single documents whose size is nearest to what is left, one after the other: a document is taken once more (at most `epochs` times in all) or, if
+the sum has gone beyond the target, once less. Each of these ROUNDS leaves less than before, so a source of few long documents ends near its target, too. The hash splits every source into 4,096 bins; bins are summed before the shuffle,
 and only the one bin in which the remainder ends is ranked row by row, so a source with
 a third of all rows puts one row in 4,096 of its rows into one task.
 
@@ -25,6 +26,7 @@ from .common import WORD, materialize
 EPOCHS = 3
 BIN_BITS = 12
 SALT = 64
+ROUNDS = 4
 
 
 def place(doc_id: Column, text: Column, seed: int = 42) -> Column:
@@ -57,7 +59,7 @@ def targets(sized: DataFrame, weights=cyclic_weights, epochs: int = EPOCHS, tota
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(sized: DataFrame, goal: DataFrame) -> DataFrame:
+def mix(sized: DataFrame, goal: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """sized with source_size, target and times (whole repetitions that the mix takes)."""
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -83,17 +85,25 @@ def mix(sized: DataFrame, goal: DataFrame) -> DataFrame:
     salted = lambda p: p.withColumn("grain", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     sized = sized.withColumn("salt", F.pmod("place", F.lit(SALT)).cast("int"))
     meets = F.col("source").eqNullSafe(F.col("src")) & (F.col("salt") == F.col("grain"))
-    off = F.abs(F.col("size") - F.col("gap"))
-    fits = sized.join(salted(plan.where("gap > 0")), meets).where(F.col("place") > F.col("bound")).where(off < F.col("gap"))
-    fits = fits.groupBy(F.col("src").alias("f")).agg(F.min(F.struct(off.alias("off"), "place")).getField("place").alias("one"))
-    plan = plan.join(fits, F.col("src").eqNullSafe(F.col("f")), "left").drop("f")
+    one = F.coalesce(F.when(F.col("bound").isNotNull(), F.col("place") <= F.col("bound")).otherwise(F.col("rest") > 0), F.lit(False)).cast("long")
+    picked = F.aggregate(F.filter("picks", lambda p: p["place"] == F.col("place")), F.lit(0).cast("long"), lambda t, p: t + p["by"])
+    times = F.col("whole") + one + picked
+    plan = plan.withColumns({"gap": F.coalesce(F.col("gap").cast("double"), F.lit(0.0)), "picks": F.array().cast("array<struct<place:bigint,by:bigint>>")})
+    for k in range(ROUNDS):
+        off, more = F.abs(F.col("size") - F.abs("gap")), F.col("gap") > 0
+        near = sized.join(salted(plan.where("gap <> 0")), meets).where(off < F.abs("gap")).where(F.when(more, times < epochs).otherwise(times > 0))
+        near = near.groupBy(F.col("src").alias("f")).agg(F.min(F.struct(off.alias("off"), "place", "size")).alias("pick"))
+        plan = plan.join(near, F.col("src").eqNullSafe(F.col("f")), "left")
+        by = F.when(F.col("gap") > 0, 1).otherwise(-1).cast("long")
+        grown = F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(F.struct("pick.place", by.alias("by")))))
+        plan = plan.withColumns({"picks": grown, "gap": F.when(F.col("pick").isNull(), 0.0).otherwise(F.col("gap") - by * F.col("pick.size"))}).drop("f", "pick")
+        plan = materialize(plan, f"mix-plan-{k}")
     out = sized.join(salted(plan), meets)
-    extra = F.when(F.col("bound").isNotNull(), (F.col("place") <= F.col("bound")) | F.coalesce(F.col("place") == F.col("one"), F.lit(False))).otherwise(F.col("rest") > 0)
-    return out.withColumn("times", (F.col("whole") + extra.cast("long")).cast("long")).drop("src", "whole", "rest", "bound", "gap", "one", "salt", "grain")
+    return out.withColumn("times", times.cast("long")).drop("src", "whole", "rest", "bound", "gap", "picks", "salt", "grain")
 
 
 def mixture(docs: DataFrame, epochs: int = EPOCHS, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and place and source besides."""
     sized = materialize(sizes(docs, seed), "mix-sizes")
-    out = mix(sized, targets(sized, epochs=epochs))
+    out = mix(sized, targets(sized, epochs=epochs), epochs)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "source", "place")

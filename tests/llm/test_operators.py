@@ -143,6 +143,17 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixture(empty).count() == 0
 
 
+def test_mixing_comes_near_every_target(spark):
+    """On the smallest table, whose sources hold a few documents each: within a twentieth of the target, or of the smallest document."""
+    got = mixing.mixture(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    taken, least = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        least[r.source] = min(least.get(r.source, r.size), r.size)
+        assert r.taken <= 3 * r.size
+    assert {r.source: r.target for r in got}.items() and all(abs(taken[r.source] - r.target) <= max(0.05 * r.target, least[r.source]) for r in got)
+
+
 def test_water_filling_caps(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5), ("z", 0)], "source string, size long").withColumn("place", F.lit(1).cast("long"))
     t = {r.source: r.target for r in mixing.targets(sized).collect()}
