@@ -154,23 +154,27 @@ def role_words(value: Column, stopwords: str = ROLE_STOPWORDS) -> Column:
 
 def role_similarity(a: Column, b: Column) -> Column:
     """Mean Jaccard over the six roles of two role structs: both empty 0.5, one empty or wordless left out."""
-    scores = []
-    for role in ROLES:
-        x, y = (F.trim(F.coalesce(s[role], F.lit(""))) for s in (a, b))
-        wx, wy = role_words(x), role_words(y)
-        scores.append(F.when((x == "") & (y == ""), 0.5).when((F.size(wx) > 0) & (F.size(wy) > 0) & (x != "") & (y != ""), jaccard(wx, wy)))
-    known = F.array_compact(F.array(*scores))
-    mean = F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(known), F.lit(1))
-    return F.when(a.isNull() | b.isNull() | (F.size(known) == 0), 0.0).otherwise(mean)
+    sides = F.array(*[F.struct(*[F.trim(F.coalesce(s[role], F.lit(""))).alias(n) for s, n in ((a, "x"), (b, "y"))], role_words(a[role]).alias("wx"), role_words(b[role]).alias("wy")) for role in ROLES])
+    empty = lambda p: (p["x"] == "") & (p["y"] == "")
+    scores = F.transform(sides, lambda p: F.when(empty(p), 0.5).when((F.size(p["wx"]) > 0) & (F.size(p["wy"]) > 0), jaccard(p["wx"], p["wy"])))
+    mean = lambda known: F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(known), F.lit(1))
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.transform(F.array(F.array_compact(scores)), mean)[0])
+
+
+def role_match(ref: tuple[Column, Column], cand: tuple[Column, Column]) -> Column:
+    """{score, label} of the best of the four version pairs (ties: the first); 0.5 if a work has no roles."""
+    pairs = [(i, j) for i in (0, 1) for j in (0, 1)]
+    labels = F.array(*[F.lit(f"v{i + 1}↔v{j + 1}") for i, j in pairs])
+    made = F.array(*[F.coalesce(role_similarity(ref[i], cand[j]), F.lit(0.0)) for i, j in pairs])
+    missing = (ref[0].isNull() & ref[1].isNull()) | (cand[0].isNull() & cand[1].isNull())
+    best = lambda v: F.struct(F.array_max(v).alias("score"), F.element_at(labels, F.array_position(v, F.array_max(v)).cast("int")).alias("label"))
+    return F.when(missing, F.struct(F.lit(0.5).alias("score"), F.lit("indisponible").alias("label"))).otherwise(F.transform(F.array(made), best)[0])
 
 
 def role_alignment(ref: tuple[Column, Column], cand: tuple[Column, Column]) -> tuple[Column, Column]:
-    """Score and label of the best of the four version pairs; 0.5 if a work has no roles."""
-    combos = [(f"v{i + 1}↔v{j + 1}", F.coalesce(role_similarity(ref[i], cand[j]), F.lit(0.0))) for i in (0, 1) for j in (0, 1)]
-    best = F.greatest(*[s for _, s in combos])
-    label = reduce(lambda out, c: F.when(c[1] == best, c[0]).otherwise(out), reversed(combos), F.lit("v1↔v1"))
-    missing = (ref[0].isNull() & ref[1].isNull()) | (cand[0].isNull() & cand[1].isNull())
-    return F.when(missing, 0.5).otherwise(best), F.when(missing, "indisponible").otherwise(label)
+    """Score and label of role_match."""
+    match = role_match(ref, cand)
+    return match["score"], match["label"]
 
 
 def form_delta(ref: Column, cand: Column) -> Column:
@@ -211,23 +215,43 @@ def modality_class(s_iso: Column, s_func: Column, s_tens: Column, n_ref: Column,
     )
 
 
+#: What a reader is told, by the SNS below which it holds; SS and the modality go in.
+VERDICTS = (
+    (0.30, "Structures nettement différentes ; un emprunt de surface reste possible."),
+    (0.50, "Ressemblance sans doute de genre (spécificité %.2f) ; à faire lire."),
+    (0.70, "Correspondances notables (modalité %s) ; avis d'un narratologue conseillé."),
+    (float("inf"), "Structure profonde très proche (modalité %s) ; expertise nécessaire, ce n'est pas une preuve."),
+)
+
+
+def verdict_text(sns: Column, ss: Column, modality: Column) -> Column:
+    """The verdict with the numbers it rests on."""
+    told = [F.lit(VERDICTS[0][1]), F.format_string(VERDICTS[1][1], F.round(F.round(ss, 9), 2)), *[F.format_string(t, modality) for _, t in VERDICTS[2:]]]
+    return reduce(lambda out, x: F.when(sns < x[0][0], x[1]).otherwise(out), reversed(list(zip(VERDICTS[:3], told[:3], strict=True))), told[3])
+
+
 def with_scores(rows: DataFrame) -> DataFrame:
-    """Pair rows (ref_*, cand_* profiles, and ref_form, cand_form, ref_roles, cand_roles structs if there) with all scores and classes."""
+    """Pair rows (ref_*, cand_* profiles, and ref_form, cand_form, ref_roles, cand_roles, ref_roles_v2, cand_roles_v2 structs if there) with all scores and classes."""
     c, have = F.col, set(rows.columns)
     out = rows.withColumn("matches", best_matches(c("ref_nodes"), c("cand_nodes")))
     out = out.withColumn("s_iso", isomorphism(c("matches"))).withColumn("s_ged", ged(c("ref_codes"), c("cand_codes"), c("ref_n_nodes"), c("cand_n_nodes")))
     lcs = lcs_length(c("ref_plain"), c("cand_plain"), c("ref_masks"))
     out = out.withColumn("s_func", sequence_score(lcs, c("ref_codes"), c("cand_codes"), c("ref_plain"), c("cand_plain"))).withColumn("s_chain", persistence(c("ref_actants"), c("cand_actants")))
-    roles = role_alignment((c("ref_roles"),) * 2, (c("cand_roles"),) * 2)[0] if {"ref_roles", "cand_roles"} <= have else F.lit(0.5)
-    out = out.withColumn("s_act", (c("s_chain") + roles) / 2).withColumn("s_tens", tension_profile(c("ref_tensions"), c("cand_tensions")))
+    versions = lambda side: (c(f"{side}_roles"), c(f"{side}_roles_v2" if f"{side}_roles_v2" in have else f"{side}_roles"))
+    with_roles = {"ref_roles", "cand_roles"} <= have
+    match = role_match(versions("ref"), versions("cand")) if with_roles else F.struct(F.lit(0.5).alias("score"), F.lit("indisponible").alias("label"))
+    out = out.withColumn("roles_match", match).withColumn("s_greimas", c("roles_match.score")).withColumn("alignment", c("roles_match.label"))
+    out = out.withColumn("s_act", (c("s_chain") + c("s_greimas")) / 2).withColumn("s_tens", tension_profile(c("ref_tensions"), c("cand_tensions")))
     out = out.withColumn("sns", reduce(lambda a, b: a + b, [F.lit(w) * c(n) for n, w in WEIGHTS]))
     out = out.withColumn("sns_normalized", F.least(F.lit(1.0), c("sns") * 1.15)).withColumn("ss", F.greatest(F.lit(0.0), (c("sns") - 0.4) / 0.6))
     form = {"ref_form", "cand_form"} <= have
     missing = F.lit(None).cast("struct<form:string,register:string,narrative_length_category:string,has_explicit_morality:boolean,has_narrator_intervention:boolean>")
     f, g = (c("ref_form"), c("cand_form")) if form else (missing, missing)
-    focus = focus_delta(c("ref_roles"), c("cand_roles")) if {"ref_roles", "cand_roles"} <= have else F.lit(0.5)
-    deltas = (1 - c("s_iso")) + form_delta(f, g) + register_delta(f, g) + focus + moral_delta(f, g, c("ref_codes"), c("cand_codes"))
-    out = out.withColumn("st", F.greatest(F.lit(0.0), F.least(F.lit(1.0), deltas / 5))).withColumn("modality", modality_class(c("s_iso"), c("s_func"), c("s_tens"), c("ref_n_nodes"), c("cand_n_nodes")))
+    focus = focus_delta(c("ref_roles"), c("cand_roles")) if with_roles else F.lit(0.5)
+    deltas = {"structure": 1 - c("s_iso"), "form": form_delta(f, g), "register": register_delta(f, g), "focus": focus, "moral": moral_delta(f, g, c("ref_codes"), c("cand_codes"))}
+    out = out.withColumns({f"{name}_delta": x for name, x in deltas.items()})
+    mean = reduce(lambda x, y: x + y, [c(f"{name}_delta") for name in deltas]) / 5
+    out = out.withColumn("st", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))).withColumn("modality", modality_class(c("s_iso"), c("s_func"), c("s_tens"), c("ref_n_nodes"), c("cand_n_nodes")))
     out = out.withColumn("srj", F.lit(0.4) * c("sns") + F.lit(0.4) * c("ss") + F.when(c("modality") == "none", 0.0).otherwise(0.1))
     level = F.when(c("srj") < 0.25, "Faible").when(c("srj") < 0.55, "Modéré").when(c("srj") < 0.80, "Élevé").otherwise("Critique")
     verdict = F.when(c("sns") < 0.30, "different").when(c("sns") < 0.50, "conventional").when(c("sns") < 0.70, "notable").otherwise("close")

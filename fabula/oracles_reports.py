@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from .lexicon import LENGTH_CATEGORIES, REGISTER_DISTANCE
-from .operators.compare import WEIGHTS
-from .oracles import _SIMS, GATE, NODE, SCORE, SEG, TAG, _list, _with
+from .operators.compare import VERDICTS, WEIGHTS
+from .oracles import _N, _PARTS, _SCORES, _SIMS, GATE, NODE, PAIR, SCORE, SEG, TAG, _list, _with
 from .oracles_logs import _NOW, _U, LOGS
-from .oracles_more import _REP, MORE
-from .queries_reports import NAMES, REGISTERS
+from .oracles_more import _REP, _ROLE, _WORDS, MORE
+from .queries_reports import LENGTHS, NAMES, REGISTERS
 
 _FORMS = f"""WITH w AS (SELECT doc_id AS work_id, lang AS form, length(text) AS n FROM documents WHERE {GATE} >= 200),
 f AS (SELECT *, CASE WHEN n % 6 <> 0 THEN {_list(REGISTERS)}[n % {len(REGISTERS)} + 1] END AS reg, CASE WHEN n % 7 <> 0 THEN n % 5 + 1 ELSE {LENGTH_CATEGORIES["moyen"]} END AS size,
@@ -33,6 +33,38 @@ def _version(i: int, j: int) -> str:
     return f"CASE WHEN a.has{i} AND b.has{j} THEN {mean} ELSE 0 END AS s{i}{j}"
 
 
+_FULL = f"""
+shape AS (SELECT n.work_id, count(*) AS n, list(actants ORDER BY pos) AS who, list(code ORDER BY pos) AS cs, list(actants ORDER BY round(tension, 9) DESC, pos)[1] AS top, max(round(tension, 9)) AS peak FROM nodes n GROUP BY n.work_id),
+told AS (SELECT shape.*, CASE WHEN len(string_split(text, chr(10))) > 3 THEN 'vers' ELSE 'prose' END AS form, CASE WHEN n > 1 THEN {_list(REGISTERS)}[CAST(least({len(REGISTERS) - 1}, floor(peak * {len(REGISTERS)})) AS INT) + 1] END AS reg,
+  CASE {" ".join(f"WHEN {_N('text')} < {most} THEN {LENGTH_CATEGORIES[name]}" for name, most in LENGTHS)} ELSE {LENGTH_CATEGORIES["tres_long"]} END AS size, CASE WHEN lang = 'fr' THEN coalesce(cs[n] = 'F49', false) ELSE list_contains(cs, 'F49') END AS moral, CASE WHEN lang <> 'de' THEN contains(text, '?') END AS asks,
+  array_to_string(who[1], ' ') AS l1, array_to_string(who[n], ' ') AS o1, array_to_string(top, ' ') AS l2, array_to_string(who[n // 2 + 1], ' ') AS b2, true AS has1, n >= 3 AS has2 FROM shape JOIN documents ON doc_id = work_id),
+cast_ AS (SELECT work_id, form, reg, size, moral, asks, has1, has2, {", ".join(f"trim({c}) AS {c}, list_transform([{c}], lambda x: {_ROLE})[1] AS w{c}" for c in ("l1", "o1", "l2", "b2"))}, list_transform([l1], lambda x: {_WORDS})[1] AS lead FROM told),
+near(a, b, d) AS (VALUES {", ".join(f"('{x}', '{y}', {d})" for a, b, d in REGISTER_DISTANCE for x, y in ((a, b), (b, a)))})
+"""
+
+
+def _alignment(i: int, j: int) -> str:
+    """Mean of the roles that two versions fill; two of six are filled in each, others in both are empty."""
+    filled = {1: {"p": "l1", "o": "o1"}, 2: {"p": "l2", "b": "b2"}}
+    none = lambda x: f"coalesce({x}, '') = ''"
+    parts, empty = [], 6 - len(filled[i].keys() | filled[j].keys())
+    for role in sorted(filled[i].keys() | filled[j].keys()):
+        c, d = filled[i].get(role), filled[j].get(role)
+        if c and d:
+            parts.append(f"CASE WHEN {none('a.' + c)} AND {none('b.' + d)} THEN 0.5 WHEN len(a.w{c}) > 0 AND len(b.w{d}) > 0 THEN len(list_intersect(a.w{c}, b.w{d})) / CAST(len(list_distinct(list_concat(a.w{c}, b.w{d}))) AS DOUBLE) END")
+        else:
+            parts.append(f"CASE WHEN {none('a.' + c if c else 'b.' + d)} THEN 0.5 END")
+    mean = f"({empty * 0.5} + {' + '.join(f'coalesce({x}, 0)' for x in parts)}) / ({empty} + {' + '.join(f'CAST(({x}) IS NOT NULL AS INT)' for x in parts)})"
+    return f"CASE WHEN a.has{i} AND b.has{j} THEN {mean} ELSE 0 END AS s{i}{j}"
+
+
+_FULL_SCORES = f"""
+combos AS (SELECT a.work_id AS ref_id, b.work_id AS cand_id, (CASE WHEN a.form = b.form THEN 0 ELSE 1 END + abs(a.size - b.size) / CAST(4 AS DOUBLE)) / 2 AS form_delta,
+  CASE WHEN a.reg IS NULL OR b.reg IS NULL THEN 0.5 WHEN a.reg = b.reg THEN 0 ELSE coalesce(CAST(d AS DOUBLE), CAST(0.7 AS DOUBLE)) END AS register_delta,
+  CASE WHEN len(a.lead) = 0 OR len(b.lead) = 0 THEN 0.5 ELSE 1 - len(list_intersect(a.lead, b.lead)) / CAST(len(list_distinct(list_concat(a.lead, b.lead))) AS DOUBLE) END AS focus_delta,
+  (CASE WHEN a.moral = b.moral THEN 0 ELSE 1 END + CASE WHEN a.asks IS NULL OR b.asks IS NULL OR a.asks = b.asks THEN 0 ELSE 1 END) / CAST(2 AS DOUBLE) AS moral_delta, {", ".join(_alignment(i, j) for i in (1, 2) for j in (1, 2))}
+  FROM cast_ a JOIN cast_ b ON a.work_id <> b.work_id LEFT JOIN near ON near.a = a.reg AND near.b = b.reg WHERE a.work_id % 100 = 0),
+""" + _SCORES.replace("joined AS (SELECT parts.*,", "joined AS (SELECT parts.*, combos.* EXCLUDE (ref_id, cand_id), greatest(s11, s12, s21, s22) AS s_greimas,", 1).replace("(s_chain + 0.5) / 2", "(s_chain + greatest(s11, s12, s21, s22)) / 2", 1).replace("iso.cand_id = parts.cand_id)", "iso.cand_id = parts.cand_id JOIN combos ON combos.ref_id = parts.ref_id AND combos.cand_id = parts.cand_id)", 1).replace("((1 - s_iso) + 0 + 0.5 + 0.5 + moral) / 5", "((1 - s_iso) + form_delta + register_delta + focus_delta + moral_delta) / 5", 1).strip()
 _REPORT = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id, cand_id ORDER BY sim DESC, cand_pos) AS z FROM best WHERE sim >= CAST(0.40 AS DOUBLE)),
 found AS (SELECT ref_id, cand_id, count(*) AS n, string_agg(concat_ws(':', ref_pos, cand_pos, ref_code, cand_code), ',' ORDER BY z) AS best, string_agg('- ' || (ref_pos + 1) || ' → ' || (cand_pos + 1), ',' ORDER BY z) AS marks FROM ranked WHERE z <= 15 GROUP BY ref_id, cand_id),
 shown AS (SELECT s.*, coalesce(f.n, 0) AS n, coalesce(best, '') AS best, coalesce(marks, '') AS marks, CASE WHEN srj < 0.25 THEN 'Faible' WHEN srj < 0.55 THEN 'Modéré' WHEN srj < 0.80 THEN 'Élevé' ELSE 'Critique' END AS srj_level FROM scores s LEFT JOIN found f ON f.ref_id = s.ref_id AND f.cand_id = s.cand_id) """
@@ -42,6 +74,9 @@ _DEDUP = MORE["merge_dedup"]
 _CUT = _DEDUP.rindex("SELECT work_id, n.chunk")
 
 REPORTS = {
+    "full_comparison": _with(*PAIR, _SIMS, _PARTS, _FULL, _FULL_SCORES) + f"""SELECT ref_id, cand_id, {", ".join(f"round({n}, 6) AS {n}" for n in ("s_iso", "s_ged", "s_func", "s_act", "s_tens", "s_greimas", "sns", "ss", "st", "srj", "form_delta", "register_delta", "focus_delta", "moral_delta"))}, round(1 - s_iso, 6) AS structure_delta,
+CASE WHEN s11 = s_greimas THEN 'v1↔v1' WHEN s12 = s_greimas THEN 'v1↔v2' WHEN s21 = s_greimas THEN 'v2↔v1' ELSE 'v2↔v2' END AS alignment, modality, CASE WHEN srj < 0.25 THEN 'Faible' WHEN srj < 0.55 THEN 'Modéré' WHEN srj < 0.80 THEN 'Élevé' ELSE 'Critique' END AS srj_level,
+CASE WHEN sns < 0.30 THEN $${VERDICTS[0][1]}$$ WHEN sns < 0.50 THEN printf($${VERDICTS[1][1]}$$, round(round(ss, 9), 2)) WHEN sns < 0.70 THEN printf($${VERDICTS[2][1]}$$, modality) ELSE printf($${VERDICTS[3][1]}$$, modality) END AS verdict FROM scores""",
     "form_deltas": _FORMS + """SELECT a.work_id AS ref_id, b.work_id AS cand_id, round((CASE WHEN a.form = b.form THEN 0 ELSE 1 END + abs(a.size - b.size) / CAST(4 AS DOUBLE)) / 2, 6) AS form_delta,
 round(CASE WHEN a.reg IS NULL OR b.reg IS NULL THEN 0.5 WHEN a.reg = b.reg THEN 0 ELSE coalesce(CAST(d AS DOUBLE), CAST(0.7 AS DOUBLE)) END, 6) AS register_delta,
 (CASE WHEN a.moral = b.moral THEN 0 ELSE 1 END + CASE WHEN a.told IS NULL OR b.told IS NULL OR a.told = b.told THEN 0 ELSE 1 END) / CAST(2 AS DOUBLE) AS moral_delta

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as T
 from .lexicon import BENCH, REGISTER_DISTANCE
 from .operators import compare, extract, ingest, repertoire, report, segment
 from .operators import history as H
-from .queries import IDS, Query, documents, nodes, pairs, shared_path, table, works
+from .queries import IDS, Query, documents, nodes, pairs, profiles, shared_path, table, works
 from .queries_logs import analyses, comparisons, now, usage, users
 from .queries_more import responses
 from .sources import files
@@ -67,6 +70,38 @@ def role_alignment(spark, sf_dir):
     return _pairs(role_versions(spark, sf_dir)).select(*IDS, F.round(score, 6).alias("s_greimas"), label.alias("label"))
 
 
+LENGTHS = (("tres_court", 50), ("court", 150), ("moyen", 400), ("long", 1500))
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with form and two versions of the roles, all read from the texts: layout, words, questions, the highest tension, codes, and who acts first, last, in the middle and at the peak."""
+    names = lambda n: F.array_join(n["actants"], " ")
+    peak = F.array_max(F.transform("nodes", lambda n: F.struct(F.round(n["tension"], 9).alias("t"), (-n["pos"]).alias("back"))))
+    at = lambda k: F.get("nodes", k.cast("int"))
+    role = lambda **who: F.struct(*[who.get(r, F.lit(None).cast("string")).alias(r) for r in compare.ROLES])
+    p = profiles(spark, sf_dir).withColumn("peak", peak)
+    words = T.n_words(F.col("text"))
+    length = reduce(lambda out, x: F.when(words < x[1], x[0]).otherwise(out), reversed(LENGTHS), F.lit("tres_long"))
+    register = F.get(F.array(*map(F.lit, REGISTERS)), F.least(F.lit(len(REGISTERS) - 1), F.floor(F.col("peak.t") * len(REGISTERS))).cast("int"))
+    form = F.struct(
+        F.when(F.size(F.split("text", "\n")) > 3, "vers").otherwise("prose").alias("form"), F.when(F.col("n_nodes") > 1, register).alias("register"), length.alias("narrative_length_category"),
+        F.when(F.col("lang") == "fr", F.coalesce(F.element_at("nodes", -1)["code"] == "F49", F.lit(False))).alias("has_explicit_morality"), F.when(F.col("lang") != "de", F.col("text").contains("?")).alias("has_narrator_intervention"),
+    )
+    v1 = role(protagoniste=names(at(F.lit(0))), opposant=names(F.element_at("nodes", -1)))
+    v2 = F.when(F.col("n_nodes") >= 3, role(protagoniste=names(at(-F.col("peak.back"))), objet=names(at(F.floor(F.col("n_nodes") / 2)))))
+    rows = p.join(works(spark, sf_dir).select("work_id", "text", "lang"), "work_id")
+    return rows.select(*[c for c in p.columns if c != "peak"], form.alias("form"), v1.alias("roles"), v2.alias("roles_v2"))
+
+
+@query
+def full_comparison(spark, sf_dir):
+    """Every score of a pair with forms and both versions of the roles."""
+    rows = described(spark, sf_dir)
+    s = compare.with_scores(compare.search_pairs(rows.where("work_id % 100 = 0"), rows)).withColumnsRenamed({"ref_work_id": "ref_id", "cand_work_id": "cand_id"})
+    numbers = [n for n, _ in compare.WEIGHTS] + ["s_greimas", "sns", "ss", "st", "srj"] + [f"{d}_delta" for d in ("structure", "form", "register", "focus", "moral")]
+    return s.select(*IDS, *[F.round(n, 6).alias(n) for n in numbers], "alignment", "modality", "srj_level", compare.verdict_text(F.col("sns"), F.col("ss"), F.col("modality")).alias("verdict"))
+
+
 @query
 def report_dataset(spark, sf_dir):
     shares = F.array_join(F.transform("components", lambda c: F.concat(c["component"], F.lit(":"), c["weight"].cast("string"))), ",")
