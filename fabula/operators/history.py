@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..lexicon import PLANS, PRICES
 
 BILLABLE = ("analyze_llm", "comparison")
+#: Logarithm of an HLL sketch's slots: a standard error of about 1.04 / 2 ** (SKETCH_BITS / 2).
+SKETCH_BITS = 12
 
 
 def since(ts: Column, now: Column, hours: int) -> Column:
@@ -227,3 +229,26 @@ def user_detail(usage: DataFrame, n: int = 25) -> DataFrame:
 def clear_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, deleted): what clearing the tables deletes; the tables are then written empty (`df.limit(0)`)."""
     return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("deleted")).select(F.lit(name).alias("table"), "deleted") for name, t in tables.items()])
+
+
+def daily_sketches(usage: DataFrame, *keys: str) -> DataFrame:
+    """(day, keys, n, cost, users, costs): a row a day and key that can be merged over any set of them: sums, an HLL sketch of users, a KLL sketch of costs."""
+    day = F.to_date("ts").alias("day")
+    return usage.groupBy(day, *keys).agg(F.count("*").alias("n"), F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost"), F.hll_sketch_agg("user_id", F.lit(SKETCH_BITS)).alias("users"), F.kll_sketch_agg_double(F.coalesce("cost_usd", F.lit(0.0)).cast("double")).alias("costs"))
+
+
+def merged() -> list[Column]:
+    """Aggregates over rows of daily_sketches: n, cost, users (estimated), costs (a KLL sketch)."""
+    return [F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.kll_merge_agg_double("costs").alias("costs")]
+
+
+def sketch_windows(daily: DataFrame, now: Column, *keys: str) -> DataFrame:
+    """(span, keys, n, cost, users, costs) of the last day, 7 days, 30 days and of all, whole days up to now, from daily_sketches(): the log isn't read again."""
+    spans = F.array(*[F.struct(F.lit(name).alias("span"), F.lit(days).alias("days")) for name, days in (("24h", 1), ("7d", 7), ("30d", 30), ("all", None))])
+    rows = daily.withColumn("s", F.explode(spans)).where(F.col("s.days").isNull() | ((F.col("day") > F.date_sub(F.to_date(now), F.col("s.days"))) & (F.col("day") <= F.to_date(now))))
+    return rows.groupBy(F.col("s.span").alias("span"), *keys).agg(*merged())
+
+
+def usage_rollup(daily: DataFrame, *keys: str) -> DataFrame:
+    """Subtotals of daily_sketches() over the keys, the last ones summed first; level: how many keys are summed."""
+    return daily.rollup(*keys).agg(F.grouping_id().alias("mask"), *merged()).withColumn("level", F.bit_count("mask").cast("int")).drop("mask")

@@ -11,6 +11,7 @@ _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 _TOTALS = f"(SELECT user_id, count(*) AS total, count(*) FILTER (action = 'analyze_llm') AS llm, count(*) FILTER (action = 'analyze_local') AS local, count(*) FILTER (action = 'comparison') AS comparisons, sum(cost_usd) AS cost, CAST(sum(tokens) AS BIGINT) AS tokens FROM usage WHERE ts >= {_NOW} - INTERVAL 30 DAY GROUP BY user_id)"
 _SPANS = (("all", "TRUE"), ("30d", f"ts >= {_NOW} - INTERVAL 720 HOUR"), ("7d", f"ts >= {_NOW} - INTERVAL 168 HOUR"), ("24h", f"ts >= {_NOW} - INTERVAL 24 HOUR"))
 
+_PLAN = "CASE WHEN p.user_id IS NULL THEN 'none' WHEN p.plan IN ('pro', 'enterprise') THEN p.plan ELSE 'starter' END"
 LOGS = {
     "usage_24h_30d": _U + f"SELECT user_id, count(*) FILTER (action IN ('analyze_llm', 'comparison') AND ts >= {_NOW} - INTERVAL 24 HOUR) AS used_24h, count(*) FILTER (action IN ('analyze_llm', 'comparison') AND ts >= {_NOW} - INTERVAL 30 DAY) AS used_30d FROM usage GROUP BY user_id",
     "usage_cost": _U + f"SELECT user_id, round(coalesce(sum(cost_usd) FILTER (ts >= {_NOW} - INTERVAL 10 DAY), 0), 4) AS cost FROM usage GROUP BY user_id",
@@ -45,4 +46,6 @@ LOGS = {
     "delete_analyses": _U + "SELECT id, graph_id, mode FROM analyses a WHERE NOT EXISTS (SELECT 1 FROM analyses b WHERE b.graph_id = a.graph_id AND b.mode = a.mode AND b.cost_usd > 50)",
     "history_stats": _U + "SELECT count(*) AS analyses, count(*) FILTER (mode = 'llm') AS llm, count(*) FILTER (mode = 'heuristic') AS heuristic, round(sum(cost_usd), 4) AS cost, CAST(sum(tokens) AS BIGINT) AS tokens, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, (SELECT count(*) FROM comparisons) AS comparisons FROM analyses",
     "history_index": _U + "SELECT 'analysis' AS kind, id, coalesce(title, '?') AS title FROM analyses UNION ALL SELECT 'comparison', id, title FROM comparisons",
+    "usage_rollup": _U + f", d AS (SELECT {_PLAN} AS plan, coalesce(model, 'none') AS model, strftime(ts, '%Y-%m-%d') AS day, u.user_id, cost_usd FROM usage u LEFT JOIN users p ON p.user_id = u.user_id) SELECT plan, model, day, CAST(GROUPING(plan) + GROUPING(model) + GROUPING(day) AS INT) AS level, count(*) AS n, round(sum(cost_usd), 4) AS cost, count(DISTINCT user_id) AS users FROM d GROUP BY ROLLUP (plan, model, day)",
+    "sketch_windows": _U + f", d AS (SELECT {_PLAN} AS plan, CAST(ts AS DATE) AS day, u.user_id, cost_usd FROM usage u LEFT JOIN users p ON p.user_id = u.user_id), w(span, days) AS (VALUES ('24h', 1), ('7d', 7), ('30d', 30), ('all', NULL)) SELECT span, plan, count(*) AS n, round(sum(cost_usd), 4) AS cost, count(DISTINCT user_id) AS users, count(*) AS costs FROM d JOIN w ON days IS NULL OR (day > CAST({_NOW} AS DATE) - days AND day <= CAST({_NOW} AS DATE)) GROUP BY span, plan",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .lexicon import LENGTH_CATEGORIES, REGISTER_DISTANCE
 from .operators.compare import VERDICTS, WEIGHTS
-from .oracles import _N, _PARTS, _SCORES, _SIMS, GATE, NODE, PAIR, SCORE, SEG, TAG, _list, _with
+from .oracles import _CLEAN, _N, _PARTS, _SCORES, _SIMS, GATE, NODE, PAIR, SCORE, SEG, TAG, _list, _with
 from .oracles_logs import _NOW, _U, LOGS
 from .oracles_more import _REP, _ROLE, _WORDS, MORE
 from .queries_reports import LENGTHS, NAMES, REGISTERS
@@ -74,6 +74,8 @@ _DEDUP = MORE["merge_dedup"]
 _CUT = _DEDUP.rindex("SELECT work_id, n.chunk")
 
 REPORTS = {
+    "sql_clean": f"SELECT doc_id, md5(c) AS text_md5, {_N('c')} AS n_words, CAST(trunc(length(c) / 4.0 * 1.2) AS INT) AS tokens, round(len(list_intersect(string_split(c, ' '), ['de', 'the', 'und'])) / CAST(len(list_distinct(list_concat(string_split(c, ' '), ['de', 'the', 'und']))) AS DOUBLE), 6) AS overlap, 200 AS quota FROM (SELECT doc_id, {_CLEAN} AS c FROM documents)",
+    "sql_top": _with(*SCORE) + "SELECT ref_id, place, cand_id, round(sns, 6) AS sns, CASE WHEN 0.8 * sns < 0.25 THEN 'Faible' WHEN 0.8 * sns < 0.55 THEN 'Modéré' WHEN 0.8 * sns < 0.80 THEN 'Élevé' ELSE 'Critique' END AS level FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY round(sns, 9) DESC, cand_id) AS INT) AS place FROM scores) WHERE place <= 5",
     "full_comparison": _with(*PAIR, _SIMS, _PARTS, _FULL, _FULL_SCORES) + f"""SELECT ref_id, cand_id, {", ".join(f"round({n}, 6) AS {n}" for n in ("s_iso", "s_ged", "s_func", "s_act", "s_tens", "s_greimas", "sns", "ss", "st", "srj", "form_delta", "register_delta", "focus_delta", "moral_delta"))}, round(1 - s_iso, 6) AS structure_delta,
 CASE WHEN s11 = s_greimas THEN 'v1↔v1' WHEN s12 = s_greimas THEN 'v1↔v2' WHEN s21 = s_greimas THEN 'v2↔v1' ELSE 'v2↔v2' END AS alignment, modality, CASE WHEN srj < 0.25 THEN 'Faible' WHEN srj < 0.55 THEN 'Modéré' WHEN srj < 0.80 THEN 'Élevé' ELSE 'Critique' END AS srj_level,
 CASE WHEN sns < 0.30 THEN $${VERDICTS[0][1]}$$ WHEN sns < 0.50 THEN printf($${VERDICTS[1][1]}$$, round(round(ss, 9), 2)) WHEN sns < 0.70 THEN printf($${VERDICTS[2][1]}$$, modality) ELSE printf($${VERDICTS[3][1]}$$, modality) END AS verdict FROM scores""",

@@ -244,3 +244,22 @@ def history_stats(spark, sf_dir):
 @query
 def history_index(spark, sf_dir):
     return H.compact_index(analyses(spark, sf_dir), comparisons(spark, sf_dir)).select("kind", "id", "title")
+
+
+def _daily(spark, sf_dir):
+    rows = usage(spark, sf_dir).join(users(spark, sf_dir).select("user_id", H.normal_plan(F.col("plan")).alias("plan")), "user_id", "left")
+    return H.daily_sketches(rows.withColumns({"plan": F.coalesce("plan", F.lit("none")), "model": F.coalesce("model", F.lit("none"))}), "plan", "model")
+
+
+@query
+def usage_rollup(spark, sf_dir):
+    """Requests, cost and users by plan, model and day with their subtotals, merged from a day's sketches."""
+    r = H.usage_rollup(_daily(spark, sf_dir), "plan", "model", "day")
+    return r.select("plan", "model", F.date_format("day", "yyyy-MM-dd").alias("day"), "level", "n", F.round("cost", 4).alias("cost"), "users")
+
+
+@query
+def sketch_windows(spark, sf_dir):
+    """Requests, cost and users of the last day, 7 days, 30 days and of all by plan, and how many costs its sketch holds."""
+    r = H.sketch_windows(_daily(spark, sf_dir), now(), "plan")
+    return r.select("span", "plan", "n", F.round("cost", 4).alias("cost"), "users", F.kll_sketch_get_n_double("costs").alias("costs"))

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql as narrative_sql
 from .functions import text as T
 from .lexicon import BENCH, REGISTER_DISTANCE
 from .operators import compare, extract, ingest, repertoire, report, segment
 from .operators import history as H
-from .queries import IDS, Query, documents, nodes, pairs, profiles, shared_path, table, works
+from .queries import IDS, Query, documents, nodes, pairs, profiles, shared_path, table, works, written
 from .queries_logs import analyses, comparisons, now, usage, users
 from .queries_more import responses
 from .sources import files
@@ -234,3 +235,20 @@ def append_comparisons(spark, sf_dir):
     for part in (rows.where("id % 2 = 0"), rows.where("id % 2 <> 0")):
         H.append(part, path)
     return spark.read.schema(rows.schema).parquet(path).select("id", "ref_title", "cand_title", F.round("score", 6).alias("score"))
+
+
+@query
+def sql_clean(spark, sf_dir):
+    """Cleaned texts, sizes and overlaps with the source's name, in SQL alone."""
+    narrative_sql.register(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("narrative_documents")
+    return spark.sql("""SELECT doc_id, md5(c) AS text_md5, narrative_words(c) AS n_words, narrative_tokens(c) AS tokens, round(narrative_jaccard(split(c, ' '), array('de', 'the', 'und')), 6) AS overlap, narrative_quota(lang, 2) AS quota
+        FROM (SELECT doc_id, lang, narrative_clean(text) AS c FROM narrative_documents)""")
+
+
+@query
+def sql_top(spark, sf_dir):
+    """The most similar works of each query work and their level, in SQL over component scores."""
+    rows = compare.with_scores(pairs(spark, sf_dir)).withColumnsRenamed({"ref_work_id": "ref_id", "cand_work_id": "cand_id"})
+    narrative_sql.publish(written(rows.select(*IDS, *[n for n, _ in compare.WEIGHTS]), "parts"))
+    return spark.sql("SELECT ref_id, place, cand_id, round(sns, 6) AS sns, narrative_level(0.8 * sns) AS level FROM narrative_top(5)")
