@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .lexicon import BENCH, FUNCTION_NAMES, RECODED, REPERTOIRE, ROLE_STOPWORDS
-from .oracles import _N, _SEGMENTS, GATE, NODE, PAIR, SCORE, TAG, _list, _with
+from .oracles import _N, _SEGMENTS, GATE, NARRATIVE, NODE, PAIR, SCORE, TAG, _list, _with
 from .oracles_logs import _U
 from .queries_logs import ACTIONS
 
@@ -26,6 +26,20 @@ b AS (SELECT book, count(*) AS n_chunks, count(*) FILTER (NOT ok) AS n_failed, C
 """
 
 
+def _html() -> str:
+    """Blocks of markup; entities are those that the pages hold."""
+    out = "html"
+    for pattern, by in [*((rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "''") for t in ("script", "style", "nav", "header", "footer")), (r"(?s)<!--.*?-->", "''"), (r"(?i)<br\b[^>]*>", "chr(10)"), (r"(?i)</?(p|div|h[1-6]|li|blockquote|pre)\b[^>]*>", "chr(1)"), (r"<[a-zA-Z/!?][^>]*>", "''")]:
+        out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
+    for name, char in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{char}')"
+    parts = rf"list_filter(list_transform(string_split({out}, chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
+    return f"SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, array_to_string({parts}, chr(10) || chr(10)) AS t FROM pages)"
+
+
+_HTML = _html()
+
+
 def _paragraphs(limit: int) -> str:
     """CTEs up to para(doc_id, first, stop, text): lines with offsets, those above the limit as groups of sentences or blocks."""
     capital = "[A-ZÉÈÀÂÎÔÛÜŒÆ]"
@@ -73,6 +87,10 @@ MORE = {
     "parse_responses": _with(_SEGMENTS) + f"SELECT work_id, CASE WHEN {_OK} THEN 'ok' ELSE 'error' END AS status, CASE WHEN {_OK} THEN source END AS genre, CASE WHEN {_OK} THEN len(chunks) END AS n_nodes, CASE WHEN {_OK} AND work_id % 3 = 1 THEN 'hero' END AS lead_v2 FROM folded",
     "cultural_recode": _with(*TAG) + f"SELECT low.work_id, low.pos, code AS given_code, {_TRAD} AS function_code FROM low LEFT JOIN tags ON tags.work_id = low.work_id AND tags.pos = low.pos WHERE low.{_OK}",
     "response_nodes": _with(*NODE) + f"SELECT nodes.work_id, 'n' || lpad(CAST(nodes.pos + 1 AS VARCHAR), 3, '0') AS node_id, len(actants) AS n_actants, [0.4, 1.0, 0.5, 0.5, 0.0][CAST(nodes.pos % 5 + 1 AS INT)] AS tension, 0.3 AS vouloir, 0.0 AS devoir, least(150, length(seg.text)) + CASE WHEN nodes.pos % 2 = 0 THEN 10 ELSE 0 END AS excerpt_chars FROM nodes JOIN seg ON seg.work_id = nodes.work_id AND seg.pos = nodes.pos WHERE nodes.{_OK}",
+    "response_edges_distant": _with(*NODE) + f"SELECT a.work_id, a.pos AS src_pos, min(b.pos) AS dst_pos FROM nodes a JOIN nodes b ON a.work_id = b.work_id AND b.pos BETWEEN a.pos + 2 AND a.pos + 4 WHERE len(list_intersect(list_transform(a.actants, lambda x: lower(trim(x))), list_transform(b.actants, lambda x: lower(trim(x))))) >= 2 AND {_OK.replace('work_id', 'a.work_id')} GROUP BY a.work_id, a.pos",
+    "recurring_lines_removed": r"WITH h AS (SELECT doc_id, list(line) AS heads FROM (" + NARRATIVE["recurring_lines"] + r") GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN heads IS NULL OR lang NOT IN ('fr', 'de') THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(heads, regexp_replace(x, '^\s+|\s+$', '', 'g'))), chr(10)) END) AS text_md5 FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id",
+    "scan_flags": rf"SELECT doc_id, array_to_string(list_filter([CASE WHEN {GATE} = 0 THEN 'empty' END, CASE WHEN {_N('text')} < 30 THEN 'short' END, CASE WHEN p >= 3 AND {GATE} < 50 * p THEN 'scanned' END], lambda x: x IS NOT NULL), ',') AS flags FROM (SELECT *, len(string_split(text, chr(10))) AS p FROM documents)",
+    "html_text": _HTML,
     "response_edges": _with(*NODE) + f"SELECT work_id, transition_type, count(*) AS n FROM (SELECT work_id, CASE WHEN list_has_any(list_transform(actants, lambda a: lower(a)), list_transform(a2, lambda a: lower(a))) THEN 'causal' WHEN phase <> p2 THEN 'temporal' ELSE 'sequential' END AS transition_type FROM (SELECT *, lead(actants) OVER w AS a2, lead(phase) OVER w AS p2 FROM nodes WINDOW w AS (PARTITION BY work_id ORDER BY pos)) WHERE p2 IS NOT NULL AND {_OK}) GROUP BY ALL",
     "merge_majority": "WITH " + _PARTIAL.strip() + " SELECT b.book, n_chunks, n_failed, CASE WHEN n_failed = n_chunks THEN 'error' WHEN n_failed > 0 THEN 'partial' ELSE 'ok' END AS status, genre, tradition, tokens, keywords, summary_md5, coalesce(messages, '') AS messages FROM b LEFT JOIN e ON e.book = b.book LEFT JOIN g ON g.book = b.book LEFT JOIN t ON t.book = b.book LEFT JOIN ks ON ks.book = b.book LEFT JOIN s ON s.book = b.book",
     "graph_metadata": _with(_SEGMENTS) + f"SELECT work_id, CASE WHEN {_OK} THEN 'llm' ELSE 'error' END AS mode, {_OK} AND {_AFRO} AS african, CASE WHEN {_OK} AND work_id % 3 < 2 THEN 'hero' END AS lead FROM folded",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as T
 from .functions.text import token_estimate
 from .lexicon import BENCH
-from .operators import chunking, compare, extract, history, ingest, repertoire, report, segment
+from .operators import chunking, clean, compare, extract, history, ingest, repertoire, report, segment
 from .queries import Query, documents, nodes, pairs, profiles, shared_path, table, works
 from .queries_logs import ACTIONS, analyses, usage
 from .sources import files
@@ -84,6 +85,25 @@ def response_edges(spark, sf_dir):
     return extract.sequential_edges(n).groupBy("work_id", "transition_type").agg(F.count("*").alias("n"))
 
 
+@query
+def response_edges_distant(spark, sf_dir):
+    n = ingest.response_nodes(ingest.parse_responses(responses(spark, sf_dir)), "work_id").withColumn("actants", ingest.bare_names(F.col("actants")))
+    return extract.distant_edges(n).select("work_id", "src_pos", "dst_pos")
+
+
+@query
+def recurring_lines_removed(spark, sf_dir):
+    """Texts without running heads, where the source has pages: here the French and the German ones."""
+    return clean.drop_recurring_lines(documents(spark, sf_dir), "doc_id", F.col("lang").isin("fr", "de")).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def scan_flags(spark, sf_dir):
+    """Quality flags with a page count; a line is a page."""
+    text = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.quality_flags(text, T.n_words(text), F.size(F.split(text, "\n"))), ",").alias("flags"))
+
+
 @query
 def merge_majority(spark, sf_dir):
     m = ingest.merge_chunks(partial_results(spark, sf_dir))

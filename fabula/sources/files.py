@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.markup import block_text
+
 TEXT_FORMATS = ("txt",)
 KNOWN_FORMATS = ("txt", "docx", "pdf", "odt", "epub")
-_SKIP = {"script", "style", "nav", "header", "footer"}
-_BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"}
 
 
 def decoded(content: Column) -> Column:
@@ -34,53 +30,9 @@ def read_json_works(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("work_id"), F.coalesce("title", "id").alias("title"), "author", "summary", "text")
 
 
-class _Blocks(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.skip, self.parts, self.text = 0, [], []
-
-    def _end(self) -> None:
-        line = " ".join("".join(self.text).split(" ")).strip()
-        self.text = []
-        if line:
-            self.parts.append(line)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skip += 1
-        elif tag in _BLOCK:
-            self._end()
-        elif tag == "br":
-            self.text.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag in _BLOCK:
-            self._end()
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.text.append(data)
-
-
-def block_text(markup: str | None) -> str:
-    """Text of the block tags in document order, each text once, joined by blank lines; scripts, styles and page furniture are left out."""
-    reader = _Blocks()
-    reader.feed(markup or "")
-    reader.close()
-    reader._end()
-    return "\n\n".join(reader.parts)
-
-
 def html_text(pages: DataFrame, key: str, column: str = "html") -> DataFrame:
     """(key, text) of markup."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "text": [block_text(x) for x in b[column]]})
-
-    return pages.select(F.col(key).cast("long"), column).mapInPandas(run, f"{key} long, text string")
+    return pages.select(F.col(key).cast("long").alias(key), block_text(F.col(column)).alias("text"))
 
 
 #: Columns of a stored graph, as extract.nodes and extract.edges make them; a store of other columns is read by its own schemas.

@@ -1,3 +1,6 @@
+from html.parser import HTMLParser
+
+from fabula.functions import markup
 from fabula.sources import files
 from fabula.streaming import live
 
@@ -16,9 +19,46 @@ def test_json_works(spark, tmp_path):
     assert [tuple(r) for r in files.read_json_works(spark, str(tmp_path)).collect()] == [("w", "w", "a", None, "t")]
 
 
-def test_block_text():
-    assert files.block_text("<p>a<br>b</p><script>x</script><div>c &amp; d</div>e<nav>n</nav>") == "a\nb\n\nc & d\n\ne"
-    assert files.block_text(None) == "" and files.block_text("plain") == "plain" and files.block_text("<p>open") == "open"
+class Blocks(HTMLParser):
+    """A second implementation, on a parser of the standard library."""
+
+    def __init__(self, markup):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.parts, self.text = 0, [], []
+        self.feed(markup)
+        self.close()
+        self.end()
+
+    def end(self):
+        self.parts += [x for x in ["".join(self.text).strip()] if x]
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in markup.RAW + markup.FURNITURE
+        if not self.skip and tag in markup.BLOCKS:
+            self.end()
+        elif tag == "br":
+            self.text.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in markup.RAW + markup.FURNITURE:
+            self.skip = max(0, self.skip - 1)
+        elif not self.skip and tag in markup.BLOCKS:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+
+
+def test_block_text(spark):
+    odd = ["<p>a<br>b</p><script>x</script><div>c &amp; d</div>e<nav>n</nav>", "plain", "<p>open", '<p title="a > b">x</p>', "<P>A</P><!-- <p>no</p> -->b", "a < b <i>c</i>d", "<header>x<nav>y</nav>z</header><li>1<li>2", "<div>a<nav>never closed <p>b", "<script>var t='</p>';</script><p>&#233;&#x1F642;&eacute;&amp;lt;</p>", "<pre> two\n lines </pre><h1></h1>", "", None, "<style>p{}</style><blockquote>q</blockquote>" * 300, "<p>" + "word " * 200_000 + "</p>"]
+    df = spark.createDataFrame(list(enumerate(odd)), "id long, html string")
+    got = {r.id: r.text for r in files.html_text(df, "id").collect()}
+    assert got == {k: "\n\n".join(Blocks(x or "").parts) for k, x in enumerate(odd)}
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    assert {r.page_id: r.text for r in files.html_text(pages, "page_id").collect()} == {k: "\n\n".join(Blocks(x).parts) for k, x in html.items()}
 
 
 STORED = {"nodes": "work_id long, pos int, node_id string", "edges": "work_id long, edge_id string"}
