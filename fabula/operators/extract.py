@@ -32,13 +32,18 @@ def phase_of(text: Column, pos: Column, total: Column, lexicon: Lexicon = FRENCH
     return reduce(lambda out, p: F.when(has_any(words, lower, p[1]), p[0]).otherwise(out), reversed(lexicon.phases), place)
 
 
-def tension_of(text: Column, pos: Column, total: Column, lexicon: Lexicon = FRENCH) -> Column:
-    lower = F.lower(text)
+def tension_from(high: Column, low: Column, pos: Column, total: Column) -> Column:
+    """Tension of a place in a work, raised and lowered by how many strings of either list the text contains."""
     base = F.lit(0.3) + F.lit(0.5) * (F.lit(1) - F.abs(pos / F.greatest(total - 1, F.lit(1)) - F.lit(0.7)))
-    raw = base + F.lit(0.08) * count_contained(lower, lexicon.high) - F.lit(0.05) * count_contained(lower, lexicon.low)
+    raw = base + F.lit(0.08) * high - F.lit(0.05) * low
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
 
 
+def tension_of(text: Column, pos: Column, total: Column, lexicon: Lexicon = FRENCH) -> Column:
+    lower = F.lower(text)
+    return tension_from(count_contained(lower, lexicon.high), count_contained(lower, lexicon.low), pos, total)
+
+
 def modality_of(text: Column, words: tuple[str, ...]) -> Column:
     lower, total = F.lower(text), F.lit(0.0)
     for w in words:

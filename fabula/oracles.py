@@ -135,6 +135,7 @@ SELECT work_id, pos, greatest(f, 0) AS start_char, CASE WHEN f >= 0 THEN f ELSE
     "tension": _with(*SEG) + f"SELECT work_id, pos, round({_TENSION}, 6) AS tension FROM low",
     "modalities": _with(*SEG) + f"SELECT work_id, pos, {', '.join(f'round({_modality(ws)}, 6) AS {n}' for n, ws in BENCH.modalities)} FROM low",
     "nodes": _with(*NODE) + "SELECT work_id, 'n' || lpad(CAST(pos + 1 AS VARCHAR), 3, '0') AS node_id, code AS function_code, array_to_string(actants, '|') AS actants, phase, round(tension, 6) AS tension FROM nodes",
+    "dictionary_nodes": _with(*NODE) + "SELECT work_id, 'n' || lpad(CAST(pos + 1 AS VARCHAR), 3, '0') AS node_id, code AS function_code, array_to_string(actants, '|') AS actants, phase, round(tension, 6) AS tension, round(vouloir, 6) AS vouloir, round(devoir, 6) AS devoir, round(pouvoir, 6) AS pouvoir, round(savoir, 6) AS savoir FROM nodes",
     "edges_sequential": _with(*NODE) + "SELECT work_id, pos AS src_pos, CASE WHEN list_has_any(actants, a2) THEN 'causal' WHEN phase <> p2 THEN 'temporal' ELSE 'sequential' END AS transition_type FROM (SELECT *, lead(actants) OVER w AS a2, lead(phase) OVER w AS p2 FROM nodes WINDOW w AS (PARTITION BY work_id ORDER BY pos)) WHERE p2 IS NOT NULL",
     "edges_distant": _with(*NODE) + "SELECT a.work_id, a.pos AS src_pos, min(b.pos) AS dst_pos FROM nodes a JOIN nodes b ON a.work_id = b.work_id AND b.pos BETWEEN a.pos + 2 AND a.pos + 4 WHERE len(list_intersect(a.actants, b.actants)) >= 2 GROUP BY a.work_id, a.pos",
     "work_rollup": _with(*NODE) + "SELECT work_id, count(*) AS n_nodes, coalesce(string_agg(code, ' ' ORDER BY pos), '') AS function_sequence, len(list_distinct(flatten(list(actants)))) AS n_actants, round(max(tension), 6) AS peak_tension FROM nodes GROUP BY work_id",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .lexicon import BENCH
-from .operators import clean, compare, extract, search, segment
+from .operators import clean, compare, dictionary, extract, search, segment
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,6 +151,13 @@ def _nodes(spark, sf_dir):
 QUERIES["nodes"] = _nodes
 
 
+@query
+def dictionary_nodes(spark, sf_dir):
+    """The nodes again, by one pass over each text."""
+    n = dictionary.nodes(segment.segments(works(spark, sf_dir), BENCH), BENCH)
+    return n.select("work_id", "node_id", "function_code", F.array_join("actants", "|").alias("actants"), "phase", _r("tension", "tension"), *[_r(m, m) for m in extract.MODALITIES])
+
+
 @query
 def edges_sequential(spark, sf_dir):
     return extract.sequential_edges(nodes(spark, sf_dir)).select("work_id", "src_pos", "transition_type")
