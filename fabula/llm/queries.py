@@ -104,10 +104,12 @@ _CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(stri
 
 #: Hashes that the independent engine lacks (XXH64), trained models and tokenizers keep the others to tests against brute force.
 ORACLE_SQL: dict[str, str] = {
-    "op6_tool_calls": r"""WITH RECURSIVE c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, greatest(turn - 2, 0) AS up, '{"text":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"turn":' || turn || ',"words":' || len(regexp_extract_all(coalesce(text, ''), '\S+')) || '}' AS args FROM conversations WHERE role IN ('user', 'system')),
+    "op6_tool_calls": r"""WITH RECURSIVE m AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS n FROM conversations WHERE role IN ('user', 'system')),
+c AS (SELECT conv_id, turn, CASE WHEN n > 150 THEN 'lookup' WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name, greatest(turn - 2, 0) AS up,
+  '{' || CASE WHEN suffix(text, '?') THEN '"note":"asks",' ELSE '' END || '"text":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN contains(text, chr(10)) THEN '' ELSE ',"turn":' || turn END || ',"words":' || CASE WHEN contains(text, ',') THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || '}' AS args FROM m),
 a AS (SELECT conv_id, turn - 1 AS turn, turn AS result_turn, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS content FROM conversations WHERE role = 'assistant'),
 d AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS level FROM c WHERE turn = 0 OR NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.up) UNION ALL SELECT c.conv_id, c.turn, d.level + 1 FROM c JOIN d ON d.conv_id = c.conv_id AND d.turn = c.up AND c.turn > 0)
-SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, 'turn-' || coalesce(c.turn, a.turn) AS call_id, name, level, c.turn AS call_turn, result_turn, CASE WHEN name IS NULL THEN 'orphan' WHEN result_turn IS NULL THEN 'open' ELSE 'answered' END AS status, name IS NOT NULL AS valid, sha256(args) AS arguments_sha256,
+SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, 'turn-' || coalesce(c.turn, a.turn) AS call_id, name, level, c.turn AS call_turn, result_turn, CASE WHEN name IS NULL THEN 'orphan' WHEN result_turn IS NULL THEN 'open' ELSE 'answered' END AS status, coalesce(name IN ('reply', 'configure') AND json_type(args, '$.text') = 'VARCHAR' AND json_type(args, '$.turn') IN ('UBIGINT', 'BIGINT') AND json_type(args, '$.words') IN ('UBIGINT', 'BIGINT') AND len(list_filter(json_keys(args), lambda k: k NOT IN ('text', 'turn', 'words'))) = 0, false) AS valid, sha256(args) AS arguments_sha256,
 sha256('{' || CASE WHEN args IS NULL THEN '' ELSE '"arguments":' || args || ',' END || '"id":"turn-' || coalesce(c.turn, a.turn) || '"' || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || content END || '}') AS record_sha256
 FROM c FULL JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn""",
     "op9_winnowing": f"""WITH b AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark) WHERE len(ws) > 0),

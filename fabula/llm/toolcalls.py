@@ -84,13 +84,18 @@ CHAT_TOOLS = {"reply": {"text": ("string", True), "turn": ("integer", True), "wo
 
 
 def chat_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of a plain chat(conv_id, turn, role, text): a user's turn calls "reply", a system turn "configure"; an assistant's turn is
-    the result for the turn before it; a call builds on the call two turns before (turn 1: on turn 0)."""
+    """Calls and results of a plain chat(conv_id, turn, role, text): a user's turn calls "reply", a system turn "configure", turns of over 150 words "lookup", which no
+    schema knows; an assistant's turn is the result for the turn before it; a call builds on the call two turns before (turn 1: on turn 0).
+
+    Arguments are as careless as a model's, by what the text holds: with a comma the number of words is a string, with a line break the turn is missing, a
+    question adds a field "note"; a null text has no arguments.
+    """
     name = lambda t: F.concat(F.lit("turn-"), t.cast("string"))
     turn = F.col("turn").cast("long")
-    words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
-    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), turn.alias("turn"), words.alias("words")))
-    tool = F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure")
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    fields = lambda n: F.to_json(F.struct(F.when(F.col("text").endswith("?"), "asks").alias("note"), "text", F.when(~F.col("text").contains("\n"), turn).alias("turn"), n.alias("words")))
+    arguments = F.when(F.col("text").contains(","), fields(words.cast("string"))).when(F.col("text").isNotNull(), fields(words))
+    tool = F.when(words > 150, "lookup").when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure")
     calls = messages.where("role in ('user', 'system')").select("conv_id", name(turn).alias("call_id"), name(F.greatest(turn - 2, F.lit(0))).alias("parent_id"), turn.alias("turn"), tool.alias("name"), arguments.alias("arguments"))
     calls = calls.withColumn("parent_id", F.when(F.col("parent_id") != F.col("call_id"), F.col("parent_id")))
     results = messages.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), turn.alias("turn"), F.coalesce("text", F.lit("")).alias("content"))

@@ -224,6 +224,14 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_careless_calls_of_a_chat(spark):
+    turns = ["one two", "a, b", "x\ny", "why?", "word " * 200, None, "", "word " * 200_000]
+    chat = spark.createDataFrame([(1, k, "system" if k == 1 else "user", t, "x") for k, t in enumerate(turns)] + [(1, 9, "assistant", None, "x"), (None, 0, "user", "lost", "x")], "conv_id long, turn long, role string, text string, name string")
+    got = {r.call_turn: r for r in toolcalls.link_calls(*toolcalls.chat_calls(chat), toolcalls.CHAT_TOOLS).where("conv_id = 1 and call_turn is not null").collect()}
+    errors = [[], ["words is no integer"], ["missing turn"], ["unknown field note"], ["unknown tool lookup"], ["arguments are no JSON object"], [], ["unknown tool lookup"]]
+    assert [got[k].errors for k in range(8)] == errors and [got[k].valid for k in range(8)] == [not e for e in errors]
+
+
 def test_passages(docs, rows, empty):
     places, cut = defaultdict(set), {}
     for k, (_, t, *_) in enumerate(rows):
