@@ -91,6 +91,8 @@ MORE = {
     "recurring_lines_removed": r"WITH h AS (SELECT doc_id, list(line) AS heads FROM (" + NARRATIVE["recurring_lines"] + r") GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN heads IS NULL OR lang NOT IN ('fr', 'de') THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(heads, regexp_replace(x, '^\s+|\s+$', '', 'g'))), chr(10)) END) AS text_md5 FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id",
     "scan_flags": rf"SELECT doc_id, array_to_string(list_filter([CASE WHEN {GATE} = 0 THEN 'empty' END, CASE WHEN {_N('text')} < 30 THEN 'short' END, CASE WHEN p >= 3 AND {GATE} < 50 * p THEN 'scanned' END], lambda x: x IS NOT NULL), ',') AS flags FROM (SELECT *, len(string_split(text, chr(10))) AS p FROM documents)",
     "html_text": _HTML,
+    "read_works": "SELECT lang, 'txt' AS format, 'ok' AS status, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY lang UNION ALL SELECT DISTINCT lang, 'json', 'unsupported', CAST(0 AS BIGINT) FROM documents",
+    "decoded_texts": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "response_edges": _with(*NODE) + f"SELECT work_id, transition_type, count(*) AS n FROM (SELECT work_id, CASE WHEN list_has_any(list_transform(actants, lambda a: lower(a)), list_transform(a2, lambda a: lower(a))) THEN 'causal' WHEN phase <> p2 THEN 'temporal' ELSE 'sequential' END AS transition_type FROM (SELECT *, lead(actants) OVER w AS a2, lead(phase) OVER w AS p2 FROM nodes WINDOW w AS (PARTITION BY work_id ORDER BY pos)) WHERE p2 IS NOT NULL AND {_OK}) GROUP BY ALL",
     "merge_majority": "WITH " + _PARTIAL.strip() + " SELECT b.book, n_chunks, n_failed, CASE WHEN n_failed = n_chunks THEN 'error' WHEN n_failed > 0 THEN 'partial' ELSE 'ok' END AS status, genre, tradition, tokens, keywords, summary_md5, coalesce(messages, '') AS messages FROM b LEFT JOIN e ON e.book = b.book LEFT JOIN g ON g.book = b.book LEFT JOIN t ON t.book = b.book LEFT JOIN ks ON ks.book = b.book LEFT JOIN s ON s.book = b.book",
     "graph_metadata": _with(_SEGMENTS) + f"SELECT work_id, CASE WHEN {_OK} THEN 'llm' ELSE 'error' END AS mode, {_OK} AND {_AFRO} AS african, CASE WHEN {_OK} AND work_id % 3 < 2 THEN 'hero' END AS lead FROM folded",

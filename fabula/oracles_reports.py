@@ -73,7 +73,24 @@ _SHOWN = lambda c: f"CAST(round(CAST(round({c}, 9) AS DECIMAL(18, 9)), 3) AS DOU
 _DEDUP = MORE["merge_dedup"]
 _CUT = _DEDUP.rindex("SELECT work_id, n.chunk")
 
+_DEC = lambda c, n=2: f"CAST(CAST(CAST(round({c}, 9) AS DECIMAL(28, 9)) AS DECIMAL(28, {n})) AS VARCHAR)"
+_VERDICT = f"CASE WHEN sns < 0.30 THEN $${VERDICTS[0][1]}$$ WHEN sns < 0.50 THEN printf($${VERDICTS[1][1]}$$, round(round(ss, 9), 2)) WHEN sns < 0.70 THEN printf($${VERDICTS[2][1]}$$, modality) ELSE printf($${VERDICTS[3][1]}$$, modality) END"
+_NL = "chr(10)"
+
 REPORTS = {
+    "analysis_documents": _with(*NODE, _REP) + f""", e AS (SELECT work_id, pos, concat_ws({_NL}, '### ' || (pos + 1) || '. ' || coalesce(rep.name, nodes.code, 'Nœud ' || (pos + 1)), '- Code : ' || nodes.code, '- Famille : ' || family, CASE WHEN len(actants) > 0 THEN '- Actants : ' || array_to_string(actants, ', ') END,
+  '- Modalités : ' || {" || ', ' || ".join(f"'{m}=' || {_DEC(m)}" for m in ("vouloir", "devoir", "pouvoir", "savoir"))}, '- Tension : ' || {_DEC("tension")} || ', phase ' || phase, '- Extrait : ' || replace(left(nodes.text, 150), chr(10), ' ')) AS entry FROM (SELECT nodes.* EXCLUDE (text), seg.text FROM (SELECT *, '' AS text FROM nodes) nodes JOIN seg ON seg.work_id = nodes.work_id AND seg.pos = nodes.pos) nodes LEFT JOIN rep ON rep.code = nodes.code),
+g AS (SELECT work_id, count(*) AS n, string_agg(entry, chr(10) || chr(10) ORDER BY pos) AS entries FROM e GROUP BY work_id),
+r AS (SELECT work_id, array_to_string(arg_min(actants, pos), ' ') AS lead, array_to_string(arg_max(actants, pos), ' ') AS foe FROM nodes GROUP BY work_id),
+t AS (SELECT g.work_id, concat_ws({_NL}, '# ' || source || ' ' || g.work_id || {_NL}, '- Auteur : ' || source, '- Mode : ' || CASE WHEN g.work_id % 3 = 0 THEN 'llm' ELSE 'heuristic' END, {_NL} || '## Résumé' || {_NL} || {_NL} || left(text, 200),
+  CASE WHEN g.work_id % 3 = 0 THEN {_NL} || '## Caractérisation' || {_NL} || {_NL} || '- Genre : ' || lang END, CASE WHEN lead <> '' OR foe <> '' THEN {_NL} || '## Rôles' || {_NL} || {_NL} || concat_ws({_NL}, CASE WHEN lead <> '' THEN '- Protagoniste : ' || lead END, CASE WHEN foe <> '' THEN '- Opposant : ' || foe END) END,
+  {_NL} || '## Nœuds' || {_NL} || {_NL} || n || {_NL} || {_NL} || entries, CASE WHEN g.work_id % 3 = 0 THEN {_NL} || '---' || {_NL} || {_NL} || 'Coût : ' || {_DEC("length(text) / CAST(1000 AS DOUBLE)", 4)} || ' USD, ' || (length(text) // 4) || ' tokens' END) AS md FROM g JOIN r ON r.work_id = g.work_id JOIN documents ON doc_id = g.work_id)
+SELECT work_id, length(md) AS n_chars, md5(md) AS markdown_md5 FROM t""",
+    "comparison_texts": _with(*SCORE) + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id, cand_id ORDER BY sim DESC, cand_pos) AS z FROM best WHERE sim >= CAST(0.40 AS DOUBLE)),
+found AS (SELECT ref_id, cand_id, string_agg('- ' || (ref_pos + 1) || ' ' || coalesce(ref_code, '—') || ' → ' || (cand_pos + 1) || ' ' || coalesce(cand_code, '—') || ' : ' || {_DEC("sim", 3)}, {_NL} ORDER BY z) AS marks FROM ranked WHERE z <= 15 GROUP BY ref_id, cand_id),
+t AS (SELECT s.ref_id, s.cand_id, concat_ws({_NL}, '# œuvre ' || s.ref_id || ' / œuvre ' || s.cand_id, {_NL} || '## Scores' || {_NL} || {_NL} || concat_ws({_NL}, '| Mesure | Valeur |', '|-|-|', {", ".join(f"'| {n.upper()} | ' || {_DEC(n, 3)} || ' |'" for n in ("sns", "ss", "st", "srj"))}, {", ".join(f"'| {n} ({w}) | ' || {_DEC(n, 3)} || ' |'" for n, w in WEIGHTS)}),
+  {_NL} || '## Classes' || {_NL} || {_NL} || '- Niveau : ' || CASE WHEN srj < 0.25 THEN 'Faible' WHEN srj < 0.55 THEN 'Modéré' WHEN srj < 0.80 THEN 'Élevé' ELSE 'Critique' END || {_NL} || '- Modalité : ' || modality, {_NL} || '## Verdict' || {_NL} || {_NL} || {_VERDICT}, {_NL} || '## Correspondances' || {_NL} || {_NL} || marks) AS md FROM scores s LEFT JOIN found f ON f.ref_id = s.ref_id AND f.cand_id = s.cand_id)
+SELECT ref_id, cand_id, length(md) AS n_chars, md5(md) AS markdown_md5 FROM t""",
     "sql_clean": f"SELECT doc_id, md5(c) AS text_md5, {_N('c')} AS n_words, CAST(trunc(length(c) / 4.0 * 1.2) AS INT) AS tokens, round(len(list_intersect(string_split(c, ' '), ['de', 'the', 'und'])) / CAST(len(list_distinct(list_concat(string_split(c, ' '), ['de', 'the', 'und']))) AS DOUBLE), 6) AS overlap, 200 AS quota FROM (SELECT doc_id, {_CLEAN} AS c FROM documents)",
     "sql_top": _with(*SCORE) + "SELECT ref_id, place, cand_id, round(sns, 6) AS sns, CASE WHEN 0.8 * sns < 0.25 THEN 'Faible' WHEN 0.8 * sns < 0.55 THEN 'Modéré' WHEN 0.8 * sns < 0.80 THEN 'Élevé' ELSE 'Critique' END AS level FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY round(sns, 9) DESC, cand_id) AS INT) AS place FROM scores) WHERE place <= 5",
     "full_comparison": _with(*PAIR, _SIMS, _PARTS, _FULL, _FULL_SCORES) + f"""SELECT ref_id, cand_id, {", ".join(f"round({n}, 6) AS {n}" for n in ("s_iso", "s_ged", "s_func", "s_act", "s_tens", "s_greimas", "sns", "ss", "st", "srj", "form_delta", "register_delta", "focus_delta", "moral_delta"))}, round(1 - s_iso, 6) AS structure_delta,

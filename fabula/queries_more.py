@@ -201,6 +201,24 @@ def markdown_export(spark, sf_dir):
     return report.markdown(extract.rollup(n, extract.edges(n))).select("work_id", F.md5("markdown").alias("markdown_md5"))
 
 
+@query
+def read_works(spark, sf_dir):
+    """Text files and files of another format, written from the documents and read back: characters by language, format and status."""
+    path, rows = shared_path(spark, "works"), documents(spark, sf_dir).select("text", "lang")
+    rows.write.option("maxRecordsPerFile", 1000).partitionBy("lang").text(f"{path}/a")
+    rows.write.option("maxRecordsPerFile", 1000).partitionBy("lang").json(f"{path}/b")
+    back = files.read_works(spark, path).withColumn("lang", F.regexp_extract("path", "lang=([^/]+)", 1))
+    return back.groupBy("lang", "format", "status").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+
+
+@query
+def decoded_texts(spark, sf_dir):
+    """Texts through bytes in Latin-1 where they fit, else in UTF-8, and back without being told which."""
+    text = F.coalesce("text", F.lit(""))
+    content = F.when(text.rlike(r"^[\x00-\xFF]*$"), F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(files.decoded(content)).alias("text_md5"))
+
+
 @query
 def html_text(spark, sf_dir):
     return files.html_text(table(spark, sf_dir, "pages"), "page_id").select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))

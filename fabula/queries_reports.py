@@ -117,6 +117,26 @@ def comparison_markdown(spark, sf_dir):
     return md.select(*IDS, F.get("lines", F.lit(0)).alias("title"), F.get("lines", F.lit(2)).alias("level"), F.get("lines", F.lit(3)).alias("modality"), F.array_join(F.filter("lines", lambda x: x.startswith("- ") & x.contains("→")), ",").alias("pairs"))
 
 
+@query
+def analysis_documents(spark, sf_dir):
+    """Whole documents of analyses: a work's first 200 characters are its summary."""
+    w = works(spark, sf_dir)
+    d = described(spark, sf_dir).select("work_id", "roles")
+    llm = F.col("work_id") % 3 == 0
+    rows = w.select("work_id", F.concat_ws(" ", "source", F.col("work_id").cast("string")).alias("title"), F.col("source").alias("author"), F.when(llm, "llm").otherwise("heuristic").alias("mode"), F.substring("text", 1, 200).alias("summary"), F.when(llm, F.col("lang")).alias("genre"), F.lit(None).cast("string").alias("tradition"), F.when(llm, F.length("text") / 1000).alias("cost_usd"), F.floor(F.length("text") / 4).alias("tokens"))
+    names = repertoire.repertoire(spark).select(F.col("code").alias("function_code"), F.col("name").alias("function_name"))
+    out = report.analysis_documents(rows.join(d, "work_id"), report.node_entries(nodes(spark, sf_dir), F.broadcast(names)))  # 53 functions
+    return out.select("work_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("markdown_md5"))
+
+
+@query
+def comparison_texts(spark, sf_dir):
+    """Whole documents of comparisons."""
+    rows = compare.with_scores(pairs(spark, sf_dir)).withColumnsRenamed({"ref_work_id": "ref_id", "cand_work_id": "cand_id"})
+    rows = rows.withColumns({f"{s}_title": F.concat(F.lit("œuvre "), F.col(f"{s}_id").cast("string")) for s in ("ref", "cand")} | {"verdict_text": compare.verdict_text(F.col("sns"), F.col("ss"), F.col("modality"))})
+    return report.comparison_texts(rows).select(*IDS, F.length("markdown").alias("n_chars"), F.md5("markdown").alias("markdown_md5"))
+
+
 @query
 def comparison_json(spark, sf_dir):
     docs = report.comparison_documents(reports(spark, sf_dir))
