@@ -8,7 +8,8 @@ items shorter than a window are one window of their own length; for those length
 kept (a run of one).
 
 Only a bitmap of fixed size, of the hashes kept from the benchmark, goes to all tasks: it drops most document grams
-before the join, at any benchmark size, and what it lets through wrongly the join drops. Document
+before the join while the benchmark keeps far fewer hashes than it has bits; at millions of kept hashes it fills up and lets ever more through. Results don't
+depend on it: what it lets through wrongly the join drops. Texts of any length count whole, and there are no ties. Document
 grams pass the shuffle only after it. A passage that a third of the documents hold makes one hot join key: its rows
 are on the document side, which Spark splits, and are never paired with each other.
 

@@ -16,9 +16,10 @@ into a bitmap; a second pass forms the composite windows. The bitmap has a size
 The places of a composite key all meet its first place (smallest text name, then place): no pairs within a group. A meeting is verified on
 the words around both places: every two stretches of 50 words with shingle sets of similarity 0.8 or more are marked, on the
 diagonal of the meeting and across to the ones beside it (a word inserted or deleted). Where a place of a key isn't
-verified against the first one anywhere in its window, all places of that key take part in an exact join (`one_edit`): at that similarity
-two stretches have the same 25 words in one half and differ by one edit in the other, so every link is an equality of keys, and equal ones are linked
-to one of them. So a text with the passage is linked even if the first holder of its key has another one.
+verified against the first one anywhere in its window, all places of that key take part in an exact join (`one_edit`): where two stretches of 50 words
+have the same 25 words in one half and differ by one edit in the other, their link is an equality of keys, and equal ones are linked
+to one of them. So a text with the passage is linked even if the first holder of its key has another one. What that join can miss: stretches that share 45 to 49
+words in a row and differ by several words at one end are similar enough, too, and where the first holder of their key fails, single edits don't spell them out.
 
 Copies of one text are one text here (named by a 64-bit hash of text and length) and inherit its marks.
 
