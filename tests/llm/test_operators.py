@@ -621,3 +621,24 @@ def test_secrets_with_clashing_names_and_ties(spark):
     rows = [(k % 3 or None, t, *["x"] * len(names)) for k, t in enumerate(["token = \"0a1b2c3d4e5f60718293\"", "abcdefghijklmnopqrst", None, "", "token = \"0a1b2c3d4e5f60718293\"", "abcdefghijklmnopqrst"])]
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))).collect()
     assert sorted((r.candidate, r.is_secret) for r in got) == [("0a1b2c3d4e5f60718293", True)] * 2 + [("abcdefghijklmnopqrst", False)] * 2
+
+
+def test_winnowing_line_of_all_items_and_documents(spark):
+    rng = random.Random(23)
+    words = lambda rng, n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
+    line = words(rng, 14)
+    items = [(i, f"{words(rng, 12)} {line} {words(rng, 12)}") for i in range(60)] + [(None, words(rng, 20)), (3, f"{words(rng, 3)} {line}")]
+    docs = [(d, f"{words(rng, 30)} {line} {words(rng, 5)}" if d % 3 else words(rng, 40)) for d in range(90)] + [(91, items[-2][1]), (92, items[7][1]), (4, None), (93, words(rng, 60_000) + " " + items[5][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, spans, lists = decontam.hits(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    every = sorted(str(i) for i in range(60))
+    # A document's window is a row once, not once for each item that holds it.
+    assert max(r["count"] for r in spans.where("id < 91").groupBy("id", "rid").count().collect()) == 5
+    # The line, what item 7 has beside it, and item 5: few sets for 60 items.
+    assert rows.count() == 94 and lists.groupBy("items_class").count().where("count > 1").count() == 1
+    got = {(r.doc_id, r.n_words): r for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert all(r.items == (every if d % 3 else []) and r.n_hit == (14 if d % 3 else 0) for (d, n), r in got.items() if d < 90 and n)
+    assert got[91, 20].contaminated and got[91, 20].n_hit == 20 and got[91, 20].n_items == 0
+    assert got[92, 38].items == every and got[92, 38].n_hit == 38
+    assert got[93, 60_038].items == every and got[93, 60_038].n_hit == 38
+    assert all(r.items_sha256 == hashlib.sha256(",".join(r.items).encode()).hexdigest() for r in got.values())
