@@ -642,3 +642,36 @@ def test_winnowing_line_of_all_items_and_documents(spark):
     assert got[92, 38].items == every and got[92, 38].n_hit == 38
     assert got[93, 60_038].items == every and got[93, 60_038].n_hit == 38
     assert all(r.items_sha256 == hashlib.sha256(",".join(r.items).encode()).hexdigest() for r in got.values())
+
+
+def test_sketch_of_hot_ids(spark):
+    rng = random.Random(29)
+    many, top = words(rng, 30), 2**63 - 1
+    rows = [(d, words(rng, rng.randint(0, 40))) for d in range(-20, 120)] + [(60, words(rng, rng.randint(0, 30))) for _ in range(150)] + [(60, many)] * 130
+    rows += [(None, words(rng, 12)) for _ in range(60)] + [(None, many)] * 40 + [(None, None)] * 3 + [(top, words(rng, 9)) for _ in range(70)] + [(-(2**63), words(rng, 9)), (7, words(rng, 70_000))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = spark.createDataFrame([(t,) for t in {t or "" for _, t in rows}], "text string").select("text", F.xxhash64("text").alias("tie"), sketch.sketch(F.col("text")).alias("kept")).collect()
+    tie, kept = {r.text: r.tie for r in texts}, {r.text: set(r.kept) for r in texts}
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = []
+    for k, (d, t) in enumerate(ordered):
+        nxt = ordered[(k + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        both = kept[t] | kept[nxt]
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(len(kept[t] & kept[nxt]) / len(both) if both else 1.0, 9)))
+    got = sketch.edit_checks(docs)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_next, 9)) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    # Ranges of a hot id and of the null one are cut, and a cut is never above the greatest id.
+    cuts, hot = sketch._cuts(docs.select("doc_id", "text"), 16)
+    assert hot == [60, top] and sum(c == 60 for c, _ in cuts) > 5 and sum(c is None for c, _ in cuts) >= 1 and cuts == sorted(cuts, key=lambda c: (c[0] is not None, *[x or 0 for x in c]))
+
+
+def test_fingerprint_is_the_sketch(spark):
+    rng = random.Random(31)
+    texts = [("", words(rng, 3)), (words(rng, 400), words(rng, 40)), (words(rng, 5), ""), ("x", "x")]
+    pairs = spark.createDataFrame(texts, "a string, b string").select(sketch.sketch(F.col("a")).alias("a"), sketch.sketch(F.col("b")).alias("b"))
+    stored = pairs.select("a", "b", sketch.fingerprint(F.col("a")).alias("x"), sketch.fingerprint(F.col("b")).alias("y"))
+    back = stored.withColumn("x", sketch.from_fingerprint(F.col("x"))).withColumn("y", sketch.from_fingerprint(F.col("y")))
+    for r in back.withColumn("near", sketch.likeness(F.col("a"), F.col("b"))).withColumn("again", sketch.likeness(F.col("x"), F.col("y"))).collect():
+        assert (r.a, r.b, r.near) == (r.x, r.y, r.again)
