@@ -86,7 +86,9 @@ def _range_of(cuts: list[tuple[int | None, int]], tie: Column) -> Column:
     kind = "struct<id:bigint,tie:bigint>"
     table, steps = F.array(*[F.struct(F.lit(c).cast("long"), F.lit(t).cast("long")).cast(kind) for c, t in cuts]), [1 << b for b in reversed(range(len(cuts).bit_length()))]
     own = F.struct(F.col("doc_id"), tie).cast(kind)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(table, at + s - 1) <= own, F.lit(False)), at + s).otherwise(at))
+    # The row's pair is an element of an array, since a column that only a lambda reads breaks the optimizer's rules for unions.
+    found = lambda key: F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(table, at + s - 1) <= key, F.lit(False)), at + s).otherwise(at))
+    return F.element_at(F.transform(F.array(own), found), 1)
 
 
 def _cuts(rows: DataFrame, n: int) -> tuple[list[tuple[int | None, int]], list[int]]:
