@@ -675,3 +675,10 @@ def test_fingerprint_is_the_sketch(spark):
     back = stored.withColumn("x", sketch.from_fingerprint(F.col("x"))).withColumn("y", sketch.from_fingerprint(F.col("y")))
     for r in back.withColumn("near", sketch.likeness(F.col("a"), F.col("b"))).withColumn("again", sketch.likeness(F.col("x"), F.col("y"))).collect():
         assert (r.a, r.b, r.near) == (r.x, r.y, r.again)
+
+
+def test_sketch_of_a_parquet_table_is_collected(spark, tmp_path):
+    rng = random.Random(37)
+    spark.createDataFrame([(d, words(rng, 20)) for d in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    got = sketch.edit_checks(spark.read.parquet(f"{tmp_path}/documents")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40))
