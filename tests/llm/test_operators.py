@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from fabula.llm import decontam, mixing, passages, quality, secrets, simhash, sketch, token_store, toolcalls, warc
+from fabula.llm import decontam, mixing, passages, quality, queries, secrets, simhash, sketch, token_store, toolcalls, warc
 from fabula.llm.common import connected_components
 from tests.conftest import SF
 
@@ -677,8 +677,7 @@ def test_fingerprint_is_the_sketch(spark):
         assert (r.a, r.b, r.near) == (r.x, r.y, r.again)
 
 
-def test_sketch_of_a_parquet_table_is_collected(spark, tmp_path):
-    rng = random.Random(37)
-    spark.createDataFrame([(d, words(rng, 20)) for d in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
-    got = sketch.edit_checks(spark.read.parquet(f"{tmp_path}/documents")).collect()
-    assert sorted(r.doc_id for r in got) == list(range(40))
+def test_sketch_query_is_collected(spark):
+    path = "/root/testdata/sf0.001"
+    got = queries.op10_sketch(spark, path).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id").collect())
