@@ -56,3 +56,27 @@ def test_no_pair_before_the_equality_join(profiles):
     plan = search.sharing_pairs(works.where("work_id % 10 = 0"), works, 0.75)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert len(joins) == 3 and "Cross" not in plan and all(" = " in j for j in joins) and "code" in joins[-1]
+
+
+def test_search_pairs_copies_stay_off_the_driver(spark, profiles):
+    """The query works' copies, one for each block, are dealt out with the works; broadcast, they went through the driver."""
+    p = compare.prepared(profiles)
+    pairs = compare.search_pairs(p.where("work_id % 10 = 0"), p).select("ref_work_id", "cand_work_id", "ref_curves", "cand_curves")
+    n, q = profiles.count(), profiles.where("work_id % 10 = 0").count()
+    assert len(set(map(tuple, pairs.select("ref_work_id", "cand_work_id").collect()))) == q * (n - 1)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "CartesianProduct" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_prepared_scores_are_those_of_the_arrays(spark, profiles):
+    p = compare.prepared(profiles)
+    c = F.col
+    n = F.least(F.size("ref_tensions"), F.size("cand_tensions"), F.lit(compare.MAX_CURVE))
+    total = lambda x: F.aggregate(compare.resample(c(x), n), F.lit(0.0), lambda s, y: s + y)
+    both = compare.search_pairs(p.where("work_id % 10 = 0"), p).select(
+        (compare.tension_score(c("ref_curves"), c("cand_curves")) == compare.tension_profile(c("ref_tensions"), c("cand_tensions"))).alias("tens"),
+        (compare.persistence_of(c("ref_actant_sums"), c("cand_actant_sums")) == compare.persistence(c("ref_actants"), c("cand_actants"))).alias("chain"),
+        (F.get("ref_curve_totals", F.least(F.size("ref_curve_totals"), F.size("cand_curve_totals")) - 1) == total("ref_tensions")).alias("sum"),
+    )
+    assert [tuple(r) for r in both.distinct().collect()] == [(True, True, True)]
