@@ -95,3 +95,16 @@ def test_compared_blocks_are_equal_to_expressions(spark, profiles, monkeypatch,
     want = compare.search_pairs(asked, p).withColumn("matches", compare.best_matches(c("ref_nodes"), c("cand_nodes")))
     got = blocks.compared(asked, p, ["codes", "n_nodes"], True, 3)
     assert shown(got, c("s_iso"), c("lcs"), c("s_tens"), c("matches")) == shown(want, compare.isomorphism(c("matches")), compare.lcs_length(c("ref_plain"), c("cand_plain"), c("ref_masks")), compare.tension_score(c("ref_curves"), c("cand_curves")), c("matches"))
+
+
+def test_role_sets_of_a_work_score_as_its_roles(spark, profiles):
+    """Roles read once for a work (role_sets, lead) give the scores that roles read for each pair give; missing, blank and wordless ones among them."""
+    pick = lambda k, *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("work_id") % k).cast("int"))
+    role = lambda lead, foe: F.struct(*[(lead if r == "protagoniste" else foe if r == "opposant" else F.lit(None).cast("string")).alias(r) for r in compare.ROLES])
+    p = compare.prepared(profiles.withColumns({"roles": F.when(F.col("work_id") % 4 != 0, role(pick(3, "le Lion", "hyène", " "), pick(2, "...", "lion"))), "roles_v2": F.when(F.col("work_id") % 6 != 0, role(pick(5, "lion roi", "", "reine", "la", "roi"), F.lit("hyène")))}))
+    sets = compare.with_role_sets(p)
+    shown = lambda rows: sorted(map(repr, compare.with_scores(rows).select("ref_work_id", "cand_work_id", "s_greimas", "alignment", "focus_delta", "sns", "st").collect()))
+    asked = "work_id % 10 = 0"
+    want = shown(compare.search_pairs(p.where(asked), p))
+    assert shown(blocks.compared(sets.where(asked), sets, ["n_nodes", "codes", "plain", "actant_sums", "role_sets", "role_sets_v2", "lead"])) == want
+    assert shown(compare.search_pairs(sets.where(asked), sets)) == want
