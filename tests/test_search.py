@@ -108,3 +108,22 @@ def test_role_sets_of_a_work_score_as_its_roles(spark, profiles):
     want = shown(compare.search_pairs(p.where(asked), p))
     assert shown(blocks.compared(sets.where(asked), sets, ["n_nodes", "codes", "plain", "actant_sums", "role_sets", "role_sets_v2", "lead"])) == want
     assert shown(compare.search_pairs(sets.where(asked), sets)) == want
+
+
+def test_search_writes_no_pairs(spark, profiles):
+    """What a search writes grows with works and query works times k; the pairs that met were written before. Copies without number don't stay either."""
+    copies = spark.range(1000, 1400).withColumnRenamed("id", "work_id").crossJoin(profiles.where("work_id = 20").drop("work_id")).select(profiles.columns)
+    every, written, blocks_ = profiles.unionByName(copies).cache(), {}, int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(df, name):
+        written[name] = df.cache()
+        return written[name]
+
+    asked = F.col("work_id").isin(0, 10, 20, 30)
+    got, counts = search.bounded_top_k(every, asked, 3, kept, first=6)
+    p = compare.prepared(every)
+    want = compare.with_scores(compare.search_pairs(p.where(asked), p)).select(F.col("ref_work_id").alias("ref_id"), F.col("cand_work_id").alias("cand_id"), "sns")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, compare.top_k(want, 3).collect()))
+    assert sum(r.found for r in counts.collect()) == 4 * (every.count() - 1)
+    pairs = {n: t.count() for n, t in written.items() if "ref_id" in t.columns or "cand_id" in t.columns}
+    assert pairs and all(n <= 4 * 3 * blocks_ * 3 for n in pairs.values())
