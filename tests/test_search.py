@@ -127,3 +127,13 @@ def test_search_writes_no_pairs(spark, profiles):
     assert sum(r.found for r in counts.collect()) == 4 * (every.count() - 1)
     pairs = {n: t.count() for n, t in written.items() if "ref_id" in t.columns or "cand_id" in t.columns}
     assert pairs and all(n <= 4 * 3 * blocks_ * 3 for n in pairs.values())
+
+
+def test_candidate_pairs_stay_in_their_task(profiles):
+    """The pairs of the join on codes, made without a join or a shuffle of pairs."""
+    works, asked = search.summaries(profiles), "work_id % 10 = 0"
+    got = search.candidate_pairs(profiles.where(asked), profiles)
+    want = search.met_pairs(works.where(asked), works).select("ref_id", "cand_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.splitlines()[0].startswith("MapInArrow")
