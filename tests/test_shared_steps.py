@@ -1,11 +1,15 @@
 """Steps that many queries share are done once: words of a text, nodes of a corpus."""
 
+import __spark_entry__ as entry
+import pytest
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
 from fabula.lexicon import FRENCH
 from fabula.operators import extract, segment
 
+from .conftest import SF
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -26,3 +30,9 @@ def test_nodes_read_no_offsets_and_cut_words_once(spark):
     assert sorted(map(str, light.collect())) == sorted(map(str, full.collect()))
     asked = light.select("work_id", "function_code", "phase", "tension")
     assert "locate(" not in _plan(asked) and _plan(asked).count("(?U)\\w+") == 1
+
+
+@pytest.mark.parametrize("name", ["graph_documents"])
+def test_corpus_is_cut_once(spark, name):
+    """What is used several times is read back from a written table, not made from the documents again."""
+    assert not any("documents.parquet" in f for f in entry.queries()[name](spark, SF).inputFiles())
