@@ -32,7 +32,7 @@ def test_nodes_read_no_offsets_and_cut_words_once(spark):
     assert "locate(" not in _plan(asked) and _plan(asked).count("(?U)\\w+") == 1
 
 
-@pytest.mark.parametrize("name", ["graph_documents"])
+@pytest.mark.parametrize("name", ["graph_documents", "merge_dedup", "merge_counts", "merge_renumbered"])
 def test_corpus_is_cut_once(spark, name):
     """What is used several times is read back from a written table, not made from the documents again."""
     assert not any("documents.parquet" in f for f in entry.queries()[name](spark, SF).inputFiles())
