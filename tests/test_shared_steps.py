@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
+from fabula import queries_reports
 from fabula.functions import text as T
 from fabula.lexicon import FRENCH
 from fabula.operators import extract, segment
@@ -36,3 +37,12 @@ def test_nodes_read_no_offsets_and_cut_words_once(spark):
 def test_corpus_is_cut_once(spark, name):
     """What is used several times is read back from a written table, not made from the documents again."""
     assert not any("documents.parquet" in f for f in entry.queries()[name](spark, SF).inputFiles())
+
+
+def test_graph_store_makes_nodes_once(spark, monkeypatch):
+    """Nodes and edges are saved from a written table of nodes."""
+    saved = []
+    keep = queries_reports.files.save_graphs
+    monkeypatch.setattr(queries_reports.files, "save_graphs", lambda nodes, edges, path: (saved.append((nodes.inputFiles(), edges.inputFiles())), keep(nodes, edges, path)))
+    assert entry.queries()["graph_store"](spark, SF).count()
+    assert saved and not any("documents.parquet" in f for side in saved[0] for f in side)
