@@ -4,10 +4,10 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
-from fabula import queries_reports
+from fabula import queries_more, queries_reports
 from fabula.functions import text as T
 from fabula.lexicon import FRENCH
-from fabula.operators import extract, segment
+from fabula.operators import extract, ingest, segment
 
 from .conftest import SF
 
@@ -46,3 +46,17 @@ def test_graph_store_makes_nodes_once(spark, monkeypatch):
     monkeypatch.setattr(queries_reports.files, "save_graphs", lambda nodes, edges, path: (saved.append((nodes.inputFiles(), edges.inputFiles())), keep(nodes, edges, path)))
     assert entry.queries()["graph_store"](spark, SF).count()
     assert saved and not any("documents.parquet" in f for side in saved[0] for f in side)
+
+
+def test_responses_read_the_texts_once(spark):
+    """Language and source of a work go with its nodes: no join with the documents again, one shuffle."""
+    plan = _plan(queries_more.responses(spark, SF))
+    assert "Join" not in plan and plan.count("Relation [") + plan.count("Relation[") == 1
+
+
+def test_parsed_responses_are_objects(spark):
+    rows = spark.createDataFrame([(1, '{"genre": "g"}'), (2, '[{"genre": "g"}]'), (3, "[1]"), (4, "talk"), (5, '{"genre": '), (6, '{"genre": }'), (7, None), (8, '```json\n{"nodes": []}\n``` }'), (9, "{}"), (10, '"{x}"')], "work_id int, response string")
+    got = {r.work_id: r.status for r in ingest.parse_responses(rows).collect()}
+    body = ingest.json_body(F.col("response"))
+    want = {r.work_id: r.kind for r in rows.select("work_id", F.schema_of_variant(F.try_parse_json(body)).alias("kind")).collect()}
+    assert got == {k: "ok" if (v or "").startswith("OBJECT") else "error" for k, v in want.items()} and set(got.values()) == {"ok", "error"}
