@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,44 +127,38 @@ def merge_counts(before: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     return one(before, "n_before").join(one(kept, "n_after"), key, "left").withColumn("n_after", F.coalesce("n_after", F.lit(0)))
 
 
-def overlap_repeats(rows: DataFrame, key: str, bound: float = 0.5) -> DataFrame:
-    """(key, chunk, pos, prev_pos) of nodes that look like a node of the chunk before: codes don't differ and over half of the smaller word set is shared.
+def _kept(bound: float) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Of nodes (chunk, pos, code, words) in order, the (chunk, pos, code) of those that repeat no kept node of the chunk before; it remembers one chunk."""
 
-    Nodes meet by equality on a word of theirs, so a chunk's nodes are never paired with all of the next one's.
-    """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{4,}"), F.lit(0)))
-    sets = rows.select(key, F.col("chunk").cast("int").alias("chunk"), F.col("pos").cast("int").alias("pos"), F.when(F.col("code") != "", F.col("code")).alias("code"), words.alias("words"))
-    sets = sets.select(key, "chunk", "pos", "code", F.size("words").alias("size"), F.explode("words").alias("word"))
-    before = sets.select(key, (F.col("chunk") + 1).alias("chunk"), "word", F.col("pos").alias("prev_pos"), F.col("code").alias("prev_code"), F.col("size").alias("prev_size"))
-    met = sets.join(before, [key, "chunk", "word"]).where(F.coalesce(F.col("code") == F.col("prev_code"), F.lit(True)))
-    shared = met.groupBy(key, "chunk", "pos", "prev_pos", F.least("size", "prev_size").alias("least")).agg(F.count("*").alias("n"))
-    return shared.where(F.col("n") / F.col("least") > bound).select(key, "chunk", "pos", "prev_pos")
-
-
-def _gone(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Of (chunk, pos, prev_pos) in order, the (chunk, pos) that repeat a node which stays: what is gone of one chunk decides the next."""
-    chunk, gone, before = None, set(), set()
-    for at, pos, prev in rows:
-        if at != chunk:
-            before = gone if chunk is not None and at == chunk + 1 else set()
-            chunk, gone = at, set()
-        if prev not in before and pos not in gone:
-            gone.add(pos)
-            yield at, pos
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, kept = None, []
+        for chunk, group in groupby(rows, lambda t: t[0]):
+            nodes, held, shared, gone = list(group), {}, Counter(), set()
+            for before in kept if last is not None and chunk == last + 1 else ():
+                for word in before[3]:
+                    held.setdefault(word, []).append(before)
+            for _, pos, code, words in nodes if held else ():
+                for word in words:
+                    for _, prev, prev_code, prev_words in held.get(word, ()):
+                        if not code or not prev_code or code == prev_code:
+                            shared[pos, prev, min(len(words), len(prev_words))] += 1
+            gone = {pos for (pos, _, least), n in shared.items() if pos is not None and n / least > bound}
+            last, kept = chunk, [t for t in nodes if t[1] not in gone]
+            yield from (t[:3] for t in kept)
+
+    return walk
 
 
 def drop_overlap_nodes(rows: DataFrame, key: str, bound: float = 0.5) -> DataFrame:
-    """(key, chunk, pos, code) of rows(key, chunk, pos, code, text) without nodes that repeat a kept node of the chunk before.
+    """(key, chunk, pos, code) of rows(key, chunk, pos, code, text) without nodes that repeat a kept node of the chunk before: codes don't differ and over half of the smaller word set is shared.
 
-    Only kept nodes drop others, so chunks depend on each other in a chain. The chain runs over repeats alone (three numbers each), in an ordered
-    scan that remembers one chunk; chains break where a chunk has no repeats, and each unbroken stretch is a key of its own.
+    Only kept nodes drop others, so chunks depend on each other in a chain: an ordered scan, one shuffle of a node's distinct words. Nodes meet by a word of theirs, so a chunk's nodes are
+    never paired with all of the next one's. Rows without a key or chunk repeat nothing.
     """
-    repeats = overlap_repeats(rows, key, bound)
-    w = Window.partitionBy(key).orderBy("chunk")
-    stretch = repeats.select(key, "chunk").distinct().withColumn("stretch", F.sum(F.when(F.col("chunk") - F.lag("chunk").over(w) == 1, 0).otherwise(1)).over(w))
-    gone = scan(repeats.join(stretch, [key, "chunk"]).select(key, "stretch", "chunk", "pos", "prev_pos"), [key, "stretch"], ["chunk", "pos", "prev_pos"], _gone, "chunk int, pos int")
-    plain = rows.select(key, F.col("chunk").cast("int").alias("chunk"), F.col("pos").cast("int").alias("pos"), "code")
-    return plain.join(gone.select(key, "chunk", "pos"), [key, "chunk", "pos"], "left_anti")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{4,}"), F.lit(0)))
+    apart = F.when(F.col(key).isNull() | F.col("chunk").isNull(), F.monotonically_increasing_id())
+    nodes = rows.select(key, apart.alias("apart"), F.col("chunk").cast("int").alias("chunk"), F.col("pos").cast("int").alias("pos"), "code", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    return scan(nodes, [key, "apart"], ["chunk", "pos"], _kept(bound), f"chunk int, pos int, code {rows.schema['code'].dataType.simpleString()}").drop("apart")
 
 
 def cost_forecast(docs: DataFrame, key: str, digits: int = 4) -> DataFrame:

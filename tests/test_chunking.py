@@ -98,3 +98,12 @@ def test_overlap_chain_of_ten_thousand_chunks(spark):
     rows = [(7, c, 2 * c + p, "F01", ["the same event told again", f"only{c} here{c} this{c}"][p]) for c in range(10_000) for p in range(2)]
     kept = ingest.drop_overlap_nodes(spark.createDataFrame(rows, "work_id int, chunk int, pos int, code string, text string"), "work_id").collect()
     assert {(r.chunk, r.pos) for r in kept} == {(c, 2 * c) for c in range(0, 10_000, 2)} | {(c, 2 * c + 1) for c in range(10_000)}
+
+
+def test_overlap_is_one_scan(spark):
+    """A node's words go through one shuffle, not a row for each word through three; rows without a key or chunk, or without words, stay."""
+    rows = [(1, 0, 0, "F01", "alpha beta"), (1, 1, 1, "F01", "beta alpha"), (None, 0, 0, "F01", "alpha beta"), (None, 1, 1, "F01", "alpha beta"), (2, None, 0, "F01", "alpha"), (2, 0, 1, "F01", "alpha"), (3, 0, 0, None, None), (3, 1, 1, None, "of")]
+    kept = ingest.drop_overlap_nodes(spark.createDataFrame(rows, "work_id int, chunk int, pos int, code string, text string"), "work_id")
+    assert sorted(map(repr, (tuple(r) for r in kept.collect()))) == sorted(repr(r[:4]) for r in rows if r[:2] != (1, 1))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1 and "explode" not in plan
