@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fabula import queries_reports
 from fabula.lexicon import REGISTER_DISTANCE
-from fabula.operators import blocks, compare, extract
+from fabula.operators import blocks, compare, extract, report
 
 from .conftest import SF
 from .test_search import CODES, NODES
@@ -105,3 +105,14 @@ def test_sql_top_writes_no_pair_that_is_not_among_the_best(spark, works, monkeyp
     assert some.count() == 9 * 3 * 2
     ranked = lambda df: {tuple(r) for r in compare.top_k(df.withColumnsRenamed({"ref_work_id": "ref_id", "cand_work_id": "cand_id"}), 3).collect()}
     assert ranked(some) == ranked(whole)
+
+
+def test_reports_show_numbers_rounded_in_the_block(works):
+    """Rows of a report made of numbers that the block has rounded are those that expressions round, and no expression rounds a pair's numbers again."""
+    asked, named = "work_id % 10 = 0", {"ref_work_id": "ref_id", "cand_work_id": "cand_id"}
+    rows = works.drop("form", "roles", "roles_v2")
+    every = compare.with_scores(compare.search_pairs(rows.where(asked), rows)).withColumnsRenamed(named)
+    found = blocks.scored(rows.where(asked), rows, queries_reports.REPORTED, ["tensions"], "best", (9, 3), blocks=3).withColumnsRenamed(named)
+    shown = lambda df: sorted(map(repr, report.report_rows(df).collect()))
+    assert shown(found) == shown(every)
+    assert "round(" not in report.comparison_markdown(report.report_rows(found))._jdf.queryExecution().optimizedPlan().toString()
